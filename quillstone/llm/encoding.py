@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Longer pieces are encoded again each time.
 LONGEST = 64
 #: Any white space, a superset of what either tokenizer's patterns call so.

@@ -93,7 +93,7 @@ def _stage(docs: DataFrame, tokenizer_path: str, end_id: int, wide: bool) -> Dat
         row, kind = TaskContext.get().partitionId() << 40, "<u4" if wide else "<u2"
         met: set[bytes] = set()  # chunks that this task has put out
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", 8 << 20):
                 ids, ends = encode(some.column("text"))
                 cuts = chunk_ends(ids, ends)
                 raw, size = memoryview(ids.astype(kind)).cast("B"), 4 if wide else 2
@@ -103,7 +103,7 @@ def _stage(docs: DataFrame, tokenizer_path: str, end_id: int, wide: bool) -> Dat
                 for x, d in zip(parts, digests, strict=True):
                     kept.append(None if d in met else shrink.compress(x))
                     met.add(d)
-                if len(met) > 500_000:
+                if len(met) > 100_000:
                     met.clear()
                 bounds = pa.array(np.searchsorted(cuts, ends, side="right").astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(some))), some.column("doc_id"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(bounds, pa.array(digests, pa.binary())), pa.ListArray.from_arrays(bounds, pa.array(kept, pa.binary()))], schema=_STAGED)
