@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import slices, written
@@ -129,6 +129,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
+    return _grouped(docs).drop("text_hash")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, all their columns, one of those with equal doc_id and text."""
+    least = F.lit(-(1 << 63)).cast("long")  # stands for null
+    kept = _grouped(docs).where("kept").select(F.coalesce("doc_id", least).alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.coalesce(F.col("doc_id").cast("long"), least).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    both = keyed.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    first = both.withColumn("r", F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))).where("r = 1")
+    return first.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """near_duplicates with the hash of each text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = written(_signed(source), "signed", "none")
     classes = signed.where("n > 0").groupBy("digest").agg(F.first("sig").alias("sig"), F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("first_id"))
@@ -162,6 +178,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = classes.select("digest", "cid", "first_id").join(roots, F.col("cid") == F.col("node"), "left").select("digest", "first_id", F.coalesce("root", "cid").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(ids.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "component_id")
-    linked = signed.where("n > 0").join(named, F.col("digest") == F.col("d")).select("doc_id", "n", "component_id")
-    alone = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    linked = signed.where("n > 0").join(named, F.col("digest") == F.col("d")).select("doc_id", "text_hash", "n", "component_id")
+    alone = signed.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
