@@ -82,7 +82,7 @@ def name_tokens(name: Column, stop_words: tuple[str, ...] = ()) -> Column:
 
 def class_label(member: Column) -> Column:
     """Class A, Class B ... of a share class's member name; else the spaced name."""
-    letter = F.regexp_extract(bare_name(member), "(?i)class([A-Z])(?![a-z])", 1)
+    letter = F.regexp_extract(bare_name(member), "[Cc]lass([A-Z])(?![a-z])", 1)
     return F.when(letter != "", F.concat(F.lit("Class "), F.upper(letter))).otherwise(spaced_name(member))
 
 

@@ -32,7 +32,7 @@ def write_statement_csv(wide: DataFrame, columns: list[str], header: list[str],
         first = True
         for batch in batches:
             if first:
-                yield pa.RecordBatch.from_pydict({"line": [head]})
+                yield pa.RecordBatch.from_arrays([pa.array([head])], schema=batch.schema)
                 first = False
             yield batch
 
