@@ -3,11 +3,14 @@
 1. Documents of equal shingle sets are one class, however many there are; all further work is on classes.
 2. A class has `BANDS` bands of `ROWS` MinHash values.  Classes that share a band are candidates.  At the
    threshold similarity a pair shares none with probability (1 - 0.75 ** 4) ** 36, about 1e-6.
-3. In each band bucket every class is compared with one pivot, so a bucket of n makes n - 1 pairs.  What these
-   links leave in different components of one bucket is compared pair by pair afterwards (the exact rest).
+3. In each band bucket every class is compared with one pivot, so a bucket of n makes n - 1 pairs.
 4. Signatures are compared in batches of `BATCH` values.  After each batch the posterior of the similarity (a
    uniform prior) drops the pair once P(similarity >= threshold) is below `MISS`.
 5. Survivors are confirmed on their full shingle sets.
+6. What these links leave in different components of one bucket is compared all against all (the exact rest) inside
+   tasks, in blocks of `BLOCK` by `BLOCK` classes: a pair counts in its first common band only, passes the same
+   sequential test, and is verified on the sets, which travel as 32-bit hashes.  A block gives one link for each two
+   components that it joins, so no pairs are written out.  These links are confirmed on the full sets, too.
 
 Null and empty texts and texts without words have no shingle, link with nothing and stand for themselves.  Equal
 texts and repeated rows are linked.  A null doc_id takes part, is never a component's id unless its component
@@ -31,7 +34,9 @@ from quillstone.llm.components import components
 from quillstone.llm.shingles import shingle_hashes
 
 PER_CENT = 75
-BANDS, ROWS, BATCH, MISS = 36, 4, 16, 1e-5
+BANDS, ROWS, BATCH, MISS, BLOCK = 36, 4, 16, 1e-5, 2_048
+#: Common hashes by which a pair must pass so that 32-bit hashes that meet by chance can't have decided it.
+CLEAR = 3
 _LINE = np.random.default_rng(75).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 
 
@@ -127,6 +132,103 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
+def _sets(texts: DataFrame) -> DataFrame:
+    """cid and the class's set as sorted 32-bit hashes."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "text", 4 << 20):
+                short = [np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in shingle_hashes(some.column("text"))]
+                yield pa.RecordBatch.from_arrays([some.column("cid"), pa.array(short, pa.binary())], names=["cid", "words"])
+
+    return texts.mapInArrow(sets, "cid long, words binary")
+
+
+def _rest_links(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a bucket: rest has bucket, band, cid, root, main.
+
+    A bucket's classes outside its main component are compared with all its others.
+    """
+    needed = least_matches()
+    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("y_n"), F.ceil(F.count_if(F.col("root") != F.col("main")) / BLOCK).cast("int").alias("x_n")).withColumnRenamed("bucket", "k")
+    sized = rest.join(sizes, F.col("bucket") == F.col("k")).drop("k")
+    piece = F.xxhash64("cid")
+    x = sized.where("root <> main").withColumn("xp", F.pmod(piece, F.col("x_n")).cast("int")).withColumn("yp", F.explode(F.sequence(F.lit(0), F.col("y_n") - 1))).withColumn("side", F.lit(0))
+    y = sized.withColumn("yp", F.pmod(piece, F.col("y_n")).cast("int")).withColumn("xp", F.explode(F.sequence(F.lit(0), F.col("x_n") - 1))).withColumn("side", F.lit(1))
+    light = x.unionByName(y).select("bucket", "band", "xp", "yp", "side", "cid", "root", "main")
+    full = light.join(classes.select(F.col("cid").alias("c"), "n", "sig"), F.col("cid") == F.col("c")).drop("c").join(sets.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c")).drop("c")
+    keys = ["bucket", "xp", "yp"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            block = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+            starts = np.append(np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1, len(batch))
+            at = 0
+            if waiting and any(waiting[0].column(c)[0] != batch.column(c)[0] for c in keys):
+                yield _block_links(waiting, needed)
+                waiting = []
+            for to in starts.tolist():
+                waiting.append(batch.slice(at, to - at))
+                at = to
+                if to < len(batch):
+                    yield _block_links(waiting, needed)
+                    waiting = []
+        if waiting:
+            yield _block_links(waiting, needed)
+
+    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a long, b long")
+
+
+def _block_links(parts: list[pa.RecordBatch], needed: list[tuple[int, int]]) -> pa.RecordBatch:
+    """The links of one block that join components, one for each join."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    side, cid, root = (rows.column(c).to_numpy() for c in ("side", "cid", "root"))
+    band, main, n = rows.column("band")[0].as_py(), rows.column("main")[0].as_py(), rows.column("n").to_numpy()
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u4").reshape(len(rows), -1)
+    words = rows.column("words")
+    known: dict[int, np.ndarray] = {}
+    parent: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while parent.get(r, r) != r:
+            r = parent[r]
+        return r
+
+    def set_of(k: int) -> np.ndarray:
+        if k not in known:
+            known[k] = np.frombuffer(words[k].as_py(), "<u4")
+        return known[k]
+
+    found: list[tuple[int, int]] = []
+    xs, ys = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    # a pair of two classes outside the main component is met twice; the one with the smaller class first counts
+    for x in xs.tolist():
+        ok = (root[ys] != root[x]) & (100 * np.minimum(n[ys], n[x]) >= PER_CENT * np.maximum(n[ys], n[x])) & ((root[ys] == main) | (cid[ys] > cid[x]))
+        to = ys[ok]
+        matches, at = np.zeros(len(to), np.int64), 0
+        for upto, least in needed:
+            matches = matches + (sig[to, at:upto] == sig[x, at:upto]).sum(axis=1)
+            keep = matches >= least
+            to, matches, at = to[keep], matches[keep], upto
+        if not len(to):
+            continue
+        same = (sig[to] == sig[x]).reshape(len(to), BANDS, ROWS).all(axis=2)
+        first = same.argmax(axis=1) == band
+        for y in to[first][np.argsort(-matches[first], kind="stable")].tolist():
+            if top(root[x]) == top(root[y]):
+                continue
+            both = len(np.intersect1d(set_of(x), set_of(y), assume_unique=True))
+            if 100 * both >= PER_CENT * (n[x] + n[y] - both):
+                found.append((max(cid[x], cid[y]), min(cid[x], cid[y])))
+                clear = both - CLEAR
+                if 100 * clear >= PER_CENT * (n[x] + n[y] - clear):
+                    parent[top(root[x])] = top(root[y])
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     return _grouped(docs).drop("text_hash")
@@ -151,9 +253,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", "none")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    bands = classes.select("cid", F.explode(band).alias("bucket"))
+    bands = classes.select("cid", F.posexplode(band).alias("band", "bucket"))
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1").select(F.col("bucket").alias("k"), "pivot")
-    members = written(bands.join(buckets, F.col("bucket") == F.col("k")).select("bucket", "cid", "pivot"), "members")
+    members = written(bands.join(buckets, F.col("bucket") == F.col("k")).select("bucket", "band", "cid", "pivot"), "members")
 
     # texts of the classes that have a candidate, one row each
     wanted = members.select("cid").distinct().join(classes.select(F.col("cid").alias("c"), F.col("rep.doc_id").alias("d"), F.col("rep.text_hash").alias("t")), F.col("cid") == F.col("c"))
@@ -164,15 +266,12 @@ def _grouped(docs: DataFrame) -> DataFrame:
     links = written(_confirmed(_likely(stars, classes), texts), "links")
 
     # what the stars left apart: classes of one bucket in different components
-    first = components(links)
-    rooted = members.join(first, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "pivot", F.coalesce("root", "cid").alias("root"))
-    apart = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", F.abs(F.col("cid") - F.col("pivot"))).alias("main"), F.min("pivot").alias("hub")).where("lo <> hi").select(F.col("bucket").alias("k"), "main", "hub")
-    rest = written(rooted.join(apart, F.col("bucket") == F.col("k")).select("bucket", "cid", "root", "main", "hub").join(classes.select(F.col("cid").alias("c"), "n"), F.col("cid") == F.col("c")).drop("c"), "rest")
-    x = rest.where("root <> main").select("bucket", F.col("cid").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"))
-    y = rest.where("cid <> hub").select(F.col("bucket").alias("k"), F.col("cid").alias("y"), F.col("root").alias("y_root"), F.col("n").alias("y_n"), (F.col("root") == F.col("main")).alias("y_main"))
-    fits = (F.col("x_root") != F.col("y_root")) & (F.col("y_main") | (F.col("x") < F.col("y"))) & (100 * F.least("x_n", "y_n") >= PER_CENT * F.greatest("x_n", "y_n"))
-    more = x.join(y, (F.col("bucket") == F.col("k")) & fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    links = links.unionByName(_confirmed(_likely(more, classes), texts))
+    rooted = members.join(components(links), F.col("cid") == F.col("node"), "left").select("bucket", "band", "cid", F.coalesce("root", "cid").alias("root"))
+    counted = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    apart = counted.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select(F.col("bucket").alias("k"), "main")
+    rest = written(rooted.join(apart, F.col("bucket") == F.col("k")).select("bucket", "band", "cid", "root", "main"), "rest")
+    more = written(_rest_links(rest, classes, _sets(texts)).distinct(), "more")
+    links = links.unionByName(_confirmed(more, texts))
 
     roots = components(links)
     grouped = classes.select("digest", "cid", "first_id").join(roots, F.col("cid") == F.col("node"), "left").select("digest", "first_id", F.coalesce("root", "cid").alias("root"))
