@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import remove, written
+from quillstone.llm.common import least_hashed, remove, written
 
 SAMPLE, ROUNDS, ROTATIONS, DIGEST = 8_192, 25, 4, 16
 PILOTS, RECALL = 64, 0.97
@@ -132,7 +132,7 @@ def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.n
 
 def measured_radius(points: DataFrame, pilots: DataFrame, kind: str, k: int) -> int:
     """Least radius that holds the share RECALL of the pilots' true neighbours, found by brute force over all points."""
-    rows = pilots.orderBy(F.xxhash64("point"), "point").limit(PILOTS).select("point", "vec", *(f"w{j}" for j in range(ROTATIONS))).toArrow()
+    rows = least_hashed(pilots, "point", PILOTS, "point").select("point", "vec", *(f"w{j}" for j in range(ROTATIONS))).toArrow()
     if not len(rows):
         return 0
     own, own_vec, own_words = np.asarray(rows.column("point")), _matrix(rows.column("vec").combine_chunks(), kind), _words(rows)
@@ -232,7 +232,7 @@ def nearest(vectors: DataFrame, every: int, k: int = 20) -> DataFrame:
     if not lengths:
         return spark.createDataFrame([], SCHEMA)
     source = source.where(F.size("embedding") == lengths[0]["n"])
-    sample = np.array([r["embedding"] for r in source.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()], float)
+    sample = np.array([r["embedding"] for r in least_hashed(source, "vec_id", SAMPLE, "vec_id").select("embedding").collect()], float)
     coded = written(_coded(source, learn(sample), kind).distinct(), "coded", "none")
     points = written(_points(coded, k), "points", "none")
     total = points.count()

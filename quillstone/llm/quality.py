@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import remainder, slices
+from quillstone.llm.common import least_hashed, remainder, slices
 from quillstone.llm.words import SHAPES, Words, words_of
 
 SAMPLE, SAMPLE_CHARS = 5_000, 12_000
@@ -158,7 +158,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[str], l
     """Texts and labels of at most SAMPLE labelled documents outside the held-out fold, those of least hash."""
     known = labels.where(F.col(label).isNotNull() & (remainder("doc_id", 5) != 0)).select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where((remainder("doc_id", 5) != 0) & (F.length("text") <= SAMPLE_CHARS))
-    few = known.orderBy(F.xxhash64("label_id", F.lit(5)), "label_id", "label").limit(SAMPLE)
+    few = least_hashed(known, "label_id", SAMPLE, "label_id", "label")
     rows = few.join(texts, F.col("label_id") == F.col("doc_id")).select("doc_id", "text", "label").collect()
     rows.sort(key=lambda r: (hash_of(r["doc_id"]), r["text"], r["label"]))
     return [r["text"] for r in rows[: 2 * SAMPLE]], [r["label"] for r in rows[: 2 * SAMPLE]]
