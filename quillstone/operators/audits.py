@@ -128,3 +128,47 @@ def metric_status(df: DataFrame, metrics: list[str], by: list[str]) -> DataFrame
     """by, metric, n_missing, n_all of metric columns, unpivoted."""
     long = df.unpivot([*by], metrics, "metric", "value")
     return long.groupBy(*by, "metric").agg(F.count_if(F.col("value").isNull()).alias("n_missing"), F.count("*").alias("n_all"))
+
+
+def gap_census(grid: DataFrame, present: DataFrame, inapplicable: DataFrame, dimension_only: DataFrame, candidates: DataFrame, custom: DataFrame) -> DataFrame:
+    """entity, concept, state of every cell: filled, dash (doesn't apply), dim_only, fixable (a candidate tag), custom, or over_broad.
+
+    All but the grid are tables of (entity, concept); the first that has a cell names its state.
+    """
+    df = grid.select("entity", "concept")
+    order = (("filled", present), ("dash", inapplicable), ("dim_only", dimension_only), ("fixable", candidates), ("custom", custom))
+    for name, table in order:
+        df = df.join(table.select("entity", "concept").distinct().withColumn(f"_{name}", F.lit(name)), ["entity", "concept"], "left")
+    return df.select("entity", "concept", F.coalesce(*(F.col(f"_{name}") for name, _ in order), F.lit("over_broad")).alias("state"))
+
+
+def derivable(present: DataFrame, rules: dict[str, list[str]], rounds: int = 4) -> DataFrame:
+    """present (entity, concept) and what rules (concept: what it needs) make derivable from it, in so many rounds at most.
+
+    Each round is one aggregate over the concepts that a rule needs; optional terms aren't part of a rule.
+    """
+    found = present.select("entity", "concept").distinct()
+    for _ in range(rounds if rules else 0):
+        more = [found.where(F.col("concept").isin(*needs)).groupBy("entity").agg(F.count_distinct("concept").alias("n")).where(F.col("n") == len(set(needs))).select("entity", F.lit(name).alias("concept")) for name, needs in rules.items() if needs]
+        for df in more:
+            found = found.unionByName(df)
+        found = found.distinct()
+    return found
+
+
+def vocabulary(concepts: DataFrame) -> DataFrame:
+    """concept, tokens: the words of all tags and the name of each concept that isn't internal (concept, tokens, internal)."""
+    return concepts.where("not internal").groupBy("concept").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
+
+
+def kin_tags(tags: DataFrame, known: DataFrame) -> DataFrame:
+    """tag, kin: known tags that a tag's name begins with, the longest of them.  known is configuration of some hundred rows."""
+    met = tags.select("tag").distinct().join(F.broadcast(known.select(F.col("tag").alias("kin"))), F.col("tag").startswith(F.col("kin")) & (F.col("tag") != F.col("kin")))
+    return met.groupBy("tag").agg(F.max_by("kin", F.struct(F.length("kin"), "kin")).alias("kin"))
+
+
+def latest_point(facts: DataFrame, namespaces: list[str], units: list[str]) -> DataFrame:
+    """entity, tag, end, val at the latest end, in the first namespace and then the first unit that has any."""
+    rank = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c))
+    w = Window.partitionBy("entity", "tag").orderBy(rank(namespaces, "ns"), rank(units, "unit"), F.desc("end"), F.desc("filed"))
+    return facts.where(F.col("ns").isin(*namespaces) & F.col("unit").isin(*units)).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("entity", "tag", "end", "val")

@@ -265,3 +265,29 @@ def test_empty_tables(spark):
     assert splits.detected(spark.createDataFrame([], POINTS)).count() == 0
     empty = spark.createDataFrame([], "k int, d date")
     assert matching.as_of(empty, spark.createDataFrame([], "k int, at date, v double"), ["k"], "d", "at", ["v"]).count() == 0
+
+
+def test_share_classes(spark):
+    from quillstone.operators import shares
+
+    rows = [(1, "d", "A", 488450.0, True), (1, "d", "B", 1408035161.0, True), (2, "d", "A", 73641439.0, True), (2, "d", "C", 73641439.0, False), (3, "d", "A", 1.22e8, True), (3, "d", "B", 1.34e8, False)]
+    classes = spark.createDataFrame(rows, "entity int, end string, class string, n double, earns boolean")
+    implied = spark.createDataFrame([(3, "d", 1.25e8)], "entity int, end string, implied double")
+    ratios = spark.createDataFrame([(1, "B", 1500.0)], "entity int, class string, ratio double")
+    got = {r.entity: (r.total, r.basis) for r in shares.class_totals(classes, implied, ratios).collect()}
+    assert got == {1: (488450.0 * 1500 + 1408035161.0, "converted"), 2: (73641439.0, "one total for every class"), 3: (1.22e8, "earning classes")}
+
+
+def test_one_basis_by_continuity(spark):
+    from quillstone.operators import shares
+
+    rows = [(1, day("2024-01-01"), 10.0, 10.0, 10.0), (1, day("2024-04-01"), 11.0, None, 10.0), (1, day("2024-07-01"), 115.0, None, 10.0), (1, day("2024-10-01"), 5000.0, None, 10.0), (1, day("2025-01-01"), 120.0, 1.0, 10.0)]
+    got = shares.on_one_basis(spark.createDataFrame(rows, "entity int, d date, val double, factor double, ratio double")).orderBy("d").collect()
+    assert [r.val for r in got] == [100.0, 110.0, 115.0, 120.0]
+
+
+def test_vocabulary_and_kin(spark):
+    concepts = spark.createDataFrame([("a", ["x", "y"], False), ("a", ["y", "z"], False), ("i", ["x"], True)], "concept string, tokens array<string>, internal boolean")
+    assert [(r.concept, r.tokens) for r in audits.vocabulary(concepts).collect()] == [("a", ["x", "y", "z"])]
+    tags = spark.createDataFrame([("DebtNoncurrent",), ("Debt",), ("Cash",)], "tag string")
+    assert [(r.tag, r.kin) for r in audits.kin_tags(tags, tags).collect()] == [("DebtNoncurrent", "Debt")]
