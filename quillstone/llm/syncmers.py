@@ -1,15 +1,15 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-A k-mer of `K` code points is chosen if, of its inner substrings of `S` code points, the one of least hash stands
-at its beginning or at its end.  That depends on the k-mer and nothing around it, so a passage has the same chosen
-k-mers wherever it stands.  The fingerprint is the `SIZE` least hashes of the chosen k-mers; likeness is the share
-of common ones among the least hashes of both, an estimate of the Jaccard similarity of the chosen sets.
+A text is read as words cut at spaces, one without spaces as its single signs.  A k-mer is `K` words in a row.  It is chosen if, of its inner sequences of `S` words, the one of least hash
+stands at its beginning or at its end.  That depends on the k-mer and nothing around it, so a passage has the same
+chosen k-mers wherever it stands.  The fingerprint is the `SIZE` least hashes of the chosen k-mers; likeness is the
+share of common ones among the least hashes of both, an estimate of the Jaccard similarity of the chosen sets.
 
-Long texts are read in stretches of `STRETCH` code points that overlap by K - 1.
+Long texts are read in stretches of `STRETCH` words that overlap by K - 1.
 
-Null text is an empty one.  A text of fewer than K code points counts as one k-mer, so every text has a
-fingerprint; likeness of equal fingerprints is 1.  Repeated rows stay; equal doc_id are ordered by the hash of
-their texts; null doc_id come last.  A lone document is its own next one.  Further columns are ignored.
+Null text is an empty one.  A text of fewer than K words counts as one k-mer, so every text has a fingerprint;
+likeness of equal fingerprints is 1.  Repeated rows stay; equal doc_id are ordered by the hash of their texts; null
+doc_id come last.  A lone document is its own next one.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,40 +17,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, SIZE, STRETCH = 14, 10, 64, 1 << 15
-#: Inner substrings of a k-mer.
-INNER = K - S + 1
+#: The test of edges is written out for K - S + 1 = 3 inner sequences.
+K, S, SIZE, STRETCH = 4, 2, 64, 4096
+#: Of a stretch, so many of the least hashes are expected to be looked at first; all are, if they don't suffice.
+LOOK = 256
 
+def words(text: Column) -> Column:
+    """Hashes of a text's words in order; an empty text has one."""
+    return F.transform(F.when(F.instr(text, " ") > 0, F.split(text, " ")).otherwise(F.split(text, "")), lambda w: F.xxhash64(w))
 
-def anchors(text: Column) -> Column:
-    """array<struct<pos, hash>> of the chosen k-mers of a text, pos counted from 0 in code points."""
-    return _anchors(F.coalesce(text, F.lit("")))
 
+def _marked(own: Column) -> Column:
+    """For each word the hash of the k-mer that begins there, or null if it isn't chosen."""
 
-def _anchors(text: Column) -> Column:
-    inner = F.array(F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{S}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))
+    def pairs(w: Column) -> Column:
+        return F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)))
 
-    def choose(h: Column) -> Column:
-        places = F.when(F.size(h) >= INNER, F.sequence(F.lit(1), F.size(h) - (INNER - 1))).otherwise(F.array().cast("array<int>"))
+    def kmers(p: Column) -> Column:
+        # the last places have no whole k-mer; comparing with a null gives null
+        last = F.size(p) - K
+        return F.transform(p, lambda x, i: F.when((i <= last) & (F.least(x, F.get(p, i + 2)) <= F.get(p, i + 1)), F.shiftrightunsigned(F.xxhash64(x, F.get(p, i + 2)), 32)))
 
-        def edge(i: Column) -> Column:
-            return F.least(F.get(h, i - 1), F.get(h, i + (INNER - 2))) <= F.array_min(F.slice(h, i, INNER))
+    # each step is named by a lambda, so that it is computed once
+    return F.get(F.transform(F.transform(F.array(own), pairs), kmers), F.lit(0))
 
-        return F.transform(F.filter(places, edge), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.get(h, i - 1), F.get(h, i + (INNER - 2))).alias("hash")))
 
-    return F.get(F.transform(inner, choose), F.lit(0))
+def anchors(text: Column) -> Column:
+    """array<struct<pos, hash>> of the chosen k-mers of a text, pos counting words from 0."""
+    found = F.get(F.transform(F.array(words(F.coalesce(text, F.lit("")))), _marked), F.lit(0))
+    return F.filter(F.transform(found, lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))), lambda x: x["hash"].isNotNull())
 
 
 def fingerprint(text: Column) -> Column:
     """The SIZE least distinct 32-bit hashes of a text's chosen k-mers, ascending; text must not be null."""
-    length = F.char_length(text)
-    stretches = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(length - 1, F.lit(0)) / STRETCH).cast("int")), lambda i: F.substring(text, i * STRETCH + 1, F.lit(STRETCH + K - 1)))
 
     def least(hashes: Column) -> Column:
         return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SIZE)
 
-    each = F.transform(stretches, lambda t: least(F.transform(_anchors(t), lambda a: F.shiftrightunsigned(a["hash"], 32))))
-    return F.when(length < K, F.array(F.shiftrightunsigned(F.xxhash64(text), 32))).otherwise(least(F.flatten(each)))
+    def of_stretch(marked: Column) -> Column:
+        bounds = F.array((F.lit(2.0**32 * LOOK) / F.size(marked)).cast("long"))
+        near = F.get(F.transform(bounds, lambda bound: F.filter(marked, lambda h: h < bound)), F.lit(0))
+        return F.get(F.transform(F.array(least(near)), lambda x: F.when(F.size(x) == SIZE, x).otherwise(least(F.array_compact(marked)))), F.lit(0))
+
+    def of_words(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - K, F.lit(0)) / STRETCH).cast("int"))
+        each = F.transform(F.transform(starts, lambda i: _marked(F.slice(w, i * STRETCH + 1, F.lit(STRETCH + K - 1)))), of_stretch)
+        one = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(F.transform(w, lambda x: x.cast("string")), " ")), 32))
+        return F.when(F.size(w) < K, one).otherwise(least(F.flatten(each)))
+
+    return F.get(F.transform(F.array(words(text)), of_words), F.lit(0))
 
 
 def as_text(print_: Column) -> Column:
