@@ -33,7 +33,7 @@ from quillstone.llm.common import least_hashed, remove, written
 
 SAMPLE, ROUNDS, ROTATIONS, DIGEST = 8_192, 25, 4, 16
 PILOTS, RECALL = 64, 0.97
-ROWS, QUERIES, MOST_BITS, SALTS = 8_192, 4_096, 12, 8
+ROWS, QUERIES, MOST_BITS, SALTS = 16_384, 4_096, 12, 8
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
