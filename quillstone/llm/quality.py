@@ -138,14 +138,16 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Texts should come in an order that doesn't depend on their labels: every fifth sets the temperature."""
-    found, y = words_of(pa.array(texts, pa.string())), np.array(labels, float)
-    hashes, kinds = found.hashes(), found.shapes()
+    y = np.array(labels, float)
+    parts = [(f.hashes(), f.shapes(), np.diff(f.bounds)) for f in (words_of(pa.array(texts[at : at + 250], pa.string())) for at in range(0, len(texts), 250))]
+    hashes, kinds, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    bounds = np.append(0, np.cumsum(sizes))
     values, counts = np.unique(hashes, return_counts=True)
     kept = np.lexsort((values, -counts))[:VOCABULARY]
     vocabulary = np.sort(values[kept][counts[kept] > 1])
     rare = np.random.default_rng(2).integers(0, 1 << 64, SHAPES, np.uint64)
-    words = _contexts(_numbers(hashes, vocabulary), found.bounds, index_vectors(np.append(vocabulary, np.uint64(0))))
-    shapes = _contexts(kinds, found.bounds, index_vectors(rare))
+    words = _contexts(_numbers(hashes, vocabulary), bounds, index_vectors(np.append(vocabulary, np.uint64(0))))
+    shapes = _contexts(kinds, bounds, index_vectors(rare))
     x = np.vstack([_inputs(words_of(pa.array(texts[at : at + 250], pa.string())), vocabulary, words, shapes) for at in range(0, len(texts), 250)])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     x = (x - mean) / scale
