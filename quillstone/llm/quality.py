@@ -7,8 +7,9 @@ is the mean of its word vectors and shape vectors, how alike neighbouring words
 its length.  The network has one hidden layer; its logit is divided by a temperature fitted on rows that the
 weights did not see.
 
-Vectors, weights and temperature are fitted on at most `SAMPLE` labelled documents of up to `SAMPLE_CHARS`
-characters, those of least hash.  Scoring reads whole texts.
+Vectors, weights and temperature are fitted on the whole texts of the `SAMPLE` labelled documents of least hash,
+whatever their length.  Tasks count the words and add up their neighbours; the vocabulary's sums and one input vector
+for each document come to the driver, texts don't.  Scoring reads whole texts.
 
 Null and empty texts are scored as texts without words.  Labels of null quality teach nothing; with no labels
 every score is 0.5.  Equal texts get equal scores; repeated rows stay; further columns are ignored.
@@ -21,13 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import least_hashed, remainder, slices
+from quillstone.llm.common import least_hashed, remainder, remove, slices, written
 from quillstone.llm.words import SHAPES, Words, words_of
 
-SAMPLE, SAMPLE_CHARS = 5_000, 12_000
+SAMPLE = 5_000
 DIM, NONZERO, WINDOW, LAGS, VOCABULARY = 32, 4, 2, 3, 30_000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 80, 3e-3, 1e-4
 THRESHOLD = 0.3
@@ -43,10 +44,9 @@ def index_vectors(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _contexts(numbers: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Normalised sums of the neighbours' index vectors by word number; the last number stands for rare words."""
+def _contexts(out: np.ndarray, numbers: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> None:
+    """Add to out the neighbours' index vectors by word number; the last number stands for rare words."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    out = np.zeros_like(index)
     for lag in range(1, WINDOW + 1):
         near = text[lag:] == text[:-lag]
         a, b = numbers[:-lag][near], numbers[lag:][near]
@@ -54,7 +54,11 @@ def _contexts(numbers: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> np.
             x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
             np.add.at(out, x, index[y])
             np.add.at(out, y, index[x])
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
+
+
+def _normalised(sums: np.ndarray) -> np.ndarray:
+    sums = sums.astype(np.float32)
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
 
 
 @dataclass
@@ -136,19 +140,78 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(min(grid, key=lambda t: np.logaddexp(0, -sign * logits / t).mean())) if len(y) else 1.0
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Texts should come in an order that doesn't depend on their labels: every fifth sets the temperature."""
-    y = np.array(labels, float)
-    parts = [(f.hashes(), f.shapes(), np.diff(f.bounds)) for f in (words_of(pa.array(texts[at : at + 250], pa.string())) for at in range(0, len(texts), 250))]
-    hashes, kinds, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-    bounds = np.append(0, np.cumsum(sizes))
-    values, counts = np.unique(hashes, return_counts=True)
-    kept = np.lexsort((values, -counts))[:VOCABULARY]
-    vocabulary = np.sort(values[kept][counts[kept] > 1])
-    rare = np.random.default_rng(2).integers(0, 1 << 64, SHAPES, np.uint64)
-    words = _contexts(_numbers(hashes, vocabulary), bounds, index_vectors(np.append(vocabulary, np.uint64(0))))
-    shapes = _contexts(kinds, bounds, index_vectors(rare))
-    x = np.vstack([_inputs(words_of(pa.array(texts[at : at + 250], pa.string())), vocabulary, words, shapes) for at in range(0, len(texts), 250)])
+def unsigned(hashed: str) -> Column:
+    """A long column in the order of its bits as an unsigned number."""
+    return F.col(hashed).bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _vocabulary(drawn: DataFrame) -> np.ndarray:
+    """Hashes of the VOCABULARY most frequent words that occur twice or more, ascending."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "text", 2 << 20):
+                values, c = np.unique(words_of(some.column("text")).hashes(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(c.astype(np.int64))], names=["word", "c"])
+
+    counts = drawn.select("text").mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    top = counts.where("c > 1").orderBy(F.desc("c"), unsigned("word")).limit(VOCABULARY).select("word").toArrow()
+    return np.sort(np.asarray(top.column("word")).view(np.uint64))
+
+
+def _vectors(drawn: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the words, the last one of rare words, and of the shapes."""
+    shared = drawn.sparkSession.sparkContext.broadcast(vocabulary)
+    names = [f"v{k}" for k in range(DIM)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        rare = np.random.default_rng(2).integers(0, 1 << 64, SHAPES, np.uint64)
+        of_words, of_shapes = index_vectors(np.append(vocabulary, np.uint64(0))), index_vectors(rare)
+        words, shapes = (np.zeros(x.shape) for x in (of_words, of_shapes))
+        for batch in batches:
+            for some in slices(batch, "text", 2 << 20):
+                found = words_of(some.column("text"))
+                _contexts(words, _numbers(found.hashes(), vocabulary), found.bounds, of_words)
+                _contexts(shapes, found.shapes(), found.bounds, of_shapes)
+        both = np.vstack([words, shapes])
+        at = np.flatnonzero(both.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(both[at, k]) for k in range(DIM))], names=["at", *names])
+
+    each = drawn.select("text").mapInArrow(add, "at long, " + ", ".join(f"{n} double" for n in names))
+    found = each.groupBy("at").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # one row for each number
+    sums = np.zeros((len(vocabulary) + 1 + SHAPES, DIM))
+    if len(found):
+        sums[np.asarray(found.column("at"))] = np.stack([np.asarray(found.column(n)) for n in names], axis=1)
+    return _normalised(sums[: len(vocabulary) + 1]), _normalised(sums[len(vocabulary) + 1 :])
+
+
+def in_order(rows: DataFrame) -> tuple[pa.Table, np.ndarray]:
+    """The rows (doc_id, print, label and more, small ones; 2 * SAMPLE at most) and their labels, in an order that doesn't depend on the labels."""
+    found = rows.orderBy(F.xxhash64("doc_id"), "print", "label").limit(2 * SAMPLE).toArrow()
+    ids, prints, known = (found.column(c).to_pylist() for c in ("doc_id", "print", "label"))
+    order = sorted(range(len(ids)), key=lambda k: (hash_of(ids[k]), prints[k], known[k]))
+    return found.take(pa.array(order, pa.int64())), np.array([known[k] for k in order], np.int64)
+
+
+def fit(drawn: DataFrame) -> Model | None:
+    """The model of the rows of sample(), every fifth of which sets the temperature; None without rows."""
+    vocabulary = _vocabulary(drawn)
+    words, shapes = _vectors(drawn, vocabulary)
+    shared = drawn.sparkSession.sparkContext.broadcast((vocabulary, words, shapes))
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "text", 2 << 20):
+                x = _inputs(words_of(some.column("text")), *shared.value)
+                each = pa.ListArray.from_arrays(pa.array((np.arange(len(some) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "print", "label")), each], names=["doc_id", "print", "label", "x"])
+
+    rows, y = in_order(drawn.mapInArrow(inputs, "doc_id long, print long, label int, x array<double>"))
+    if not len(y):
+        return None
+    x = np.array(rows.column("x").to_pylist())
+    y = y.astype(float)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     x = (x - mean) / scale
     held = np.arange(len(y)) % 5 == 4
@@ -156,14 +219,13 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(vocabulary, words, shapes, mean, scale, weights, _temperature(_logits(weights, x[held])[0], y[held]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most SAMPLE labelled documents outside the held-out fold, those of least hash."""
+def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, text, print (the text's hash) and label of SAMPLE labels outside the held-out fold, those of least hash among the labels that have a document."""
     known = labels.where(F.col(label).isNotNull() & (remainder("doc_id", 5) != 0)).select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("label"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where((remainder("doc_id", 5) != 0) & (F.length("text") <= SAMPLE_CHARS))
-    few = least_hashed(known, "label_id", SAMPLE, "label_id", "label")
-    rows = few.join(texts, F.col("label_id") == F.col("doc_id")).select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (hash_of(r["doc_id"]), r["text"], r["label"]))
-    return [r["text"] for r in rows[: 2 * SAMPLE]], [r["label"] for r in rows[: 2 * SAMPLE]]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(remainder("doc_id", 5) != 0)
+    same = F.col("label_id") == F.col("doc_id")
+    few = least_hashed(known.join(texts.select("doc_id"), same, "left_semi"), "label_id", SAMPLE, "label_id", "label")
+    return written(texts.join(F.broadcast(few), same).select("doc_id", "text", F.xxhash64("text").alias("print"), "label"), "drawn")
 
 
 def hash_of(n: int) -> int:
@@ -187,8 +249,10 @@ def score(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    texts, known = sample(docs, labels, "quality")
-    return fit(texts, known) if texts else None
+    drawn = sample(docs, labels, "quality")
+    model = fit(drawn)
+    remove(drawn)
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

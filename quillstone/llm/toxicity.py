@@ -11,7 +11,8 @@ Later models are trained on earlier probabilities that come from models fitted w
 
 Features are words and word beginnings of 4, 5 and 6 bytes, present or not, so that length plays no part; the
 `FEATURES` that tell the labels apart best, each in `LEAST_DOCS` documents at least, are kept.  All is fitted on
-at most `quality.SAMPLE` labelled documents, those of least hash.  Scoring reads whole texts.
+the whole texts of the `quality.SAMPLE` labelled documents of least hash, whatever their length; tasks count their
+features, and one short row for each document comes to the driver.  Scoring reads whole texts.
 
 Null and empty texts have no feature.  Labels of null toxic teach nothing; without labels every probability is 0.
 Equal texts get equal probabilities; repeated rows stay; further columns are ignored.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import quality
-from quillstone.llm.common import remainder, slices
+from quillstone.llm.common import remainder, remove, slices
 from quillstone.llm.words import words_of
 
 CATEGORIES = ("terms", "dense", "toxic")
@@ -94,30 +95,57 @@ class Chain:
         return x[:, len(self.features) :].astype(float)
 
 
-def fit(texts: list[str], toxic: list[int]) -> Chain:
-    y = np.array(toxic, np.int64)
-    seen = []
-    for at in range(0, len(texts), 250):
-        hashes, text, _ = occurrences(pa.array(texts[at : at + 250], pa.string()))
-        order = np.lexsort((text, hashes))
-        hashes, text = hashes[order], text[order]
-        first = np.append(True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])) if len(hashes) else np.zeros(0, bool)
-        hashes, bad = hashes[first], y[at + text[first]]
-        values, start = np.unique(hashes, return_index=True)
-        if len(values):
-            seen.append((values, np.diff(np.append(start, len(hashes))), np.add.reduceat(bad, start)))
-    if not seen:
-        return Chain(np.zeros(0, np.uint64), np.zeros(0, bool), [np.zeros(k + 1) - 40 for k in range(len(CATEGORIES))])
-    values, at = np.unique(np.concatenate([s[0] for s in seen]), return_inverse=True)
-    n, bad = (np.bincount(at, np.concatenate([s[k] for s in seen])) for k in (1, 2))
+def _counts(drawn: DataFrame) -> DataFrame:
+    """feature, n, bad: how many documents have a feature, and how many of them are toxic."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "text", 2 << 20):
+                hashes, text, _ = occurrences(some.column("text"))
+                order = np.lexsort((text, hashes))
+                hashes, text = hashes[order], text[order]
+                first = np.append(True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])) if len(hashes) else np.zeros(0, bool)
+                hashes, bad = hashes[first], some.column("label").to_numpy()[text[first]].astype(np.int64)
+                values, start = np.unique(hashes, return_index=True)
+                if len(values):
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.diff(np.append(start, len(hashes)))), pa.array(np.add.reduceat(bad, start))], names=["feature", "n", "bad"])
+
+    each = drawn.select("text", "label").mapInArrow(count, "feature long, n long, bad long")
+    return each.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+
+
+def fit(drawn: DataFrame) -> Chain | None:
+    """The chain of the rows of quality.sample(); None without rows."""
+    mean = drawn.agg(F.avg("label").alias("share")).first()["share"]
+    if mean is None:
+        return None
+    counts = _counts(drawn)
     # log-likelihood ratio of a feature's documents against the share of toxic ones
-    share, own = np.clip(y.mean(), 1e-6, 1 - 1e-6), np.clip(bad / n, 1e-6, 1 - 1e-6)
-    gain = n * (own * np.log(own / share) + (1 - own) * np.log((1 - own) / (1 - share))) * np.where(own > share, 1, 0.25)
-    kept = np.lexsort((values, -gain))
-    kept = np.sort(kept[n[kept] >= LEAST_DOCS][:FEATURES])
-    chain = Chain(values[kept], (bad[kept] >= PURE * n[kept]) & (n[kept] >= LEXICON_DOCS), [])
-    parts = [chain.rows(pa.array(texts[at : at + 250], pa.string())) for at in range(0, len(texts), 250)]
-    x, hits = np.vstack([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    share = min(max(mean, 1e-6), 1 - 1e-6)
+    own = F.least(F.greatest(F.col("bad") / F.col("n"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    gain = F.col("n") * (own * F.log(own / share) + (1 - own) * F.log((1 - own) / (1 - share))) * F.when(own > share, 1.0).otherwise(0.25)
+    kept = counts.where(F.col("n") >= LEAST_DOCS).orderBy(gain.desc(), quality.unsigned("feature")).limit(FEATURES).toArrow()
+    if not len(kept) and counts.isEmpty():
+        return Chain(np.zeros(0, np.uint64), np.zeros(0, bool), [np.zeros(k + 1) - 40 for k in range(len(CATEGORIES))])
+    features, n, bad = (np.asarray(kept.column(c)) for c in ("feature", "n", "bad"))
+    order = np.argsort(features.view(np.uint64))
+    features, n, bad = features[order].view(np.uint64), n[order], bad[order]
+    chain = Chain(features, (bad >= PURE * n) & (n >= LEXICON_DOCS), [])
+    shared = drawn.sparkSession.sparkContext.broadcast(chain)
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "text", 2 << 20):
+                x, hits = shared.value.rows(some.column("text"))
+                text, at = np.nonzero(x)
+                ends = np.searchsorted(text, np.arange(len(some) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "print", "label")), pa.array(hits), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], names=["doc_id", "print", "label", "hits", "at"])
+
+    rows, y = quality.in_order(drawn.mapInArrow(inputs, "doc_id long, print long, label int, hits long, at array<int>"))
+    hits, at = np.asarray(rows.column("hits")), rows.column("at").to_pylist()
+    x = np.zeros((len(y), len(features)), np.float32)
+    for k, some in enumerate(at):
+        x[k, some] = 1
     targets = [(y == 1) & (hits >= 1), (y == 1) & (hits >= 3), y == 1]
     fold = np.arange(len(y)) % FOLDS
     for target in targets:
@@ -131,8 +159,10 @@ def fit(texts: list[str], toxic: list[int]) -> Chain:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Chain | None:
-    texts, known = quality.sample(docs, labels, "toxic")
-    return fit(texts, known) if texts else None
+    drawn = quality.sample(docs, labels, "toxic")
+    chain = fit(drawn)
+    remove(drawn)
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain | None, columns: list[str]) -> DataFrame:

@@ -313,6 +313,24 @@ def test_toxicity(spark):
     assert {r.toxic for r in toxicity.classify(table, labels.where("false")).collect()} == {0}
 
 
+def test_classifiers_learn_from_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 60)
+    rows, marks = [], []
+    for k in range(100):
+        good, bad = k % 3 > 0, k % 4 == 0
+        t = text(k, 3000) if good else "## $$ " + " $$ ".join(text(k, 3) for _ in range(800))
+        rows.append((k, t + (" vile slur vile curse" if bad else "")))
+        marks.append((k, int(good), int(bad)))
+    assert min(len(t) for _, t in rows) > 12_000
+    marks += [(10**6 + k, 1, 0) for k in range(2000)]  # labels without a document take no place in the sample
+    table, labels = docs(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    assert quality.sample(table, labels, "quality").count() == 60
+    got = quality.classify(table, labels).collect()
+    assert np.mean([r.predicted == (r.doc_id % 3 > 0) for r in got]) > 0.95
+    got = toxicity.classify(table, labels).collect()
+    assert np.mean([r.toxic == (r.doc_id % 4 == 0) for r in got]) > 0.95
+
+
 def test_language(spark):
     r = random.Random(3)
     kinds = {"aa": ["the", "of", "and", "weather", "house"], "bb": ["der", "und", "nicht", "wetter", "haus"]}
