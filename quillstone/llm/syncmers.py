@@ -1,7 +1,9 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-A text is read as words cut at spaces, one without spaces as its single signs.  A k-mer is `K` words in a row.  It is chosen if, of its inner sequences of `S` words, the one of least hash
-stands at its beginning or at its end.  That depends on the k-mer and nothing around it, so a passage has the same
+A text is read as words by one rule for every text: a code point of a script that is written without spaces is a word
+of its own; what else stands between white space (of any kind) or such code points is a word if it has `LONGEST` code
+points at most, otherwise each of its code points is one.  A k-mer is `K` words in a row.  It is chosen if, of its inner
+sequences of `S` words, the one of least hash stands at its beginning or at its end.  That depends on the k-mer and nothing around it, so a passage has the same
 chosen k-mers wherever it stands.  The fingerprint is the `SIZE` least hashes of the chosen k-mers; likeness is the
 share of common ones among the least hashes of both, an estimate of the Jaccard similarity of the chosen sets.
 
@@ -21,10 +23,16 @@ from pyspark.sql import functions as F
 K, S, SIZE, STRETCH = 4, 2, 64, 4096
 #: Of a stretch, so many of the least hashes are expected to be looked at first; all are, if they don't suffice.
 LOOK = 256
+LONGEST = 32
+UNSPACED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Javanese", "Balinese"))
+_RUN = rf"[^\p{{IsWhite_Space}}{UNSPACED}]"
+#: A whole run of LONGEST code points or fewer, else a single code point; a text of white space alone is one word.
+WORD = rf"(?<!{_RUN}){_RUN}{{1,{LONGEST}}}+(?!{_RUN})|[^\p{{IsWhite_Space}}]|\A\p{{IsWhite_Space}}*\z"
+
 
 def words(text: Column) -> Column:
     """Hashes of a text's words in order; an empty text has one."""
-    return F.transform(F.when(F.instr(text, " ") > 0, F.split(text, " ")).otherwise(F.split(text, "")), lambda w: F.xxhash64(w))
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
 def _marked(own: Column) -> Column:

@@ -202,6 +202,23 @@ def test_anchors_do_not_depend_on_context(spark):
     assert {(x.pos + 9, x.hash) for x in a} <= {(x.pos, x.hash) for x in b} and a
 
 
+def test_words_do_not_depend_on_a_single_space(spark):
+    r = random.Random(8)
+    ws = text(3, 80).split()
+    joined = [s.join(ws) for s in (" ", "\t", "\n", "\u3000", " \r\n ")]
+    read = [row[0] for row in spark.createDataFrame([(t,) for t in joined], "t string").select(syncmers.words(F.col("t"))).collect()]
+    assert len(read[0]) == 80 and all(x == read[0] for x in read)
+    han, latin = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(900)), "".join(r.choice("abcdefgh") for _ in range(600))
+    odd = ["", "   ", "a" * 32, "a" * 33, "🦊" * 33 + " b", "ab漢字cd e"]
+    sizes = [row[0] for row in spark.createDataFrame([(t,) for t in odd], "t string").select(F.size(syncmers.words(F.col("t")))).collect()]
+    assert sizes == [1, 1, 1, 33, 34, 5]
+    # a space or two, or spaced words in the last half, leave the common half recognised
+    rows = [(6, han[:600]), (5, han[:300] + " " + han[600:]), (4, text(4, 90)), (3, latin[:400]), (2, latin[:200] + " " + latin[400:]), (1, text(5, 60))]
+    got = {row.doc_id: row for row in syncmers.fingerprints(docs(spark, rows)).collect()}
+    assert got[6].near_next > 0.15 and got[3].near_next > 0.15
+    assert all(got[k].near_edited > 0.15 for k in (5, 2))
+
+
 def test_hidden_markov_against_all_paths():
     rng = np.random.default_rng(0)
     share = rng.dirichlet(np.ones(12))
