@@ -4,13 +4,13 @@ A text is read as words by one rule for every text: a code point of a script tha
 of its own; what else stands between white space (of any kind) or such code points is a word if it has `LONGEST` code
 points at most, otherwise each of its code points is one.  A k-mer is `K` words in a row.  It is chosen if, of its inner
 sequences of `S` words, the one of least hash stands at its beginning or at its end.  That depends on the k-mer and nothing around it, so a passage has the same
-chosen k-mers wherever it stands.  The fingerprint is the `SIZE` least hashes of the chosen k-mers; likeness is the
-share of common ones among the least hashes of both, an estimate of the Jaccard similarity of the chosen sets.
+chosen k-mers wherever it stands.  Likeness is the Jaccard similarity of the sets of all chosen k-mers, so
+short common passages of long texts count.  The fingerprint, which is only shown, is the `SIZE` least 32-bit hashes.
 
 Long texts are read in stretches of `STRETCH` words that overlap by K - 1.
 
-Null text is an empty one.  A text of fewer than K words counts as one k-mer, so every text has a fingerprint;
-likeness of equal fingerprints is 1.  Repeated rows stay; equal doc_id are ordered by the hash of their texts; null
+Null text is an empty one.  A text without a chosen k-mer, such as one of fewer than K words, counts as one k-mer, so every text has a fingerprint;
+likeness of equal sets is 1.  Repeated rows stay; equal doc_id are ordered by the hash of their texts; null
 doc_id come last.  A lone document is its own next one.  Further columns are ignored.
 """
 
@@ -44,7 +44,7 @@ def _marked(own: Column) -> Column:
     def kmers(p: Column) -> Column:
         # the last places have no whole k-mer; comparing with a null gives null
         last = F.size(p) - K
-        return F.transform(p, lambda x, i: F.when((i <= last) & (F.least(x, F.get(p, i + 2)) <= F.get(p, i + 1)), F.shiftrightunsigned(F.xxhash64(x, F.get(p, i + 2)), 32)))
+        return F.transform(p, lambda x, i: F.when((i <= last) & (F.least(x, F.get(p, i + 2)) <= F.get(p, i + 1)), F.xxhash64(x, F.get(p, i + 2))))
 
     # each step is named by a lambda, so that it is computed once
     return F.get(F.transform(F.transform(F.array(own), pairs), kmers), F.lit(0))
@@ -56,35 +56,41 @@ def anchors(text: Column) -> Column:
     return F.filter(F.transform(found, lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))), lambda x: x["hash"].isNotNull())
 
 
-def fingerprint(text: Column) -> Column:
-    """The SIZE least distinct 32-bit hashes of a text's chosen k-mers, ascending; text must not be null."""
-
-    def least(hashes: Column) -> Column:
-        return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SIZE)
-
-    def of_stretch(marked: Column) -> Column:
-        bounds = F.array((F.lit(2.0**32 * LOOK) / F.size(marked)).cast("long"))
-        near = F.get(F.transform(bounds, lambda bound: F.filter(marked, lambda h: h < bound)), F.lit(0))
-        return F.get(F.transform(F.array(least(near)), lambda x: F.when(F.size(x) == SIZE, x).otherwise(least(F.array_compact(marked)))), F.lit(0))
+def chosen(text: Column) -> Column:
+    """The distinct 64-bit hashes of all of a text's chosen k-mers; text must not be null."""
 
     def of_words(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - K, F.lit(0)) / STRETCH).cast("int"))
-        each = F.transform(F.transform(starts, lambda i: _marked(F.slice(w, i * STRETCH + 1, F.lit(STRETCH + K - 1)))), of_stretch)
-        one = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(F.transform(w, lambda x: x.cast("string")), " ")), 32))
-        return F.when(F.size(w) < K, one).otherwise(least(F.flatten(each)))
+        each = F.transform(starts, lambda i: F.array_compact(_marked(F.slice(w, i * STRETCH + 1, F.lit(STRETCH + K - 1)))))
+        one = F.array(F.xxhash64(F.array_join(F.transform(w, lambda x: x.cast("string")), " ")))
+        return F.get(F.transform(F.array(F.array_distinct(F.flatten(each))), lambda x: F.when(F.size(x) == 0, one).otherwise(x)), F.lit(0))
 
     return F.get(F.transform(F.array(words(text)), of_words), F.lit(0))
 
 
+def fingerprint(hashes: Column) -> Column:
+    """The SIZE least distinct 32-bit hashes of chosen(), ascending."""
+
+    def least(some: Column) -> Column:
+        return F.slice(F.sort_array(F.array_distinct(some)), 1, SIZE)
+
+    def of_all(short: Column) -> Column:
+        bounds = F.array((F.lit(2.0**32 * LOOK) / F.size(short)).cast("long"))
+        near = F.get(F.transform(bounds, lambda bound: F.filter(short, lambda h: h < bound)), F.lit(0))
+        return F.get(F.transform(F.array(least(near)), lambda x: F.when(F.size(x) == SIZE, x).otherwise(least(short))), F.lit(0))
+
+    return F.get(F.transform(F.array(F.transform(hashes, lambda h: F.shiftrightunsigned(h, 32))), of_all), F.lit(0))
+
+
 def as_text(print_: Column) -> Column:
     """Eight hexadecimal digits for each hash."""
     return F.array_join(F.transform(print_, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Common hashes among the SIZE least of both."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    return F.when(a == b, F.lit(1.0)).otherwise(F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.size(least))
+    """The share of common hashes among all of two sets."""
+    both = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.get(both, F.lit(0))
 
 
 def with_next(docs: DataFrame, columns: dict[str, Column], parts: int) -> DataFrame:
@@ -116,8 +122,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lined = with_next(source, {"text": F.col("text"), "print": fingerprint(F.col("text"))}, min(parts, 1000))
+    lined = with_next(source, {"text": F.col("text")}, min(parts, 1000))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    whole = lined.select("doc_id", "print", "next_print", n.cast("long").alias("n_chars"), edited.alias("edited")).withColumn("edited_print", fingerprint(F.col("edited")))
-    return whole.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+    whole = lined.select("doc_id", chosen(F.col("text")).alias("own"), chosen(F.col("next_text")).alias("next"), n.cast("long").alias("n_chars"), edited.alias("edited")).withColumn("changed", chosen(F.col("edited")))
+    return whole.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(fingerprint(F.col("own"))).alias("fingerprint"), as_text(fingerprint(F.col("changed"))).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))

@@ -219,6 +219,21 @@ def test_words_do_not_depend_on_a_single_space(spark):
     assert all(got[k].near_edited > 0.15 for k in (5, 2))
 
 
+def test_likeness_is_of_all_anchors(spark):
+    r = random.Random(9)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(k, " ".join([f"{k}w{r.randrange(10**6)}" for _ in range(5000)] + common + [f"{k}w{r.randrange(10**6)}" for _ in range(4000)])) for k in (2, 1)]
+    got = {row.doc_id: row for row in syncmers.fingerprints(docs(spark, rows)).collect()}
+    found = spark.createDataFrame(rows, "doc_id long, text string").select(syncmers.anchors(F.col("text")).alias("a")).collect()
+    a, b = ({x.hash for x in row.a} for row in found)
+    assert len(a & b) > 20 and np.isclose(got[2].near_next, len(a & b) / len(a | b), rtol=0, atol=1e-12)
+    assert len(got[2].fingerprint) == 8 * syncmers.SIZE
+    # texts of which no k-mer is chosen are alike only if they are equal
+    short = [(k, text(k, 4)) for k in range(20, 60)]
+    got = syncmers.fingerprints(docs(spark, short)).collect()
+    assert all(row.fingerprint and row.near_next < 1 for row in got) and len({row.fingerprint for row in got}) == 40
+
+
 def test_hidden_markov_against_all_paths():
     rng = np.random.default_rng(0)
     share = rng.dirichlet(np.ones(12))
