@@ -13,15 +13,15 @@ def token_weights(names: DataFrame, key: str, tokens: str) -> DataFrame:
     return pairs.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", "df", F.ln(F.col("n") / F.col("df")).alias("idf"))
 
 
-def score_tags(tags: DataFrame, concepts: DataFrame, least: float = 4.0, margin: float = 1.25, most_df: int = 1000) -> DataFrame:
+def score_tags(tags: DataFrame, concepts: DataFrame, least: float = 4.0, margin: float = 1.25) -> DataFrame:
     """tag, concept, score: the concept whose tokens a tag shares most of by weight, if that is enough and clear.
 
-    tags: tag, tokens; concepts: concept, tokens, a configuration of some hundred rows.  A tag is taken if the best
-    score is `least` or more and `margin` times the second.  Tokens of more than most_df concepts tell nothing.
+    tags: tag, tokens; concepts: concept, tokens, of any number.  A tag is taken if the best score is `least` or
+    more and `margin` times the second.  Every shared token counts by its weight.
     """
-    weights = token_weights(concepts, "concept", "tokens").where(F.col("df") <= most_df)
+    weights = token_weights(concepts, "concept", "tokens")
     vocabulary = concepts.select("concept", F.explode("tokens").alias("token")).distinct().join(weights, "token")
-    met = tags.select("tag", F.explode(F.array_distinct("tokens")).alias("token")).join(F.broadcast(vocabulary), "token")
+    met = tags.select("tag", F.explode(F.array_distinct("tokens")).alias("token")).join(vocabulary, "token")
     scores = met.groupBy("tag", "concept").agg(F.sum("idf").alias("score"))
     w = Window.partitionBy("tag").orderBy(F.desc("score"), "concept")
     best = scores.withColumn("_r", F.row_number().over(w)).withColumn("_second", F.lead("score").over(w)).where("_r = 1")

@@ -1,6 +1,7 @@
 """Operators on small frames with known results."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -291,3 +292,10 @@ def test_vocabulary_and_kin(spark):
     assert [(r.concept, r.tokens) for r in audits.vocabulary(concepts).collect()] == [("a", ["x", "y", "z"])]
     tags = spark.createDataFrame([("DebtNoncurrent",), ("Debt",), ("Cash",)], "tag string")
     assert [(r.tag, r.kin) for r in audits.kin_tags(tags, tags).collect()] == [("DebtNoncurrent", "Debt")]
+
+
+def test_tag_scores_count_tokens_of_many_concepts(spark):
+    concepts = spark.range(1300).selectExpr("id AS concept", "array(concat('own', id), if(id < 1200, 'common', 'other')) AS tokens")
+    tags = spark.createDataFrame([("t", ["own7", "common"])], "tag string, tokens array<string>")
+    got = audits.score_tags(tags, concepts).collect()
+    assert [(r.tag, r.concept) for r in got] == [("t", 7)] and got[0].score == pytest.approx(math.log(1300) + math.log(1300 / 1200))
