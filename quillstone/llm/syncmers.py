@@ -9,9 +9,9 @@ short common passages of long texts count.  The fingerprint, which is only shown
 
 Long texts are read in stretches of `STRETCH` words that overlap by K - 1.
 
-Null text is an empty one.  A text without a chosen k-mer, such as one of fewer than K words, counts as one k-mer, so every text has a fingerprint;
-likeness of equal sets is 1.  Repeated rows stay; equal doc_id are ordered by the hash of their texts; null
-doc_id come last.  A lone document is its own next one.  Further columns are ignored.
+Null text is an empty one.  A text without a chosen k-mer, such as one of fewer than K words, counts as one k-mer, so
+every text has a fingerprint; likeness of equal sets is 1.  Repeated rows stay; equal doc_id are ordered by the hash of
+their texts; null doc_id come last.  A lone document is its own next one.  Further columns are ignored.
 """
 
 from __future__ import annotations
