@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are handled in slices of about so many bytes of text.
 SLICE_BYTES = 16 << 20
+#: Tasks over which the rows of one key are spread.
+SALTS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,17 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: Column, one_key: str, by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """many with the columns of one, which has one row for each key at most.
+
+    Rows of many are dealt out by key and a salt taken from `by`, and every row of one is sent once for each salt, so a
+    key with a third of all rows is spread over `salts` tasks.
+    """
+    salted = one.withColumn("_one_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = many.withColumn("_key", key).withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return dealt.join(salted, (F.col("_key") == F.col(one_key)) & (F.col("_salt") == F.col("_one_salt")), how).drop("_key", "_salt", "_one_salt")
+
+
 def least_hashed(df: DataFrame, key: str | Column, k: int, *ties: str) -> DataFrame:
     """The k rows of least 64-bit hash of the key, ties by further columns.
 

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -105,6 +106,39 @@ def test_token_store_finds_damage(spark, tmp_path):
         tokenstore.read_digests(spark, store).collect()
 
 
+def test_token_store_files_are_in_order(spark, tmp_path, monkeypatch):
+    path, store = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/s"
+    monkeypatch.setattr(tokenstore, "PAGE", 4)
+    rows = [((7 * k) % 100, text(k, 20)) for k in range(100)] + [(None, "a"), (50, "b"), (50, "c")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        tokenstore.write_store(docs(spark, rows), store, path)
+        files = sorted((tmp_path / "s/recipes").glob("*.parquet"))
+        read = [(r["part"], r["doc_id"], r["before"], r["n_tokens"]) for f in files for r in pq.read_table(f).to_pylist()]
+        assert len(files) > 4 and [i for _, i, _, _ in read] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+        assert [p for p, _, _, _ in read] == sorted(p for p, _, _, _ in read)
+        at = 0
+        got = {r.start: r for r in tokenstore.read_ids(spark, store).collect()}
+        plain = Tokenizer.from_file(path)
+        for _, i, _, n in read:
+            assert got[at].doc_id == i and len(got[at].ids) == n
+            assert plain.decode(got[at].ids[:-1]) in [t for k, t in rows if k == i]
+            at += n
+        assert len(got) == len(rows) and len(tokenstore.check_manifest(spark, store)) == 32
+        # a lost recipe, and a recipe that another takes the place of, are noticed
+        first = spark.read.parquet(f"{store}/recipes")
+        first.where("doc_id is null or doc_id <> 42").write.parquet(f"{store}/less")
+        (tmp_path / "s/recipes").rename(tmp_path / "s/kept")
+        (tmp_path / "s/less").rename(tmp_path / "s/recipes")
+        with pytest.raises(ValueError, match="manifest"):
+            tokenstore.read_digests(spark, store)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize(("name", "spaced", "end"), [("word_bpe_49k.json", False, 1), ("byte_bpe_50k.json", True, 0)])
 def test_piece_encoder(name, spaced, end):
     path = public_tokenizers.path(name)
