@@ -5,9 +5,9 @@ dictionary made of such texts in it.  A text is compressed with every dictionary
 it smallest is predicted, the first in alphabetical order on a tie.  If the runner-up is not at least `MARGIN` larger,
 the answer is marked as rejected.
 
-The dictionaries are fitted on a bounded sample: of each language, for each of `SAMPLES` residues of the text's
-hash, the text of least hash, of which up to `SAMPLE_CHARS` characters go into the dictionary.  Whole texts are
-compressed for a prediction.
+The dictionaries are fitted on a bounded sample.  Whole texts are cut into passages of `PASSAGE` characters (the last
+one is what remains); of each language, for each of `SAMPLES` residues of a passage's hash, the passage of least hash
+goes into the dictionary.  So every part of every text may be drawn.  Whole texts are compressed for a prediction.
 
 `und` with score 0: null and empty texts, texts without a letter, and all texts if no language was learned.
 Rows with null lang teach nothing.  Equal texts get equal answers; further columns are ignored.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import remainder
 
-SAMPLES, SAMPLE_CHARS, LEVEL = 64, 2048, 6
+SAMPLES, PASSAGE, LEVEL = 64, 2048, 6
 #: Share of the smallest size by which the second smallest must exceed it.
 MARGIN = 0.01
 #: Evidence of one saved byte, in bits; below 8 as neighbouring bytes are not independent.
@@ -37,9 +37,10 @@ def letters(text: Column) -> Column:
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionary content of each language of docs (words, lang): at most SAMPLES * SAMPLE_CHARS characters each."""
-    known = docs.where(F.col("lang").isNotNull() & (F.col("words") != "")).select("lang", F.xxhash64("words").alias("k"), F.substring("words", 1, SAMPLE_CHARS).alias("t"))
-    least = known.groupBy("lang", F.pmod("k", F.lit(SAMPLES)).alias("part")).agg(F.min(F.struct("k", "t")).alias("x"))
+    """Dictionary content of each language of docs (words, lang): at most SAMPLES * PASSAGE characters each."""
+    known = docs.where(F.col("lang").isNotNull() & (F.col("words") != "")).select("lang", F.explode(F.regexp_extract_all("words", F.lit(f".{{1,{PASSAGE}}}"), F.lit(0))).alias("t"))
+    keyed = known.withColumn("k", F.xxhash64("t"))
+    least = keyed.groupBy("lang", F.pmod("k", F.lit(SAMPLES)).alias("part")).agg(F.min(F.struct("k", "t")).alias("x"))
     found: dict[str, list[str]] = {}
     for row in least.orderBy("lang", "part").collect():
         found.setdefault(row["lang"], []).append(row["x"]["t"])

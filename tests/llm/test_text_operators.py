@@ -9,11 +9,12 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillstone.llm import hmm, langid, neardup, packing, quality, sentencepieces, syncmers, tokenstore, toxicity
-from quillstone.llm.common import least_hashed
+from quillstone.llm.common import least_hashed, remainder
 from quillstone.llm.encoding import PieceEncoder
 
 WORDS = [a + b for a in ("ba", "no", "ti", "re", "lo", "mun") for b in ("ra", "ne", "sti", "gon", "l", "der")]
@@ -345,9 +346,30 @@ def test_unigram_model(tmp_path):
     path.write_bytes(model.SerializeToString())
     own, other = sentencepieces.Backend(str(path)), SentencePieceProcessor(model_file=str(path))
     texts = ["ab ab", "  abba  ba ", "", "aéb", "bbb aab"]
-    ids, ends = own.encode(pa.array(texts))
+    ids, ends, parity = own.encode(pa.array(texts))
     for k, t in enumerate(texts):
         assert ids[ends[k] : ends[k + 1]].tolist() == other.encode(t)
+    assert parity.all()
+
+
+def test_sentencepiece_of_whole_texts(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, other = sentencepieces.Backend(path), SentencePieceProcessor(model_file=path)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + [t or "" for _, t in ODD]
+    ids, ends, parity = own.encode(pa.array(texts))
+    assert parity.all()
+    for k, t in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == other.encode(t)
+    assert own.decode(ids, ends) == [t.replace("▁", " ") for t in texts]
+    assert own.decode(np.array([1, *other.encode("a b"), 2]), np.array([0, 2 + len(other.encode("a b"))])) == ["a b"]
+    # ids stay the backend's own where the libraries differ
+    own._forget()
+    own.other = SentencePieceProcessor(model_file=path)
+    own.other.encode = lambda texts, **_: [[0] for _ in texts]
+    again, _, wrong = own.encode(pa.array(texts))
+    assert (again == ids).all() and not wrong[[len(t) > 0 for t in texts]].any()
 
 
 def labelled(spark):
@@ -401,11 +423,30 @@ def test_language(spark):
     r = random.Random(3)
     kinds = {"aa": ["the", "of", "and", "weather", "house"], "bb": ["der", "und", "nicht", "wetter", "haus"]}
     rows = [(k, " ".join(r.choice(kinds[lang]) for _ in range(40)), lang) for k in range(120) for lang in [("aa", "bb")[k % 2]]]
+    rows += [(600 + k, " ".join(r.choice(kinds[lang]) for _ in range(20_000)), lang) for k in range(2) for lang in [("aa", "bb")[k % 2]]]  # very long
+    rows += rows[:5]
     odd = [(500, None, "aa"), (501, "", "bb"), (502, "123 ...", "aa"), (503, "the house", None), (None, "und nicht", "bb")]
     df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     got = {row.doc_id: row for row in langid.identify(df).collect()}
     assert np.mean([got[k].lang_pred == lang for k, _, lang in rows]) > 0.98
     assert [got[k].lang_pred for k in (500, 501, 502)] == ["und"] * 3 and [got[k].score for k in (500, 501)] == [0.0, 0.0]
+    # plain compression with the same dictionaries, and the dictionaries by hand
+    import zstandard
+
+    known = df.select("doc_id", "lang", langid.letters(F.col("text")).alias("words"), (remainder("doc_id", 3) == 1).alias("held_out"))
+    learned = langid.dictionaries(known.where("not held_out").select("words", "lang"))
+    least = {}
+    for row in known.where("not held_out").collect():
+        for k in range(0, len(row.words or ""), langid.PASSAGE) if row.lang else ():
+            passage = row.words[k : k + langid.PASSAGE]
+            h = np.uint64(xxhash.xxh64_intdigest(passage.encode(), 42)).astype(np.int64)
+            at = (row.lang, int(h % langid.SAMPLES))
+            least[at] = min(least.get(at, (h, passage)), (h, passage))
+    assert learned == {lang: "\n".join(least[at][1] for at in sorted(least) if at[0] == lang).encode() for lang in ("aa", "bb")}
+    for row in known.collect():
+        if row.words:
+            sizes = {lang: len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(row.words.encode())) for lang, content in learned.items()}
+            assert got[row.doc_id].lang_pred == min(sorted(sizes), key=sizes.get) and 0 < got[row.doc_id].score <= 1
     none = langid.identify(df.withColumn("lang", F.lit(None).cast("string")))
     assert {row.lang_pred for row in none.collect()} == {"und"}
     assert langid.identify(df.where("false")).count() == 0
