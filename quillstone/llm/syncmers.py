@@ -3,22 +3,33 @@
 A text is read as words by one rule for every text: a code point of a script that is written without spaces is a word
 of its own; what else stands between white space (of any kind) or such code points is a word if it has `LONGEST` code
 points at most, otherwise each of its code points is one.  A k-mer is `K` words in a row.  It is chosen if, of its inner
-sequences of `S` words, the one of least hash stands at its beginning or at its end.  That depends on the k-mer and nothing around it, so a passage has the same
-chosen k-mers wherever it stands.  Likeness is the Jaccard similarity of the sets of all chosen k-mers, so
-short common passages of long texts count.  The fingerprint, which is only shown, is the `SIZE` least 32-bit hashes.
-
-Long texts are read in stretches of `STRETCH` words that overlap by K - 1.
-
-Null text is an empty one.  A text without a chosen k-mer, such as one of fewer than K words, counts as one k-mer, so
-every text has a fingerprint; likeness of equal sets is 1.  Repeated rows stay; equal doc_id are ordered by the hash of
-their texts; null doc_id come last.  A lone document is its own next one.  Further columns are ignored.
+sequences of `S` words, the one of least hash stands at its beginning or at its end.  That depends on the k-mer and
+nothing around it, so a passage has the same chosen k-mers wherever it stands.  Likeness is the Jaccard similarity of
+the sets of all chosen k-mers, so short common passages of long texts count.  The fingerprint, which is only shown, is
+the `SIZE` least 32-bit hashes.
+
+Anchors are chosen k-mers with their places.  `placed_edited` of fingerprints() is the share of anchors that stand at
+the same place in the text and its edited form; passages() finds, for pairs of texts, the runs of anchors that both have
+at one distance of places: where the common passages lie.
+
+Long texts are read in stretches of `STRETCH` words that overlap by K - 1.  Texts meet their next one in ranges of
+doc_id of about `RANGE_BYTES` bytes, however many there are.
+
+Null text is an empty one.  A text without a chosen k-mer, such as one of fewer than K words, counts as one k-mer at
+place 0, so every text has a fingerprint; likeness of equal sets is 1.  Repeated rows stay; equal doc_id are ordered by
+the hash of their texts; null doc_id come last.  A lone document is its own next one.  An empty table gives an empty
+result.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGE_BYTES = 16 << 20
 #: The test of edges is written out for K - S + 1 = 3 inner sequences.
 K, S, SIZE, STRETCH = 4, 2, 64, 4096
 #: Of a stretch, so many of the least hashes are expected to be looked at first; all are, if they don't suffice.
@@ -52,22 +63,48 @@ def _marked(own: Column) -> Column:
 
 def anchors(text: Column) -> Column:
     """array<struct<pos, hash>> of the chosen k-mers of a text, pos counting words from 0."""
-    found = F.get(F.transform(F.array(words(F.coalesce(text, F.lit("")))), _marked), F.lit(0))
-    return F.filter(F.transform(found, lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))), lambda x: x["hash"].isNotNull())
+    found = F.get(F.transform(F.array(words(F.coalesce(text, F.lit("")))), lambda w: _by_stretch(w, lambda h, at: F.struct(at.alias("pos"), h.alias("hash")))), F.lit(0))
+    return found
+
+
+def _by_stretch(w: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """of(hash, place) for each chosen k-mer of an array of words, in order."""
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - K, F.lit(0)) / STRETCH).cast("int"))
+
+    def stretch(i: Column) -> Column:
+        marked = _marked(F.slice(w, i * STRETCH + 1, F.lit(STRETCH + K - 1)))
+        return F.array_compact(F.transform(marked, lambda h, at: F.when(h.isNotNull(), of(h, i * STRETCH + at))))
+
+    return F.flatten(F.transform(starts, stretch))
 
 
 def chosen(text: Column) -> Column:
-    """The distinct 64-bit hashes of all of a text's chosen k-mers; text must not be null."""
+    """all: the distinct 64-bit hashes of a text's chosen k-mers; placed: those of k-mers with their places.  text must not be null."""
 
     def of_words(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - K, F.lit(0)) / STRETCH).cast("int"))
-        each = F.transform(starts, lambda i: F.array_compact(_marked(F.slice(w, i * STRETCH + 1, F.lit(STRETCH + K - 1)))))
-        one = F.array(F.xxhash64(F.array_join(F.transform(w, lambda x: x.cast("string")), " ")))
-        return F.get(F.transform(F.array(F.array_distinct(F.flatten(each))), lambda x: F.when(F.size(x) == 0, one).otherwise(x)), F.lit(0))
+        one = F.xxhash64(F.array_join(F.transform(w, lambda x: x.cast("string")), " "))
+        both = _by_stretch(w, lambda h, at: F.struct(h.alias("h"), F.xxhash64(h, at).alias("p")))
+        some = F.get(F.transform(F.array(both), lambda x: F.when(F.size(x) == 0, F.array(F.struct(one.alias("h"), one.alias("p")))).otherwise(x)), F.lit(0))
+        return F.get(F.transform(F.array(some), lambda x: F.struct(F.array_distinct(x["h"]).alias("all"), x["p"].alias("placed"))), F.lit(0))
 
     return F.get(F.transform(F.array(words(text)), of_words), F.lit(0))
 
 
+def passages(pairs: DataFrame, least: int = 2) -> DataFrame:
+    """a, b, shift, first, last, n: the places in text a of the first and last of n anchors that text b has `shift` places later.
+
+    pairs: a, b, text_a, text_b; rows are of `least` anchors at least.  Anchors of both texts are joined within a pair, so
+    a repeated passage meets each of its copies.
+    """
+
+    def side(which: str) -> DataFrame:
+        return pairs.select("a", "b", F.explode(anchors(F.col(f"text_{which}"))).alias("x")).select("a", "b", F.col("x.pos").alias(f"pos_{which}"), F.col("x.hash").alias("hash"))
+
+    met = side("a").join(side("b"), ["a", "b", "hash"])
+    runs = met.groupBy("a", "b", (F.col("pos_b") - F.col("pos_a")).alias("shift")).agg(F.min("pos_a").alias("first"), F.max("pos_a").alias("last"), F.count("*").alias("n"))
+    return runs.where(F.col("n") >= least)
+
+
 def fingerprint(hashes: Column) -> Column:
     """The SIZE least distinct 32-bit hashes of chosen(), ascending."""
 
@@ -93,37 +130,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.get(both, F.lit(0))
 
 
-def with_next(docs: DataFrame, columns: dict[str, Column], parts: int) -> DataFrame:
-    """docs (doc_id, text) with each of the columns and, as next_<name>, its value in the next row in descending doc_id.
+def _ranged(docs: DataFrame, parts: int) -> DataFrame:
+    """docs with part, about `parts` ranges in the order of doc_id, null below all, and `turn`, the order within them.
 
-    Rows are dealt out by ranges of doc_id, and each range also gets the first rows of the range below it, so no
-    row looks beyond its range.  There are `parts` ranges at most, whose bounds pass through the driver.
+    Bounds are quantiles of quantiles, so no list is longer than about the root of the number of ranges.  An id that
+    fills several ranges is dealt out by ranges of its texts' hashes.
+    """
+    side, none = max(1, math.ceil(parts**0.5)), F.lit(-(1 << 63)).cast("long")
+    keyed = docs.withColumn("turn", F.struct(F.coalesce("doc_id", none).alias("id"), F.col("doc_id").isNotNull().alias("known"), F.bitwise_not(F.xxhash64("text")).alias("hash")))
+    if side == 1:
+        return keyed.withColumn("part", F.lit(0).cast("long"))
+    shares = [k / side for k in range(1, side)]
+    whole = docs.agg(F.percentile_approx(F.coalesce("doc_id", none), shares, 100 * side).alias("b"), F.count("*").alias("n")).first()
+    found = whole["b"] or []
+    # rows above a cut lie beyond it; an id that is a bound twice has a range of its own
+    cuts = F.array(*(F.lit(c).cast("long") for c in sorted({*found, *(b - 1 for b in found if found.count(b) > 1 and b > -(1 << 63))}))).cast("array<long>")
+    coarse = keyed.withColumn("coarse", F.size(F.filter(cuts, lambda c: c < F.col("turn.id"))).cast("long"))
+    alone = F.count_distinct("turn.id") == 1
+    fine = coarse.groupBy("coarse").agg(F.when(alone, F.ceil(F.count("*") * parts / max(1, whole["n"]))).alias("_n"), F.percentile_approx("turn.id", shares, 100 * side).alias("_ids"))
+    fine = fine.select(F.col("coarse").alias("_c"), "_n", F.array_distinct("_ids").alias("_ids"))
+    dealt = coarse.join(F.broadcast(fine), F.col("coarse") == F.col("_c"))  # 2 * side rows of `side` bounds at most
+    by_hash = F.floor((F.col("turn.hash") / F.lit(2.0**64) + 0.5) * F.col("_n"))
+    by_id = F.size(F.filter("_ids", lambda c: c < F.col("turn.id"))).cast("long")
+    return dealt.withColumn("part", F.col("coarse") * (1 << 32) + F.coalesce(by_hash, by_id)).drop("coarse", "_c", "_n", "_ids")
+
+
+def with_next(docs: DataFrame, columns: list[str], parts: int) -> DataFrame:
+    """docs (doc_id, text) with, as next_<name>, the columns' values in the next row in descending doc_id, after the last in the first.
+
+    Rows are dealt out by ranges of doc_id, and each range also gets the first row of the range below it, so no row
+    looks beyond its range.  One row for each range passes through the driver.
     """
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("b")).first()["b"]
-    cuts = F.array(*(F.lit(c).cast("long") for c in sorted(set(bounds or []))))
-    # doc_id above cuts[k - 1] and not above cuts[k] is range k; null is below everything
-    dealt = docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts.cast("array<bigint>"), lambda c: c < F.col("doc_id")))))
-    tops = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    above = {q: order[k - 1] for k, q in enumerate(order)}
-    to = F.create_map(*(F.lit(x) for pair in above.items() for x in pair)) if above else F.create_map(F.lit(0), F.lit(0))
-    known = [t for t in tops.values() if t is not None]
-    heads = dealt.where(F.col("doc_id").isin(known) | (F.col("doc_id").isNull() if None in tops.values() else F.lit(False)))
-    both = dealt.withColumn("head", F.lit(0)).unionByName(heads.withColumn("part", to[F.col("part")]).withColumn("head", F.lit(1)))
-    both = both.select("*", *(c.alias(name) for name, c in columns.items() if name != "text"))
-    line = Window.partitionBy("part").orderBy("head", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    return both.select("*", *(F.lead(name).over(line).alias(f"next_{name}") for name in columns)).where("head = 0").drop("head", "part")
+    dealt = _ranged(docs, parts)
+    tops = sorted(((r["part"], r["top"]) for r in dealt.groupBy("part").agg(F.max("turn").alias("top")).collect()), reverse=True)
+    rows = [(part, tuple(top), tops[k - 1][0]) for k, (part, top) in enumerate(tops)]
+    kinds = dealt.schema["turn"].dataType.simpleString()
+    named = docs.sparkSession.createDataFrame(rows, f"_part long, _top {kinds}, _to long")
+    heads = dealt.join(F.broadcast(named), (F.col("part") == F.col("_part")) & (F.col("turn") == F.col("_top"))).dropDuplicates(["_to"])
+    both = dealt.withColumn("head", F.lit(0)).unionByName(heads.withColumn("part", F.col("_to")).drop("_part", "_top", "_to").withColumn("head", F.lit(1)))
+    line = Window.partitionBy("part").orderBy("head", F.desc("turn"))
+    return both.select("*", *(F.lead(name).over(line).alias(f"next_{name}") for name in columns)).where("head = 0").drop("head", "part", "turn")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, placed_edited of every document.
 
     The edited text has its last half replaced by as many characters of the next document in descending doc_id.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lined = with_next(source, {"text": F.col("text")}, min(parts, 1000))
+    size = source.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
+    lined = with_next(source, ["text"], -(-size // RANGE_BYTES))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    whole = lined.select("doc_id", chosen(F.col("text")).alias("own"), chosen(F.col("next_text")).alias("next"), n.cast("long").alias("n_chars"), edited.alias("edited")).withColumn("changed", chosen(F.col("edited")))
-    return whole.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(fingerprint(F.col("own"))).alias("fingerprint"), as_text(fingerprint(F.col("changed"))).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+    whole = lined.select("doc_id", chosen(F.col("text")).alias("own"), chosen(F.col("next_text"))["all"].alias("next"), n.cast("long").alias("n_chars"), edited.alias("edited")).withColumn("changed", chosen(F.col("edited")))
+    prints = as_text(fingerprint(F.col("own.all"))).alias("fingerprint"), as_text(fingerprint(F.col("changed.all"))).alias("edited_fingerprint")
+    near = likeness(F.col("own.all"), F.col("changed.all")).alias("near_edited"), likeness(F.col("own.all"), F.col("next")).alias("near_next"), likeness(F.col("own.placed"), F.col("changed.placed")).alias("placed_edited")
+    return whole.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), *prints, *near)

@@ -1,7 +1,9 @@
 """The corpus operators on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns, no rows."""
 
+import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -219,8 +221,6 @@ def test_fingerprints(spark, rows):
 
 
 def test_edited_texts(spark):
-    import hashlib
-
     rows = [(k, text(k, 30 + 7 * k)) for k in range(1, 12)]
     got = {r.doc_id: r for r in syncmers.fingerprints(docs(spark, rows)).collect()}
     for k, t in rows:
@@ -254,6 +254,66 @@ def test_words_do_not_depend_on_a_single_space(spark):
     assert all(got[k].near_edited > 0.15 for k in (5, 2))
 
 
+def plain_words(t):
+    """Words of a text without scripts that are written without spaces."""
+    out = []
+    for run in re.split(r"\s+", t):
+        out += [run] if 0 < len(run) <= syncmers.LONGEST else list(run)
+    return out or [t]
+
+
+def spark_hash(t):
+    return int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+
+
+def plain_anchors(t):
+    """(place, hash) of the chosen k-mers, by the definition of closed syncmers."""
+    def of_longs(a, b):
+        return int(np.uint64(xxhash.xxh64_intdigest(b.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True), 42))).astype(np.int64))
+
+    w = [spark_hash(x) for x in plain_words(t)]
+    out = []
+    for k in range(len(w) - syncmers.K + 1):
+        inner = [of_longs(w[k + i], w[k + i + 1]) for i in range(syncmers.K - syncmers.S + 1)]
+        if min(inner[0], inner[-1]) <= min(inner):
+            out.append((k, of_longs(inner[0], inner[2])))
+    if not out:
+        joined = spark_hash(" ".join(map(str, w)))
+        return {joined}, {(0, joined)}
+    return {h for _, h in out}, set(out)
+
+
+def plain_likeness(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 24, 700])
+def test_fingerprints_against_plain_version(spark, monkeypatch, range_bytes):
+    monkeypatch.setattr(syncmers, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(syncmers, "STRETCH", 16)
+    rows = [(3 * k, text(k % 9, 5 + 3 * (k % 20))) for k in range(60)] + [(1, None), (4, ""), (7, "one"), (8, "two  words"), (None, text(70, 40)), (None, "")]
+    rows += [(31, text(100 + k, 30)) for k in range(40)]  # an id with a third of all rows
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), spark_hash(r[1] or "")))
+    got = sorted(syncmers.fingerprints(docs(spark, rows)).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.fingerprint, r.edited_fingerprint))
+    want = []
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        changed = t[: len(t) - half] + after[:half]
+        (own, placed), (new, new_placed), (other, _) = map(plain_anchors, (t, changed, after))
+        shown = ["".join(f"{h:08x}" for h in sorted({h % 2**64 >> 32 for h in x})[: syncmers.SIZE]) for x in (own, new)]
+        want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), *shown, *(round(x, 12) for x in (plain_likeness(own, new), plain_likeness(own, other), plain_likeness(placed, new_placed)))))
+    want.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[3], r[4]))
+    assert [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 12), round(r.near_next, 12), round(r.placed_edited, 12)) for r in got] == want
+
+
+def test_passages(spark):
+    shared = text(1, 60)
+    rows = [(1, 2, text(2, 30) + " " + shared + " " + text(3, 20), text(4, 50) + " " + shared), (1, 3, text(2, 30), text(5, 30))]
+    got = syncmers.passages(spark.createDataFrame(rows, "a long, b long, text_a string, text_b string"), 10).collect()
+    assert [(r.a, r.b, r.shift) for r in got] == [(1, 2, 20)] and got[0]["first"] >= 28 and got[0].last <= 30 + 60 and got[0].n > 25
+
+
 def test_likeness_is_of_all_anchors(spark):
     r = random.Random(9)
     common = [f"c{k}" for k in range(60)]
