@@ -13,7 +13,8 @@ the same place in the text and its edited form; passages() finds, for pairs of t
 at one distance of places: where the common passages lie.
 
 Long texts are read in stretches of `STRETCH` words that overlap by K - 1.  Texts meet their next one in ranges of
-doc_id of about `RANGE_BYTES` bytes, however many there are.
+doc_id of about `RANGE_BYTES` bytes; from `RANGES` ranges on they grow instead, as one row of each passes through the
+driver.
 
 Null text is an empty one.  A text without a chosen k-mer, such as one of fewer than K words, counts as one k-mer at
 place 0, so every text has a fingerprint; likeness of equal sets is 1.  Repeated rows stay; equal doc_id are ordered by
@@ -29,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE_BYTES = 16 << 20
+RANGE_BYTES, RANGES = 4 << 20, 100_000
 #: The test of edges is written out for K - S + 1 = 3 inner sequences.
 K, S, SIZE, STRETCH = 4, 2, 64, 4096
 #: Of a stretch, so many of the least hashes are expected to be looked at first; all are, if they don't suffice.
@@ -179,7 +180,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
-    lined = with_next(source, ["text"], -(-size // RANGE_BYTES))
+    lined = with_next(source, ["text"], min(RANGES, -(-size // RANGE_BYTES)))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     whole = lined.select("doc_id", chosen(F.col("text")).alias("own"), chosen(F.col("next_text"))["all"].alias("next"), n.cast("long").alias("n_chars"), edited.alias("edited")).withColumn("changed", chosen(F.col("edited")))
