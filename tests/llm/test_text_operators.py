@@ -329,7 +329,7 @@ def test_likeness_is_of_all_anchors(spark):
     assert all(row.fingerprint and row.near_next < 1 for row in got) and len({row.fingerprint for row in got}) == 40
 
 
-def test_hidden_markov_against_all_paths():
+def test_hidden_markov_against_all_paths(monkeypatch):
     rng = np.random.default_rng(0)
     share = rng.dirichlet(np.ones(12))
     model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(12), 3).T)
@@ -351,7 +351,10 @@ def test_hidden_markov_against_all_paths():
         logs.append(np.log10(total))
         counts += own / total
     assert np.allclose(hmm.Steps(sequences).log10(model, ratios), logs)
-    assert np.allclose(hmm.Steps(sequences).expected(model, ratios), counts)
+    assert np.allclose(hmm.counted(hmm.Steps(sequences), model, ratios), counts)
+    monkeypatch.setattr(hmm, "BLOCK", 2)  # values at the beginnings of spans, the others computed again
+    steps = hmm.Steps(sequences)
+    assert len(steps.spans()) > 2 and np.allclose(hmm.counted(steps, model, ratios), counts)
 
 
 def test_hidden_markov_scores(spark):
@@ -376,6 +379,43 @@ def test_hidden_markov_scores(spark):
     assert hmm.score(docs(spark, [])).count() == 0
 
 
+def test_hidden_markov_learns_every_token(spark, monkeypatch):
+    """Probabilities of all training tokens and an unknown one add up to 1 in each state, rare tokens joined; scores against a plain recursion."""
+    monkeypatch.setattr(hmm, "FREQUENT", 30)
+    monkeypatch.setattr(hmm, "OWN", 10)
+    r = random.Random(4)
+    rows = [(k, " ".join((f"a{r.randrange(60)}" if k % 2 else f"b{r.randrange(60)}") for _ in range(80))) for k in range(60)] + [(100, "never seen"), (101, "a1 a2 never a3")]
+    df = docs(spark, rows)
+    source = df.select("doc_id", "text", (remainder("doc_id", 10) == 0).alias("held_out"))
+    counts = hmm.count_tokens(source.where("not held_out"))
+    known = hmm.vocabulary(counts)
+    encoded = hmm.encode(source, known)
+    training = encoded.where("not held_out")
+    model = hmm.begin(known.share, [np.frombuffer(x.classes, "<u2") for x in training.select("classes").collect()])
+    profiles = hmm.token_profiles(training, known, model)
+    learnt = hmm.emissions(profiles, known)
+    table = {x.token: x for x in profiles.collect()}
+    assert {t: x.c for t, x in table.items()} == {x.token: x.c for x in counts.collect()} and len(table) > 100 > len(known.tokens)
+    c, bucket, profile = (np.array([getattr(x, n) for x in table.values()]) for n in ("c", "bucket", "profile"))
+    ratios = learnt.ratios(c.astype(float), bucket, profile)
+    base = (c + hmm.ADDED) / known.total
+    assert np.allclose(base @ ratios + hmm.ADDED / known.total * learnt.unknown, 1)
+    by_token = dict(zip(table, ratios, strict=True))
+    whole = hmm._scored(encoded.withColumn("met", F.expr("cast(array() as array<struct<place:int,c:bigint,bucket:int,profile:bigint>>)")).withColumn("rare", F.size("rare").cast("long")), model, learnt)
+    assert whole.count() == len(rows)
+    monkeypatch.setattr(hmm, "ROUNDS", 0)
+    monkeypatch.setattr(hmm, "begin", lambda *_: model)
+    got = {x.doc_id: x for x in hmm.score(df).collect()}
+    for i, t in rows:
+        hashes = hmm.tokens_of(pa.array([t]))[0].view(np.int64).tolist()
+        now = model.start * by_token.get(hashes[0], learnt.unknown)
+        for h in hashes[1:]:
+            now = now @ model.move * by_token.get(h, learnt.unknown)
+        assert np.isclose(got[i].score - got[i].base_score, np.log10(now.sum()))
+    held = [x for x in got.values() if x.held_out]
+    assert sum(x.score for x in held) > sum(x.base_score for x in held)
+
+
 def test_lookup():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
     found = hmm.Lookup(keys, 12)
