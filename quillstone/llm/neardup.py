@@ -9,9 +9,11 @@
 5. Survivors are confirmed on their full shingle sets.
 6. What these links leave in different components of one bucket is compared all against all (the exact rest) inside
    tasks, in blocks of `BLOCK` by `BLOCK` classes: a pair counts in its first common band only, passes the same
-   sequential test, and is verified on the sets, which travel as 32-bit hashes.  A block gives one link for each two
+   sequential test, and is verified on the sets, which travel as 64-bit hashes.  A block gives one link for each two
    components that it joins, so no pairs are written out.  These links are confirmed on the full sets, too.
 
+Joins on a bucket, a digest or a root, of which one may hold a third of all rows, are salted (`spread_join`).
+
 Null and empty texts and texts without words have no shingle, link with nothing and stand for themselves.  Equal
 texts and repeated rows are linked.  A null doc_id takes part, is never a component's id unless its component
 has no other, and is kept only then.  An empty table gives an empty result.  Further columns are ignored.
@@ -29,14 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import slices, written
+from quillstone.llm.common import slices, spread_join, written
 from quillstone.llm.components import components
 from quillstone.llm.shingles import shingle_hashes
 
 PER_CENT = 75
 BANDS, ROWS, BATCH, MISS, BLOCK = 36, 4, 16, 1e-5, 2_048
-#: Common hashes by which a pair must pass so that 32-bit hashes that meet by chance can't have decided it.
-CLEAR = 3
 _LINE = np.random.default_rng(75).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 
 
@@ -133,12 +133,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """cid and the class's set as sorted 32-bit hashes."""
+    """cid and the class's set as sorted 64-bit hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text", 4 << 20):
-                short = [np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in shingle_hashes(some.column("text"))]
+                short = [x.astype("<u8").tobytes() for x in shingle_hashes(some.column("text"))]
                 yield pa.RecordBatch.from_arrays([some.column("cid"), pa.array(short, pa.binary())], names=["cid", "words"])
 
     return texts.mapInArrow(sets, "cid long, words binary")
@@ -199,7 +199,7 @@ def _block_links(parts: list[pa.RecordBatch], needed: list[tuple[int, int]]) ->
 
     def set_of(k: int) -> np.ndarray:
         if k not in known:
-            known[k] = np.frombuffer(words[k].as_py(), "<u4")
+            known[k] = np.frombuffer(words[k].as_py(), "<u8")
         return known[k]
 
     found: list[tuple[int, int]] = []
@@ -223,9 +223,7 @@ def _block_links(parts: list[pa.RecordBatch], needed: list[tuple[int, int]]) ->
             both = len(np.intersect1d(set_of(x), set_of(y), assume_unique=True))
             if 100 * both >= PER_CENT * (n[x] + n[y] - both):
                 found.append((max(cid[x], cid[y]), min(cid[x], cid[y])))
-                clear = both - CLEAR
-                if 100 * clear >= PER_CENT * (n[x] + n[y] - clear):
-                    parent[top(root[x])] = top(root[y])
+                parent[top(root[x])] = top(root[y])
     return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
 
@@ -235,13 +233,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, all their columns, one of those with equal doc_id and text."""
+    """The rows of docs that near_duplicates keeps, all their columns, one of those with equal doc_id and text: the one of least hash of all columns."""
     least = F.lit(-(1 << 63)).cast("long")  # stands for null
     kept = _grouped(docs).where("kept").select(F.coalesce("doc_id", least).alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
     names = [f"c{k}" for k in range(len(docs.columns))]
     keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.coalesce(F.col("doc_id").cast("long"), least).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
     both = keyed.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
-    first = both.withColumn("r", F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))).where("r = 1")
+    first = both.withColumn("r", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.xxhash64(*names)))).where("r = 1")
     return first.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
@@ -255,7 +253,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     bands = classes.select("cid", F.posexplode(band).alias("band", "bucket"))
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1").select(F.col("bucket").alias("k"), "pivot")
-    members = written(bands.join(buckets, F.col("bucket") == F.col("k")).select("bucket", "band", "cid", "pivot"), "members")
+    members = written(spread_join(bands, buckets, F.col("bucket"), "k", F.col("cid")).select("bucket", "band", "cid", "pivot"), "members")
 
     # texts of the classes that have a candidate, one row each
     wanted = members.select("cid").distinct().join(classes.select(F.col("cid").alias("c"), F.col("rep.doc_id").alias("d"), F.col("rep.text_hash").alias("t")), F.col("cid") == F.col("c"))
@@ -269,14 +267,14 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rooted = members.join(components(links), F.col("cid") == F.col("node"), "left").select("bucket", "band", "cid", F.coalesce("root", "cid").alias("root"))
     counted = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     apart = counted.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select(F.col("bucket").alias("k"), "main")
-    rest = written(rooted.join(apart, F.col("bucket") == F.col("k")).select("bucket", "band", "cid", "root", "main"), "rest")
+    rest = written(spread_join(rooted, apart, F.col("bucket"), "k", F.col("cid")).select("bucket", "band", "cid", "root", "main"), "rest")
     more = written(_rest_links(rest, classes, _sets(texts)).distinct(), "more")
     links = links.unionByName(_confirmed(more, texts))
 
     roots = components(links)
     grouped = classes.select("digest", "cid", "first_id").join(roots, F.col("cid") == F.col("node"), "left").select("digest", "first_id", F.coalesce("root", "cid").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(ids.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "component_id")
-    linked = signed.where("n > 0").join(named, F.col("digest") == F.col("d")).select("doc_id", "text_hash", "n", "component_id")
+    named = spread_join(grouped, ids.withColumnRenamed("root", "r"), F.col("root"), "r", F.col("digest")).select(F.col("digest").alias("d"), "component_id")
+    linked = spread_join(signed.where("n > 0"), named, F.col("digest"), "d", F.col("doc_id")).select("doc_id", "text_hash", "n", "component_id")
     alone = signed.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
