@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 from quillstone.llm import hmm, langid, neardup, packing, quality, sentencepieces, syncmers, tokenstore, toxicity
 from quillstone.llm.common import least_hashed, remainder
 from quillstone.llm.encoding import PieceEncoder
+from quillstone.llm.words import words_of
 
 WORDS = [a + b for a in ("ba", "no", "ti", "re", "lo", "mun") for b in ("ra", "ne", "sti", "gon", "l", "der")]
 
@@ -501,6 +502,51 @@ def test_toxicity(spark):
     assert {r.toxic for r in toxicity.classify(table, labels.where("false")).collect()} == {0}
 
 
+def test_classifiers_against_plain_versions(spark):
+    """Scores of the fitted models, word by word."""
+    table, labels, _ = labelled(spark)
+    drawn = quality.sample(table, labels, "quality")
+    model, texts = quality.fit(drawn), [t or "" for _, t in ODD] + [text(k, 40) for k in range(5)] + ["## $$ " + text(1, 5)]
+    number = {int(h): k for k, h in enumerate(model.vocabulary)}
+    for t, got in zip(texts, model.scores(pa.array(texts)), strict=True):
+        found = words_of(pa.array([t]))
+        hashes, shapes = found.hashes().tolist(), found.shapes().tolist()
+        mean = lambda rows, width: np.mean(rows, axis=0) if len(rows) else np.zeros(width)
+        same = [[float(k >= lag and hashes[k] == hashes[k - lag]) for lag in range(1, quality.LAGS + 1)] for k in range(len(hashes))]
+        x = np.concatenate([mean([model.words[number.get(h, len(number))] for h in hashes], quality.DIM), mean([model.shapes[s] for s in shapes], quality.DIM), mean(same, quality.LAGS), [np.log1p(len(hashes))]])
+        w1, b1, w2, b2 = model.weights
+        logit = np.tanh((x - model.mean) / model.scale @ w1 + b1) @ w2 + b2[0]
+        assert np.isclose(got, 1 / (1 + np.exp(-np.clip(logit / model.temperature, -60, 60))), atol=1e-6)
+    chain = toxicity.fit(quality.sample(table, labels, "toxic"))
+    texts.append("vile slur vile curse " + text(2, 10))
+    for t, got in zip(texts, chain.probabilities(pa.array(texts)), strict=True):
+        held = set(toxicity.occurrences(pa.array([t]))[0].tolist())
+        x = [float(int(h) in held) for h in chain.features]
+        for k, w in enumerate(chain.weights):
+            p = 1 / (1 + np.exp(-np.clip(np.dot(x, w[:-1]) + w[-1], -40, 40)))
+            assert np.isclose(got[k], p, atol=1e-4)
+            x.append(p)
+    assert chain.lexicon.any() and got[-1] > 0.3
+
+
+def test_features_of_a_fold_do_not_see_its_labels(spark):
+    """With labels of one fold turned round, the features chosen without it stay."""
+    table, labels, _ = labelled(spark)
+    drawn = quality.sample(table, labels, "toxic").withColumn("fold", toxicity.fold_of(F.col("doc_id")))
+    turned = drawn.withColumn("label", F.when(F.col("fold") == 1, 1 - F.col("label")).otherwise(F.col("label")))
+    shares = dict.fromkeys((-1, *range(toxicity.FOLDS)), 0.2)
+    a, b = (toxicity._chosen(toxicity._counts(df), shares, 1) for df in (drawn, turned))
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and a[1].any()
+    c = toxicity._chosen(toxicity._counts(turned), shares, None)
+    assert len(c[0]) != len(a[0]) or (c[0] != a[0]).any() or (c[1] != a[1]).any()
+
+
+def test_toxicity_of_nothing(spark):
+    table, labels, _ = labelled(spark)
+    assert toxicity.classify(table.where("false"), labels).count() == 0
+    assert {r.toxic for r in toxicity.classify(docs(spark, [(1, None), (2, "")]), spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")).collect()} == {0}
+
+
 def test_classifiers_learn_from_long_texts(spark, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE", 60)
     rows, marks = [], []
