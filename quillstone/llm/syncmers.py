@@ -30,21 +30,29 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE_BYTES, RANGES = 4 << 20, 100_000
+RANGE_BYTES, RANGES = 1 << 20, 100_000
 #: The test of edges is written out for K - S + 1 = 3 inner sequences.
 K, S, SIZE, STRETCH = 4, 2, 64, 4096
 #: Of a stretch, so many of the least hashes are expected to be looked at first; all are, if they don't suffice.
 LOOK = 256
 LONGEST = 32
 UNSPACED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Javanese", "Balinese"))
-_RUN = rf"[^\p{{IsWhite_Space}}{UNSPACED}]"
+#: White space of any kind; the first code point from which on scripts without spaces lie.
+WHITE, FIRST_UNSPACED = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}", r"\x{E00}"
+_RUN = rf"[^{WHITE}{UNSPACED}]"
 #: A whole run of LONGEST code points or fewer, else a single code point; a text of white space alone is one word.
-WORD = rf"(?<!{_RUN}){_RUN}{{1,{LONGEST}}}+(?!{_RUN})|[^\p{{IsWhite_Space}}]|\A\p{{IsWhite_Space}}*\z"
+WORD = rf"(?<!{_RUN}){_RUN}{{1,{LONGEST}}}+(?!{_RUN})|[^{WHITE}]|\A[{WHITE}]*\z"
 
 
 def words(text: Column) -> Column:
-    """Hashes of a text's words in order; an empty text has one."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    """Hashes of a text's words in order; an empty text has one.  Texts of short runs in scripts with spaces are cut at white space alone, which gives the same words."""
+
+    def cut(runs: Column) -> Column:
+        odd = text.rlike(rf"[{FIRST_UNSPACED}-\x{{10FFFF}}]") | F.exists(runs, lambda w: F.char_length(w) > LONGEST) | (F.size(runs) == 0)
+        return F.when(odd, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).otherwise(runs)
+
+    runs = F.filter(F.split(text, f"[{WHITE}]+"), lambda w: w != "")
+    return F.get(F.transform(F.transform(F.array(runs), cut), lambda x: F.transform(x, lambda w: F.xxhash64(w))), F.lit(0))
 
 
 def _marked(own: Column) -> Column:
@@ -168,7 +176,10 @@ def with_next(docs: DataFrame, columns: list[str], parts: int) -> DataFrame:
     kinds = dealt.schema["turn"].dataType.simpleString()
     named = docs.sparkSession.createDataFrame(rows, f"_part long, _top {kinds}, _to long")
     heads = dealt.join(F.broadcast(named), (F.col("part") == F.col("_part")) & (F.col("turn") == F.col("_top"))).dropDuplicates(["_to"])
+    # as many tasks as the ranges need, where the session has fewer
+    tasks, usual = -(-parts // 32), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = dealt.withColumn("head", F.lit(0)).unionByName(heads.withColumn("part", F.col("_to")).drop("_part", "_top", "_to").withColumn("head", F.lit(1)))
+    both = both.repartition(tasks, "part") if tasks > usual else both
     line = Window.partitionBy("part").orderBy("head", F.desc("turn"))
     return both.select("*", *(F.lead(name).over(line).alias(f"next_{name}") for name in columns)).where("head = 0").drop("head", "part", "turn")
 
