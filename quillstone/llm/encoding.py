@@ -13,8 +13,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
 #: Longer pieces are encoded again each time.
@@ -70,6 +68,7 @@ class PieceEncoder:
         self.count = to
 
     def _singly(self, texts: list[str]) -> list[list[int]]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # other operators in this worker may have set it
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:

@@ -6,8 +6,9 @@ of a BPE vocabulary) and byte fallback.  Control, unknown and byte pieces never
 
 If no piece holds a metaspace marker behind another sign, no piece crosses the place before a marker.  Texts are then
 cut there and each distinct word reaches the tokenizer once while a worker remembers it; new words and uncut texts go
-to it in batches, which it encodes on `THREADS` threads.  The ids of every whole text are compared with those of the
-sentencepiece library (`parity`); where they differ, that library's ids are returned.
+to it in batches, which it encodes on `THREADS` threads.  All that reaches the tokenizer is also encoded by the
+sentencepiece library.  A text has `parity` if the ids of all its parts are the same in both; the ids returned are those
+of the tokenizers library in any case.  Decoding is that library's, too: marker, byte fallback, dummy prefix.
 
 Null and empty texts have no ids and decode to an empty text.  Repeated rows stay; an empty table gives an empty
 result; further columns are ignored, whatever their names.
@@ -141,43 +142,47 @@ def build(model: Model):  # noqa: ANN201
     tokenizer.normalizer = normalizers.Sequence(steps)
     if model.cuttable:
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
+    tokenizer.decoder = decoders.Sequence([decoders.Replace(model.pieces[model.unknown], " \u2047 "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
     return tokenizer
 
 
 class Backend:
-    """encode() gives the ids of all texts and the texts' offsets in them; decode() the texts of ids."""
+    """encode() gives the ids of all texts, the texts' offsets in them and their parity; decode() the texts of ids."""
 
     def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
         with open(path, "rb") as f:
             data = f.read()
         self.model = parse(data)
         self.tokenizer = build(self.model)
         self.plain = self.model.cuttable and not self.model.char_map and not self.model.fewer_spaces and self.model.dummy_prefix and self.model.escape
-        shown = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
-        self.shown = pa.array(shown, pa.binary())
+        self.control = np.array([k == CONTROL for k in self.model.kinds])
+        self.other = SentencePieceProcessor(model_file=path)
         self._forget()
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.known: list[list[int]] = []
-        self.flat, self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.first, self.length, self.same = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts, encoded on several threads."""
-        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    def batch(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of texts, encoded on several threads, and whether the sentencepiece library gives the same."""
+        if not texts:
+            return [], []
+        os.environ |= {"RAYON_NUM_THREADS": str(THREADS), "TOKENIZERS_PARALLELISM": "true"}
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return own, [a == b for a, b in zip(own, self.other.encode(texts, num_threads=THREADS), strict=True)]
 
     def _rows(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         length = np.fromiter(map(len, rows), np.int64, len(rows))
         return np.fromiter((i for r in rows for i in r), np.int64, int(length.sum())), length
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         if not self.plain:
-            flat, length = self._rows(self.batch(texts.to_pylist()))
-            return flat, np.append(0, np.cumsum(length))
+            rows, same = self.batch(texts.to_pylist())
+            flat, length = self._rows(rows)
+            return flat, np.append(0, np.cumsum(length)), np.array(same, bool)
         if len(self.index) > REMEMBERED:
             self._forget()
         odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.match_substring(texts, MARK), pc.or_(pc.starts_with(texts, " "), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, "")))))
@@ -188,16 +193,18 @@ class Backend:
         words, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         new = [w for w in words if w not in self.index and w and len(w) <= LONGEST]
         if new:
-            flat, length = self._rows(self.batch(new))
+            rows, same = self.batch(new)
+            flat, length = self._rows(rows)
             self.index.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
             self.first = np.append(self.first, len(self.flat) + np.cumsum(length) - length)
-            self.flat, self.length = np.append(self.flat, flat), np.append(self.length, length)
+            self.flat, self.length, self.same = np.append(self.flat, flat), np.append(self.length, length), np.append(self.same, same)
         # what is not remembered follows: long words, uncut texts, nothing
         long = [w for w in words if len(w) > LONGEST]
         whole = np.flatnonzero(odd)
-        flat, length = self._rows([*self.batch(long), *self.batch(texts.take(pa.array(whole)).to_pylist()), []])
+        rows, same = (x + y + [z] for x, y, z in zip(self.batch(long), self.batch(texts.take(pa.array(whole)).to_pylist()), ([], True), strict=True))
+        flat, length = self._rows(rows)
         base = len(self.length)
-        first, length = np.append(self.first, len(self.flat) + np.cumsum(length) - length), np.append(self.length, length)
+        first, length, same = np.append(self.first, len(self.flat) + np.cumsum(length) - length), np.append(self.length, length), np.append(self.same, same)
         flat = np.append(self.flat, flat)
         extra = dict(zip(long, range(base, base + len(long)), strict=True))
         own = np.fromiter((extra[w] if w in extra else self.index[w] if w else len(length) - 1 for w in words), np.int64, len(words))
@@ -206,18 +213,19 @@ class Backend:
         sizes = length[number]
         total = np.append(0, np.cumsum(sizes))
         places = np.repeat(first[number] - total[:-1], sizes) + np.arange(total[-1])
-        return flat[places], total[bounds - bounds[0]]
+        bounds = bounds - bounds[0]
+        wrong = np.append(0, np.cumsum(~same.astype(bool)[number]))
+        return flat[places], total[bounds], wrong[bounds[1:]] == wrong[bounds[:-1]]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        """Texts of ids, ends being offsets as encode() gives them."""
-        shown = self.shown.take(pa.array(ids))
-        raw, at = b"".join(shown.to_pylist()) if shown.offset else (shown.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.append(0, np.cumsum(pc.binary_length(shown).to_numpy(zero_copy_only=False)))
-        bounds = at[ends].tolist()
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            text = raw[a:b].decode("utf-8", "replace")
-            out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
-        return out
+        """Texts of ids, ends being offsets as encode() gives them; control pieces have no text."""
+        if len(ends) < 2:
+            return []
+        kept = ~self.control[ids]
+        ends = np.append(0, np.cumsum(kept))[ends].tolist()
+        ids = ids[kept].tolist()
+        os.environ |= {"RAYON_NUM_THREADS": str(THREADS), "TOKENIZERS_PARALLELISM": "true"}
+        return self.tokenizer.decode_batch([ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], skip_special_tokens=False)
 
 
 def backend(path: str) -> Backend:
@@ -230,29 +238,18 @@ def backend(path: str) -> Backend:
 def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit), parity, round_trip; ids array<long> if asked for.
 
-    round_trip: decoding the ids gives the normalised text back.
+    parity: the sentencepiece library gives the same ids.  round_trip: decoding the ids gives the normalised text back.
     """
     out = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<long>" * with_ids
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sentencepiece import SentencePieceProcessor
-
-        own, other = backend(path), SentencePieceProcessor(model_file=path)
+        own = backend(path)
         for batch in batches:
             for some in slices(batch, "text", 4 << 20):
                 texts = pc.fill_null(some.column("text"), "")
+                ids, ends, parity = own.encode(texts)
                 plain = texts.to_pylist()
-                ids, ends = own.encode(texts)
-                theirs, sizes = own._rows(other.encode(plain, num_threads=THREADS))
-                their_ends = np.append(0, np.cumsum(sizes))
-                if np.array_equal(ends, their_ends):
-                    wrong = np.append(0, np.cumsum(ids != theirs))
-                    parity = wrong[ends[1:]] == wrong[ends[:-1]]
-                else:
-                    parity = np.array([np.array_equal(ids[a:b], theirs[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], their_ends[:-1], their_ends[1:], strict=True)], bool)
-                if not parity.all():
-                    ids, ends = theirs, their_ends
-                surface = plain if own.plain else [other.normalize(t).removeprefix(MARK if own.model.dummy_prefix else "") for t in plain]
+                surface = plain if own.plain else [own.other.normalize(t).removeprefix(MARK if own.model.dummy_prefix else "") for t in plain]
                 same = [a == b.replace(MARK, " ") for a, b in zip(own.decode(ids, ends), surface, strict=True)]
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
