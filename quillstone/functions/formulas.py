@@ -21,7 +21,7 @@ QUARTER, YEAR = 91.25, 365.0
 
 
 def derived(rule: str) -> Column:
-    """An optional term (with ?) that is null is left out of a sum; factors that are null or zero give null."""
+    """An optional term (with ?) that is null is left out, a factor too; other factors that are null, and zero ones, give null."""
     out: Column | None = None
     at = 0
     while at < len(rule.rstrip()):
@@ -31,11 +31,11 @@ def derived(rule: str) -> Column:
         op, name, optional = found.groups()
         at = found.end()
         term = F.col(name)
-        if op in "*/" and op:
-            term = F.when(term != 0, term)
-        elif optional:
-            term = F.coalesce(term, F.lit(0.0))
-        out = term if out is None else {"+": out + term, "-": out - term, "*": out * term}[op] if op != "/" else F.try_divide(out, term)
+        if out is None:
+            out = term
+            continue
+        value = {"+": out + term, "-": out - term, "*": F.when(term != 0, out * term), "/": F.try_divide(out, term)}[op]
+        out = F.when(term.isNull(), out).otherwise(value) if optional else value
     return out
 
 

@@ -12,6 +12,9 @@ CLEAN_SPLITS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 25, 30, 50)
 # fixed values: endings of member names, longest first
 MEMBER_ENDINGS = ("SegmentsMember", "SegmentMember", "Member")
 SPLIT_TOLERANCE = 0.08
+#: Borders of words in CamelCase: before a capital that follows a small letter or digit, before the last capital of
+#: several that a small letter follows, between letters and digits.
+_UP, _ACRONYM, _DIGITS = "(?<=[a-z0-9])(?=[A-Z])", "(?<=[A-Z])(?=[A-Z][a-z])", "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
 
 
 def split_factor(ratio: Column) -> Column:
@@ -66,16 +69,20 @@ def member_key(qname: Column, aliases: dict[str, str] | None = None) -> Column:
 
 
 def spaced_name(qname: Column) -> Column:
-    """CamelCase as words."""
-    name = F.regexp_replace(bare_name(qname), "Member$", "")
-    name = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
-    name = F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.regexp_replace(name, r"\b([A-Z]) (?=[A-Za-z])", "$1")
+    """CamelCase as words; a single capital goes with the word behind it."""
+    parts = F.filter(F.split(F.regexp_replace(bare_name(qname), "Member$", ""), f"{_UP}|{_ACRONYM}|[ ]"), lambda w: w != "")
+
+    def put(done: Column, word: Column) -> Column:
+        alone = F.coalesce(F.element_at(done, -1).rlike("^[A-Z]$"), F.lit(False))
+        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), word)))
+        return F.when((F.size(done) > 0) & alone, joined).otherwise(F.concat(done, F.array(word)))
+
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), put), " ")
 
 
 def name_tokens(name: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Distinct lowered words of a CamelCase name, digits as words, without the stop words."""
-    parts = F.regexp_extract_all(name, F.lit("([A-Z]+(?![a-z])|[A-Z][a-z]+|[a-z]+|[0-9]+)"), F.lit(1))
+    parts = F.filter(F.split(name, f"[^A-Za-z0-9]+|{_UP}|{_ACRONYM}|{_DIGITS}"), lambda w: w != "")
     words = F.array_distinct(F.transform(parts, F.lower))
     return F.array_except(words, F.array(*(F.lit(w) for w in stop_words))) if stop_words else words
 
@@ -87,7 +94,8 @@ def class_label(member: Column) -> Column:
 
 
 def digits_masked(text: Column) -> Column:
-    return F.regexp_replace(text, "[0-9]+", "#")
+    """Every digit as #, so that messages that differ in numbers of equal length are alike."""
+    return F.regexp_replace(text, "[0-9]", "#")
 
 
 def custom_masked(member: Column, standard: tuple[str, ...] = ("us-gaap", "srt", "country", "dei", "ifrs-full")) -> Column:

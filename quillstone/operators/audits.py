@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions import scalars
+
 
 def token_weights(names: DataFrame, key: str, tokens: str) -> DataFrame:
     """token, df, idf = ln(n / df): in how many of the n keys a token occurs."""
-    pairs = names.select(key, F.explode(tokens).alias("token")).distinct()
+    pairs = names.select(key, F.explode(F.array_distinct(tokens)).alias("token")).distinct()
     n = names.select(F.count_distinct(key).alias("n"))
     return pairs.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", "df", F.ln(F.col("n") / F.col("df")).alias("idf"))
 
@@ -61,8 +63,8 @@ def universal(rates: DataFrame, group: str, keep: float) -> DataFrame:
 
 
 def missing_pairs(entities: DataFrame, concepts: DataFrame, present: DataFrame) -> DataFrame:
-    """entity, concept of the grid that have no row in present.  concepts is configuration of some hundred rows."""
-    return entities.select("entity").distinct().crossJoin(F.broadcast(concepts.select("concept").distinct())).join(present.select("entity", "concept").distinct(), ["entity", "concept"], "left_anti")
+    """entity, concept of the grid that have no row in present.  The grid itself is entities times concepts."""
+    return entities.select("entity").distinct().crossJoin(concepts.select("concept").distinct()).join(present.select("entity", "concept").distinct(), ["entity", "concept"], "left_anti")
 
 
 def structural_missing(cells: DataFrame, sector: str, industry: str, rate: float = 0.8, peers: tuple[int, int] = (8, 5)) -> DataFrame:
@@ -87,7 +89,7 @@ def round_robin(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0) ->
 
     Only the n first of each stratum can be in it, which a window finds without gathering a stratum.
     """
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed)))), key))
     return df.withColumn("turn", place).where(F.col("turn") <= n).orderBy("turn", stratum).limit(n)
 
 
@@ -115,13 +117,15 @@ def histogram(df: DataFrame, key: str) -> DataFrame:
 def patterns(df: DataFrame, pattern: Column, entity: str, amount: str) -> DataFrame:
     """pattern, n_entities, amount, the most widespread first by rank."""
     found = df.withColumn("pattern", pattern).groupBy("pattern").agg(F.count_distinct(entity).alias("n_entities"), F.sum(amount).alias("amount"))
-    return found
+    # patterns are few beside rows: numbers are masked
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_entities"), F.desc("amount"), "pattern")))
 
 
 def axis_census(facts: DataFrame) -> DataFrame:
     """axis, member, n_contexts, n_entities, custom: what dimensions facts carry.  facts: entity, ctx, dims."""
     d = facts.select("entity", "ctx", F.explode("dims").alias("d"))
-    return d.groupBy(F.col("d.axis").alias("axis"), F.col("d.member").alias("member")).agg(F.count_distinct("entity", "ctx").alias("n_contexts"), F.count_distinct("entity").alias("n_entities"))
+    found = d.groupBy(F.col("d.axis").alias("axis"), F.col("d.member").alias("member")).agg(F.count_distinct("entity", "ctx").alias("n_contexts"), F.count_distinct("entity").alias("n_entities"))
+    return found.withColumn("custom", scalars.custom_masked(F.col("member")) == "custom")
 
 
 def metric_status(df: DataFrame, metrics: list[str], by: list[str]) -> DataFrame:
@@ -145,14 +149,17 @@ def gap_census(grid: DataFrame, present: DataFrame, inapplicable: DataFrame, dim
 def derivable(present: DataFrame, rules: dict[str, list[str]], rounds: int = 4) -> DataFrame:
     """present (entity, concept) and what rules (concept: what it needs) make derivable from it, in so many rounds at most.
 
-    Each round is one aggregate over the concepts that a rule needs; optional terms aren't part of a rule.
+    The rules are a table; each round is one join with it and one aggregate, however many there are.  Optional terms
+    aren't part of a rule.
     """
     found = present.select("entity", "concept").distinct()
-    for _ in range(rounds if rules else 0):
-        more = [found.where(F.col("concept").isin(*needs)).groupBy("entity").agg(F.count_distinct("concept").alias("n")).where(F.col("n") == len(set(needs))).select("entity", F.lit(name).alias("concept")) for name, needs in rules.items() if needs]
-        for df in more:
-            found = found.unionByName(df)
-        found = found.distinct()
+    table = [(name, c, len(set(needs))) for name, needs in rules.items() for c in sorted(set(needs))]
+    if not table:
+        return found
+    needed = F.broadcast(found.sparkSession.createDataFrame(table, "derived string, concept string, n_needed int"))
+    for _ in range(rounds):
+        met = found.join(needed, "concept").groupBy("entity", "derived", "n_needed").agg(F.count("*").alias("n"))
+        found = found.unionByName(met.where("n = n_needed").select("entity", F.col("derived").alias("concept"))).distinct()
     return found
 
 

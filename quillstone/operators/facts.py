@@ -60,11 +60,15 @@ def reporting_currency(facts: DataFrame) -> DataFrame:
     return votes.groupBy("entity").agg(F.coalesce(F.min_by(F.when(plain, F.col("unit")), F.when(plain, F.struct((-F.col("n")).alias("n"), "unit"))), F.lit("USD")).alias("currency"))
 
 
-def reports_by_year(facts: DataFrame) -> DataFrame:
-    """entity, annual: whether less than 5 % of its durations are of a quarter's length, or it has none."""
+def reports_by_year(facts: DataFrame, ifrs: Column | None = None) -> DataFrame:
+    """entity, annual: whether it reports under IFRS, less than 5 % of its durations are of a quarter's length, or it has none.
+
+    ifrs: whether a fact's company does; the same for all facts of a company.
+    """
     days = span_days(F.col("start"), F.col("end"))
     quarterly = F.avg(F.when(days.isNotNull(), days.between(45, 130).cast("int")))
-    return facts.groupBy("entity").agg((F.coalesce(quarterly, F.lit(0.0)) < 0.05).alias("annual"))
+    few = F.coalesce(quarterly, F.lit(0.0)) < 0.05
+    return facts.groupBy("entity").agg((few if ifrs is None else F.bool_or(F.coalesce(ifrs, F.lit(False))) | few).alias("annual"))
 
 
 def keyed(facts: DataFrame, months: DataFrame, ends: DataFrame | None = None) -> DataFrame:

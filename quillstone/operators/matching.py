@@ -45,13 +45,12 @@ def within_days(left: DataFrame, right: DataFrame, keys: list[str], left_day: st
     def bin_of(c: Column) -> Column:
         return F.floor(F.date_diff(c, epoch) / width)
 
-    numbered = left.withColumn("_id", F.monotonically_increasing_id())
     start = F.date_add(F.col(left_day), low)
-    asks = numbered.select("_id", *keys, left_day, F.explode(F.array_distinct(F.array(bin_of(start), bin_of(F.date_add(F.col(left_day), high))))).alias("_bin"))
+    asks = left.select(*keys, left_day).distinct().select(*keys, left_day, F.explode(F.array_distinct(F.array(bin_of(start), bin_of(F.date_add(F.col(left_day), high))))).alias("_bin"))
     has = right.select(*keys, bin_of(F.col(right_day)).alias("_bin"), F.col(right_day).alias("_day"), F.struct(*values).alias("_v"))
     met = asks.join(has, [*keys, "_bin"]).where(F.date_diff("_day", F.col(left_day)).between(low, high))
-    best = met.groupBy("_id").agg(F.min(F.struct("_day", "_v")).alias("_best"))
-    return numbered.join(best, "_id", "left").select(*left.columns, F.col("_best._day").alias("matched_day"), *(F.col(f"_best._v.{v}").alias(v) for v in values))
+    best = met.groupBy(*keys, left_day).agg(F.min(F.struct("_day", "_v")).alias("_best"))
+    return left.join(best, [*keys, left_day], "left").select(*left.columns, F.col("_best._day").alias("matched_day"), *(F.col(f"_best._v.{v}").alias(v) for v in values))
 
 
 def narrowest_range(df: DataFrame, value: str, ranges: DataFrame) -> DataFrame:
@@ -70,7 +69,7 @@ def first_spelling(asked: DataFrame, roster: DataFrame, name: str) -> DataFrame:
     tries = F.array(F.upper(name), F.translate(F.upper(name), ".", "-"), F.translate(F.upper(name), "-", "."))
     spelled = asked.select("*", F.posexplode(tries).alias("_prio", "_try"))
     found = spelled.join(roster.withColumn("_try", F.upper("ticker")).withColumnRenamed("ticker", "found_ticker"), "_try")
-    best = found.withColumn("_r", F.row_number().over(Window.partitionBy(name).orderBy("_prio"))).where("_r = 1")
+    best = found.withColumn("_r", F.row_number().over(Window.partitionBy(name).orderBy("_prio", "found_ticker", *(c for c in roster.columns if c != "ticker")))).where("_r = 1")
     return asked.join(best.select(name, "found_ticker", *(c for c in roster.columns if c != "ticker")), name, "left")
 
 

@@ -69,29 +69,42 @@ def carry_forward(grid: DataFrame, keys: list[str], concepts: list[str], most: i
     return grid
 
 
-def arbitrate_shares(grid: DataFrame, keys: list[str], shares: str, source: str, weighted: str, candidates: dict[str, str]) -> DataFrame:
+def weighted_average(basic: str, diluted: str | None = None) -> Column:
+    """The size of the basic weighted average, else of the diluted one; nought counts as missing."""
+    v = F.coalesce(F.col(basic), F.col(diluted)) if diluted else F.col(basic)
+    return F.when(v != 0, F.abs(v))
+
+
+def catches_up(value: Column, now: Column, ahead: Column) -> Column:
+    """Whether the next weighted average is within 15 % of a count and has itself moved 10 % towards it: a real issue or buyback."""
+    moved = F.when(value > now, ahead >= now * 1.1).otherwise(ahead <= now * 0.9)
+    return F.coalesce((F.abs(value / ahead - 1) <= 0.15) & moved, F.lit(False))
+
+
+def arbitrate_shares(grid: DataFrame, keys: list[str], shares: str, source: str, weighted: str, candidates: dict[str, str], diluted: str | None = None) -> DataFrame:
     """A share count that is over 20 % off the weighted average is replaced by the closest candidate within 10 %.
 
-    A period whose next weighted average catches up with it is left alone.  A source that was replaced once is
-    convicted for its company: its other cells that are over 10 % off are replaced or dropped too.
-    candidates: source name to column.
+    A count that the next weighted average catches up with is left alone.  A source that was replaced once is convicted
+    for its company: its other cells go where there is no weighted average, and those over 10 % off are replaced, or go
+    unless the next average catches up.  candidates: source name to column; of equally close ones the first.
     """
-    ahead = F.lead(weighted).over(Window.partitionBy(*keys).orderBy("idx"))
-
-    def off(v: Column, by: float) -> Column:
-        return F.abs(v / F.col(weighted) - 1) > by
-
-    catches = F.coalesce(~(F.abs(F.col(shares) / ahead - 1) > 0.2), F.lit(False))
-    options = F.array_compact(F.array(*(F.when(F.col(c).isNotNull() & ~off(F.col(c), 0.1), F.struct(F.abs(F.col(c) / F.col(weighted) - 1).alias("gap"), F.lit(n).alias("source"), F.col(c).cast("double").alias("v"))) for n, c in candidates.items())))
-    df = grid.withColumn("_best", F.array_min(options)).withColumn("_catches", catches)
-    wrong = F.coalesce(off(F.col(shares), 0.2) & ~F.col("_catches"), F.lit(False)) & F.col("_best").isNotNull()
-    df = df.withColumn("_wrong", wrong).withColumn("_convicted", F.collect_set(F.when(F.col("_wrong"), F.col(source))).over(Window.partitionBy(*keys)))
-    guilty = F.array_contains("_convicted", F.col(source)) & ~F.col("_wrong")
-    bad = F.coalesce(off(F.col(shares), 0.1), F.col(weighted).isNull()) & guilty
-    replace = F.col("_wrong") | (bad & F.col("_best").isNotNull())
-    drop = bad & F.col("_best").isNull() & (F.col(weighted).isNull() | ~F.col("_catches"))
-    new = F.when(replace, F.col("_best.v")).when(drop, F.lit(None)).otherwise(F.col(shares))
-    return df.withColumn(shares, new).withColumn(source, F.when(replace, F.col("_best.source")).otherwise(F.col(source))).drop("_best", "_catches", "_wrong", "_convicted")
+    line = Window.partitionBy(*keys).orderBy("idx")
+    df = grid.withColumn("_w", weighted_average(weighted, diluted)).withColumn("_ahead", F.lead("_w").over(line))
+    value = F.abs(F.when(F.col(shares) != 0, F.col(shares)))
+    off = F.abs(value / F.col("_w") - 1)
+    gaps = [F.when(F.col(c) != 0, F.abs(F.abs(F.col(c)) / F.col("_w") - 1)) for c in candidates.values()]
+    options = F.array_compact(F.array(*(F.when(g < 0.1, F.struct(g.alias("gap"), F.lit(k).alias("k"), F.lit(n).alias("source"), F.col(c).cast("double").alias("v"))) for k, (g, (n, c)) in enumerate(zip(gaps, candidates.items(), strict=True)))))
+    df = df.withColumn("_best", F.array_min(options)).withColumn("_off", off).withColumn("_catches", catches_up(value, F.col("_w"), F.col("_ahead")))
+    other = F.col("_best").isNotNull() & (F.col("_best.v") != F.col(shares))
+    df = df.withColumn("_wrong", F.coalesce((F.col("_off") > 0.2) & ~F.col("_catches") & other, F.lit(False)))
+    df = df.withColumn("_convicted", F.collect_set(F.when(F.col("_wrong"), F.col(source))).over(Window.partitionBy(*keys)))
+    guilty = F.coalesce(F.array_contains("_convicted", F.col(source)), F.lit(False)) & ~F.col("_wrong") & value.isNotNull()
+    far = F.coalesce(F.col("_off") > 0.1, F.lit(False))
+    replace = F.col("_wrong") | (guilty & far & other)
+    drop = guilty & (F.col("_w").isNull() | (far & ~other & ~F.col("_catches")))
+    df = df.withColumn("_replace", replace).withColumn("_drop", drop)
+    new = F.when(F.col("_replace"), F.col("_best.v")).when(F.col("_drop"), F.lit(None)).otherwise(F.col(shares))
+    return df.withColumn(source, F.when(F.col("_replace"), F.col("_best.source")).otherwise(F.col(source))).withColumn(shares, new).drop("_replace", "_drop", "_w", "_ahead", "_off", "_best", "_catches", "_wrong", "_convicted")
 
 
 def applicability(cells: DataFrame, groups: DataFrame, per_company: DataFrame | None = None) -> DataFrame:

@@ -233,7 +233,8 @@ def gaps(marked: DataFrame, shown: DataFrame, totals: DataFrame, tolerance: floa
     """entity, code, axis, n, amount: what a breakdown lacks, the largest amounts first within an entity by rank.
 
     axis_dropped: an axis that facts have and the result lacks.  degenerate_axis: periods whose only member is the total.
-    period_hole: quarters without a value between quarters with one.  dropped_facts: amounts left out for a reason
+    period_hole: n quarters that lie, for some member, without a value between quarters with one; the amount is a mean of the
+    two for each member and quarter.  dropped_facts: amounts left out for a reason
     that could be mended.
     """
     revenue = shown.where("concept = 'revenue'")
@@ -245,7 +246,8 @@ def gaps(marked: DataFrame, shown: DataFrame, totals: DataFrame, tolerance: floa
     placed = revenue.where("kind = 'Q'").join(quarters, ["entity", "period"])
     nxt = Window.partitionBy("entity", "axis", "member").orderBy("idx")
     hole = placed.withColumn("_gap", F.lead("idx").over(nxt) - F.col("idx") - 1).withColumn("_mean", (F.abs("val") + F.abs(F.lead("val").over(nxt))) / 2).where("_gap > 0")
-    hole = hole.groupBy("entity", "axis").agg(F.sum("_gap").alias("n"), F.sum(F.col("_gap") * F.col("_mean")).alias("amount")).withColumn("code", F.lit("period_hole"))
+    hole = hole.withColumn("_at", F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + F.col("_gap"))))
+    hole = hole.groupBy("entity", "axis").agg(F.count_distinct("_at").alias("n"), F.sum("_mean").alias("amount")).withColumn("code", F.lit("period_hole"))
     lost = marked.where(F.col("reason").isin("cross_axis", "deep_cross", "member_excluded") & (F.col("concept") == "revenue")).groupBy("entity", F.col("reason").alias("axis")).agg(F.count("*").alias("n"), F.sum(F.abs("val")).alias("amount")).where("amount <> 0").withColumn("code", F.lit("dropped_facts"))
     columns = ["entity", "code", "axis", "n", "amount"]
     every = [df.select(*columns) for df in (dropped, single, hole, lost)]

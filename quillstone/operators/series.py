@@ -48,14 +48,17 @@ def over_own_median(keys: list[str], value: str) -> Column:
     return F.col(value) / F.median(value).over(Window.partitionBy(*keys))
 
 
-def before_listing(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows from the first jump on, where there is one in the first eight steps.
+def before_listing(df: DataFrame, keys: list[str], value: str, annual: Column | None = None) -> DataFrame:
+    """Rows from the first jump on, where there is one in the first eight steps between values; periods without a value don't count.
 
-    A jump: 2.5 times the value before at least, that one being below 0.4 of the latest.
+    A jump: 2.5 times the value before at least, that one being below 0.4 of the latest.  Companies that only report
+    years (annual) keep all their rows.
     """
     w, all_ = line(keys), Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.lag(value).over(w)
-    jump = (F.row_number().over(w) <= 9) & (before > 0) & (F.col(value) >= 2.5 * before) & (before < 0.4 * F.last(value, ignorenulls=True).over(all_))
+    before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    jump = (F.count(value).over(w) <= 9) & (F.col(value) >= 2.5 * before) & (before < 0.4 * F.last(value, ignorenulls=True).over(all_))
+    if annual is not None:
+        jump = jump & ~annual
     cut = df.withColumn("_jump", F.when(jump, F.col("idx"))).withColumn("_from", F.min("_jump").over(Window.partitionBy(*keys)))
     return cut.where(F.col("_from").isNull() | (F.col("idx") >= F.col("_from"))).drop("_jump", "_from")
 
@@ -95,12 +98,13 @@ def is_spike(keys: list[str], value: str, day: str) -> Column:
 
 def stale_points(df: DataFrame, keys: list[str], value: str, day: str) -> DataFrame:
     """Rows without those whose value returns more than 400 days later with a value between that differs by over 5 %."""
-    w = Window.partitionBy(*keys).orderBy(day).rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).alias("v"))).over(w)
-    back = F.array_max(F.transform(F.filter(F.col("_later"), lambda x: (x["v"] == F.col(value)) & (F.date_diff(x["d"], F.col(day)) > 400)), lambda x: x["d"]))
-    between = F.exists("_later", lambda x: (x["d"] < F.col("_back")) & (F.abs(x["v"] / F.col(value) - 1) > 0.05))
-    marked = df.withColumn("_later", later).withColumn("_back", back).withColumn("_stale", F.coalesce(F.col("_back").isNotNull() & between, F.lit(False)))
-    return marked.where("not _stale").drop("_later", "_back", "_stale")
+    last = F.max(day).over(Window.partitionBy(*keys, value))
+    marked = df.withColumn("_back", F.when(F.date_diff(last, F.col(day)) > 400, last))
+    # a value returns to itself over a run of rows; a row is stale if one before that return lies outside 5 %
+    asked = marked.where("_back is not null").select(*keys, F.col(day).alias("_from"), F.col(value).alias("_v"), "_back").distinct()
+    met = asked.join(df.select(*keys, F.col(day).alias("_d"), F.col(value).alias("_other")), keys).where((F.col("_d") > F.col("_from")) & (F.col("_d") < F.col("_back")) & (F.abs(F.col("_other") / F.col("_v") - 1) > 0.05))
+    stale = met.select(*keys, F.col("_from").alias(day), F.col("_v").alias(value)).distinct()
+    return df.join(stale, [*keys, day, value], "left_anti")
 
 
 def one_basis(keys: list[str], value: str, day: str) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,52 +64,53 @@ def detected(points: DataFrame) -> DataFrame:
     return best.select("entity", "threshold", "factor", "confirmed", "dev", "dev_raw")
 
 
-def _arbitrate(key: tuple, found: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-    """One company's events against the exchange's, one to one in the order of their thresholds."""
-    out: list[tuple] = []
-    splits = listed.sort_values(["ex_date", "factor"]).to_dict("records")
-    used: set[int] = set()
-    pending = []
-
-    def near(a: float, b: float) -> bool:
-        return abs(a / b - 1) < NEAR
-
-    def days(a: object, b: object) -> int:
-        return (pd.Timestamp(a) - pd.Timestamp(b)).days
-
-    for event in found.sort_values(["threshold", "factor"]).to_dict("records"):
-        hit = next((k for k, s in enumerate(splits) if k not in used and pd.notna(s["ex_date"]) and 0 <= days(event["threshold"], s["ex_date"]) <= MATCH_DAYS and near(s["factor"], event["factor"])), None)
-        if hit is None:
-            pending.append(event)
-        else:
-            used.add(hit)
-            out.append((event, "both"))
-    start = next((s["cover_start"] for s in splits if pd.notna(s["cover_start"])), None)
-    for event in pending:
-        if any(near(splits[k]["factor"], event["factor"]) and abs(days(event["threshold"], splits[k]["ex_date"])) <= REPEAT_DAYS for k in used):
-            continue
-        exact = event["confirmed"] and pd.notna(event["dev"]) and pd.notna(event["dev_raw"]) and event["dev"] < EXACT and event["dev_raw"] < EXACT
-        if start is None or days(event["threshold"], start) < MATCH_DAYS:
-            out.append((event, "not covered"))
-        elif exact:
-            out.append((event, "exact"))
-    entity = (found["entity"] if len(found) else listed["entity"]).iloc[0]
-    rows = [(entity, e["threshold"], e["factor"], bool(e["confirmed"]), e["dev"], e["dev_raw"], why) for e, why in out]
-    rows += [(entity, s["first_filed"], s["factor"], True, None, None, "exchange") for k, s in enumerate(splits) if k not in used and pd.notna(s["ex_date"]) and pd.notna(s["first_filed"])]
-    return pd.DataFrame(rows, columns=["entity", "threshold", "factor", "confirmed", "dev", "dev_raw", "source"])
-
-
-def arbitrated(found: DataFrame, listed: DataFrame) -> DataFrame:
-    """Detected events settled by the exchange's splits: which stay, which go, which are added, and why (source).
-
-    listed: entity, ex_date, factor, cover_start, first_filed (the first filing at or after the ex-date); a row with
-    null ex_date only says from when the exchange covers the company.  Companies without any row keep their events.
-    A company has some dozen events at most, so its groups are small whatever the size of the market.
+def decided(found: DataFrame, listed: DataFrame) -> DataFrame:
+    """Detected events and the exchange's splits with the cell of the decision table that each falls into.
+
+    found: entity, threshold, factor, confirmed, dev, dev_raw.  listed: entity, ex_date, factor, cover_start, first_filed
+    (the first filing at or after the ex-date); a row with null ex_date only says from when the exchange covers the
+    company.  Cells: both, repeat (of a matched split), not covered, exact, denied, no exchange data; exchange and unfiled
+    are splits that no event matches.  A company has some dozen events at most, which are matched in one array.
     """
-    covered = listed.select("entity").distinct()
-    rest = found.join(covered, "entity", "left_anti").withColumn("source", F.lit("no exchange data"))
-    settled = found.join(covered, "entity", "left_semi").groupBy("entity").cogroup(listed.groupBy("entity")).applyInPandas(_arbitrate, f"entity {dict(found.dtypes)['entity']}, threshold date, factor double, confirmed boolean, dev double, dev_raw double, source string")
-    return rest.select(settled.columns).unionByName(settled)
+    events = found.withColumn("_e", F.row_number().over(Window.partitionBy("entity").orderBy("threshold", "factor")))
+    splits = listed.where("ex_date is not null").withColumn("_s", F.row_number().over(Window.partitionBy("entity").orderBy("ex_date", "factor")))
+    near = F.abs(F.col("_factor") / F.col("factor") - 1) < NEAR
+    days = F.date_diff("threshold", "ex_date")
+    other = splits.select("entity", "ex_date", F.col("factor").alias("_factor"), "_s")
+    fits = events.join(other, "entity").where(near & days.between(0, MATCH_DAYS)).groupBy("entity", "_e").agg(F.array_sort(F.collect_list("_s")).alias("_fit"))
+
+    # each event in turn takes the first split that none before it took
+    empty = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<_e:int,_s:int>>").alias("pairs"))
+
+    def take(done: Column, event: Column) -> Column:
+        free = F.get(F.filter(event["_fit"], lambda s: ~F.array_contains(done["used"], s)), F.lit(0))
+        taken = F.struct(F.concat(done["used"], F.array(free)).alias("used"), F.concat(done["pairs"], F.array(F.struct(event["_e"].alias("_e"), free.alias("_s")))).alias("pairs"))
+        return F.when(free.isNull(), done).otherwise(taken)
+
+    pairs = fits.groupBy("entity").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_e", "_fit"))), empty, take)["pairs"].alias("p")).select("entity", F.inline("p"))
+    used = pairs.join(other, ["entity", "_s"])
+    repeats = events.join(used.select("entity", "ex_date", "_factor"), "entity").where(near & (F.abs(days) <= REPEAT_DAYS)).select("entity", "_e", F.lit(True).alias("_repeat")).distinct()
+    start = listed.groupBy("entity").agg(F.min_by("cover_start", F.struct(F.col("cover_start").isNull(), "ex_date", "factor")).alias("_start"), F.lit(True).alias("_listed"))
+    marked = events.join(start, "entity", "left").join(pairs, ["entity", "_e"], "left").join(repeats, ["entity", "_e"], "left")
+    exact = F.coalesce(F.col("confirmed") & (F.col("dev") < EXACT) & (F.col("dev_raw") < EXACT), F.lit(False))
+    cell = (
+        F.when(F.col("_listed").isNull(), "no exchange data").when(F.col("_s").isNotNull(), "both").when(F.col("_repeat"), "repeat")
+        .when(F.col("_start").isNull() | (F.date_diff("threshold", "_start") < MATCH_DAYS), "not covered").when(exact, "exact").otherwise("denied")
+    )
+    alone = splits.join(pairs.select("entity", "_s"), ["entity", "_s"], "left_anti")
+    added = alone.select("entity", F.col("first_filed").alias("threshold"), "factor", F.lit(True).alias("confirmed"), F.lit(None).cast("double").alias("dev"), F.lit(None).cast("double").alias("dev_raw"), F.when(F.col("first_filed").isNull(), "unfiled").otherwise("exchange").alias("cell"))
+    return marked.select("entity", "threshold", "factor", "confirmed", "dev", "dev_raw", cell.alias("cell")).unionByName(added)
+
+
+def arbitrated(found: DataFrame, listed: DataFrame, ifrs: DataFrame | None = None) -> DataFrame:
+    """The events that hold, and why (source); companies under IFRS (entity) have none."""
+    kept = decided(found, listed).where(~F.col("cell").isin("repeat", "denied", "unfiled")).withColumnRenamed("cell", "source")
+    return kept if ifrs is None else kept.join(ifrs.select("entity").distinct(), "entity", "left_anti")
+
+
+def census(cells: DataFrame) -> DataFrame:
+    """confirmed, cell, n_events, n_entities, mean_dev of decided()."""
+    return cells.groupBy("confirmed", "cell").agg(F.count("*").alias("n_events"), F.count_distinct("entity").alias("n_entities"), F.avg("dev").alias("mean_dev"))
 
 
 def adjusted(values: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:

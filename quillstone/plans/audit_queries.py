@@ -102,10 +102,10 @@ def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.best_candidates(df, "p_brand", [F.desc("p_retailprice"), F.length("p_name"), F.col("p_partkey")]).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("stratified_round_robin")
+@query("stratified_round_robin", "SELECT c_custkey, c_mktsegment, turn FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR) || '/7'), c_custkey) AS turn FROM customer) ORDER BY turn, c_mktsegment LIMIT 50")
 def stratified_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty customers, one of each market segment in turn."""
-    return audits.round_robin(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 50, 7)
+    return audits.round_robin(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 50, 7).withColumn("turn", F.col("turn").cast("long"))
 
 
 @query("tag_popularity", sql("SELECT form, line, count(DISTINCT entity) AS n_entities FROM facts GROUP BY 1, 2 HAVING count(DISTINCT entity) >= 3"))
@@ -124,10 +124,10 @@ def count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.histogram(table(spark, sf_dir, "orders"), "o_custkey")
 
 
-@query("masked_patterns", """SELECT regexp_replace(url, '[0-9]+', '#', 'g') AS pattern, count(DISTINCT page_id) AS n_entities, CAST(sum(length(html)) AS BIGINT) AS amount FROM pages GROUP BY 1""")
+@query("masked_patterns", """SELECT pattern, n_entities, amount, CAST(row_number() OVER (ORDER BY n_entities DESC, amount DESC, pattern) AS BIGINT) AS rank FROM (SELECT regexp_replace(url, '[0-9]', '#', 'g') AS pattern, count(DISTINCT page_id) AS n_entities, CAST(sum(length(html)) AS BIGINT) AS amount FROM pages GROUP BY 1)""")
 def masked_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "pages").withColumn("size", F.char_length("html"))
-    return audits.patterns(df, scalars.digits_masked(F.col("url")), "page_id", "size")
+    return audits.patterns(df, scalars.digits_masked(F.col("url")), "page_id", "size").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("missing_metrics", sql(""", w AS (SELECT entity, idx, max(CASE WHEN tag = 'A' THEN val END) AS a, max(CASE WHEN tag = 'N' THEN val END) AS n, max(CASE WHEN tag = 'R' THEN val END) AS r FROM grid GROUP BY 1, 2)
@@ -137,6 +137,8 @@ def missing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.metric_status(wide, ["a", "n", "r"], ["entity"])
 
 
-@query("name_tokens", """SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-z]+|[0-9]+'))), ' ') AS tokens FROM part""")
+@query("name_tokens", """SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(name, '[A-Z]+[a-z]*|[a-z]+|[0-9]+'), lambda x: lower(x))), lambda x: x NOT IN ('xml', 'of'))), ' ') AS tokens FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), '') || 'Of' || CAST(p_size AS VARCHAR) AS name FROM part)""")
 def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(scalars.name_tokens(F.lower("p_name"))), " ").alias("tokens"))
+    """The words of part names written in CamelCase, without stop words."""
+    camel = F.concat(F.array_join(F.transform(F.split("p_name", " "), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), ""), F.lit("Of"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(scalars.name_tokens(camel, ("xml", "of"))), " ").alias("tokens"))

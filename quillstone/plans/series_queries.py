@@ -46,10 +46,9 @@ def ratio_vs_own_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(_dbl(grid(spark, sf_dir)), F.round(series.over_own_median(KEY, "val"), 6).alias("ratio"))
 
 
-@query("outlier_values", sql("""SELECT g.entity, g.tag, CAST(g.idx AS BIGINT) AS idx, CASE WHEN m IS NULL OR (v / m <= 100 AND v / m >= 0.01) THEN v END AS val
-FROM (SELECT *, CAST(val AS DOUBLE) * CASE WHEN idx % 7 = 0 THEN 1000 ELSE 1 END AS v FROM grid) g JOIN (
-  SELECT entity, tag, CASE WHEN len(l) >= 3 THEN list_sort(l)[len(l) // 2 + 1] END AS m FROM (
-    SELECT entity, tag, coalesce(list(v ORDER BY idx DESC) FILTER (r <= 4), []) AS l FROM (SELECT entity, tag, idx, CAST(val AS DOUBLE) * CASE WHEN idx % 7 = 0 THEN 1000 ELSE 1 END AS v, sum(CASE WHEN val IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY entity, tag ORDER BY idx DESC) AS r, val FROM grid) WHERE val IS NOT NULL GROUP BY 1, 2)) USING (entity, tag)""", fine=True))
+@query("outlier_values", sql(""", g AS MATERIALIZED (SELECT entity, tag, idx, v, count(v) OVER (PARTITION BY entity, tag ORDER BY idx DESC) AS r, count(v) OVER (PARTITION BY entity, tag) AS n FROM (SELECT entity, tag, idx, CAST(val AS DOUBLE) * CASE WHEN idx % 7 = 0 THEN 1000 ELSE 1 END AS v FROM grid)),
+m AS (SELECT entity, tag, CASE WHEN count(*) >= 3 THEN list_sort(list(v))[count(*) // 2 + 1] END AS m FROM g WHERE v IS NOT NULL AND r <= 4 GROUP BY 1, 2)
+SELECT g.entity, g.tag, CAST(g.idx AS BIGINT) AS idx, CASE WHEN m IS NULL OR (v / m <= 100 AND v / m >= 0.01) THEN v END AS val FROM g JOIN m ON g.entity = m.entity AND g.tag = m.tag WHERE n > 0""", fine=True))
 def outlier_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values a hundred times off the upper middle of the last four are dropped; every seventh period is inflated for it."""
     df = _dbl(grid(spark, sf_dir, True)).withColumn("val", F.col("val") * F.when(F.col("idx") % 7 == 0, 1000).otherwise(1))
@@ -57,11 +56,11 @@ def outlier_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(series.without_outliers(df.join(seen, KEY, "left_semi"), KEY, "val"), F.col("val"))
 
 
-@query("ipo_jump_cut", sql("""SELECT entity, tag, CAST(idx AS BIGINT) AS idx, v AS val FROM (SELECT *, min(CASE WHEN n <= 9 AND p > 0 AND v >= 2.5 * p AND p < 0.4 * latest THEN idx END) OVER (PARTITION BY entity, tag) AS cut FROM (
-  SELECT entity, tag, idx, CAST(val AS DOUBLE) AS v, CAST(lag(val) OVER w AS DOUBLE) AS p, row_number() OVER w AS n, CAST(last_value(val IGNORE NULLS) OVER (PARTITION BY entity, tag ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS DOUBLE) AS latest
-  FROM grid WINDOW w AS (PARTITION BY entity, tag ORDER BY idx))) WHERE cut IS NULL OR idx >= cut"""))
+@query("ipo_jump_cut", sql("""SELECT entity, tag, CAST(idx AS BIGINT) AS idx, v AS val FROM (SELECT *, min(CASE WHEN n <= 9 AND v >= 2.5 * p AND p < 0.4 * latest THEN idx END) OVER (PARTITION BY entity, tag) AS cut FROM (
+  SELECT entity, tag, idx, CAST(val AS DOUBLE) AS v, CAST(last_value(val IGNORE NULLS) OVER (PARTITION BY entity, tag ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) AS p, count(val) OVER w AS n, CAST(last_value(val IGNORE NULLS) OVER (PARTITION BY entity, tag ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS DOUBLE) AS latest
+  FROM grid WINDOW w AS (PARTITION BY entity, tag ORDER BY idx))) WHERE cut IS NULL OR idx >= cut""", fine=True))
 def ipo_jump_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(series.before_listing(_dbl(grid(spark, sf_dir)), KEY, "val"), F.col("val"))
+    return _rows(series.before_listing(_dbl(grid(spark, sf_dir, True)), KEY, "val"), F.col("val"))
 
 
 @query("interior_holes", sql("""SELECT entity, tag, CAST(first_idx AS BIGINT) AS first_idx, CAST(last_idx AS BIGINT) AS last_idx, n_present, CAST(n_holes AS BIGINT) AS n_holes,
@@ -123,11 +122,11 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).groupBy("entity", "idx").agg(*(F.max(F.when(F.col("tag") == t, F.col("val"))).cast("double").alias(n) for n, t in roles.items()))
 
 
-@query("derive_expression", sql(_WIDE + """ SELECT entity, CAST(idx AS BIGINT) AS idx, round(revenue - coalesce(cogs, 0) + coalesce(equity, 0), 4) AS gross, round((revenue - cogs) * CASE WHEN equity <> 0 THEN equity END / CASE WHEN revenue <> 0 THEN revenue END, 4) AS mixed FROM w"""))
+@query("derive_expression", sql(_WIDE + """ SELECT entity, CAST(idx AS BIGINT) AS idx, round(revenue - coalesce(cogs, 0) + coalesce(equity, 0), 4) AS gross, round((revenue - cogs) * CASE WHEN equity <> 0 THEN equity END / CASE WHEN revenue <> 0 THEN revenue END, 4) AS mixed, round(revenue * coalesce(cogs / 1000, 1) / coalesce(equity, 1), 4) AS optional FROM (SELECT entity, idx, revenue, CASE WHEN idx % 3 > 0 THEN cogs END AS cogs, CASE WHEN idx % 4 > 0 THEN equity END AS equity FROM w)"""))
 def derive_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules read from left to right, optional terms left out where they are absent."""
-    df = _wide(spark, sf_dir)
-    return df.select("entity", F.col("idx").cast("long").alias("idx"), F.round(formulas.derived("revenue - cogs? + equity?"), 4).alias("gross"), F.round(formulas.derived("revenue - cogs * equity / revenue"), 4).alias("mixed"))
+    df = _wide(spark, sf_dir).withColumn("cogs", F.when(F.col("idx") % 3 > 0, F.col("cogs"))).withColumn("equity", F.when(F.col("idx") % 4 > 0, F.col("equity"))).withColumn("k", F.col("cogs") / 1000)
+    return df.select("entity", F.col("idx").cast("long").alias("idx"), F.round(formulas.derived("revenue - cogs? + equity?"), 4).alias("gross"), F.round(formulas.derived("revenue - cogs * equity / revenue"), 4).alias("mixed"), F.round(formulas.derived("revenue * k? / equity?"), 4).alias("optional"))
 
 
 @query("fill_derived", sql(_WIDE + """ SELECT entity, CAST(idx AS BIGINT) AS idx, round(coalesce(equity, revenue - cogs), 4) AS equity, equity IS NULL AND revenue - cogs IS NOT NULL AS equity_derived FROM w"""))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def statement(cells: DataFrame, keys: list[str], periods: list[str], value: str = "value") -> DataFrame:
     """A column for each period.  The periods are given, so nothing is collected to find them."""
-    return cells.groupBy(*keys).pivot("period", periods).agg(F.first(value))
+    return cells.groupBy(*keys).pivot("period", periods).agg(F.min(value))
 
 
 def csv_field(x: Column) -> Column:

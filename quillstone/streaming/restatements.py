@@ -15,10 +15,10 @@ def latest_restatements(facts: DataFrame, keys: list[str], state_path: str, chec
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         columns = batch.columns
-        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*columns), "filed").alias("_row")).select("_row.*")
+        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct("filed", *columns)).alias("_row")).select("_row.*")
         if number:
             old = spark.read.schema(batch.schema).parquet(f"{state_path}/v={number - 1}")
-            new = new.unionByName(old).groupBy(*keys).agg(F.max_by(F.struct(*columns), "filed").alias("_row")).select("_row.*")
+            new = new.unionByName(old).groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct("filed", *columns)).alias("_row")).select("_row.*")
         new.write.mode("overwrite").parquet(f"{state_path}/v={number}")
 
     return facts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
