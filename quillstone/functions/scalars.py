@@ -88,9 +88,10 @@ def name_tokens(name: Column, stop_words: tuple[str, ...] = ()) -> Column:
 
 
 def class_label(member: Column) -> Column:
-    """Class A, Class B ... of a share class's member name; else the spaced name."""
-    letter = F.regexp_extract(bare_name(member), "[Cc]lass([A-Z])(?![a-z])", 1)
-    return F.when(letter != "", F.concat(F.lit("Class "), F.upper(letter))).otherwise(spaced_name(member))
+    """Class A, Class B ... of a share class's member name; else the name without its ending."""
+    name = bare_name(member)
+    letter = F.regexp_extract(name, "Class([A-Z][0-9]?)", 1)
+    return F.when(letter != "", F.concat(F.lit("Class "), letter)).otherwise(F.replace(name, F.lit("Member"), F.lit("")))
 
 
 def digits_masked(text: Column) -> Column:

@@ -12,8 +12,15 @@ from quillstone.functions.scalars import thousands, upper_middle
 
 
 def dense_grid(values: DataFrame, keys: list[str], periods: DataFrame) -> DataFrame:
-    """A row for each key and period, values being null where there is none.  periods: period, idx, a bounded calendar."""
-    return values.select(*keys).distinct().crossJoin(F.broadcast(periods)).join(values, [*keys, "period"], "left")
+    """A row for each key and period, values being null where there is none.
+
+    periods: period, idx, a bounded calendar; values has one row at most for each key and period.  A key's values, no
+    more than the calendar has periods, travel as one map, so values is computed once.
+    """
+    rest = [c for c in values.columns if c not in (*keys, "period")]
+    known = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("period", F.struct(*rest).alias("_v")))).alias("_known"))
+    placed = known.crossJoin(F.broadcast(periods)).withColumn("_cell", F.try_element_at("_known", F.col("period")))
+    return placed.select(*keys, "period", *(c for c in periods.columns if c != "period"), *(F.col(f"_cell.{c}").alias(c) for c in rest))
 
 
 def line(keys: list[str]) -> WindowSpec:

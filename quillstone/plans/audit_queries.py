@@ -47,12 +47,12 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.cooccurrence(direct, weak).withColumn("rate", F.round("rate", 6))
 
 
-_HITS = """h AS (SELECT DISTINCT l_suppkey AS entity, p_type AS concept FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 AND p_size > 25), u AS (SELECT s_suppkey AS entity, s_nationkey % 4 AS grp FROM supplier)"""
+_HITS = """h AS (SELECT DISTINCT l_suppkey AS entity, p_brand || '/' || p_type || '/' || CAST(p_size AS VARCHAR) AS concept FROM lineitem JOIN part ON l_partkey = p_partkey), u AS (SELECT s_suppkey AS entity, s_nationkey % 4 AS grp FROM supplier)"""
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    hits = items.where("l_quantity > 49 and p_size > 25").select(F.col("l_suppkey").alias("entity"), F.col("p_type").alias("concept"))
+    hits = items.select(F.col("l_suppkey").alias("entity"), F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("concept"))
     return hits, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), (F.col("s_nationkey") % 4).alias("grp"))
 
 
@@ -66,7 +66,7 @@ def coverage_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("set_ops_universal", f"WITH {_RATES} SELECT concept FROM r WHERE rate >= 0.5 GROUP BY 1 HAVING count(DISTINCT grp) = (SELECT count(DISTINCT grp) FROM r)")
 def set_ops_universal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part types that half of the suppliers of every group have delivered large lots of."""
+    """Kinds of parts that half of the suppliers of every group have delivered."""
     return audits.universal(audits.coverage(*_hits(spark, sf_dir), ["grp"]), "grp", 0.5)
 
 

@@ -55,7 +55,9 @@ def cells(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
 def grid(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
     """cells on the calendar of all quarters, idx counting from 1."""
     known = cells(spark, sf_dir, fine)
-    bounds = keyed_facts(spark, sf_dir).agg(F.min(F.col("fy") * 4 + F.col("q")).alias("lo"), F.max(F.col("fy") * 4 + F.col("q")).alias("hi"))
+    # every line item has an order, so the calendar comes from the ship dates alone
+    fy, q = fiscal_period(F.to_date("l_shipdate"), F.lit(12))
+    bounds = table(spark, sf_dir, "lineitem").select(fy.alias("fy"), q.alias("q")).agg(F.min(F.col("fy") * 4 + F.col("q")).alias("lo"), F.max(F.col("fy") * 4 + F.col("q")).alias("hi"))
     periods = bounds.select("lo", F.explode(F.sequence("lo", "hi")).alias("period")).select("period", (F.col("period") - F.col("lo") + 1).alias("idx"))
     return dense_grid(known.drop("fy", "q"), ["entity", "tag"], periods)
 

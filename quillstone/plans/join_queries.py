@@ -107,7 +107,10 @@ def split_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.detected(df)
 
 
-@query("interval_stabbing")
+@query("interval_stabbing", sql(""", i AS MATERIALIZED (SELECT customer, k1, min(filed) AS lo, max(e) AS hi FROM facts GROUP BY 1, 2 HAVING min(filed) < max(e)),
+o AS MATERIALIZED (SELECT customer, lo, hi, row_number() OVER (PARTITION BY customer ORDER BY hi, lo) AS r FROM (SELECT DISTINCT customer, lo, hi FROM i)),
+p AS (SELECT customer, r, hi AS point FROM o WHERE r = 1 UNION ALL SELECT o.customer, o.r, CASE WHEN o.lo >= p.point THEN o.hi ELSE p.point END FROM p JOIN o ON o.customer = p.customer AND o.r = p.r + 1)
+SELECT i.customer, i.k1, i.lo, i.hi, min(p.point) AS threshold FROM i JOIN (SELECT DISTINCT customer, point FROM p) p ON i.customer = p.customer AND p.point > i.lo AND p.point <= i.hi GROUP BY 1, 2, 3, 4""").replace("WITH facts AS", "WITH RECURSIVE facts AS", 1))
 def interval_stabbing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fewest days such that each order's time between order and last shipment holds one, by customer."""
     df = facts(spark, sf_dir).groupBy("customer", "k1").agg(F.min("filed").alias("lo"), F.max("end").alias("hi")).where("lo < hi")

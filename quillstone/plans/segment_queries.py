@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import segments
-from quillstone.plans.bindings import facts, sql, table
+from quillstone.plans.bindings import facts, keyed_facts, sql, table
 from quillstone.plans.registry import query
 
 
@@ -31,10 +31,20 @@ def cross_tab_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.projected(cross, totals, none, 0.12).select("entity", "period", "member", F.col("val").cast("double").alias("val"))
 
 
-@query("subset_parents")
+@query("subset_parents", sql(""", leaf AS (SELECT entity, year(e) AS period, form AS member, CAST(sum(val) AS DOUBLE) AS val FROM facts GROUP BY 1, 2, 3), both_ AS (SELECT * FROM leaf UNION ALL SELECT entity, year(e), '0-TOGETHER', CAST(sum(val) AS DOUBLE) FROM facts WHERE form < '3' GROUP BY 1, 2),
+t AS (SELECT entity, year(e) AS period, CAST(sum(val) AS DOUBLE) AS total FROM facts GROUP BY 1, 2), m AS (SELECT b.*, total, CAST(row_number() OVER (PARTITION BY entity, period ORDER BY member) - 1 AS INTEGER) AS k FROM both_ b JOIN t USING (entity, period)),
+sets AS (SELECT entity, period, total, count(*) AS n, list(val ORDER BY k) AS vals, list(member ORDER BY k) AS names FROM m GROUP BY 1, 2, 3),
+masks AS (SELECT entity, period, total, names, g.mask, bit_count(g.mask) AS size, list_sum(list_transform(range(0, n), lambda i: CASE WHEN (g.mask >> CAST(i AS INTEGER)) & 1 = 1 THEN vals[i + 1] ELSE 0 END)) AS s, n FROM sets, (SELECT CAST(unnest(range(1, 64)) AS INTEGER) AS mask) g WHERE g.mask < (1 << CAST(n AS INTEGER))),
+hits AS (SELECT *, max(size) OVER (PARTITION BY entity, period) AS best FROM masks WHERE abs(s - total) <= abs(total) * 0.005),
+votes AS (SELECT entity, list_filter(names, lambda x, i: (mask >> CAST(i - 1 AS INTEGER)) & 1 = 0) AS parents, count(*) AS n FROM hits WHERE size = best GROUP BY 1, 2),
+chosen AS (SELECT entity, parents FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, len(parents), parents) AS r FROM votes) WHERE r = 1),
+j AS (SELECT m.*, coalesce(list_contains(c.parents, m.member), false) AS p FROM m LEFT JOIN chosen c USING (entity)),
+ok AS (SELECT entity, period, abs(sum(val) - max(total)) <= abs(max(total)) * 0.005 AS bare, abs(coalesce(sum(CASE WHEN NOT p THEN val END), 0) - max(total)) <= abs(max(total)) * 0.005 AS without FROM j GROUP BY 1, 2),
+gain AS (SELECT entity, count(*) FILTER (without) > count(*) FILTER (bare) AS accept FROM ok GROUP BY 1)
+SELECT j.entity, 'form' AS axis, 'revenue' AS concept, j.period, 'A' AS kind, member, val, p AND accept AS is_parent, false AS is_residual, CASE WHEN accept THEN without ELSE bare END AS verified FROM j JOIN ok USING (entity, period) JOIN gain USING (entity)"""))
 def subset_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly breakdowns by form, reported together with sums of some forms, taken apart again."""
-    df = facts(spark, sf_dir).withColumn("period", F.year("end"))
+    df = facts(spark, sf_dir).withColumn("period", F.year("end").cast("long"))
     leaves = df.groupBy("entity", "period", F.col("form").alias("member")).agg(F.sum("val").cast("double").alias("val"))
     sums = df.where("form < '3'").groupBy("entity", "period", F.lit("0-TOGETHER").alias("member")).agg(F.sum("val").cast("double").alias("val"))
     values = leaves.unionByName(sums).select("entity", F.lit("form").alias("axis"), F.lit("revenue").alias("concept"), "period", F.lit("A").alias("kind"), "member", "val", F.lit(False).alias("is_residual"))
@@ -42,15 +52,15 @@ def subset_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.reconciled(values, totals)
 
 
-@query("segment_ratios", sql(""", y AS (SELECT entity, year(e) AS period, form AS member, CAST(sum(CASE WHEN tag = 'A' THEN val END) AS DOUBLE) AS revenue, CAST(sum(CASE WHEN tag = 'N' THEN val END) AS DOUBLE) AS cogs FROM facts GROUP BY 1, 2, 3)
-SELECT entity, CAST(period AS BIGINT) AS period, member, revenue, round(sum(revenue) OVER w, 2) AS total, round(revenue / nullif(sum(revenue) OVER w, 0), 6) AS share, round((revenue - cogs) / nullif(revenue, 0), 6) AS gross_margin FROM y WHERE revenue IS NOT NULL OR cogs IS NOT NULL WINDOW w AS (PARTITION BY entity, period)"""))
+@query("segment_ratios", sql(""", y AS (SELECT entity, year(e) AS period, form AS member, CAST(sum(CASE WHEN tag = 'A' THEN val END) AS DOUBLE) AS revenue, CAST(sum(CASE WHEN tag = 'N' THEN val END) AS DOUBLE) AS cogs, CAST(sum(CASE WHEN tag = 'R' THEN val END) AS DOUBLE) AS oi FROM facts GROUP BY 1, 2, 3)
+SELECT entity, CAST(period AS BIGINT) AS period, member, revenue, round(sum(revenue) OVER w, 2) AS total, round(revenue / nullif(sum(revenue) OVER w, 0), 6) AS share, round((revenue - cogs) / nullif(revenue, 0), 6) AS gross_margin, round(oi / nullif(revenue, 0), 6) AS operating_margin FROM y WINDOW w AS (PARTITION BY entity, period)"""))
 def segment_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = facts(spark, sf_dir).where("tag <> 'R'").groupBy("entity", F.year("end").cast("long").alias("period"), F.col("form").alias("member"), F.when(F.col("tag") == "A", "revenue").otherwise("cogs").alias("concept")).agg(F.sum("val").cast("double").alias("val"))
+    df = facts(spark, sf_dir).groupBy("entity", F.year("end").cast("long").alias("period"), F.col("form").alias("member"), F.when(F.col("tag") == "A", "revenue").when(F.col("tag") == "N", "cogs").otherwise("operating_income").alias("concept")).agg(F.sum("val").cast("double").alias("val"))
     marked = df.withColumn("axis", F.lit("form")).withColumn("is_parent", F.lit(False)).withColumn("is_residual", F.lit(False))
-    return segments.ratios(marked).select("entity", "period", "member", "revenue", F.round("total", 2).alias("total"), F.round("share", 6).alias("share"), F.round("gross_margin", 6).alias("gross_margin"))
+    return segments.ratios(marked).select("entity", "period", "member", "revenue", F.round("total", 2).alias("total"), F.round("share", 6).alias("share"), F.round("gross_margin", 6).alias("gross_margin"), F.round("operating_margin", 6).alias("operating_margin"))
 
 
-@query("structure_generations", """WITH RECURSIVE p AS (SELECT DISTINCT c_nationkey AS entity, o_custkey AS member, year(o_orderdate) * 100 + month(o_orderdate) AS period FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 350000),
+@query("structure_generations", """WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS entity, o_orderpriority AS member, year(o_orderdate) * 4 + quarter(o_orderdate) AS period FROM orders),
 edges AS (SELECT DISTINCT a.entity, a.member AS x, b.member AS y FROM p a JOIN p b ON a.entity = b.entity AND a.period = b.period),
 reach AS (SELECT DISTINCT entity, member AS x, member AS y FROM p UNION SELECT r.entity, r.x, e.y FROM reach r JOIN edges e ON r.entity = e.entity AND r.y = e.x),
 comp AS (SELECT entity, x AS member, min(y) AS root FROM reach GROUP BY 1, 2),
@@ -58,10 +68,9 @@ first AS (SELECT c.entity, c.root, list_sort(list(DISTINCT p.period)) AS s FROM
 ranked AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY s) AS g, count(*) OVER (PARTITION BY entity) AS n FROM first)
 SELECT c.entity, c.member, g AS generation FROM comp c JOIN ranked r ON c.entity = r.entity AND c.root = r.root WHERE n BETWEEN 2 AND 3""")
 def structure_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of a nation linked by months with large orders, where that makes two or three groups."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("entity"))
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 350000").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    presence = o.select("entity", F.col("o_custkey").alias("member"), (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long").alias("period")).distinct()
+    """Order priorities of a customer linked by quarters that have both, where that makes two or three groups."""
+    period = (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("long")
+    presence = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("member"), period.alias("period")).distinct()
     return segments.generations(presence, ["entity"]).withColumn("generation", F.col("generation").cast("long"))
 
 
@@ -79,3 +88,17 @@ def segment_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.admitted(df, axes).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.sum("val").cast("double").alias("amount"))
 
 
+@query("breakdown_gaps", sql(""", c AS (SELECT entity, tag, fy * 4 + q AS period, status AS axis, form AS member, CAST(max(val) AS DOUBLE) AS val FROM keyed WHERE tag <> 'R' GROUP BY 1, 2, 3, 4, 5), s AS (SELECT entity, axis, member, period, max(val) AS val FROM c GROUP BY 1, 2, 3, 4),
+q AS (SELECT entity, period, row_number() OVER (PARTITION BY entity ORDER BY period) AS idx FROM (SELECT DISTINCT entity, period FROM s)), x AS (SELECT s.*, idx, lead(idx) OVER w AS nxt, (abs(val) + abs(lead(val) OVER w)) / 2 AS mean FROM s JOIN q USING (entity, period) WINDOW w AS (PARTITION BY entity, axis, member ORDER BY idx)),
+h AS (SELECT entity, axis, mean, unnest(range(idx + 1, nxt)) AS place FROM x WHERE nxt > idx + 1),
+d AS (SELECT entity, CAST(sum(val) AS DOUBLE) AS amount, count(*) AS n FROM facts WHERE tag = 'R' GROUP BY 1),
+g AS (SELECT entity, 'period_hole' AS code, axis, count(DISTINCT place) AS n, round(sum(mean) / 7000, 3) AS amount FROM h GROUP BY 1, 2, 3 UNION ALL SELECT entity, 'axis_dropped', 'lost', n, round(amount / 7000, 3) FROM d UNION ALL SELECT entity, 'dropped_facts', 'cross_axis', n, round(amount / 7000, 3) FROM d)
+SELECT *, row_number() OVER (PARTITION BY entity ORDER BY amount DESC, code, axis) AS rank FROM g"""))
+def breakdown_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What breakdowns by form and status lack: quarters between others, and the axis and facts of tag R, which are left out."""
+    df = keyed_facts(spark, sf_dir).withColumn("period", (F.col("fy") * 4 + F.col("q")).cast("long")).withColumn("val", F.col("val").cast("double"))
+    axis = F.when(F.col("tag") == "R", "lost").otherwise(F.col("status"))
+    marked = df.select("entity", F.lit("revenue").alias("concept"), F.array(F.struct(axis.alias("axis"), F.col("form").alias("member"))).alias("dims"), "val", F.when(F.col("tag") == "R", "cross_axis").alias("reason"))
+    shown = df.where("tag <> 'R'").groupBy("entity", F.col("status").alias("axis"), F.col("form").alias("member"), "period").agg(F.max("val").alias("val")).withColumn("kind", F.lit("Q")).withColumn("concept", F.lit("revenue"))
+    totals = shown.select("entity", "concept", "period").distinct().withColumn("total", F.lit(-1.0))
+    return segments.gaps(marked, shown, totals).select("entity", "code", "axis", "n", F.round(F.col("amount") / 7000, 3).alias("amount"), F.col("rank").cast("long").alias("rank"))

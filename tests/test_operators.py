@@ -299,3 +299,78 @@ def test_tag_scores_count_tokens_of_many_concepts(spark):
     tags = spark.createDataFrame([("t", ["own7", "common"])], "tag string, tokens array<string>")
     got = audits.score_tags(tags, concepts).collect()
     assert [(r.tag, r.concept) for r in got] == [("t", 7)] and got[0].score == pytest.approx(math.log(1300) + math.log(1300 / 1200))
+
+
+def test_counts_that_the_next_average_catches_up_with(spark):
+    # 130 against 100, the next average being 109: it didn't move by a tenth, so the count goes; at 120 it stays
+    rows = [(1, 0, 130.0, "cover", 100.0, 100.0), (1, 1, 109.0, "cover", 109.0, None), (2, 0, 130.0, "cover", 100.0, 100.0), (2, 1, 120.0, "cover", 120.0, None), (3, 0, 50.0, "x", 100.0, 0.0), (3, 1, 70.0, "x", None, 70.0)]
+    df = spark.createDataFrame(rows, "k int, idx int, shares double, src string, weighted double, other double")
+    got = {(r.k, r.idx): r.shares for r in repairs.arbitrate_shares(df, ["k"], "shares", "src", "weighted", {"other": "other"}).collect()}
+    assert got == {(1, 0): 100.0, (1, 1): 109.0, (2, 0): 130.0, (2, 1): 120.0, (3, 0): 50.0, (3, 1): 70.0}
+    convicted = spark.createDataFrame([(1, 0, 50.0, "x", 100.0, 101.0), (1, 1, 115.0, "x", 100.0, None), (1, 2, 70.0, "x", None, 70.0), (1, 3, 108.0, "x", 100.0, 100.0)], df.schema)
+    got = {r.idx: (r.shares, r.src) for r in repairs.arbitrate_shares(convicted, ["k"], "shares", "src", "weighted", {"other": "other"}).collect()}
+    assert got == {0: (101.0, "other"), 1: (None, "x"), 2: (None, "x"), 3: (108.0, "x")}
+
+
+def test_listing_cut_counts_values_alone(spark):
+    got = series.before_listing(series_of(spark, [None] * 10 + [10.0, None, 100.0, 110.0]), ["k"], "v").select("idx").collect()
+    assert sorted(r.idx for r in got) == [12, 13]
+    annual = series.before_listing(series_of(spark, [10.0, 100.0, 110.0]), ["k"], "v", F.lit(True))
+    assert annual.count() == 3
+
+
+def test_optional_factors_and_masks(spark):
+    df = spark.createDataFrame([(6.0, None, 3.0), (6.0, 2.0, None), (6.0, 0.0, 3.0)], "a double, b double, c double")
+    got = df.select(formulas.derived("a * b?").alias("x"), formulas.derived("a / c?").alias("y")).collect()
+    assert [(r.x, r.y) for r in got] == [(6.0, 2.0), (12.0, 6.0), (None, 2.0)]
+    assert one(spark, m=scalars.digits_masked(F.lit("a12b"))).m == "a##b"
+
+
+def test_holes_are_counted_by_quarter(spark):
+    shown = spark.createDataFrame([(1, "a", m, p, "Q", "revenue", 10.0) for m in "xy" for p in ("q1", "q3")] + [(1, "a", "z", "q2", "Q", "revenue", 1.0)], "entity int, axis string, member string, period string, kind string, concept string, val double")
+    marked = spark.createDataFrame([], "entity int, concept string, dims array<struct<axis:string,member:string>>, val double, reason string")
+    totals = spark.createDataFrame([], "entity int, concept string, period string, total double")
+    assert [(r.n, r.amount) for r in segments.gaps(marked, shown, totals).where("code = 'period_hole'").collect()] == [(1, 20.0)]
+
+
+def test_each_split_is_matched_once(spark):
+    schema = "entity int, threshold date, factor double, confirmed boolean, dev double, dev_raw double"
+    found = spark.createDataFrame([(1, day("2020-03-01"), 2.0, True, 0.0, 0.0), (1, day("2020-04-01"), 2.0, True, 0.0, 0.0), (1, day("2022-01-01"), 2.0, True, 0.5, 0.5)], schema)
+    listed = spark.createDataFrame([(1, day("2020-02-01"), 2.0, day("2010-01-01"), day("2020-03-01")), (1, None, None, day("2010-01-01"), None)], "entity int, ex_date date, factor double, cover_start date, first_filed date")
+    got = {(r.threshold, r.cell) for r in splits.decided(found, listed).collect()}
+    assert got == {(day("2020-03-01"), "both"), (day("2020-04-01"), "repeat"), (day("2022-01-01"), "denied")}
+    assert splits.arbitrated(found, listed, found.select("entity")).count() == 0
+
+
+def test_statement_steps_run_in_order(spark):
+    from quillstone.operators import statements
+
+    seen = []
+    steps = {name: (lambda df, _, name=name: seen.append(name) or df) for name in repairs.ORDER}
+    kept = dict(statements.STEPS)
+    assert tuple(kept) == repairs.ORDER
+    try:
+        statements.STEPS.update(steps)
+        statements.statement(spark.range(1), statements.Rules(["id"]))
+    finally:
+        statements.STEPS.update(kept)
+    assert tuple(seen) == repairs.ORDER
+
+
+def test_valuation_needs_one_currency(spark):
+    from quillstone.operators import statements
+
+    names = ("net_income", "revenue", "cfo", "capex", "operating_income", "dna", "equity", "total_liabilities", "cash", "short_term_investments", "short_term_debt", "long_term_debt", "shares")
+    rows = [(k, i, day(f"2024-0{3 * i}-28"), c, *[1.0 + i] * len(names)) for k, c in ((1, "USD"), (2, "EUR")) for i in (1, 2)]
+    grid = spark.createDataFrame(rows, "k int, idx int, end date, currency string, " + ", ".join(f"{n} double" for n in names))
+    prices = spark.createDataFrame([(k, day("2024-03-20"), 10.0, "USD") for k in (1, 2)] + [(1, day("2024-06-01"), 20.0, "USD")], "k int, d date, price double, price_currency string")
+    got = {(r.k, r.idx): r.market_cap for r in statements.valued(grid, prices, ["k"], "end", "currency").collect()}
+    assert got == {(1, 1): 20.0, (1, 2): 60.0, (2, 1): None, (2, 2): None}
+
+
+def test_config_asset(spark, tmp_path):
+    from quillstone.sources import config
+
+    (tmp_path / "axes.json").write_text('{"axes": [{"name": "a", "priority": 2}, {"name": "b", "priority": 1}]}')
+    got = config.asset(spark, str(tmp_path / "axes.json"), "axes array<struct<name:string,priority:int>>", "axes").collect()
+    assert [(r.ordinal, r.name, r.priority) for r in got] == [(0, "a", 2), (1, "b", 1)]
