@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the docs of
 the next.  All but the last return the columns of docs, whatever they are.  The classifiers learn from the documents
 and labels of sf_dir, from the rows outside their held-out fold.
+
+Null and empty texts are scored and kept or rejected as texts without words; they link with nothing and take one token
+each when packed.  Very long texts are read whole, in windows where a stage needs them.  Equal texts are treated alike; of
+repeated rows, and of rows of equal doc_id and text, near_duplicates keeps one: the one of least hash of all columns.  Rows
+with null doc_id take part in all stages.  An empty table gives an empty result.  Columns of any name are kept by all
+stages but the last; each stage numbers them while it works, so no name clashes.
 """
 
 from __future__ import annotations
