@@ -1,24 +1,114 @@
-"""The pipeline: its stages keep all columns and what they should."""
+"""The pipeline: its stages against plain versions, and on odd rows."""
+
+import itertools
 
 import corpus_pipeline
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from quillstone.llm import packing, quality, toxicity
 from quillstone.llm.common import table
 from quillstone.llm.queries import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def plain_shingles(t):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    for c in "\t\n\v\f\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
+def plain_kept(rows):
+    """doc_id kept of (doc_id, text): the least of each component of pairs with similarity of 0.75 or more."""
+    sets, root = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            root[top(a)] = top(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min(least.get(top(k), i), i)
+    return set(least.values())
+
+
+def plain_sequences(lengths):
+    """Number of windows of best-fit decreasing, full windows cut first."""
+    pieces = sorted((n for total in lengths for n in [packing.WINDOW] * (total // packing.WINDOW) + [total % packing.WINDOW] if n), reverse=True)
+    open_ = []
+    for n in pieces:
+        fits = [c for c in open_ if c >= n]
+        if fits:
+            open_.remove(min(fits))
+        open_.append((min(fits) if fits else packing.WINDOW) - n)
+    return len(open_)
+
 
+def ids(df):
+    return {r.doc_id for r in df.select("doc_id").collect()}
 
-def test_stages(spark):
+
+def test_stages_against_plain_versions(spark):
     docs = table(spark, SMALL, "documents")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, SMALL)
-        assert after.columns == docs.columns, name
-        ids = {r.doc_id for r in after.select("doc_id").collect()}
-        assert ids <= {r.doc_id for r in kept.select("doc_id").collect()} and ids
-        kept = after
-    pieces = corpus_pipeline.run(spark, SMALL)
-    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
+    scores = {r.doc_id: r.score for r in quality.classify(docs, table(spark, SMALL, "labels")).collect()}
+    good = STAGES["quality"](spark, docs, SMALL)
+    assert good.columns == docs.columns and ids(good) == {i for i, s in scores.items() if s >= 0.3}
+    bad = {r.doc_id for r in toxicity.classify(docs, table(spark, SMALL, "labels")).where("toxic = 1").collect()}
+    harmless = STAGES["toxicity"](spark, good, SMALL)
+    assert harmless.columns == docs.columns and ids(harmless) == ids(good) - bad
+    rows = [(r.doc_id, r.text) for r in harmless.collect()]
+    distinct = STAGES["near_duplicates"](spark, harmless, SMALL)
+    assert distinct.columns == docs.columns and ids(distinct) == plain_kept(rows)
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    plain.encode_special_tokens = True
+    lengths = {i: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows if i in ids(distinct)}
+    pieces = corpus_pipeline.run(spark, SMALL).collect()
+    assert {r.doc_id: r.doc_tokens for r in pieces} == lengths
+    assert len({r.sequence_id for r in pieces}) == plain_sequences(lengths.values())
+
+
+def odd(spark, rows):
+    """Rows whose further columns have names that stages use themselves."""
+    rows = [(i, t, k, "x", 1.5, None) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(rows, "doc_id long, text string, label int, score string, toxic double, `part.id` string").repartition(2)
+
+
+ROWS = [(1, None), (2, ""), (3, "a b"), (4, "the same five words here " * 30), (5, "the same five words here " * 30), (5, "the same five words here " * 30), (None, "no id at all"), (7, "word " * 40_000)]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_on_odd_rows(spark, name):
+    df = odd(spark, ROWS)
+    got = STAGES[name](spark, df, SMALL)
+    assert got.columns == df.columns and [f.dataType for f in got.schema] == [f.dataType for f in df.schema]
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert all(row in ROWS for row in kept)
+    # equal texts have one fate, but for near-duplicates
+    if name == "near_duplicates":
+        assert sorted(str(i) for i, _ in kept) == sorted(map(str, (1, 2, 3, 4, None, 7)))
+        again = STAGES[name](spark, df.orderBy(F.desc("label")), SMALL)
+        assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+    else:
+        assert sum(i in (4, 5) for i, _ in kept) in (0, 3)
+    assert STAGES[name](spark, df.where("false"), SMALL).count() == 0
+
+
+def test_packing_of_odd_rows(spark):
+    df = odd(spark, ROWS)
+    got = STAGES["packing"](spark, df, SMALL).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in ROWS} and STAGES["packing"](spark, df.where("false"), SMALL).count() == 0
+    assert sum(r.length for r in got if r.doc_id in (1, 2)) == 2
 
 
 def test_names():
