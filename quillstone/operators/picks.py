@@ -137,7 +137,7 @@ def hole_labels(holes: DataFrame, label: str, least: int = 1) -> DataFrame:
 def implied_latest(eps: DataFrame, income: DataFrame) -> DataFrame:
     """entity, d, implied: income over earnings per share on the newest day that has both, nought earnings skipped.  Both: entity, d, val."""
     both = eps.select("entity", "d", F.col("val").alias("_eps")).where("_eps <> 0").join(income, ["entity", "d"])
-    newest = both.groupBy("entity").agg(F.max(F.struct("d", F.abs(F.col("val") / F.col("_eps")).alias("implied"))).alias("x"))
+    newest = both.groupBy("entity").agg(F.max(F.struct("d", (F.col("val") / F.col("_eps")).alias("implied"))).alias("x"))
     return newest.select("entity", "x.d", "x.implied")
 
 

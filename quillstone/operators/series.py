@@ -90,17 +90,18 @@ def staleness(keys: list[str], real: Column) -> Column:
 
 
 def is_spike(keys: list[str], value: str, day: str) -> Column:
-    """A point unlike both neighbours though they agree, or an end far from its only neighbour."""
+    """A point unlike both neighbours though they agree, or an end far from its only neighbour, in series of three points or more."""
     w = Window.partitionBy(*keys).orderBy(day)
     before, after, v = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
 
     def apart(a: Column, b: Column) -> Column:
-        return F.greatest(a / b, b / a)
+        return F.greatest(F.try_divide(a, b), F.try_divide(b, a))
 
     inside = (apart(v, before) >= 1.6) & (apart(v, after) >= 1.6) & (apart(before, after) < 1.25)
     gap = F.coalesce(F.date_diff(F.lead(day).over(w), F.col(day)), F.date_diff(F.col(day), F.lag(day).over(w)))
     at_end = (before.isNull() | after.isNull()) & (apart(v, F.coalesce(before, after)) >= 2.5) & (gap >= 200)
-    return F.coalesce(inside | at_end, F.lit(False))
+    several = F.count(value).over(Window.partitionBy(*keys)) >= 3
+    return F.coalesce(several & (inside | at_end), F.lit(False))
 
 
 def stale_points(df: DataFrame, keys: list[str], value: str, day: str) -> DataFrame:
@@ -117,7 +118,7 @@ def stale_points(df: DataFrame, keys: list[str], value: str, day: str) -> DataFr
 def one_basis(keys: list[str], value: str, day: str) -> Column:
     """Whether no step between neighbours is fourfold or more, in either direction."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(day))
-    return F.greatest(F.col(value) / before, before / F.col(value)) < 4
+    return F.greatest(F.try_divide(F.col(value), before), F.try_divide(before, F.col(value))) < 4
 
 
 def rescaled(value: Column, anchor: Column, strong: Column, tolerance: float = 0.2) -> Column:

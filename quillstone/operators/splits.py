@@ -18,7 +18,7 @@ def observations(points: DataFrame) -> DataFrame:
     points: entity, period, kind (shares, per_share or instant), filed, val, pos.  Per-share values move the other way.
     Share counts weigh 2, per-share values 1.  The split lies after filing lo and not after filing hi.
     """
-    w = Window.partitionBy("entity", "kind", "period").orderBy("filed", "pos")
+    w = Window.partitionBy("entity", "kind", "period").orderBy("filed", "pos", "val")
     nxt = points.where("val > 0").withColumn("hi", F.lead("filed").over(w)).withColumn("_next", F.lead("val").over(w))
     ratio = F.when(F.col("kind") == "per_share", F.col("val") / F.col("_next")).otherwise(F.col("_next") / F.col("val"))
     seen = nxt.withColumn("ratio", ratio).withColumn("factor", split_factor(F.col("ratio"))).where("factor is not null and filed < hi")

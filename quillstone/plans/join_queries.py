@@ -100,7 +100,21 @@ def split_adjust_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.adjusted(df, events, ["entity", "tag"]).groupBy("entity", "tag").agg(F.round(F.sum("val"), 2).alias("adjusted"))
 
 
-@query("split_events")
+_CLEAN = "list_filter(CAST([2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 25, 30, 50] AS DOUBLE[]), lambda s: abs({r} - s) / s < 0.08)[1]"
+_SPLIT_EVENTS = f""", pts AS MATERIALIZED (SELECT part AS entity, tag || '/' || CAST(line AS VARCHAR) AS period, filed, CAST(val AS DOUBLE) AS val, k1 FROM facts WHERE val > 0),
+steps AS (SELECT entity, filed AS lo, lead(filed) OVER w AS hi, lead(val) OVER w / val AS ratio FROM pts WINDOW w AS (PARTITION BY entity, period ORDER BY filed, k1, val)),
+clean AS (SELECT *, CASE WHEN ratio >= 1.5 THEN {_CLEAN.format(r="ratio")} WHEN ratio > 0 AND ratio <= 0.67 THEN CAST(1 AS DOUBLE) / {_CLEAN.format(r="(CAST(1 AS DOUBLE) / ratio)")} END AS factor FROM steps WHERE lo < hi),
+seen AS MATERIALIZED (SELECT *, factor > 1 AS forward FROM clean WHERE factor IS NOT NULL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity, forward ORDER BY hi, lo) AS r FROM (SELECT DISTINCT entity, forward, lo, hi FROM seen)),
+p AS (SELECT entity, forward, r, hi AS point FROM o WHERE r = 1 UNION ALL SELECT o.entity, o.forward, o.r, CASE WHEN o.lo >= p.point THEN o.hi ELSE p.point END FROM p JOIN o ON o.entity = p.entity AND o.forward = p.forward AND o.r = p.r + 1),
+held AS (SELECT o.entity, o.forward, o.lo, o.hi, min(p.point) AS threshold FROM o JOIN (SELECT DISTINCT entity, forward, point FROM p) p ON o.entity = p.entity AND o.forward = p.forward AND p.point > o.lo AND p.point <= o.hi GROUP BY 1, 2, 3, 4),
+votes AS MATERIALIZED (SELECT entity, forward, threshold, factor, 2 * count(*) AS votes, min(abs(ratio / factor - 1)) AS dev_raw FROM seen JOIN held USING (entity, forward, lo, hi) GROUP BY 1, 2, 3, 4),
+sides AS (SELECT t.entity, t.threshold, b.val / a.val AS ratio FROM (SELECT DISTINCT entity, threshold FROM votes) t JOIN pts a ON a.entity = t.entity AND a.filed < t.threshold JOIN pts b ON b.entity = a.entity AND b.period = a.period AND b.filed >= t.threshold),
+judged AS (SELECT v.entity, v.forward, v.threshold, v.factor, v.votes, v.dev_raw, coalesce(bool_or(abs(s.ratio / v.factor - 1) < 0.08), false) AS confirmed, coalesce(bool_or(abs(s.ratio - 1) < 0.08), false) AS flat, min(abs(s.ratio / v.factor - 1)) AS near FROM votes v LEFT JOIN sides s ON s.entity = v.entity AND s.threshold = v.threshold GROUP BY 1, 2, 3, 4, 5, 6)
+SELECT entity, threshold, factor, confirmed, CASE WHEN confirmed THEN near END AS dev, dev_raw FROM (SELECT *, row_number() OVER (PARTITION BY entity, forward, threshold ORDER BY confirmed DESC, votes DESC, factor DESC) AS r FROM judged) WHERE r = 1 AND (confirmed OR NOT flat)"""
+
+
+@query("split_events", sql(_SPLIT_EVENTS).replace("WITH facts AS", "WITH RECURSIVE facts AS", 1))
 def split_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits seen in the part's unit price across filings, clustered, voted on and confirmed."""
     df = facts(spark, sf_dir).select(F.col("part").alias("entity"), F.concat_ws("/", "tag", "line").alias("period"), F.lit("shares").alias("kind"), "filed", F.col("val").cast("double").alias("val"), F.col("k1").alias("pos"))

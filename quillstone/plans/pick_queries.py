@@ -138,7 +138,7 @@ def systemic_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("implied_latest", sql(""", a AS (SELECT entity, e AS d, CAST(max(val) AS DOUBLE) AS val FROM facts WHERE tag = 'A' GROUP BY 1, 2), b AS (SELECT entity, e AS d, CAST(max(quantity) - 5 AS DOUBLE) AS val FROM facts WHERE tag = 'N' GROUP BY 1, 2)
-SELECT a.entity, max(a.d) AS d, round(arg_max(abs(a.val / b.val), a.d), 6) AS implied FROM a JOIN b ON a.entity = b.entity AND a.d = b.d WHERE b.val <> 0 GROUP BY 1"""))
+SELECT a.entity, max(a.d) AS d, round(arg_max(a.val / b.val, a.d), 6) AS implied FROM a JOIN b ON a.entity = b.entity AND a.d = b.d WHERE b.val <> 0 GROUP BY 1"""))
 def implied_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = facts(spark, sf_dir).withColumnRenamed("end", "d")
     income = df.where("tag = 'A'").groupBy("entity", "d").agg(F.max("val").cast("double").alias("val"))

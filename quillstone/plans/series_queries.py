@@ -86,7 +86,7 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("d")).agg((F.max("value").cast("double") + 1).alias("v"))
 
 
-@query("spike_filter", _DAILY + """ SELECT entity, d, v FROM n WHERE NOT coalesce(
+@query("spike_filter", _DAILY + """ SELECT entity, d, v FROM (SELECT *, count(*) OVER (PARTITION BY entity) AS m FROM n) WHERE m < 3 OR NOT coalesce(
   (greatest(v / b, b / v) >= 1.6 AND greatest(v / a, a / v) >= 1.6 AND greatest(b / a, a / b) < 1.25 AND a IS NOT NULL AND b IS NOT NULL)
   OR ((a IS NULL OR b IS NULL) AND greatest(v / coalesce(b, a), coalesce(b, a) / v) >= 2.5 AND coalesce(ad - d, d - bd) >= 200), false)""")
 def spike_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

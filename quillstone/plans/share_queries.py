@@ -47,6 +47,40 @@ def class_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.class_totals(df, implied).withColumn("total", F.round("total", 2))
 
 
+_CLASS_SERIES = """, c0 AS (SELECT part AS entity, CAST(year(e) AS INTEGER) AS y, CAST(line AS VARCHAR) AS class, floor(CAST(sum(quantity) AS DOUBLE) / 5) * 5 AS n, line <> 7 AS earns FROM facts GROUP BY part, year(e), line),
+c1 AS (SELECT * FROM c0 WHERE n <> 0 QUALIFY row_number() OVER (PARTITION BY entity, y, n ORDER BY class) = 1),
+c2 AS (SELECT *, count(*) OVER d AS k, coalesce(abs(n / nullif(sum(n) OVER d - n, 0) - 1) < 0.005, false) AS sub FROM c1 WINDOW d AS (PARTITION BY entity, y)),
+c3 AS (SELECT entity, y, class, n, earns FROM (SELECT *, count(*) FILTER (sub) OVER (PARTITION BY entity, y ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c2) WHERE NOT sub OR k - before <= 2),
+c4 AS (SELECT *, n / sum(n) OVER d AS share, count(*) OVER d AS k, max(y) OVER (PARTITION BY entity) AS newest FROM c3 WINDOW d AS (PARTITION BY entity, y)),
+need AS (SELECT entity, count(*) AS need FROM c4 WHERE y = newest AND share >= 0.05 GROUP BY 1),
+c5 AS (SELECT c4.* FROM c4 JOIN need USING (entity) WHERE k >= need),
+imp AS (SELECT part AS entity, CAST(sum(quantity) FILTER (line > 1) AS DOUBLE) AS implied FROM facts JOIN (SELECT part, max(year(e)) AS y FROM facts GROUP BY 1) m USING (part) WHERE year(e) = m.y AND part % 3 <> 0 GROUP BY 1),
+u AS (SELECT entity, class, n, implied, sum(n) OVER w AS total, count(*) OVER w AS k, bool_or(entity % 4 = 0 AND class = '2') OVER w AS conv FROM c5 JOIN imp USING (entity) WHERE y = newest AND implied > 0 WINDOW w AS (PARTITION BY entity)),
+up AS (SELECT entity, class FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY abs(total - n - implied) / implied, class) AS r FROM u WHERE k > 1 AND NOT conv AND abs(total - implied) / implied > 0.25) WHERE r = 1 AND abs(total - n - implied) / implied < 0.1),
+c6 AS (SELECT c5.* FROM c5 ANTI JOIN up USING (entity, class)),
+s AS (SELECT entity, y, count(*) AS k, sum(n) AS a, sum(n) FILTER (earns) AS earning, count(*) FILTER (earns) AS ke, sum(n) FILTER (entity % 4 = 0 AND class = '2') AS target, max(implied) AS implied FROM c6 LEFT JOIN imp USING (entity) GROUP BY 1, 2),
+b AS (SELECT *, CASE WHEN ke > 0 AND ke < k AND abs(earning - implied) < abs(a - implied) THEN 'earning classes' WHEN k = 1 THEN 'one class' WHEN target IS NOT NULL AND k = 2 THEN 'converted' WHEN target IS NOT NULL THEN 'open' ELSE 'all classes' END AS basis FROM s),
+t AS (SELECT entity, y, basis, CASE basis WHEN 'earning classes' THEN earning WHEN 'converted' THEN (a - target) * 3 + target ELSE a END AS total FROM b WHERE basis <> 'open'),
+band AS (SELECT * FROM (SELECT *, arg_max(total, y) OVER (PARTITION BY entity) AS newest FROM t) WHERE total / newest BETWEEN 0.5 AND 2),
+near AS (SELECT *, lag(total) OVER w AS p, lead(total) OVER w AS q, count(*) OVER (PARTITION BY entity) AS m FROM band WINDOW w AS (PARTITION BY entity ORDER BY y)),
+smooth AS (SELECT * FROM near WHERE NOT (m >= 3 AND CASE WHEN p IS NULL OR q IS NULL THEN greatest(total / coalesce(p, q), coalesce(p, q) / total) >= 2.5 ELSE greatest(total / p, p / total) >= 1.6 AND greatest(total / q, q / total) >= 1.6 AND greatest(p / q, q / p) < 1.25 END)),
+steps AS (SELECT *, lag(total) OVER (PARTITION BY entity ORDER BY y) AS before FROM smooth),
+kept AS (SELECT *, bool_and(before IS NULL OR greatest(total / before, before / total) < 4) OVER (PARTITION BY entity) AS steady FROM steps)
+SELECT entity, make_date(y, 12, 31) AS "end", total, basis FROM kept WHERE steady"""
+
+
+@query("class_series", sql(_CLASS_SERIES))
+def class_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One series of yearly totals of each part, its line numbers being classes, of which 7 earns nothing and 2 converts for some parts."""
+    df = facts(spark, sf_dir).withColumn("end", F.make_date(F.year("end"), F.lit(12), F.lit(31))).drop("entity").withColumnRenamed("part", "entity")
+    n = F.floor(F.sum("quantity").cast("double") / 5) * 5.0
+    classes = df.groupBy("entity", "end", F.col("line").cast("string").alias("class")).agg(n.alias("n"), (F.first("line") != 7).alias("earns"))
+    newest = df.groupBy("entity", "end").agg(F.sum(F.when(F.col("line") > 1, F.col("quantity"))).cast("double").alias("implied")).where("entity % 3 <> 0")
+    implied = newest.groupBy("entity").agg(F.max_by("implied", "end").alias("implied"))
+    ratios = df.where("entity % 4 = 0").select("entity", F.lit("2").alias("class"), F.lit(3.0).alias("ratio")).distinct()
+    return shares.class_series(classes, implied, ratios)
+
+
 @query("gap_census", sql(""", g AS (SELECT e.entity, c.concept FROM (SELECT DISTINCT entity FROM facts) e CROSS JOIN (SELECT DISTINCT part % 40 AS concept FROM facts) c),
 f AS (SELECT entity, part % 40 AS concept, max(CASE WHEN line = 1 THEN 1 END) AS a, max(CASE WHEN line = 2 THEN 1 END) AS b, max(CASE WHEN line = 3 THEN 1 END) AS c, max(CASE WHEN line = 4 THEN 1 END) AS d, max(CASE WHEN line = 5 THEN 1 END) AS e FROM facts GROUP BY 1, 2)
 SELECT g.entity, g.concept, CASE WHEN a = 1 THEN 'filled' WHEN b = 1 THEN 'dash' WHEN c = 1 THEN 'dim_only' WHEN d = 1 THEN 'fixable' WHEN e = 1 THEN 'custom' ELSE 'over_broad' END AS state FROM g LEFT JOIN f ON g.entity = f.entity AND g.concept = f.concept"""))
