@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,21 @@ def spread_join(many: DataFrame, one: DataFrame, key: Column, one_key: str, by:
     return dealt.join(salted, (F.col("_key") == F.col(one_key)) & (F.col("_salt") == F.col("_one_salt")), how).drop("_key", "_salt", "_one_salt")
 
 
+def heavy_join(many: DataFrame, one: DataFrame, key: str, one_key: str, by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """spread_join that salts only the keys which hold more than a thousandth of many's rows, 1,000 keys at most.
+
+    many is read twice, so it should be a table or cheap to make.
+    """
+    counts = many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col(key).isNotNull())
+    total = F.broadcast(many.agg(F.count("*").alias("_total")))  # one row
+    heavy = counts.join(total, F.col("_n") > F.greatest(F.col("_total") / 1_000, F.lit(1_000))).select(F.col(key).alias("_heavy"))
+    dealt = many.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)).drop("_heavy")
+    lasts = F.when(F.col("_heavy").isNotNull(), salts - 1).otherwise(0)
+    sent = one.join(F.broadcast(heavy), F.col(one_key) == F.col("_heavy"), "left").withColumn("_one_salt", F.explode(F.sequence(F.lit(0), lasts))).drop("_heavy")
+    return dealt.join(sent, (F.col(key) == F.col(one_key)) & (F.col("_salt") == F.col("_one_salt")), how).drop("_salt", "_one_salt")
+
+
 def least_hashed(df: DataFrame, key: str | Column, k: int, *ties: str) -> DataFrame:
     """The k rows of least 64-bit hash of the key, ties by further columns.
 
@@ -93,7 +109,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     data = batch.column(column)
     if not len(data):
         return
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(data), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(data):
         base = ends[at - 1] if at else 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import hmm, langid, neardup, neighbours, packing, quality, sentencepieces, sql, syncmers, tokenstore, toxicity
+from quillstone.llm import filters, hmm, langid, neardup, neighbours, packing, phrases, quality, sentencepieces, sql, syncmers, tokenstore, toxicity, warc
 from quillstone.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -62,6 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_multi_index": op9_multi_index,
     "op10_language": op10_language,
+    "op11_phrases": op11_phrases,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_warc": op13_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_near_duplicates": sql.NEAR_DUPLICATES}
+ORACLE_SQL: dict[str, str] = {
+    "op4_near_duplicates": sql.NEAR_DUPLICATES,
+    "op11_phrases": sql.PHRASES,
+    "op12_filter_audit": sql.FILTER_AUDIT,
+    "op13_warc": sql.WARC_PAGES,
+}
