@@ -35,8 +35,8 @@ from quillstone.llm.shingles import mixed
 from quillstone.llm.words import Words
 
 LEAST, LONGEST, TOP, COVER = 30, 4, 2_000, 80
-#: Pointers of one task; text of one block.
-BUCKET, BLOCK = 1_000_000, 12 << 20
+#: Pointers of one task; text of one block when words are counted and when they are projected.
+BUCKET, COUNT_BLOCK, BLOCK = 1_000_000, 9 << 20, 5 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?"]] = _BREAK[10:14] = True
 _GAP = _BREAK.copy()
@@ -80,18 +80,18 @@ def block_of(texts: pa.Array, langs: pa.Array) -> Block:
     seeds = np.array([_seed(x) for x in names], np.uint64)
     hashes = Words(raw, at, at - np.repeat(starts, lengths), starts, lengths, np.zeros(1, np.int64)).hashes()
     ids = np.maximum(mixed(hashes + seeds[lang]), np.uint64(1)) if len(hashes) else hashes
-    return Block(ids, np.cumsum(_BREAK[raw])[starts], lang, raw.tobytes(), starts, lengths, names)
+    return Block(ids, np.cumsum(_BREAK[raw], dtype=np.int32)[starts], lang, raw.tobytes(), starts, lengths, names)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Block]]:
-    """Blocks of small slices, together about BLOCK bytes of text."""
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[Block]]:
+    """Blocks of small slices, together about `most` bytes of text."""
     held: list[Block] = []
     size = 0
     for batch in batches:
-        for some in slices(batch, "text", 3 << 20):
+        for some in slices(batch, "text", 5 << 19):
             held.append(block_of(some.column("text"), some.column("lang")))
             size += len(held[-1].raw)
-            if size >= BLOCK:
+            if size >= most:
                 yield held
                 held, size = [], 0
     if held:
@@ -106,7 +106,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """id, lang, word, f of every word of every language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _blocks(batches):
+        for held in _blocks(batches, COUNT_BLOCK):
             ids, first, counts = np.unique(np.concatenate([b.ids for b in held]), return_index=True, return_counts=True)
             ends = np.cumsum([len(b.ids) for b in held])
             block = np.searchsorted(ends, first, side="right")
@@ -147,7 +147,7 @@ def pointers(held: list[Block], frequent: np.ndarray, hot: np.ndarray, buckets:
     if not len(ids):
         return
     names = sorted({x for b in held for x in b.langs})
-    lang = np.concatenate([np.array([names.index(x) for x in b.langs], np.int64)[b.lang] for b in held])
+    lang = np.concatenate([np.array([names.index(x) for x in b.langs], np.int32)[b.lang] for b in held])
     ends = np.cumsum([0, *(b.piece[-1] + 1 if len(b.piece) else 0 for b in held)])
     piece = np.concatenate([b.piece + e for b, e in zip(held, ends[:-1].tolist(), strict=True)])
     words, first, code = np.unique(ids, return_index=True, return_inverse=True)
@@ -188,7 +188,7 @@ def _projected(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, buckets:
         import zstandard
 
         shrink = zstandard.ZstdCompressor(level=1)
-        for held in _blocks(batches):
+        for held in _blocks(batches, BLOCK):
             rows: list[tuple] = []
             for bucket, depth, lang, found, times in pointers(held, *shared.value, buckets):
                 data = found.T.tobytes() + times.astype("<u8").tobytes()
