@@ -29,31 +29,31 @@ from quillstone.llm.common import least_hashed, remainder, remove, slices, writt
 from quillstone.llm.words import SHAPES, Words, words_of
 
 SAMPLE = 5_000
+#: Tasks over which the sample is dealt, where there are so many cores.
+FIT_TASKS = 64
 DIM, NONZERO, WINDOW, LAGS, VOCABULARY = 32, 4, 2, 3, 30_000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 80, 3e-3, 1e-4
 THRESHOLD = 0.3
 
 
-def index_vectors(hashes: np.ndarray) -> np.ndarray:
-    """Sparse random vectors that only depend on the hashes: NONZERO places of +1 or -1."""
-    out = np.zeros((len(hashes), DIM), np.float32)
-    rows = np.arange(len(hashes))
-    for k in range(NONZERO):
-        bits = hashes >> np.uint64(8 * k)
-        out[rows, (bits % np.uint64(DIM)).astype(np.int64)] += np.where(bits >> np.uint64(7) & np.uint64(1), 1, -1)
-    return out
+def index_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse random vectors that only depend on the hashes: NONZERO places with +1 or -1; equal places add up."""
+    bits = hashes[:, None] >> (np.arange(NONZERO, dtype=np.uint64) * np.uint64(8))
+    return (bits % np.uint64(DIM)).astype(np.int64), np.where(bits >> np.uint64(7) & np.uint64(1), 1.0, -1.0)
+
 
+def _contexts(out: np.ndarray, numbers: np.ndarray, bounds: np.ndarray, places: np.ndarray, signs: np.ndarray) -> None:
+    """Add to out the neighbours' index vectors by word number; the last number stands for rare words.
 
-def _contexts(out: np.ndarray, numbers: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> None:
-    """Add to out the neighbours' index vectors by word number; the last number stands for rare words."""
+    An index vector is NONZERO places and signs, so that the sums are counts over (word, place).
+    """
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     for lag in range(1, WINDOW + 1):
         near = text[lag:] == text[:-lag]
         a, b = numbers[:-lag][near], numbers[lag:][near]
-        for at in range(0, len(a), 1 << 16):
-            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            np.add.at(out, x, index[y])
-            np.add.at(out, y, index[x])
+        x, y = np.concatenate([a, b]) * DIM, np.concatenate([b, a])
+        for k in range(NONZERO):
+            out += np.bincount(x + places[y, k], signs[y, k], out.size).reshape(out.shape)
 
 
 def _normalised(sums: np.ndarray) -> np.ndarray:
@@ -167,13 +167,13 @@ def _vectors(drawn: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.n
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         rare = np.random.default_rng(2).integers(0, 1 << 64, SHAPES, np.uint64)
-        of_words, of_shapes = index_vectors(np.append(vocabulary, np.uint64(0))), index_vectors(rare)
-        words, shapes = (np.zeros(x.shape) for x in (of_words, of_shapes))
+        of_words, of_shapes = index_places(np.append(vocabulary, np.uint64(0))), index_places(rare)
+        words, shapes = (np.zeros((len(places), DIM)) for places, _ in (of_words, of_shapes))
         for batch in batches:
             for some in slices(batch, "text", 2 << 20):
                 found = words_of(some.column("text"))
-                _contexts(words, _numbers(found.hashes(), vocabulary), found.bounds, of_words)
-                _contexts(shapes, found.shapes(), found.bounds, of_shapes)
+                _contexts(words, _numbers(found.hashes(), vocabulary), found.bounds, *of_words)
+                _contexts(shapes, found.shapes(), found.bounds, *of_shapes)
         both = np.vstack([words, shapes])
         at = np.flatnonzero(both.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(both[at, k]) for k in range(DIM))], names=["at", *names])
@@ -225,7 +225,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(remainder("doc_id", 5) != 0)
     same = F.col("label_id") == F.col("doc_id")
     few = least_hashed(known.join(texts.select("doc_id"), same, "left_semi"), "label_id", SAMPLE, "label_id", "label")
-    return written(texts.join(F.broadcast(few), same).select("doc_id", "text", F.xxhash64("text").alias("print"), "label"), "drawn")
+    drawn = texts.join(F.broadcast(few), same).select("doc_id", "text", F.xxhash64("text").alias("print"), "label")
+    return written(drawn.repartition(min(FIT_TASKS, docs.sparkSession.sparkContext.defaultParallelism), "doc_id", "print"), "drawn")
 
 
 def hash_of(n: int) -> int:
