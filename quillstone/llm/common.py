@@ -69,18 +69,23 @@ def spread_join(many: DataFrame, one: DataFrame, key: Column, one_key: str, by:
     return dealt.join(salted, (F.col("_key") == F.col(one_key)) & (F.col("_salt") == F.col("_one_salt")), how).drop("_key", "_salt", "_one_salt")
 
 
-def heavy_join(many: DataFrame, one: DataFrame, key: str, one_key: str, by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """spread_join that salts only the keys which hold more than a thousandth of many's rows, 1,000 keys at most.
-
-    many is read twice, so it should be a table or cheap to make.
-    """
+def heavy_keys(many: DataFrame, key: str) -> DataFrame:
+    """_heavy: the keys that more than a thousandth of many's rows have, 1,000 keys at most."""
     counts = many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col(key).isNotNull())
     total = F.broadcast(many.agg(F.count("*").alias("_total")))  # one row
-    heavy = counts.join(total, F.col("_n") > F.greatest(F.col("_total") / 1_000, F.lit(1_000))).select(F.col(key).alias("_heavy"))
-    dealt = many.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
+    return counts.join(total, F.col("_n") > F.greatest(F.col("_total") / 1_000, F.lit(1_000))).select(F.col(key).alias("_heavy"))
+
+
+def heavy_join(many: DataFrame, one: DataFrame, key: str, one_key: str, by: Column, how: str = "inner", salts: int = SALTS, heavy: DataFrame | None = None) -> DataFrame:
+    """spread_join that salts only the heavy keys: those of heavy_keys(many), or of a table of as few that is given.
+
+    Without such a table many is read twice, so it should be a written one or cheap to make.
+    """
+    heavy = F.broadcast(heavy_keys(many, key) if heavy is None else heavy)
+    dealt = many.join(heavy, F.col(key) == F.col("_heavy"), "left")
     dealt = dealt.withColumn("_salt", F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)).drop("_heavy")
     lasts = F.when(F.col("_heavy").isNotNull(), salts - 1).otherwise(0)
-    sent = one.join(F.broadcast(heavy), F.col(one_key) == F.col("_heavy"), "left").withColumn("_one_salt", F.explode(F.sequence(F.lit(0), lasts))).drop("_heavy")
+    sent = one.join(heavy, F.col(one_key) == F.col("_heavy"), "left").withColumn("_one_salt", F.explode(F.sequence(F.lit(0), lasts))).drop("_heavy")
     return dealt.join(sent, (F.col(key) == F.col(one_key)) & (F.col("_salt") == F.col("_one_salt")), how).drop("_salt", "_one_salt")
 
 

@@ -12,7 +12,8 @@
    sequential test, and is verified on the sets, which travel as 64-bit hashes.  A block gives one link for each two
    components that it joins, so no pairs are written out.  These links are confirmed on the full sets, too.
 
-Joins on a bucket, a digest or a root, of which one may hold a third of all rows, are salted (`spread_join`).
+Joins on a bucket, a pivot, a digest or a root, of which one may hold a third of all rows, are salted for the heavy keys
+(`heavy_join`) or all (`spread_join`).
 
 Null and empty texts and texts without words have no shingle, link with nothing and stand for themselves.  Equal
 texts and repeated rows are linked.  A null doc_id takes part, is never a component's id unless its component
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import slices, spread_join, written
+from quillstone.llm.common import heavy_join, heavy_keys, slices, spread_join, written
 from quillstone.llm.components import components
 from quillstone.llm.shingles import shingle_hashes
 
@@ -78,8 +79,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, text_hash long, n long, digest binary, sig binary")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sequential verification keeps."""
+def _likely(pairs: DataFrame, classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sequential verification keeps; hot: the b that very many pairs have."""
     needed = least_matches()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,13 +98,13 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def sigs(c: str) -> DataFrame:
         return classes.select(F.col("cid").alias(f"c_{c}"), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
 
-    both = pairs.join(sigs("a"), F.col("a") == F.col("c_a")).join(sigs("b"), F.col("b") == F.col("c_b"))
+    both = heavy_join(pairs, sigs("b"), "b", "c_b", F.col("a"), heavy=hot).join(sigs("a"), F.col("a") == F.col("c_a"))
     fits = both.where(100 * F.least("n_a", "n_b") >= PER_CENT * F.greatest("n_a", "n_b"))
     return fits.select("a", "b", "sig_a", "sig_b").mapInArrow(verify, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, hot: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough; hot: the b that very many pairs have."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -127,8 +128,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     while len(known) > 256:
                         known.popitem(last=False)
 
-    both = pairs.join(texts.select(F.col("cid").alias("c_a"), F.col("text").alias("text_a")), F.col("a") == F.col("c_a"))
-    both = both.join(texts.select(F.col("cid").alias("c_b"), F.col("text").alias("text_b")), F.col("b") == F.col("c_b"))
+    both = heavy_join(pairs, texts.select(F.col("cid").alias("c_b"), F.col("text").alias("text_b")), "b", "c_b", F.col("a"), heavy=hot)
+    both = both.join(texts.select(F.col("cid").alias("c_a"), F.col("text").alias("text_a")), F.col("a") == F.col("c_a"))
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
@@ -151,7 +152,7 @@ def _rest_links(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     """
     needed = least_matches()
     sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("y_n"), F.ceil(F.count_if(F.col("root") != F.col("main")) / BLOCK).cast("int").alias("x_n")).withColumnRenamed("bucket", "k")
-    sized = rest.join(sizes, F.col("bucket") == F.col("k")).drop("k")
+    sized = heavy_join(rest, sizes, "bucket", "k", F.col("cid")).drop("k")
     piece = F.xxhash64("cid")
     x = sized.where("root <> main").withColumn("xp", F.pmod(piece, F.col("x_n")).cast("int")).withColumn("yp", F.explode(F.sequence(F.lit(0), F.col("y_n") - 1))).withColumn("side", F.lit(0))
     y = sized.withColumn("yp", F.pmod(piece, F.col("y_n")).cast("int")).withColumn("xp", F.explode(F.sequence(F.lit(0), F.col("x_n") - 1))).withColumn("side", F.lit(1))
@@ -229,22 +230,27 @@ def _block_links(parts: list[pa.RecordBatch], needed: list[tuple[int, int]]) ->
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    return _grouped(docs).drop("text_hash")
+    return _grouped(docs).drop("text_hash", "root")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, all their columns, one of those with equal doc_id and text: the one of least hash of all columns."""
-    least = F.lit(-(1 << 63)).cast("long")  # stands for null
-    kept = _grouped(docs).where("kept").select(F.coalesce("doc_id", least).alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    """One row of each component, all its columns: the one of least doc_id (null last), then of least hash of the text, then of all columns.
+
+    Rows without a shingle are components of their own, but for those of equal doc_id and text, of which one is kept.
+    """
+    marked = _grouped(docs).select("doc_id", "text_hash", "root")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
+    chosen = marked.where("root is not null").groupBy("root").agg(order).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    chosen = chosen.unionByName(marked.where("root is null").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct())
     names = [f"c{k}" for k in range(len(docs.columns))]
-    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.coalesce(F.col("doc_id").cast("long"), least).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
-    both = keyed.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    both = keyed.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
     first = both.withColumn("r", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.xxhash64(*names)))).where("r = 1")
     return first.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """near_duplicates with the hash of each text."""
+    """near_duplicates with the hash of each text and root, a number of the component (null where there is no shingle)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = written(_signed(source), "signed", "none")
     classes = signed.where("n > 0").groupBy("digest").agg(F.first("sig").alias("sig"), F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("first_id"))
@@ -252,8 +258,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     bands = classes.select("cid", F.posexplode(band).alias("band", "bucket"))
-    buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1").select(F.col("bucket").alias("k"), "pivot")
-    members = written(spread_join(bands, buckets, F.col("bucket"), "k", F.col("cid")).select("bucket", "band", "cid", "pivot"), "members")
+    buckets = written(bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1").select(F.col("bucket").alias("k"), "pivot", "size"), "buckets")
+    many = max(1_000, classes.count() * BANDS // 1_000)
+    hot_buckets = buckets.where(F.col("size") > many)  # a thousand at most
+    members = written(heavy_join(bands, buckets, "bucket", "k", F.col("cid"), heavy=hot_buckets.select(F.col("k").alias("_heavy"))).select("bucket", "band", "cid", "pivot"), "members")
 
     # texts of the classes that have a candidate, one row each
     wanted = members.select("cid").distinct().join(classes.select(F.col("cid").alias("c"), F.col("rep.doc_id").alias("d"), F.col("rep.text_hash").alias("t")), F.col("cid") == F.col("c"))
@@ -261,20 +269,21 @@ def _grouped(docs: DataFrame) -> DataFrame:
     texts = written(texts.groupBy("cid").agg(F.first("text").alias("text")), "texts")
 
     stars = members.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(_confirmed(_likely(stars, classes), texts), "links")
+    hot = hot_buckets.select(F.col("pivot").alias("_heavy")).distinct()  # the pivots of most pairs are those of the largest buckets
+    links = written(_confirmed(_likely(stars, classes, hot), texts, hot), "links")
 
     # what the stars left apart: classes of one bucket in different components
     rooted = members.join(components(links), F.col("cid") == F.col("node"), "left").select("bucket", "band", "cid", F.coalesce("root", "cid").alias("root"))
     counted = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     apart = counted.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select(F.col("bucket").alias("k"), "main")
-    rest = written(spread_join(rooted, apart, F.col("bucket"), "k", F.col("cid")).select("bucket", "band", "cid", "root", "main"), "rest")
+    rest = written(heavy_join(rooted, apart, "bucket", "k", F.col("cid"), heavy=hot_buckets.select(F.col("k").alias("_heavy"))).select("bucket", "band", "cid", "root", "main"), "rest")
     more = written(_rest_links(rest, classes, _sets(texts)).distinct(), "more")
-    links = links.unionByName(_confirmed(more, texts))
+    links = links.unionByName(_confirmed(more, texts, heavy_keys(more, "b")))
 
     roots = components(links)
     grouped = classes.select("digest", "cid", "first_id").join(roots, F.col("cid") == F.col("node"), "left").select("digest", "first_id", F.coalesce("root", "cid").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = spread_join(grouped, ids.withColumnRenamed("root", "r"), F.col("root"), "r", F.col("digest")).select(F.col("digest").alias("d"), "component_id")
-    linked = spread_join(signed.where("n > 0"), named, F.col("digest"), "d", F.col("doc_id")).select("doc_id", "text_hash", "n", "component_id")
-    alone = signed.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    named = spread_join(grouped, ids.withColumnRenamed("root", "r"), F.col("root"), "r", F.col("digest")).select(F.col("digest").alias("d"), "root", "component_id")
+    linked = heavy_join(signed.where("n > 0"), named, "digest", "d", F.col("doc_id")).select("doc_id", "text_hash", "n", "root", "component_id")
+    alone = signed.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", "text_hash", "root", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

@@ -1,8 +1,10 @@
 """The pipeline: its stages against plain versions, and on odd rows."""
 
 import itertools
+import random
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +117,50 @@ def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "packing"]
+
+
+def near(seed, n=200):
+    r = random.Random(seed)
+    words = [f"w{r.randrange(10_000)}" for _ in range(n)]
+    return " ".join(words), " ".join([*words[:-1], "other"])
+
+
+def test_one_row_of_each_component(spark):
+    """Near-duplicates whose doc_ids are null or equal: one row stays, whatever the order."""
+    (a, b), (c, d), (e, f) = near(1), near(2), near(3)
+    rows = [(None, a), (None, b), (5, c), (5, d), (None, e), (9, f), (None, None), (None, None), (3, ""), (3, ""), (None, "")]
+    df = odd(spark, rows)
+    got = [(r.doc_id, r.text) for r in STAGES["near_duplicates"](spark, df, SMALL).collect()]
+    assert len(got) == 6
+    assert sum(t in (a, b) for _, t in got) == sum(t in (c, d) for _, t in got) == 1 and (9, f) in got and (None, e) not in got
+    assert {(None, None), (3, ""), (None, "")} <= set(got)
+    again = [(r.doc_id, r.text) for r in STAGES["near_duplicates"](spark, df.orderBy(F.desc("label")), SMALL).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_hot_pivot(spark):
+    """A passage that a third of all texts is made of: its bucket's pivot is in most pairs."""
+    r = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join([*passage, f"x{k}"])) for k in range(1_500)] + [(5_000 + k, " ".join(f"w{r.randrange(900)}" for _ in range(30))) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = ids(STAGES["near_duplicates"](spark, df, SMALL))
+    assert kept == {0, *(i for i, _ in rows[1_500:])}
+
+
+def test_contexts_are_sums_of_index_vectors():
+    r = np.random.default_rng(5)
+    numbers, bounds, hashes = r.integers(0, 50, 4_000), np.array([0, 0, 1, 700, 703, 4_000]), r.integers(0, 1 << 64, 50, np.uint64)
+    places, signs = quality.index_places(hashes)
+    index = np.zeros((50, quality.DIM))
+    for k in range(quality.NONZERO):
+        np.add.at(index, (np.arange(50), places[:, k]), signs[:, k])
+    want = np.zeros((50, quality.DIM))
+    for a, b in itertools.pairwise(bounds.tolist()):
+        for x in range(a, b):
+            for y in range(max(a, x - quality.WINDOW), min(b, x + quality.WINDOW + 1)):
+                if x != y:
+                    want[numbers[x]] += index[numbers[y]]
+    out = np.zeros((50, quality.DIM))
+    quality._contexts(out, numbers, bounds, places, signs)
+    assert np.abs(out - want).max() < 1e-6 and np.abs(want).max() > 10
