@@ -88,12 +88,12 @@ def crossed(facts: DataFrame, axes: Axes) -> DataFrame:
 
 
 def projected(cross: DataFrame, totals: DataFrame, direct: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """Members of axes without direct data, as sums over the other axis, where they make up the total.
+    """Members of axes for which an entity has no direct data in any period, as sums over the other axis, where they make up the total.
 
     cross: entity, period, axis, member, other, concept, val; totals: entity, period, concept, total.
     """
     sums = cross.groupBy("entity", "period", "axis", "member", "concept").agg(F.sum("val").alias("val"))
-    sums = sums.join(direct.select("entity", "period", "axis").distinct(), ["entity", "period", "axis"], "left_anti")
+    sums = sums.join(direct.select("entity", "axis").distinct(), ["entity", "axis"], "left_anti")
     with_total = sums.join(totals, ["entity", "period", "concept"])
     whole = with_total.groupBy("entity", "period", "axis", "concept").agg(F.sum("val").alias("_sum"), F.first("total").alias("_total"))
     closed = whole.where(F.abs(F.col("_sum") - F.col("_total")) <= F.abs("_total") * tolerance).select("entity", "period", "axis", "concept")
@@ -196,10 +196,11 @@ def reconcile(group: pd.DataFrame, tolerance: float, must: bool) -> pd.DataFrame
 def reconciled(values: DataFrame, totals: DataFrame, tolerance: float = 0.005, must: tuple[str, ...] = ("revenue",)) -> DataFrame:
     """Cells with is_parent, is_residual and verified (null: the breakdown never adds up and needn't).
 
-    values: entity, axis, concept, period, kind, member, val, is_residual; totals: entity, concept, period, total.  A group is
+    values: entity, axis, concept, period, kind, member, val, is_residual; totals: entity, concept, period, total, and axis where
+    axes have totals of their own.  A group is
     one company's axis and concept, some dozen periods of some dozen members, so its size doesn't follow the market's.
     """
-    joined = values.join(totals, ["entity", "concept", "period"], "left").withColumn("val", F.col("val").cast("double")).withColumn("total", F.col("total").cast("double"))
+    joined = values.join(totals, ["entity", "concept", "period", *(["axis"] if "axis" in totals.columns else [])], "left").withColumn("val", F.col("val").cast("double")).withColumn("total", F.col("total").cast("double"))
     keys = ["entity", "axis", "concept"]
     types = dict(joined.dtypes)
 

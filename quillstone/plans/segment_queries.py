@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import segments
+from quillstone.operators import segment_merge, segments
 from quillstone.plans.bindings import facts, keyed_facts, sql, table
 from quillstone.plans.registry import query
 
@@ -102,3 +104,44 @@ def breakdown_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = df.where("tag <> 'R'").groupBy("entity", F.col("status").alias("axis"), F.col("form").alias("member"), "period").agg(F.max("val").alias("val")).withColumn("kind", F.lit("Q")).withColumn("concept", F.lit("revenue"))
     totals = shown.select("entity", "concept", "period").distinct().withColumn("total", F.lit(-1.0))
     return segments.gaps(marked, shown, totals).select("entity", "code", "axis", "n", F.round(F.col("amount") / 7000, 3).alias("amount"), F.col("rank").cast("long").alias("rank"))
+
+
+_MERGE = """, r AS (SELECT entity, year(filed) * 2 + CASE WHEN month(filed) > 6 THEN 1 ELSE 0 END AS filing, year(e) AS period, line, status AS axis, form AS member, tag AS concept, CAST(max(val) AS DOUBLE) AS val FROM facts GROUP BY ALL),
+c AS (SELECT entity, filing, period, axis, member, concept, max(val) AS val FROM r WHERE line <= 3 GROUP BY ALL),
+t AS (SELECT entity, filing, period, concept, max(val) AS val FROM r WHERE line = 4 GROUP BY ALL), i AS (SELECT entity, filing, period, member, concept, max(val) AS val FROM r WHERE line = 5 GROUP BY ALL),
+x AS (SELECT entity, filing, period, 'made' AS axis, member, axis AS other, concept, max(val) AS val FROM r WHERE line >= 6 AND entity % 2 = 0 GROUP BY ALL),
+claim AS (SELECT entity, period, axis, max(filing) AS filing FROM c GROUP BY ALL),
+own AS (SELECT c.entity, c.period, c.axis, c.member FROM c JOIN claim USING (entity, period, axis, filing) GROUP BY ALL),
+d AS (SELECT c.* FROM c JOIN own USING (entity, period, axis, member) QUALIFY row_number() OVER (PARTITION BY entity, period, axis, member, concept ORDER BY filing DESC) = 1),
+nt AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY entity, period, concept ORDER BY filing DESC) = 1),
+st AS (SELECT k.entity, k.period, k.axis, t.concept, t.val, false AS b FROM claim k JOIN t USING (entity, period, filing)),
+bt AS (SELECT k.entity, k.period, k.axis, nt.concept, nt.val, true AS b FROM claim k ANTI JOIN t USING (entity, period, filing) JOIN nt USING (entity, period)),
+it AS (SELECT k.entity, k.period, k.axis, i.member, i.concept, i.val FROM claim k JOIN i USING (entity, period, filing)),
+nx AS (SELECT * FROM x QUALIFY filing = max(filing) OVER (PARTITION BY entity, period, axis)),
+s AS (SELECT entity, period, axis, member, concept, sum(val) AS val FROM nx GROUP BY ALL),
+ok AS (SELECT s.entity, s.period, s.axis, s.concept FROM s JOIN nt USING (entity, period, concept) GROUP BY ALL HAVING abs(sum(s.val) - max(nt.val)) <= abs(max(nt.val)) * 0.5),
+m AS (SELECT s.* FROM s SEMI JOIN ok USING (entity, period, axis, concept)),
+mt AS (SELECT DISTINCT m.entity, m.period, m.axis, nt.concept, nt.val, true AS b FROM m JOIN nt USING (entity, period))
+SELECT 'cell' AS what, entity, period, axis, member, concept, val, false AS borrowed FROM d UNION ALL SELECT 'cell', entity, period, axis, member, concept, val, true FROM m
+UNION ALL SELECT 'total', entity, period, axis, '', concept, val, b FROM st UNION ALL SELECT 'total', entity, period, axis, '', concept, val, b FROM bt UNION ALL SELECT 'total', entity, period, axis, '', concept, val, b FROM mt
+UNION ALL SELECT 'residual', entity, period, axis, member, concept, val, false FROM it UNION ALL SELECT 'cross', entity, period, axis, member || '|' || other, concept, val, false FROM nx"""
+
+
+@query("merged_breakdowns", sql(_MERGE))
+def merged_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-yearly filings of suppliers put together: lines 1 to 3 are breakdowns, 4 totals, 5 residual items, the others cross tables."""
+    filing = (F.year("filed") * 2 + (F.month("filed") > 6).cast("int")).cast("long")
+    df = facts(spark, sf_dir).select("entity", filing.alias("filing"), F.year("end").cast("long").alias("period"), "line", F.col("status").alias("axis"), F.col("form").alias("member"), F.col("tag").alias("concept"), F.col("val").cast("double").alias("val"))
+
+    def rows(condition: str, *keys: str) -> DataFrame:
+        return df.where(condition).groupBy("entity", "filing", "period", *keys, "concept").agg(F.max("val").alias("val"))
+
+    crosses = rows("line >= 6 and entity % 2 = 0", "axis", "member").withColumnRenamed("axis", "other").withColumn("axis", F.lit("made"))
+    both = segment_merge.merged(rows("line <= 3", "axis", "member"), rows("line = 4"), rows("line = 5", "member"), crosses, [F.desc("filing")], 0.5)
+    tables = {
+        "cell": both.cells.withColumnRenamed("is_projected", "borrowed"),
+        "total": both.totals.select(*segment_merge.SCOPE, F.lit("").alias("member"), "concept", F.col("total").alias("val"), F.col("is_borrowed").alias("borrowed")),
+        "residual": both.residuals.withColumn("borrowed", F.lit(False)),
+        "cross": both.crosses.withColumn("member", F.concat_ws("|", "member", "other")).withColumn("borrowed", F.lit(False)),
+    }
+    return reduce(DataFrame.unionByName, (t.select(F.lit(n).alias("what"), *segment_merge.SCOPE, "member", "concept", "val", "borrowed") for n, t in tables.items()))

@@ -96,3 +96,22 @@ SELECT entity, concept FROM p UNION SELECT entity, 'x' FROM x UNION SELECT entit
 def derivable_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = facts(spark, sf_dir).select("entity", (F.col("part") % 300).cast("string").alias("concept"))
     return audits.derivable(df, {"y": ["x", "4"], "x": ["1", "2", "3"]}, 2)
+
+
+@query("split_basis", sql(""", base AS (SELECT part, year(e) AS y, CAST(sum(quantity) AS DOUBLE) AS n FROM facts GROUP BY 1, 2),
+c AS (SELECT DISTINCT f.part AS entity, year(f.e) AS y, year(f.filed) AS filed, n * CASE WHEN year(f.filed) >= 1996 + f.part % 7 AND f.part % 11 <> 0 OR f.part % 13 = 0 AND year(f.filed) = 1999 THEN 10 ELSE 1 END * CASE WHEN f.part % 17 = 0 THEN 1 + (year(f.filed) - 1995) * 0.01 ELSE 1 END AS val FROM facts f JOIN base b ON b.part = f.part AND b.y = year(f.e)),
+d AS (SELECT DISTINCT part AS entity, 10.0 AS ratio FROM facts WHERE part % 5 <> 0 UNION SELECT DISTINCT part, 5.0 FROM facts WHERE part % 3 = 0),
+pairs AS (SELECT a.entity, a.filed AS old, b.filed AS new, d.ratio FROM c a JOIN c b ON a.entity = b.entity AND a.y = b.y AND a.filed < b.filed JOIN d ON d.entity = a.entity WHERE abs(b.val / (a.val * d.ratio) - 1) < 0.03),
+one AS (SELECT entity, CAST(min(ratio) AS DOUBLE) AS ratio, CAST(max(old) AS BIGINT) AS before, CAST(min(new) AS BIGINT) AS since FROM pairs p GROUP BY 1 HAVING min(ratio) = max(ratio) AND NOT bool_or(EXISTS (SELECT 1 FROM pairs x WHERE x.entity = p.entity AND x.new = p.old)))
+SELECT c.entity, CAST(c.filed AS BIGINT) AS filed, coalesce(o.ratio, 1.0) AS ratio, CAST(CASE WHEN o.ratio IS NULL THEN 1 WHEN c.filed <= o.before THEN o.ratio WHEN c.filed >= o.since THEN 1 END AS DOUBLE) AS factor, count(*) AS days FROM c LEFT JOIN one o ON o.entity = c.entity GROUP BY ALL"""))
+def split_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which side of a split the years are on in which parts' quantities were filed: later years state ten times as much, from a year that differs by part."""
+    df = facts(spark, sf_dir).select(F.col("part").alias("entity"), F.year("end").alias("end"), F.year("filed").cast("long").alias("filed"), "quantity")
+    base = df.groupBy("entity", "end").agg(F.sum("quantity").cast("double").alias("n"))
+    moved = ((F.col("filed") >= 1996 + F.col("entity") % 7) & (F.col("entity") % 11 != 0)) | ((F.col("entity") % 13 == 0) & (F.col("filed") == 1999))
+    drift = F.when(F.col("entity") % 17 == 0, 1 + (F.col("filed") - 1995) * 0.01).otherwise(1.0)
+    counts = df.select("entity", "end", "filed").distinct().join(base, ["entity", "end"]).withColumn("val", F.col("n") * F.when(moved, 10).otherwise(1) * drift)
+    ids = df.select("entity").distinct()
+    declared = ids.where("entity % 5 <> 0").withColumn("ratio", F.lit(10.0)).unionByName(ids.where("entity % 3 = 0").withColumn("ratio", F.lit(5.0)))
+    found = shares.with_factor(counts.select("entity", "filed"), shares.split_basis(counts, declared))
+    return found.groupBy("entity", "filed", "ratio", "factor").agg(F.count("*").alias("days"))
