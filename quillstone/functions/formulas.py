@@ -116,6 +116,59 @@ def ordered(formulas: dict[str, str]) -> list[str]:
     return out
 
 
+def needs(formula: str) -> list[tuple[str, int]]:
+    """What a metric needs, as (name, periods back) in the order of the formula; an average needs this period and the one before."""
+    found: list[tuple[str, int]] = []
+
+    def read(node: ast.AST) -> None:
+        if isinstance(node, ast.Name):
+            found.append((node.id, 0))
+        elif isinstance(node, ast.Subscript) and isinstance(node.value, ast.Name):
+            found.append((node.value.id, _periods_back(node.slice)))
+        elif isinstance(node, ast.Call) and getattr(node.func, "id", "") == "avg":
+            inner = [x for arg in node.args for x in needs(ast.unparse(arg))]
+            found.extend(inner + [(name, back + 1) for name, back in inner])
+        else:
+            for child in ast.iter_child_nodes(node):
+                read(child)
+
+    read(ast.parse(formula, mode="eval").body)
+    return list(dict.fromkeys(found))
+
+
+def circular(formulas: dict[str, str]) -> set[str]:
+    """The metrics that refer to themselves, by whatever way, and those that refer to such."""
+    uses = {name: {n for n, _ in needs(f)} & formulas.keys() for name, f in formulas.items()}
+    open_ = set(formulas)
+    while True:
+        done = {name for name in open_ if not uses[name] & open_}
+        if not done:
+            return open_
+        open_ -= done
+
+
+def with_availability(df: DataFrame, formulas: dict[str, str], keys: list[str]) -> DataFrame:
+    """df (keys, idx, a column for each item) with <metric>_available and <metric>_missing for each metric.
+
+    A metric is available in a period if all that it needs is there, in the periods that it needs it.  missing names the first
+    need that isn't, `equity[t-1]` for an earlier period, and is the metric's own name where it refers to itself.  Names that are neither
+    items nor metrics don't count.  All lags are over one window by keys, so there is one exchange however many metrics there are.
+    """
+    bad = circular(formulas)
+    plain = {n: f for n, f in formulas.items() if n not in bad}
+    items = sorted({n for f in plain.values() for n, _ in needs(f)} & set(df.columns) - formulas.keys())
+    df = df.withColumns({f"_has_{n}": F.col(n).isNotNull() for n in items})
+    for name in ordered(plain):
+        met = [(f"{n}[t-{back}]" if back else n, F.coalesce(F.lag(f"_has_{n}", back).over(line(keys)) if back else F.col(f"_has_{n}"), F.lit(False))) for n, back in needs(plain[name]) if n in items or n in plain]
+        lacks = F.coalesce(*(F.when(~ok, F.lit(label)) for label, ok in met), F.lit(None).cast("string"))
+        df = df.withColumn(f"{name}_missing", lacks).withColumn(f"_has_{name}", F.col(f"{name}_missing").isNull())
+    for name in formulas:
+        if name in bad:
+            df = df.withColumn(f"{name}_missing", F.lit(name)).withColumn(f"_has_{name}", F.lit(False))
+        df = df.withColumnRenamed(f"_has_{name}", f"{name}_available")
+    return df.drop(*(f"_has_{n}" for n in items))
+
+
 def with_metrics(df: DataFrame, formulas: dict[str, str], keys: list[str], annual: bool = False, zero_means_inapplicable: dict[str, str] | None = None) -> DataFrame:
     """df with a column for each metric, and <name>_applicable where a zero of the named column makes it inapplicable."""
     for name in ordered(formulas):

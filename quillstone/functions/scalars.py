@@ -69,8 +69,8 @@ def member_key(qname: Column, aliases: dict[str, str] | None = None) -> Column:
 
 
 def spaced_name(qname: Column) -> Column:
-    """CamelCase as words; a single capital goes with the word behind it."""
-    parts = F.filter(F.split(F.regexp_replace(bare_name(qname), "Member$", ""), f"{_UP}|{_ACRONYM}|[ ]"), lambda w: w != "")
+    """CamelCase as words, without the ending of member names; a single capital goes with the word behind it."""
+    parts = F.filter(F.split(F.regexp_replace(bare_name(qname), "(Segments?)?Member$", ""), f"{_UP}|{_ACRONYM}|[ ]"), lambda w: w != "")
 
     def put(done: Column, word: Column) -> Column:
         alone = F.coalesce(F.element_at(done, -1).rlike("^[A-Z]$"), F.lit(False))

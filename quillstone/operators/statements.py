@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.formulas import fill_derived
@@ -18,14 +18,17 @@ class Rules:
     """What the steps of a statement work on; a step without rules changes nothing.
 
     totals: concept, other, tags of totals, specific item or None, tolerance.  sources: name to column of other share counts.
-    barred: concept to the groups it doesn't apply to.
+    barred: concept to the groups it doesn't apply to.  weighted, diluted: average counts, the first of which that is there is what
+    shares and earnings are held against.  annual: a boolean column, true for those that report years alone.
     """
 
     keys: list[str]
     shares: str | None = None
     weighted: str | None = None
+    diluted: str | None = None
     net_income: str | None = None
     eps: str | None = None
+    eps_diluted: str | None = None
     totals: list[tuple[str, str, list[str], str | None, float]] = field(default_factory=list)
     zeros: list[str] = field(default_factory=list)
     anchor: str = "total_assets"
@@ -34,13 +37,32 @@ class Rules:
     sources: dict[str, str] = field(default_factory=dict)
     derive: list[tuple[str, str]] = field(default_factory=list)
     listing: str | None = None
+    annual: str | None = None
     group: str | None = None
     barred: dict[str, tuple[str, ...]] = field(default_factory=dict)
     internal: list[str] = field(default_factory=list)
 
 
+def _averages(r: Rules) -> Column | None:
+    columns = [F.nullif(F.col(c), F.lit(0)) for c in (r.weighted, r.diluted) if c]
+    return F.coalesce(*columns) if columns else None
+
+
 def _scale(df: DataFrame, r: Rules) -> DataFrame:
-    return repairs.repair_scale(df, r.keys, r.shares, r.net_income, r.eps, r.weighted) if r.shares and r.net_income and r.eps else df
+    """The averages first, by earnings alone; then the counts, for which they are an anchor too; then earnings per share by both."""
+    if not (r.net_income and r.eps):
+        return df
+    for average in (r.weighted, r.diluted):
+        df = repairs.repair_scale(df, r.keys, average, r.net_income, r.eps) if average else df
+    both = _averages(r)
+    if both is not None:
+        df = df.withColumn("_average", both)
+    if r.shares:
+        df = repairs.repair_scale(df, r.keys, r.shares, r.net_income, r.eps, None if both is None else "_average")
+    if both is not None:
+        for eps in (r.eps, r.eps_diluted):
+            df = repairs.repair_eps(df, eps, r.net_income, "_average") if eps else df
+    return df.drop("_average")
 
 
 def _totals(df: DataFrame, r: Rules) -> DataFrame:
@@ -50,7 +72,10 @@ def _totals(df: DataFrame, r: Rules) -> DataFrame:
 
 
 def _sources(df: DataFrame, r: Rules) -> DataFrame:
-    return repairs.arbitrate_shares(df, r.keys, r.shares, r.source, r.weighted, r.sources) if r.source and r.sources else df
+    average = _averages(r)
+    if not (r.source and r.sources) or average is None:
+        return df
+    return repairs.arbitrate_shares(df.withColumn("_average", average), r.keys, r.shares, r.source, "_average", r.sources).drop("_average")
 
 
 def _applicability(df: DataFrame, r: Rules) -> DataFrame:
@@ -67,7 +92,7 @@ STEPS: dict[str, Callable[[DataFrame, Rules], DataFrame]] = {
     "carry": lambda df, r: repairs.carry_forward(df, r.keys, r.carried),
     "sources": _sources,
     "derive": lambda df, r: fill_derived(df, r.derive),
-    "listing": lambda df, r: series.before_listing(df, r.keys, r.listing) if r.listing else df,
+    "listing": lambda df, r: series.before_listing(df, r.keys, r.listing, F.col(r.annual) if r.annual else None) if r.listing else df,
     "applicability": _applicability,
     "internal": lambda df, r: df.drop(*r.internal),
 }

@@ -231,7 +231,7 @@ def axis_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scalar_labels", """WITH p AS (SELECT p_partkey, p_size, p_type, p_brand, p_retailprice, 'own:' || upper(p_type[1]) || lower(p_type[2:]) || 'USAWest' || CASE WHEN p_size % 3 = 0 THEN 'SegmentsMember' WHEN p_size % 3 = 1 THEN 'SegmentMember' ELSE 'Member' END AS q FROM part)
 SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS padded, CAST(p_partkey AS VARCHAR) AS plain, lower(p_type) || 'usawest' AS member,
-  upper(p_type[1]) || lower(p_type[2:]) || ' USA West' || CASE WHEN p_size % 3 = 0 THEN ' Segments' WHEN p_size % 3 = 1 THEN ' Segment' ELSE '' END AS spaced, CASE WHEN p_size % 2 = 0 THEN 'custom' ELSE 'us-gaap:X' END AS masked,
+  upper(p_type[1]) || lower(p_type[2:]) || ' USA West' AS spaced, CASE WHEN p_size % 2 = 0 THEN 'custom' ELSE 'us-gaap:X' END AS masked,
   CASE WHEN p_size % 2 = 0 THEN 'Class B2' ELSE 'Preferred' END AS class, CASE WHEN p_size % 2 = 0 THEN 'b2' ELSE 'preferred' END AS class_key, '2024-03-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') || '#Q' AS key, make_date(2024, 3, CAST(p_size % 28 + 1 AS INTEGER)) AS day, 'Q' AS kind,
   p_size BETWEEN 2 AND 50 AS clean, CASE p_size % 5 WHEN 0 THEN 'zero' WHEN 1 THEN 'carry' WHEN 2 THEN 'approx' WHEN 3 THEN 'derive' ELSE 'q4' END AS estimate, CASE WHEN p_size > 10 THEN printf('%.1f%%', 100.0 * p_size / 64) ELSE '-' END AS pct, CASE WHEN p_size > 20 THEN printf('%.1fB', p_size / 8.0) ELSE printf('%.0fM', p_size * 1.0) END AS money,
   CASE WHEN p_size % 3 = 0 THEN 'USD/shares,TWD/shares' WHEN p_size % 3 = 1 THEN 'shares' ELSE 'USD' END AS units, abs(p_size - 20) <= 30 AS year_end FROM p""")

@@ -198,3 +198,15 @@ def total_tag_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A total that equals its part leaves nothing for the rest; every other period comes from a total's tag."""
     df = _wide(spark, sf_dir).withColumn("revenue_tag", F.when(F.col("idx") % 2 == 0, "Total").otherwise("Own"))
     return repairs.split_totals(df, "revenue", "cogs", ["Total"], tolerance=0.2).select("entity", F.col("idx").cast("long").alias("idx"), "revenue")
+
+
+@query("metric_availability", sql(_WIDE + """, h AS (SELECT entity, idx, revenue IS NOT NULL AS r, cogs IS NOT NULL AS c, idx % 3 > 0 AND equity IS NOT NULL AS q FROM w),
+l AS (SELECT *, coalesce(lag(r, 4) OVER o, false) AS r4, coalesce(lag(c) OVER o, false) AS c1, coalesce(lag(q) OVER o, false) AS q1, coalesce(lag(r AND c) OVER o, false) AS g1 FROM h WINDOW o AS (PARTITION BY entity ORDER BY idx)),
+m AS (SELECT entity, idx, CASE WHEN NOT r THEN 'revenue' WHEN NOT c THEN 'cogs' END AS gross, CASE WHEN NOT r THEN 'revenue' WHEN NOT r4 THEN 'revenue[t-4]' END AS growth, CASE WHEN NOT (r AND c) THEN 'gross' WHEN NOT q THEN 'equity' WHEN NOT q1 THEN 'equity[t-1]' END AS ret, CASE WHEN NOT (r AND c) THEN 'gross' WHEN NOT g1 THEN 'gross[t-1]' WHEN NOT c1 THEN 'cogs[t-1]' END AS step FROM l)
+SELECT entity, CAST(idx AS BIGINT) AS idx, gross IS NULL AS gross_available, gross AS gross_missing, growth IS NULL AS growth_available, growth AS growth_missing, ret IS NULL AS return_available, ret AS return_missing, step IS NULL AS step_available, step AS step_missing, false AS a_available, 'a' AS a_missing, false AS b_available, 'b' AS b_missing, false AS c_available, 'c' AS c_missing FROM m"""))
+def metric_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which metrics each quarter has all items for, and the first that lacks; a and b refer to each other, c to them."""
+    df = _wide(spark, sf_dir).withColumn("equity", F.when(F.col("idx") % 3 > 0, F.col("equity")))
+    metrics = {"return": "gross / avg(equity)", "gross": "revenue - cogs", "growth": "revenue / revenue[t-4] - 1", "step": "gross - gross[t-1] + cogs[t-1] * 91.25", "a": "b + revenue", "b": "a * 2", "c": "a / cogs"}
+    out = formulas.with_availability(df, metrics, ["entity"])
+    return out.select("entity", F.col("idx").cast("long").alias("idx"), *(f"{m}_{x}" for m in ("gross", "growth", "return", "step", "a", "b", "c") for x in ("available", "missing")))

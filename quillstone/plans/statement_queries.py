@@ -155,3 +155,36 @@ def split_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = o.select(F.col("o_custkey").alias("entity"), F.to_date("o_orderdate").alias("threshold"), F.lit(2.0).alias("factor"), (k % 3 > 0).alias("confirmed"), ((k % 5) * 0.0004).alias("dev"), ((k % 7) * 0.0003).alias("dev_raw"))
     covered = o.select(F.col("o_custkey").alias("entity"), none.alias("ex_date"), F.lit(None).cast("double").alias("factor"), F.lit("1990-01-01").cast("date").alias("cover_start"), none.alias("first_filed")).distinct()
     return splits.census(splits.decided(found, covered)).withColumn("mean_dev", F.round("mean_dev", 9))
+
+
+@query("statement_of_nine_steps", sql(_WIDE + """, g AS (SELECT entity, idx, cogs, equity, abs(revenue) AS ni, CAST(5000 * (1 + entity % 7) AS DOUBLE) AS n FROM w),
+s AS (SELECT *, CASE WHEN ni IS NOT NULL AND ni / n >= 0.1 AND idx % 8 <> 7 THEN n END AS avg_n, CASE WHEN ni IS NOT NULL AND ni / n >= 0.1 AND idx % 8 <> 6 THEN n END AS dil, CASE WHEN ni / n >= 0.1 THEN ni / n END AS e FROM g),
+t AS (SELECT *, CASE WHEN ni IS NOT NULL AND e IS NOT NULL AND coalesce(avg_n, dil) IS NOT NULL THEN n * CASE WHEN idx % 6 = 2 THEN 1.04 ELSE 1 END END AS shares, CASE WHEN idx % 6 = 2 THEN 'classes' WHEN idx % 3 = 0 THEN 'cover' ELSE 'us-gaap' END AS src FROM s),
+c AS (SELECT *, CASE WHEN idx % 4 = 1 AND entity % 5 > 0 THEN equity END AS c0 FROM t),
+d AS (SELECT *, CASE WHEN count(c0) OVER (PARTITION BY entity) >= 2 THEN last_value(c0 IGNORE NULLS) OVER (PARTITION BY entity ORDER BY idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) ELSE c0 END AS cash FROM c),
+o AS (SELECT *, count(equity) OVER p AS k, last_value(equity IGNORE NULLS) OVER (PARTITION BY entity ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, last_value(equity IGNORE NULLS) OVER (PARTITION BY entity ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM d WINDOW p AS (PARTITION BY entity ORDER BY idx)),
+q AS (SELECT *, min(CASE WHEN entity % 3 > 0 AND k <= 9 AND equity >= 2.5 * b AND b < 0.4 * z THEN idx END) OVER (PARTITION BY entity) AS cut FROM o)
+SELECT entity, CAST(idx AS BIGINT) AS idx, round(CASE WHEN idx % 6 = 2 AND avg_n IS NULL AND dil IS NULL THEN NULL ELSE shares END, 3) AS shares, avg_n AS average, dil AS diluted, round(e / 7.31, 6) AS eps, round(e / 7.31, 6) AS eps_diluted, round(ni, 3) AS net_income, CAST(CASE WHEN equity IS NOT NULL THEN 0 END AS DOUBLE) AS debt, round(cash, 3) AS cash, round(ni - coalesce(cogs, 0), 3) AS gross, count(cash) OVER (PARTITION BY entity) > 0 OR entity % 2 = 1 AS cash_applicable
+FROM q WHERE cut IS NULL OR idx >= cut"""))
+def statement_of_nine_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement through every repair: counts and earnings in thousands, totals, zeros, balances, sources, derived items, listing (but for annual reporters)."""
+    idx, entity = F.col("idx"), F.col("entity")
+    n = (5000 * (1 + entity % 7)).cast("double")
+    df = _wide(spark, sf_dir).withColumn("net_income", F.abs("revenue")).withColumn("n", n)
+    there = F.col("net_income") / F.col("n") >= 0.1
+    wrong = F.when(idx % 5 == 1, 1000.0).when(idx % 5 == 3, 0.001).otherwise(1.0)
+    df = df.withColumn("eps", F.when(there, F.col("net_income") / F.col("n"))).withColumn("average", F.when(there & (idx % 8 != 7), F.col("n") * wrong)).withColumn("diluted", F.when(there & (idx % 8 != 6), F.col("n") / wrong))
+    some = F.coalesce("average", "diluted").isNotNull()
+    df = df.withColumn("shares", F.when(some, F.col("n") * F.when(idx % 6 == 2, 1.04).otherwise(1) * F.when(idx % 7 == 0, 1_000_000.0).otherwise(1.0)))
+    df = df.withColumn("eps_diluted", F.col("eps") * F.when(idx % 4 == 1, 1000).otherwise(1)).withColumn("src", F.when(idx % 6 == 2, "classes").when(idx % 3 == 0, "cover").otherwise("us-gaap")).withColumn("other", F.col("n") * 1.01)
+    df = df.withColumn("debt", F.col("equity")).withColumn("debt_tag", F.lit("Total")).withColumn("short", F.col("equity")).withColumn("cash", F.when((idx % 4 == 1) & (entity % 5 > 0), F.col("equity"))).withColumn("gross", F.lit(None).cast("double"))
+    df = df.withColumn("group", (entity % 2).cast("string")).withColumn("years", entity % 3 == 0)
+    rules = statements.Rules(
+        ["entity"], shares="shares", weighted="average", diluted="diluted", net_income="net_income", eps="eps", eps_diluted="eps_diluted", totals=[("debt", "short", ["Total"], None, 0.01)], zeros=["debt"], anchor="equity",
+        carried=["cash"], source="src", sources={"other": "other"}, derive=[("gross", "net_income - cogs?")], listing="equity", annual="years", group="group", barred={"cash": ("0",)}, internal=["cogs", "revenue", "other"],
+    )
+    out = statements.statement(df, rules)
+    rounded = {"shares": 3, "average": 3, "diluted": 3, "eps": 6, "eps_diluted": 6, "net_income": 3, "debt": 3, "cash": 3, "gross": 3}
+    # a factor without halves at the last place, so that rounding is the same everywhere
+    out = out.withColumns({c: F.col(c) / 7.31 for c in ("eps", "eps_diluted")})
+    return out.select("entity", _long(), *(F.round(c, k).alias(c) for c, k in rounded.items()), "cash_applicable")

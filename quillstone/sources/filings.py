@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.calendar import epoch_date
+from quillstone.functions.scalars import clean_ratio
 
 POINT = "struct<start:date,end:date,val:double,fy:int,fp:string,form:string,filed:date,frame:string>"
 COMPANY_FACTS = f"cik bigint, entityName string, facts map<string,map<string,struct<units:map<string,array<{POINT}>>>>>"
@@ -78,11 +79,15 @@ def periodic_values(num: DataFrame, sub: DataFrame, forms: tuple[str, ...], vers
 
 
 def prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(ticker, d, adj_close) and (ticker, ex_date, factor, cover_start) of chart documents; null closes are left out."""
+    """(ticker, d, adj_close) and (ticker, ex_date, factor, cover_start) of chart documents; null closes are left out.
+
+    Splits are those of a clean ratio; others (10000 for 9947 is a spin-off) leave a company's row of what is covered alone.
+    """
     raw = spark.read.schema(CHART).json(path, multiLine=True)
     daily = raw.select("ticker", F.inline(F.arrays_zip(F.col("timestamp").alias("t"), F.col("adjclose").alias("c")))).where("c is not null").select("ticker", epoch_date(F.col("t")).alias("d"), F.col("c").alias("adj_close"))
     start = F.greatest(epoch_date(F.col("meta.firstTradeDate")), epoch_date(F.array_min("timestamp")))
-    splits = raw.select("ticker", start.alias("cover_start"), F.explode_outer(F.map_values("events.splits")).alias("s"))
+    clean = F.filter(F.map_values("events.splits"), lambda s: F.coalesce(clean_ratio(s["numerator"], s["denominator"]), F.lit(False)))
+    splits = raw.select("ticker", start.alias("cover_start"), F.explode_outer(clean).alias("s"))
     return daily, splits.select("ticker", epoch_date(F.col("s.date")).alias("ex_date"), (F.col("s.numerator") / F.col("s.denominator")).alias("factor"), "cover_start")
 
 
