@@ -7,9 +7,9 @@
    bit map of 2**30 bits at most: a bit that is set by chance only lets a pointer through that growing drops later.
 3. One prefix, one task: the pointers of a first word go to the task of its bucket, which has `BUCKET` pointers on average.
    There `grown` extends each frequent prefix by every next word, depth first, over its own run of the sorted pointers.
-   Where the first word is hot (more than `BUCKET` / 4 places), the prefix of a task is longer: all leading hot words and
-   the next, which isn't hot and so bounds the pointers.  Counts of phrases of hot words alone come in parts, one from
-   each task that has some, and are added up.
+   Where the first word is hot (more than `BUCKET` / 4 places), a task's prefix has two words, and where both are hot, it is
+   dealt out by the words that follow over as many tasks as the rarer of the two calls for; counts of phrases of hot words
+   then may come in some parts, which are added up.  The hot words and their counts are broadcast, 2**20 of them at most.
 4. Cuts, scores and what longer phrases cover are joins on phrases; joins on a part that many phrases share are salted.
 
 Equal pointers of a block of text travel once with their number, so a passage that stands in a third of all texts takes few
@@ -138,11 +138,45 @@ def _has(bit_map: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bit_map[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def pointers(held: list[Block], frequent: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]:
-    """bucket, depth, language, the words that follow from each pointer (0: none), and how often.
+@dataclass
+class Hot:
+    """Words with more than `most` places, ascending, and their counts."""
+
+    ids: np.ndarray
+    counts: np.ndarray
+    most: int
+
+    def tasks(self, words: np.ndarray) -> np.ndarray:
+        """Over how many tasks a word's places are to be dealt: 0 for those that aren't hot."""
+        if not len(self.ids):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.ids, words), len(self.ids) - 1)
+        return np.where(self.ids[at] == words, -(-self.counts[at] // self.most), 0)
+
+
+def _dealt(found: np.ndarray, tasks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What names the task of each pointer, and from how many words on its phrases have all their pointers there.
 
-    depth: how many first words of a pointer name its task, all hot ones and the next.
+    tasks: over how many tasks each of the first three words is dealt, 0 if it isn't hot.
     """
+    hashes = [mixed(found[:, d] + np.uint64(d)) for d in range(LONGEST)]
+    first, second, third = (tasks[:, d] > 0 for d in range(LONGEST - 1))
+    key, whole = found[:, 0].copy(), np.ones(len(found), np.int64)
+    key[first] = mixed(key[first] + hashes[1][first])
+    whole[first] = 2
+    both = first & second
+    n = np.minimum(tasks[:, 0], tasks[:, 1])
+    m = np.where(third, np.minimum(n, tasks[:, 2]), 1)
+    some = np.flatnonzero(both & (n > 1))
+    by = hashes[2][some] % n[some].astype(np.uint64)
+    part = (by + hashes[3][some] % m[some].astype(np.uint64)) % n[some].astype(np.uint64)
+    key[some] = mixed(key[some] + part + np.uint64(1))
+    whole[some] = np.where(m[some] > 1, 4, 3)
+    return key, whole
+
+
+def pointers(held: list[Block], frequent: np.ndarray, hot: Hot, buckets: int) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]:
+    """bucket, whole_from (see grown), language, the words that follow from each pointer (0: none), and how often."""
     ids = np.concatenate([b.ids for b in held])
     if not len(ids):
         return
@@ -151,7 +185,7 @@ def pointers(held: list[Block], frequent: np.ndarray, hot: np.ndarray, buckets:
     ends = np.cumsum([0, *(b.piece[-1] + 1 if len(b.piece) else 0 for b in held)])
     piece = np.concatenate([b.piece + e for b, e in zip(held, ends[:-1].tolist(), strict=True)])
     words, first, code = np.unique(ids, return_index=True, return_inverse=True)
-    often, warm, of_lang = _has(frequent, words), _has(hot, words), lang[first]
+    often, tasks, of_lang = _has(frequent, words), hot.tasks(words), lang[first]
     pair = np.append((piece[1:] == piece[:-1]) & often[code[1:]] & often[code[:-1]], [False] * 3)
     at = np.flatnonzero(pair)
     if not len(at):
@@ -168,20 +202,16 @@ def pointers(held: list[Block], frequent: np.ndarray, hot: np.ndarray, buckets:
     head, tail = head[start], tail[start]
     codes = np.stack([head >> 32, head & 0xFFFFFFFF, tail >> 32, tail & 0xFFFFFFFF], axis=1)
     found = np.append(np.uint64(0), words)[codes]
-    leads = np.logical_and.accumulate(np.append(False, warm)[codes[:, : LONGEST - 1]], axis=1)
-    depth, key = 1 + leads.sum(axis=1), found[:, 0].copy()
-    for d in range(1, LONGEST):
-        deep = depth > d
-        key[deep] = mixed(key[deep] + mixed(found[deep, d] + np.uint64(d)))
+    key, whole = _dealt(found, np.append(0, tasks)[codes[:, : LONGEST - 1]])
     bucket, of = (key % np.uint64(buckets)).astype(np.int64), of_lang[codes[:, 0] - 1]
-    order = np.lexsort((of, depth, bucket))
-    found, times, bucket, depth, of = found[order], times[order], bucket[order], depth[order], of[order]
-    cut = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (depth[1:] != depth[:-1]) | (of[1:] != of[:-1])))
+    order = np.lexsort((of, whole, bucket))
+    found, times, bucket, whole, of = found[order], times[order], bucket[order], whole[order], of[order]
+    cut = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (whole[1:] != whole[:-1]) | (of[1:] != of[:-1])))
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(of)], strict=True):
-        yield int(bucket[a]), int(depth[a]), names[of[a]], found[a:b], times[a:b]
+        yield int(bucket[a]), int(whole[a]), names[of[a]], found[a:b], times[a:b]
 
 
-def _projected(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, buckets: int) -> DataFrame:
+def _projected(docs: DataFrame, frequent: np.ndarray, hot: Hot, buckets: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,14 +220,14 @@ def _projected(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, buckets:
         shrink = zstandard.ZstdCompressor(level=1)
         for held in _blocks(batches, BLOCK):
             rows: list[tuple] = []
-            for bucket, depth, lang, found, times in pointers(held, *shared.value, buckets):
+            for bucket, whole, lang, found, times in pointers(held, *shared.value, buckets):
                 data = found.T.tobytes() + times.astype("<u8").tobytes()
-                rows.append((bucket, depth, lang, len(times), shrink.compress(data)))
+                rows.append((bucket, whole, lang, len(times), shrink.compress(data)))
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary())
             for at in range(0, len(rows), 2_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2_000], strict=True), kinds, strict=True)], names=["bucket", "depth", "lang", "n", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2_000], strict=True), kinds, strict=True)], names=["bucket", "whole_from", "lang", "n", "data"])
 
-    return _source(docs).mapInArrow(project, "bucket long, depth int, lang string, n long, data binary")
+    return _source(docs).mapInArrow(project, "bucket long, whole_from int, lang string, n long, data binary")
 
 
 def grown(found: np.ndarray, times: np.ndarray, least: int, whole_from: int = 1) -> Iterator[tuple[list[int], int, bool]]:
@@ -255,7 +285,7 @@ def _phrases(projected: DataFrame, least: int) -> DataFrame:
 
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "depth", "lang", "n", "data")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "whole_from", "lang", "n", "data")), strict=True):
                 if held and held[0][:3] != row[:3]:
                     yield from one(held)
                     held = []
@@ -263,7 +293,7 @@ def _phrases(projected: DataFrame, least: int) -> DataFrame:
         if held:
             yield from one(held)
 
-    dealt = projected.repartition("bucket", "depth", "lang").sortWithinPartitions("bucket", "depth", "lang")
+    dealt = projected.repartition("bucket", "whole_from", "lang").sortWithinPartitions("bucket", "whole_from", "lang")
     return dealt.mapInArrow(grow, "lang string, words array<long>, a long, whole boolean")
 
 
@@ -298,7 +328,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, bucket: in
     bits = min(30, max(10, (16 * size["words"]).bit_length()))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(8 * partitions, -(-size["places"] // bucket))
-    hot = _bit_map(frequent.where(F.col("f") > bucket // 4), bits)
+    most = max(bucket // 4, size["places"] >> 20)
+    listed = frequent.where(F.col("f") > most).select("id", "f").toArrow()  # 2**20 rows at most
+    ids, counts = np.asarray(listed.column("id")).view(np.uint64), np.asarray(listed.column("f"))
+    hot = Hot(ids[np.argsort(ids)], counts[np.argsort(ids)], most)
     found = written(_phrases(_projected(docs, _bit_map(frequent, bits), hot, buckets), least), "grown")
     whole = found.where("whole").select("lang", "words", "a")
     parts = found.where("not whole").groupBy("words").agg(F.first("lang").alias("lang"), F.sum("a").alias("a")).where(F.col("a") >= least)
