@@ -15,16 +15,39 @@ def token_weights(names: DataFrame, key: str, tokens: str) -> DataFrame:
     return pairs.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", "df", F.ln(F.col("n") / F.col("df")).alias("idf"))
 
 
+def shared_weight(tags: DataFrame, vocabulary: DataFrame, least: float) -> DataFrame:
+    """tag, concept, score of all pairs whose shared tokens weigh `least` or more.
+
+    tags: tag, token; vocabulary: concept, token, idf, a token having one weight.  On each side only the heaviest tokens are
+    joined: those of which the lighter ones, with the token itself, could reach `least`.  Two that share so much share such
+    a token, as both sides order tokens alike.  The pairs met are scored on all their tokens; frequent tokens meet nobody.
+    """
+    weights = vocabulary.where("idf > 0").select("token", "idf").distinct()
+    told = tags.select("tag", "token").distinct().join(weights, "token")
+    known = vocabulary.where("idf > 0").select("concept", "token", "idf").distinct()
+
+    def heaviest(df: DataFrame, key: str) -> DataFrame:
+        lighter = Window.partitionBy(key).orderBy("idf", "token").rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("_upto", F.sum("idf").over(lighter)).where(F.col("_upto") >= least - 1e-9).select(key, "token")
+
+    pairs = heaviest(told, "tag").join(heaviest(known, "concept"), "token").select("tag", "concept").distinct()
+    of_tags = told.groupBy("tag").agg(F.collect_set("token").alias("own"))
+    of_concepts = known.groupBy("concept").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("idfs"))
+    shared = F.array_intersect("own", F.map_keys("idfs"))
+    scored = pairs.join(of_tags, "tag").join(of_concepts, "concept")
+    score = F.aggregate(shared, F.lit(0.0), lambda s, t: s + F.try_element_at("idfs", t))
+    return scored.select("tag", "concept", score.alias("score")).where(F.col("score") >= least)
+
+
 def score_tags(tags: DataFrame, concepts: DataFrame, least: float = 4.0, margin: float = 1.25) -> DataFrame:
     """tag, concept, score: the concept whose tokens a tag shares most of by weight, if that is enough and clear.
 
     tags: tag, tokens; concepts: concept, tokens, of any number.  A tag is taken if the best score is `least` or
-    more and `margin` times the second.  Every shared token counts by its weight.
+    more and `margin` times the second.  A second below least / margin can't stand in the way, so pairs are sought from there on.
     """
     weights = token_weights(concepts, "concept", "tokens")
     vocabulary = concepts.select("concept", F.explode("tokens").alias("token")).distinct().join(weights, "token")
-    met = tags.select("tag", F.explode(F.array_distinct("tokens")).alias("token")).join(vocabulary, "token")
-    scores = met.groupBy("tag", "concept").agg(F.sum("idf").alias("score"))
+    scores = shared_weight(tags.select("tag", F.explode("tokens").alias("token")), vocabulary, least / margin)
     w = Window.partitionBy("tag").orderBy(F.desc("score"), "concept")
     best = scores.withColumn("_r", F.row_number().over(w)).withColumn("_second", F.lead("score").over(w)).where("_r = 1")
     return best.where((F.col("score") >= least) & (F.col("_second").isNull() | (F.col("score") >= F.col("_second") * margin))).drop("_r", "_second")
@@ -149,31 +172,80 @@ def gap_census(grid: DataFrame, present: DataFrame, inapplicable: DataFrame, dim
 def derivable(present: DataFrame, rules: dict[str, list[str]], rounds: int = 4) -> DataFrame:
     """present (entity, concept) and what rules (concept: what it needs) make derivable from it, in so many rounds at most.
 
-    The rules are a table; each round is one join with it and one aggregate, however many there are.  Optional terms
-    aren't part of a rule.
+    Of an entity only the concepts that rules name are gathered, so its set is no larger than the rules; the rounds are a fold over
+    it, and one exchange serves them all.  Optional terms aren't part of a rule.
     """
     found = present.select("entity", "concept").distinct()
-    table = [(name, c, len(set(needs))) for name, needs in rules.items() for c in sorted(set(needs))]
-    if not table:
+    kind = dict(found.dtypes)["concept"]
+    if not rules:
         return found
-    needed = F.broadcast(found.sparkSession.createDataFrame(table, "derived string, concept string, n_needed int"))
-    for _ in range(rounds):
-        met = found.join(needed, "concept").groupBy("entity", "derived", "n_needed").agg(F.count("*").alias("n"))
-        found = found.unionByName(met.where("n = n_needed").select("entity", F.col("derived").alias("concept"))).distinct()
-    return found
+    named = sorted({*rules, *(c for needs in rules.values() for c in needs)})
+    table = F.array(*(F.struct(F.lit(name).cast(kind).alias("name"), F.array(*(F.lit(c).cast(kind) for c in sorted(set(needs)))).alias("needs")) for name, needs in rules.items()))
+    own = found.where(F.col("concept").isin(*named)).groupBy("entity").agg(F.collect_set("concept").alias("own"))
+
+    def more(has: Column, _: Column) -> Column:
+        ready = F.filter(table, lambda r: F.size(F.array_except(r["needs"], has)) == 0)
+        return F.array_union(has, F.transform(ready, lambda r: r["name"]))
+
+    after = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("own"), more)
+    return found.unionByName(own.select("entity", F.explode(F.array_except(after, F.col("own"))).alias("concept")))
 
 
 def vocabulary(concepts: DataFrame) -> DataFrame:
-    """concept, tokens: the words of all tags and the name of each concept that isn't internal (concept, tokens, internal)."""
-    return concepts.where("not internal").groupBy("concept").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
+    """concept, tokens: the words of all tags and the name of each concept that isn't internal (concept, tokens, internal).
+
+    Words are made distinct before they are gathered, so a concept's array has each once however many tags it has.
+    """
+    words = concepts.where("not internal").select("concept", F.explode("tokens").alias("token")).distinct()
+    return words.groupBy("concept").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+
+
+def begun_by(tags: DataFrame, known: DataFrame, tag: str = "tag", kin: str = "kin") -> DataFrame:
+    """tags with every row of known whose kin its tag begins with and is longer than.
+
+    The beginnings of a tag, one for each length, meet the known names by equality: no comparison of all with all, and
+    neither side need be small.
+    """
+    cut = tags.withColumn("_begin", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(tag) - 1, F.lit(1))), lambda n: F.left(F.col(tag), n))))
+    return cut.join(known, F.col("_begin") == F.col(kin)).where(F.col(tag) != F.col(kin)).drop("_begin")
 
 
 def kin_tags(tags: DataFrame, known: DataFrame) -> DataFrame:
-    """tag, kin: known tags that a tag's name begins with, the longest of them.  known is configuration of some hundred rows."""
-    met = tags.select("tag").distinct().join(F.broadcast(known.select(F.col("tag").alias("kin"))), F.col("tag").startswith(F.col("kin")) & (F.col("tag") != F.col("kin")))
+    """tag, kin: known tags that a tag's name begins with, the longest of them."""
+    met = begun_by(tags.select("tag").distinct(), known.select(F.col("tag").alias("kin")).distinct())
     return met.groupBy("tag").agg(F.max_by("kin", F.struct(F.length("kin"), "kin")).alias("kin"))
 
 
+def coverage_sweep(points: DataFrame, tags: DataFrame, rules: dict[str, list[str]], zeros: dict[str, str] | None = None, rounds: int = 4) -> DataFrame:
+    """entity, concept, state, tag, latest, years, kin: what each company has of each concept.
+
+    points: entity, tag, start, end, val; tags: concept, tag, place, the configured tags in their order.  state: `hit` (tag is the first
+    that has values, latest its last day, years how many calendar years it has an instant or a span of 340 to 400 days in), `derived`
+    by the rules, `zeroed` (zeros: concept to the concept that must be a hit for it to count as nought), or `missing`; kin then are
+    the company's tags that begin with one of the concept's, which may be more of the same.
+    """
+    length = F.datediff("end", "start")
+    yearly = F.col("start").isNull() | length.between(340, 400)
+    seen = points.where("val is not null").groupBy("entity", "tag").agg(F.max("end").alias("latest"), F.count_distinct(F.when(yearly, F.year("end"))).alias("years"))
+    met = seen.join(tags, "tag")
+    hits = met.groupBy("entity", "concept").agg(F.min_by(F.struct("tag", "latest", "years"), F.struct("place", "tag")).alias("hit"))
+    reach = derivable(hits, rules, rounds).withColumn("_reached", F.lit(True))
+    entities = seen.select("entity").distinct()
+    names = [r["concept"] for r in tags.select("concept").distinct().orderBy("concept").collect()]  # configuration
+    every = sorted({*names, *rules, *(zeros or {})})
+    cells = entities.select("entity", F.explode(F.array(*map(F.lit, every))).alias("concept"))
+    anchors = F.create_map(*(F.lit(x) for pair in (zeros or {"": ""}).items() for x in pair))
+    with_hits = cells.join(hits, ["entity", "concept"], "left").join(reach, ["entity", "concept"], "left")
+    has = F.collect_set(F.when(F.col("hit").isNotNull(), F.col("concept"))).over(Window.partitionBy("entity"))
+    state = F.when(F.col("hit").isNotNull(), "hit").when(F.col("_reached"), "derived").when(F.array_contains("_has", F.try_element_at(anchors, F.col("concept"))), "zeroed").otherwise("missing")
+    told = with_hits.withColumn("_has", has).select("entity", "concept", state.alias("state"), "hit.tag", "hit.latest", "hit.years")
+    near = begun_by(seen.select("entity", F.col("tag").alias("longer")), tags.select("concept", F.col("tag").alias("kin")), "longer")
+    others = near.join(tags.select("concept", F.col("tag").alias("longer")), ["concept", "longer"], "left_anti")
+    kin = others.groupBy("entity", "concept").agg(F.array_sort(F.collect_set("longer")).alias("kin"))
+    empty = F.array().cast("array<string>")
+    return told.join(kin, ["entity", "concept"], "left").withColumn("kin", F.when(F.col("state") == "missing", F.coalesce("kin", empty)).otherwise(empty))
+
+
 def latest_point(facts: DataFrame, namespaces: list[str], units: list[str]) -> DataFrame:
     """entity, tag, end, val at the latest end, in the first namespace and then the first unit that has any."""
     rank = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillstone.operators.audits import derivable, enough_evidence
+from quillstone.operators.audits import derivable, enough_evidence, shared_weight
 
 
 def token_evidence(tags: DataFrame, weights: DataFrame, least: float = 3.0) -> DataFrame:
@@ -13,8 +12,7 @@ def token_evidence(tags: DataFrame, weights: DataFrame, least: float = 3.0) -> D
 
     tags: tag, token; weights: concept, token, idf.
     """
-    scores = tags.distinct().join(weights, "token").groupBy("tag", "concept").agg(F.sum("idf").alias("score"))
-    return scores.where(F.col("score") >= least).select("tag", "concept")
+    return shared_weight(tags, weights, least).select("tag", "concept")
 
 
 def supported(mapped: DataFrame, scored: DataFrame, revoked: DataFrame, claims: DataFrame) -> DataFrame:

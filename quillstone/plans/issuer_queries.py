@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import issuers
+from quillstone.operators import audits, issuers
 from quillstone.plans.bindings import facts, sql
 from quillstone.plans.registry import query
 
@@ -43,3 +43,22 @@ def resolved_issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
     accession = F.concat(F.lpad(F.col("agent").cast("string"), 10, "0"), F.lit("-"), F.lpad(F.col("k1").cast("string"), 12, "0"))
     filings = df.join(orders, "k1").select("entity", form.alias("form"), accession.alias("accession"), "filing_date")
     return issuers.resolved(asked, roster, feed, companies, registrants, filings)
+
+
+@query("coverage_sweep", sql(""", p AS (SELECT entity, 'C' || part % 12 || CASE WHEN line <= 2 THEN '' WHEN line <= 4 THEN 'Net' ELSE 'Gross' || line END AS tag, CASE WHEN status = 'F' THEN e - CAST(quantity * 9 AS INTEGER) END AS s, e, val FROM facts WHERE part % 30 < 3 + entity % 20),
+t AS (SELECT 'c' || i AS concept, 'C' || i || 'Net' AS tag, 1 AS place FROM range(0, 12) r(i) UNION ALL SELECT 'c' || i, 'C' || i, 2 FROM range(0, 12) r(i)),
+seen AS (SELECT entity, tag, max(e) AS latest, count(DISTINCT CASE WHEN s IS NULL OR e - s BETWEEN 340 AND 400 THEN year(e) END) AS years FROM p GROUP BY 1, 2),
+hit AS (SELECT entity, concept, tag, latest, years FROM seen JOIN t USING (tag) QUALIFY row_number() OVER (PARTITION BY entity, concept ORDER BY place) = 1),
+x AS (SELECT entity FROM hit WHERE concept IN ('c0', 'c1') GROUP BY 1 HAVING count(*) = 2), y AS (SELECT x.entity FROM x JOIN hit ON hit.entity = x.entity AND hit.concept = 'c2'),
+cells AS (SELECT e.entity, c.concept FROM (SELECT DISTINCT entity FROM seen) e, (SELECT DISTINCT concept FROM t UNION SELECT 'x' UNION SELECT 'y' UNION SELECT 'z') c),
+st AS (SELECT c.entity, c.concept, h.tag, h.latest, h.years, CASE WHEN h.tag IS NOT NULL THEN 'hit' WHEN c.concept = 'x' AND c.entity IN (SELECT entity FROM x) OR c.concept IN ('y', 'c11') AND c.entity IN (SELECT entity FROM y) THEN 'derived' WHEN c.concept = 'z' AND c.entity IN (SELECT entity FROM hit WHERE concept = 'c3') THEN 'zeroed' ELSE 'missing' END AS state FROM cells c LEFT JOIN hit h USING (entity, concept)),
+kin AS (SELECT s.entity, t.concept, string_agg(DISTINCT s.tag, ' ' ORDER BY s.tag) AS kin FROM seen s JOIN t ON starts_with(s.tag, t.tag) AND s.tag <> t.tag WHERE NOT EXISTS (SELECT 1 FROM t o WHERE o.concept = t.concept AND o.tag = s.tag) GROUP BY 1, 2)
+SELECT st.entity, st.concept, state, tag, latest, years, CASE WHEN state = 'missing' THEN coalesce(kin, '') ELSE '' END AS kin FROM st LEFT JOIN kin USING (entity, concept)"""))
+def coverage_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What suppliers have of twelve concepts with two tags each, two derived ones, one that counts as nought; tags with other endings are kin."""
+    df = facts(spark, sf_dir).where(F.col("part") % 30 < 3 + F.col("entity") % 20)
+    tag = F.concat(F.lit("C"), (F.col("part") % 12).cast("string"), F.when(F.col("line") <= 2, "").when(F.col("line") <= 4, "Net").otherwise(F.concat(F.lit("Gross"), F.col("line").cast("string"))))
+    points = df.select("entity", tag.alias("tag"), F.when(F.col("status") == "F", F.date_sub("end", (F.col("quantity") * 9).cast("int"))).alias("start"), "end", "val")
+    tags = spark.createDataFrame([(f"c{i}", f"C{i}{ending}", place) for i in range(12) for place, ending in ((1, "Net"), (2, ""))], "concept string, tag string, place int")
+    out = audits.coverage_sweep(points, tags, {"y": ["x", "c2"], "x": ["c0", "c1"], "c11": ["y"]}, {"z": "c3"})
+    return out.withColumn("kin", F.array_join("kin", " "))
