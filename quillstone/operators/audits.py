@@ -246,6 +246,19 @@ def coverage_sweep(points: DataFrame, tags: DataFrame, rules: dict[str, list[str
     return told.join(kin, ["entity", "concept"], "left").withColumn("kin", F.when(F.col("state") == "missing", F.coalesce("kin", empty)).otherwise(empty))
 
 
+def at_ranks(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """keys, percentile, median: the value at place floor(q n) of n sorted ones, the last at most, and the middle one or the mean of two.
+
+    Values are sorted by the exchange and counted; no entity's values are gathered in one row.  Null values don't count.
+    """
+    whole = Window.partitionBy(*keys)
+    ranked = df.where(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(whole.orderBy(value)) - 1).withColumn("_n", F.count("*").over(whole))
+    last = F.col("_n") - 1
+    high = F.max(F.when(F.col("_at") == F.least(last, F.floor(F.col("_n") * q)), F.col(value)))
+    middle = F.avg(F.when((F.col("_at") == F.floor(last / 2)) | (F.col("_at") == F.ceil(last / 2)), F.col(value)))
+    return ranked.groupBy(*keys).agg(high.alias("percentile"), middle.alias("median"))
+
+
 def latest_point(facts: DataFrame, namespaces: list[str], units: list[str]) -> DataFrame:
     """entity, tag, end, val at the latest end, in the first namespace and then the first unit that has any."""
     rank = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c))

@@ -264,8 +264,8 @@ def keywords_and_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("percentiles_and_medians", sql(""", v AS (SELECT entity, list_sort(list(CAST(val AS DOUBLE))) AS l, median(CAST(val AS DOUBLE)) AS m FROM facts GROUP BY 1) SELECT entity, l[least(len(l) - 1, CAST(floor(len(l) * 0.9) AS BIGINT)) + 1] AS p90, m AS median FROM v"""))
 def percentiles_and_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("val").cast("double")
-    return facts(spark, sf_dir).groupBy("entity").agg(scalars.rank_percentile(F.collect_list(v), 0.9).alias("p90"), F.median(v).alias("median"))
+    values = facts(spark, sf_dir).select("entity", F.col("val").cast("double").alias("v"))
+    return audits.at_ranks(values, ["entity"], "v", 0.9).withColumnRenamed("percentile", "p90")
 
 
 @query("vocabulary_and_kin", """WITH c AS (SELECT p_type, string_agg(DISTINCT w, ' ' ORDER BY w) AS tokens FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size > 3) GROUP BY 1), k AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS kin FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size = 1)
