@@ -46,6 +46,11 @@ def _claimed(rows: DataFrame, order: list[Column]) -> DataFrame:
     return rows.withColumn("claimant", F.first("filing").over(Window.partitionBy(*SCOPE).orderBy(*order, "filing")))
 
 
+def whole_tables(crosses: DataFrame, order: list[Column]) -> DataFrame:
+    """Cross tables of the newest filing that has one for (period, axis), none of their cells from older ones."""
+    return _claimed(crosses, order).where(F.col("filing") == F.col("claimant")).select(*SCOPE, "member", "other", "concept", "val")
+
+
 def merged(cells: DataFrame, totals: DataFrame, residuals: DataFrame, crosses: DataFrame, order: list[Column], tolerance: float = 0.005) -> Merged:
     """One breakdown of all filings of each entity.
 
@@ -68,7 +73,7 @@ def merged(cells: DataFrame, totals: DataFrame, residuals: DataFrame, crosses: D
     borrowed = without.join(newest, ["entity", "period"]).select(*SCOPE, "concept", "total", F.lit(True).alias("is_borrowed"))
 
     items = claims.join(residuals.select("entity", "period", "filing", "member", "concept", "val"), ["entity", "period", "filing"]).select(*SCOPE, "member", "concept", "val")
-    tables = _claimed(crosses, order).where(F.col("filing") == F.col("claimant")).select(*SCOPE, "member", "other", "concept", "val")
+    tables = whole_tables(crosses, order)
     made = projected(tables, newest, direct, tolerance).select(*SCOPE, "member", "concept", "val")
     of_made = made.select(*SCOPE).distinct().join(newest, ["entity", "period"]).select(*SCOPE, "concept", "total", F.lit(True).alias("is_borrowed"))
 

@@ -230,34 +230,6 @@ def ratios(reconciled_: DataFrame) -> DataFrame:
     return wide.withColumn("total", total).withColumn("share", share).withColumn("gross_margin", F.try_divide(gross, F.col("revenue"))).withColumn("operating_margin", F.try_divide("operating_income", "revenue"))
 
 
-def gaps(marked: DataFrame, shown: DataFrame, totals: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """entity, code, axis, n, amount: what a breakdown lacks, the largest amounts first within an entity by rank.
-
-    axis_dropped: an axis that facts have and the result lacks.  degenerate_axis: periods whose only member is the total.
-    period_hole: n quarters that lie, for some member, without a value between quarters with one; the amount is a mean of the
-    two for each member and quarter.  dropped_facts: amounts left out for a reason
-    that could be mended.
-    """
-    revenue = shown.where("concept = 'revenue'")
-    seen = marked.select("entity", F.explode("dims").alias("d"), "val", "concept").where(F.col("d.axis").isNotNull()).groupBy("entity", F.col("d.axis").alias("axis")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("concept") == "revenue", F.abs("val"))).alias("amount"))
-    dropped = seen.join(shown.select("entity", "axis").distinct(), ["entity", "axis"], "left_anti").withColumn("code", F.lit("axis_dropped"))
-    single = revenue.groupBy("entity", "axis", "period").agg(F.count("*").alias("_n"), F.first("val").alias("_v")).where("_n = 1").join(totals.where("concept = 'revenue'").drop("concept"), ["entity", "period"])
-    single = single.where(F.abs(F.col("_v") - F.col("total")) <= F.abs("total") * tolerance).groupBy("entity", "axis").agg(F.count("*").alias("n"), F.sum(F.abs("total")).alias("amount")).withColumn("code", F.lit("degenerate_axis"))
-    quarters = revenue.where("kind = 'Q'").select("entity", "period").distinct().withColumn("idx", F.row_number().over(Window.partitionBy("entity").orderBy("period")))
-    placed = revenue.where("kind = 'Q'").join(quarters, ["entity", "period"])
-    nxt = Window.partitionBy("entity", "axis", "member").orderBy("idx")
-    hole = placed.withColumn("_gap", F.lead("idx").over(nxt) - F.col("idx") - 1).withColumn("_mean", (F.abs("val") + F.abs(F.lead("val").over(nxt))) / 2).where("_gap > 0")
-    hole = hole.withColumn("_at", F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + F.col("_gap"))))
-    hole = hole.groupBy("entity", "axis").agg(F.count_distinct("_at").alias("n"), F.sum("_mean").alias("amount")).withColumn("code", F.lit("period_hole"))
-    lost = marked.where(F.col("reason").isin("cross_axis", "deep_cross", "member_excluded") & (F.col("concept") == "revenue")).groupBy("entity", F.col("reason").alias("axis")).agg(F.count("*").alias("n"), F.sum(F.abs("val")).alias("amount")).where("amount <> 0").withColumn("code", F.lit("dropped_facts"))
-    columns = ["entity", "code", "axis", "n", "amount"]
-    every = [df.select(*columns) for df in (dropped, single, hole, lost)]
-    whole = every[0]
-    for df in every[1:]:
-        whole = whole.unionByName(df)
-    return whole.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc_nulls_last("amount"), "code", "axis")))
-
-
 def generations(presence: DataFrame, keys: list[str]) -> DataFrame:
     """keys, member, generation: members linked by shared periods, where a breakdown has two or three such groups.
 

@@ -246,14 +246,6 @@ def test_incomplete_projection_is_rejected(spark):
     assert segments.projected(cross, totals, direct).count() == 0
 
 
-def test_gaps(spark):
-    marked = spark.createDataFrame([(1, "revenue", [("seg", "m")], 5.0, "cross_axis")], "entity int, concept string, dims array<struct<axis:string,member:string>>, val double, reason string")
-    shown = spark.createDataFrame([(1, "other", "a", p, "Q", "revenue", 10.0) for p in ("q1", "q3")] + [(1, "other", "b", p, "Q", "revenue", 10.0) for p in ("q1", "q2", "q3")], "entity int, axis string, member string, period string, kind string, concept string, val double")
-    totals = spark.createDataFrame([(1, "revenue", p, 20.0) for p in ("q1", "q2", "q3")], "entity int, concept string, period string, total double")
-    got = {r.code: r.amount for r in segments.gaps(marked, shown, totals).collect()}
-    assert got == {"axis_dropped": 5.0, "period_hole": 10.0, "dropped_facts": 5.0}
-
-
 def test_round_robin_takes_turns(spark):
     df = spark.createDataFrame([("a", k) for k in range(50)] + [("b", k) for k in range(3)], "s string, k int")
     got = audits.round_robin(df, "s", "k", 8, 1).collect()
@@ -326,13 +318,6 @@ def test_optional_factors_and_masks(spark):
     assert one(spark, m=scalars.digits_masked(F.lit("a12b"))).m == "a##b"
 
 
-def test_holes_are_counted_by_quarter(spark):
-    shown = spark.createDataFrame([(1, "a", m, p, "Q", "revenue", 10.0) for m in "xy" for p in ("q1", "q3")] + [(1, "a", "z", "q2", "Q", "revenue", 1.0)], "entity int, axis string, member string, period string, kind string, concept string, val double")
-    marked = spark.createDataFrame([], "entity int, concept string, dims array<struct<axis:string,member:string>>, val double, reason string")
-    totals = spark.createDataFrame([], "entity int, concept string, period string, total double")
-    assert [(r.n, r.amount) for r in segments.gaps(marked, shown, totals).where("code = 'period_hole'").collect()] == [(1, 20.0)]
-
-
 def test_each_split_is_matched_once(spark):
     schema = "entity int, threshold date, factor double, confirmed boolean, dev double, dev_raw double"
     found = spark.createDataFrame([(1, day("2020-03-01"), 2.0, True, 0.0, 0.0), (1, day("2020-04-01"), 2.0, True, 0.0, 0.0), (1, day("2022-01-01"), 2.0, True, 0.5, 0.5)], schema)
