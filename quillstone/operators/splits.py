@@ -10,6 +10,13 @@ from quillstone.functions.scalars import split_factor
 #: Days by which an ex-date may precede the first filing on the new basis; days within which a detected event repeats one.
 MATCH_DAYS, REPEAT_DAYS = 200, 540
 EXACT, NEAR = 0.001, 0.08
+#: Width of the bins in which places among deviations are counted first; they lie below NEAR, so there are some 84,000 at most.
+BIN = 2.0**-20
+# fixed values: the cells of the census report with what becomes of their events
+REPORT = {
+    "A1": "kept", "A2a": "kept", "A2b": "dropped", "A3": "kept", "A4": "kept", "B1": "kept", "B2": "dropped", "B3": "kept", "B4": "kept", "C1": "added", "D1": "merged", "D2": "merged",
+}
+QUANTILES = {"median_dev": 0.5, "p75_dev": 0.75, "p90_dev": 0.9}
 
 
 def observations(points: DataFrame) -> DataFrame:
@@ -113,6 +120,51 @@ def census(cells: DataFrame) -> DataFrame:
     return cells.groupBy("confirmed", "cell").agg(F.count("*").alias("n_events"), F.count_distinct("entity").alias("n_entities"), F.avg("dev").alias("mean_dev"))
 
 
+def report_cell(cell: Column, confirmed: Column) -> Column:
+    """The report's name of a cell of decided(): a letter and number for the two witnesses."""
+    sure = F.coalesce(confirmed, F.lit(False))
+    number = F.when(cell == "both", "1").when(cell.isin("exact", "denied"), "2").when(cell == "not covered", "3").when(cell == "no exchange data", "4")
+    fine = F.when(sure & (cell == "exact"), "a").when(sure & (cell == "denied"), "b").otherwise("")
+    return F.when(cell.isin("exchange", "unfiled"), "C1").when(cell == "repeat", F.when(sure, "D1").otherwise("D2")).otherwise(F.concat(F.when(sure, "A").otherwise("B"), number, fine))
+
+
+def order_statistics(rows: DataFrame, key: str, value: str, shares: dict[str, float], width: float = BIN) -> DataFrame:
+    """key and, for each share, the value with floor(share * n) smaller places among the n non-null values of the key (the last at most).
+
+    Exact, in two mergeable counts: values by bins of the width, whose running counts tell which bin holds each place, then the
+    distinct values of those bins alone.  No task holds a key's values; (greatest - least value) / width bounds a key's bins.
+    """
+    binned = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_bin"))
+    counts = binned.groupBy("_k", "_bin").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_k")
+    running = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("_bin"))).withColumn("_all", F.sum("_n").over(w))
+    places = F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.floor(F.lit(q) * F.col("_all")), F.col("_all") - 1).alias("place")) for name, q in shares.items()))
+    wanted = running.select("_k", "_bin", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.inline(places)).where("place >= _before and place < _upto").select("_k", "_bin", "_before", "name", "place")
+    within = binned.join(wanted.select("_k", "_bin").distinct(), ["_k", "_bin"], "left_semi").groupBy("_k", "_bin", "_v").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_k", "_bin").orderBy("_v"))
+    found = within.withColumn("_upto", upto).join(wanted, ["_k", "_bin"]).where("place >= _before + _upto - _n and place < _before + _upto")
+    return found.groupBy(F.col("_k").alias(key)).agg(*(F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in shares))
+
+
+def report(cells: DataFrame) -> DataFrame:
+    """outcome, code, n_events, n_entities, over_2, over_4 (deviations of 2 and 4 % or more) and quantiles of the deviations.
+
+    One row for each of the twelve cells of REPORT, zeros included, one for each outcome (code null) and one for all (both null);
+    quantiles are those of cells, null where no event has a deviation.
+    """
+    code = report_cell(F.col("cell"), F.col("confirmed"))
+    outcome = F.create_map(*(F.lit(x) for pair in REPORT.items() for x in pair))[F.col("code")]
+    marked = cells.select("entity", "dev", code.alias("code")).withColumn("outcome", outcome)
+    over = [F.count_if(F.col("dev") >= x).alias(f"over_{n}") for n, x in ((2, 0.02), (4, 0.04))]
+    counted = marked.groupingSets([["outcome", "code"], ["outcome"], []], "outcome", "code").agg(F.count("*").alias("n_events"), F.count_distinct("entity").alias("n_entities"), *over)
+    names = [*((o, c) for c, o in REPORT.items()), *((o, None) for o in dict.fromkeys(REPORT.values())), (None, None)]
+    frame = cells.sparkSession.createDataFrame(names, "_outcome string, _code string")
+    rows = frame.join(counted, F.col("_outcome").eqNullSafe(F.col("outcome")) & F.col("_code").eqNullSafe(F.col("code")), "left")
+    quantiles = order_statistics(marked, "code", "dev", QUANTILES).withColumnRenamed("code", "_of")
+    whole = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_events", "n_entities", "over_2", "over_4")]
+    return rows.join(quantiles, F.col("_code") == F.col("_of"), "left").select(F.col("_outcome").alias("outcome"), F.col("_code").alias("code"), *whole, *QUANTILES)
+
+
 def adjusted(values: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
     """values with val on the newest basis: times the factors of all later thresholds for shares, divided for per-share.
 

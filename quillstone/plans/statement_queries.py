@@ -157,6 +157,32 @@ def split_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.census(splits.decided(found, covered)).withColumn("mean_dev", F.round("mean_dev", 9))
 
 
+@query("split_report", """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS kind, o_orderkey % 3 > 0 AS sure, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 977) * 8e-5 END AS dev, (o_orderkey % 7) * 3e-4 AS raw FROM orders),
+c AS (SELECT k, dev, CASE WHEN kind = 0 THEN CASE WHEN sure THEN 'A4' ELSE 'B4' END WHEN kind = 1 THEN CASE WHEN sure THEN 'A3' ELSE 'B3' END WHEN kind IN (3, 4) THEN CASE WHEN sure THEN 'A1' ELSE 'B1' END
+ WHEN NOT sure THEN 'B2' WHEN dev < 0.001 AND raw < 0.001 THEN 'A2a' ELSE 'A2b' END AS code FROM o WHERE kind <> 6 UNION ALL SELECT k, dev, CASE WHEN sure THEN 'D1' ELSE 'D2' END FROM o WHERE kind = 4 UNION ALL SELECT k, NULL, 'C1' FROM o WHERE kind IN (5, 6, 7)),
+m AS (SELECT *, CASE WHEN code IN ('A2b', 'B2') THEN 'dropped' WHEN code = 'C1' THEN 'added' WHEN code[1] = 'D' THEN 'merged' ELSE 'kept' END AS outcome FROM c),
+f AS (SELECT unnest(['kept', 'kept', 'dropped', 'kept', 'kept', 'kept', 'dropped', 'kept', 'kept', 'added', 'merged', 'merged', 'kept', 'dropped', 'added', 'merged', NULL]) AS outcome, unnest(['A1', 'A2a', 'A2b', 'A3', 'A4', 'B1', 'B2', 'B3', 'B4', 'C1', 'D1', 'D2', NULL, NULL, NULL, NULL, NULL]) AS code),
+n AS (SELECT outcome, code, count(*) AS n_events, count(DISTINCT k) AS n_entities, count(*) FILTER (dev >= 0.02) AS over_2, count(*) FILTER (dev >= 0.04) AS over_4 FROM m GROUP BY GROUPING SETS ((outcome, code), (outcome), ())),
+d AS (SELECT code, list(dev ORDER BY dev) AS v FROM m WHERE dev IS NOT NULL GROUP BY 1)
+SELECT f.outcome, f.code, coalesce(n_events, 0) AS n_events, coalesce(n_entities, 0) AS n_entities, coalesce(over_2, 0) AS over_2, coalesce(over_4, 0) AS over_4, v[least(len(v), len(v) // 2 + 1)] AS median_dev, v[least(len(v), 3 * len(v) // 4 + 1)] AS p75_dev, v[least(len(v), 9 * len(v) // 10 + 1)] AS p90_dev
+FROM f LEFT JOIN n ON f.outcome IS NOT DISTINCT FROM n.outcome AND f.code IS NOT DISTINCT FROM n.code LEFT JOIN d ON f.code = d.code""")
+def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The census report of splits made of orders, by kind: no exchange data; not covered; denied or exact; matched; matched and
+    repeated after 300 days; of another factor; unfiled; filed too late to match.
+    """
+    k, day, none = F.col("o_orderkey"), F.to_date("o_orderdate"), F.lit(None).cast("date")
+    kind, sure = k % 8, k % 3 > 0
+    o = table(spark, sf_dir, "orders").where(k.isNotNull())
+    first = F.when(kind == 7, 201).otherwise(10)
+    after = F.when(kind == 4, F.array(first, F.lit(310))).otherwise(F.array(first))
+    event = [k.alias("entity"), F.when(kind == 5, 3.0).otherwise(2.0).alias("factor"), sure.alias("confirmed"), F.when(sure, (k % 977) * 8e-5).alias("dev"), ((k % 7) * 3e-4).alias("dev_raw")]
+    found = o.where(kind != 6).select(*event, day.alias("day"), F.explode(after).alias("after")).withColumn("threshold", F.expr("date_add(day, after)")).drop("day", "after")
+    start = F.when(kind == 1, F.lit("2010-01-01")).otherwise(F.lit("1990-01-01")).cast("date")
+    split = kind >= 3
+    listed = o.where(kind > 0).select(k.alias("entity"), F.when(split, day).alias("ex_date"), F.when(split, 2.0).alias("factor"), start.alias("cover_start"), F.when(split & (kind != 6), F.date_add(day, 10)).otherwise(none).alias("first_filed"))
+    return splits.report(splits.decided(found, listed))
+
+
 @query("statement_of_nine_steps", sql(_WIDE + """, g AS (SELECT entity, idx, cogs, equity, abs(revenue) AS ni, CAST(5000 * (1 + entity % 7) AS DOUBLE) AS n FROM w),
 s AS (SELECT *, CASE WHEN ni IS NOT NULL AND ni / n >= 0.1 AND idx % 8 <> 7 THEN n END AS avg_n, CASE WHEN ni IS NOT NULL AND ni / n >= 0.1 AND idx % 8 <> 6 THEN n END AS dil, CASE WHEN ni / n >= 0.1 THEN ni / n END AS e FROM g),
 t AS (SELECT *, CASE WHEN ni IS NOT NULL AND e IS NOT NULL AND coalesce(avg_n, dil) IS NOT NULL THEN n * CASE WHEN idx % 6 = 2 THEN 1.04 ELSE 1 END END AS shares, CASE WHEN idx % 6 = 2 THEN 'classes' WHEN idx % 3 = 0 THEN 'cover' ELSE 'us-gaap' END AS src FROM s),
