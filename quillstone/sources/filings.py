@@ -109,54 +109,112 @@ def instance_documents(names: DataFrame) -> DataFrame:
     return names.where(ok).groupBy("accession").agg(F.min_by("name", first).alias("name"))
 
 
-INSTANCE = "path string, pos int, tag string, ctx string, unit string, val double, dims array<struct<axis:string,member:string>>, typed boolean, start date, end date"
+# fixed values: where namespaces of standard taxonomies begin
+STANDARD = ("http://fasb.org/us-gaap/", "http://fasb.org/srt/", "http://xbrl.sec.gov/", "http://xbrl.ifrs.org/taxonomy/", "http://www.xbrl.org/")
+INSTANCE = (
+    "path string, pos int, tag string, ctx string, unit string, val double, dims array<struct<axis:string,member:string,axis_standard:boolean,member_standard:boolean>>, typed boolean, start date, end date, "
+    "instant date, uri string, name string, standard boolean"
+)
+_DIM = pa.struct([("axis", pa.string()), ("member", pa.string()), ("axis_standard", pa.bool_()), ("member_standard", pa.bool_())])
+_FACT = pa.schema([
+    ("path", pa.string()), ("pos", pa.int32()), ("tag", pa.string()), ("ctx", pa.string()), ("unit", pa.string()), ("val", pa.float64()), ("dims", pa.list_(_DIM)), ("typed", pa.bool_()), ("start", pa.date32()), ("end", pa.date32()),
+    ("instant", pa.date32()), ("uri", pa.string()), ("name", pa.string()), ("standard", pa.bool_()),
+])
+FACTS_A_BATCH = 10_000
 
 
 def instances(spark: SparkSession, path: str) -> DataFrame:
-    """Numeric facts of XBRL instances with their contexts: path, pos, tag, ctx, unit, val, dims, typed, start, end.
+    """Numeric facts of XBRL instances with their contexts: path, pos, tag, ctx, unit, val, dims, typed, start, end, instant, uri, name, standard.
+
+    Facts of elements with a unitRef.  end is an instant's day too; an instant has no start.  Empty and unreadable values are null.  A
+    context with a typed dimension is marked, as it isn't the whole company's.  tag is the local name, uri its namespace, name that
+    with the prefix that the document declares for it (of several, the one declared last).  Axes and members are names with
+    the document's own prefixes; they are standard, as tags are, by the namespace their prefix stands for where it is used.
 
-    Facts of elements with a unitRef.  An instant has no start.  Empty and unreadable values are null.  A context with a
-    typed dimension is marked, as it isn't the whole company's.  Each document is read in one task; it has some MB.
+    Elements are read one after the other and dropped, so a task holds the contexts, one batch of facts and those facts that
+    come before their context or unit, not the tree of a document.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xml.etree.ElementTree as ET
-        from datetime import date
-
-        def local(tag: str) -> str:
-            return tag.rsplit("}", 1)[-1]
-
-        def day(text: str | None) -> date | None:
-            return date.fromisoformat(text.strip()[:10]) if text and text.strip() else None
-
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                root = ET.fromstring(content)
-                contexts, units, rows = {}, {}, []
-                for e in root:
-                    if local(e.tag) == "context":
-                        parts = {local(x.tag): x.text for x in e.iter()}
-                        dims = [{"axis": x.get("dimension"), "member": (x.text or "").strip()} for x in e.iter() if local(x.tag) == "explicitMember"]
-                        contexts[e.get("id")] = (dims, any(local(x.tag) == "typedMember" for x in e.iter()), day(parts.get("startDate")), day(parts.get("endDate") or parts.get("instant")))
-                    elif local(e.tag) == "unit":
-                        measures = [x.text.strip() for x in e.iter() if local(x.tag) == "measure" and x.text]
-                        units[e.get("id")] = measures[0] if len(measures) == 1 else ""
-                for pos, e in enumerate(root):
-                    if e.get("unitRef") is None or e.get("contextRef") not in contexts:
-                        continue
-                    try:
-                        val = float(e.text)
-                    except (TypeError, ValueError):
-                        val = None
-                    dims, typed, start, end = contexts[e.get("contextRef")]
-                    rows.append({"path": name, "pos": pos, "tag": local(e.tag), "ctx": e.get("contextRef"), "unit": units.get(e.get("unitRef")), "val": val, "dims": dims, "typed": typed, "start": start, "end": end})
+                rows = []
+                for fact in _numeric_facts(content):
+                    rows.append({"path": name, **fact})
+                    if len(rows) == FACTS_A_BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, _FACT)
+                        rows = []
                 if rows:
-                    schema = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("tag", pa.string()), ("ctx", pa.string()), ("unit", pa.string()), ("val", pa.float64()), ("dims", pa.list_(pa.struct([("axis", pa.string()), ("member", pa.string())]))), ("typed", pa.bool_()), ("start", pa.date32()), ("end", pa.date32())])
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_pylist(rows, _FACT)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, INSTANCE)
 
 
+def _numeric_facts(content: bytes) -> Iterator[dict]:
+    import io
+    import xml.etree.ElementTree as ET
+    from datetime import date
+
+    declared: list[tuple[str, str]] = []  # prefixes in scope, the innermost last
+    contexts: dict[str, dict] = {}
+    units: dict[str, str] = {}
+    early: list[tuple[dict, str]] = []  # facts before their context or unit
+
+    def local(tag: str) -> str:
+        return tag.rsplit("}", 1)[-1]
+
+    def day(text: str | None) -> date | None:
+        return date.fromisoformat(text.strip()[:10]) if text and text.strip() else None
+
+    def standard(qname: str) -> bool:
+        prefix = qname.split(":")[0] if ":" in qname else ""
+        return next((uri for p, uri in reversed(declared) if p == prefix), "").startswith(STANDARD)
+
+    def context(e: ET.Element) -> dict:
+        parts = {local(x.tag): x.text for x in e.iter()}
+        pairs = [(x.get("dimension") or "", (x.text or "").strip()) for x in e.iter() if local(x.tag) == "explicitMember"]
+        dims = [{"axis": a, "member": m, "axis_standard": standard(a), "member_standard": standard(m)} for a, m in pairs]
+        instant = day(parts.get("instant"))
+        return {"dims": dims, "typed": any(local(x.tag) == "typedMember" for x in e.iter()), "start": day(parts.get("startDate")), "end": day(parts.get("endDate")) or instant, "instant": instant}
+
+    def number(text: str | None) -> float | None:
+        try:
+            return float(text)
+        except (TypeError, ValueError):
+            return None
+
+    depth, pos, root = 0, -1, None
+    for event, e in ET.iterparse(io.BytesIO(content), events=("start-ns", "end-ns", "start", "end")):
+        if event == "start-ns":
+            declared.append(e)
+        elif event == "end-ns":
+            declared.pop()
+        elif event == "start":
+            root = e if root is None else root
+            depth += 1
+        else:
+            depth -= 1
+            if depth != 1:
+                continue
+            pos += 1
+            tag = local(e.tag)
+            if tag == "context":
+                contexts[e.get("id")] = context(e)
+            elif tag == "unit":
+                measures = [x.text.strip() for x in e.iter() if local(x.tag) == "measure" and x.text]
+                units[e.get("id")] = measures[0] if len(measures) == 1 else ""
+            elif e.get("unitRef") is not None and e.get("contextRef") is not None:
+                uri = e.tag[1:].split("}", 1)[0] if e.tag.startswith("{") else ""
+                prefix = next((p for p, u in reversed(declared) if u == uri), "")
+                fact = {"pos": pos, "tag": tag, "ctx": e.get("contextRef"), "val": number(e.text), "uri": uri, "name": f"{prefix}:{tag}" if prefix else tag, "standard": uri.startswith(STANDARD)}
+                if fact["ctx"] in contexts and e.get("unitRef") in units:
+                    yield {**fact, "unit": units[e.get("unitRef")], **contexts[fact["ctx"]]}
+                else:
+                    early.append((fact, e.get("unitRef")))
+            root.clear()
+    yield from ({**fact, "unit": units.get(unit), **contexts[fact["ctx"]]} for fact, unit in early if fact["ctx"] in contexts)
+
+
 def snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of a snapshot folder, with the file each row came from."""
     return spark.read.schema(schema).json(path).withColumn("file", F.input_file_name())

@@ -69,6 +69,31 @@ def test_instances(spark, tmp_path):
     assert got["Assets"].val is None and got["Assets"].start is None and got["Eps"].unit == "" and got["Cash"].typed
 
 
+PREFIXED = """<xbrli:xbrl xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:xbrldi="http://xbrl.org/2006/xbrldi" xmlns:gaap="http://fasb.org/us-gaap/2024" xmlns:us-gaap="http://fasb.org/us-gaap/2024" xmlns:own="http://own.com/2024">
+<own:Early contextRef="a" unitRef="u">1</own:Early>
+<xbrli:context id="a"><xbrli:entity><xbrli:segment><xbrldi:explicitMember dimension="gaap:SegmentAxis">own:EastMember</xbrldi:explicitMember><xbrldi:explicitMember dimension="own:Axis">gaap:WestMember</xbrldi:explicitMember></xbrli:segment></xbrli:entity><xbrli:period><xbrli:instant>2024-03-31</xbrli:instant></xbrli:period></xbrli:context>
+<xbrli:context id="l"><xbrli:entity><xbrli:segment><xbrldi:explicitMember xmlns:own="http://fasb.org/srt/2024" dimension="own:Axis">none</xbrldi:explicitMember></xbrli:segment></xbrli:entity><xbrli:period><xbrli:startDate>2024-01-01</xbrli:startDate><xbrli:endDate>2024-03-31T00:00:00</xbrli:endDate></xbrli:period></xbrli:context>
+<xbrli:unit id="u"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>
+<gaap:Cash contextRef="a" unitRef="u"> 2.5 </gaap:Cash><us-gaap:Debt contextRef="l" unitRef="u">3</us-gaap:Debt><own:Lost contextRef="none" unitRef="u">4</own:Lost><own:NoUnit contextRef="l" unitRef="gone">5</own:NoUnit></xbrli:xbrl>"""
+
+
+def test_namespaces_of_instances(spark, tmp_path):
+    got = {r.tag: r for r in filings.instances(spark, put(tmp_path / "x.xml", PREFIXED)).collect()}
+    # two prefixes of one namespace give one name; what names a context that doesn't exist is left out
+    assert {t: (r.name, r.standard, r.val, r.unit, r.pos) for t, r in got.items()} == {"Early": ("own:Early", False, 1.0, "iso4217:USD", 0), "Cash": ("us-gaap:Cash", True, 2.5, "iso4217:USD", 4), "Debt": ("us-gaap:Debt", True, 3.0, "iso4217:USD", 5), "NoUnit": ("own:NoUnit", False, 5.0, None, 7)}
+    assert got["Cash"].uri == "http://fasb.org/us-gaap/2024" and str(got["Cash"].instant) == str(got["Cash"].end) == "2024-03-31" and got["Cash"].start is None
+    assert [tuple(d) for d in got["Early"].dims] == [("gaap:SegmentAxis", "own:EastMember", True, False), ("own:Axis", "gaap:WestMember", False, True)]
+    assert got["Debt"].instant is None and str(got["Debt"].end) == "2024-03-31"
+
+
+def test_long_instances_come_in_batches(spark, tmp_path):
+    n = 2 * filings.FACTS_A_BATCH + 1
+    facts = "".join(f'<g:T contextRef="b" unitRef="u">{k}</g:T>' for k in range(n))
+    text = f'<x xmlns:g="g"><context id="b"><period><instant>2024-03-31</instant></period></context><unit id="u"><measure>shares</measure></unit>{facts}</x>'
+    got = filings.instances(spark, put(tmp_path / "x.xml", text)).agg(F.count("*"), F.sum("val"), F.max("pos")).first()
+    assert tuple(got) == (n, n * (n - 1) / 2, n + 1)
+
+
 def test_text_scans(spark):
     df = spark.createDataFrame([("CENTRAL INDEX KEY:\t0000000012\nCENTRAL INDEX KEY: 0000000034 <cik>0000000056</cik><conformed-name> A B </conformed-name>",)], "t string")
     cik, name = filings.feed_company(F.col("t"))
