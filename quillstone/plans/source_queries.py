@@ -17,25 +17,31 @@ def json_map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("name", "val"))
 
 
-@query("company_facts_explode", sql(""", c AS (SELECT entity, tag, e, val, filed, row_number() OVER (PARTITION BY entity, tag ORDER BY e, filed, k1, line, val) - 1 AS pos FROM facts) SELECT entity AS cik, tag, pos, e AS "end", CAST(val AS DOUBLE) AS val, filed FROM c"""))
+@query("company_facts_explode", sql(""", c AS (SELECT entity, tag, e, val, filed, row_number() OVER (PARTITION BY entity, tag, year(e) ORDER BY e, filed, k1, line, val) - 1 AS pos FROM facts) SELECT entity AS cik, tag, pos, e AS "end", CAST(val AS DOUBLE) AS val, filed FROM c"""))
 def company_facts_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested documents, one for each supplier, taken apart into points again."""
+    """Nested documents, one for each supplier and year, taken apart into points again."""
     point = F.struct("end", "filed", "k1", "line", F.col("val").cast("double").alias("val"))
-    lists = facts(spark, sf_dir).groupBy("entity", "tag").agg(F.array_sort(F.collect_list(point)).alias("p"))
+    lists = facts(spark, sf_dir).groupBy("entity", F.year("end").alias("year"), "tag").agg(F.array_sort(F.collect_list(point)).alias("p"))
     shaped = F.transform("p", lambda x: F.struct(F.lit(None).cast("date").alias("start"), x["end"].alias("end"), x["val"].alias("val"), F.lit(None).cast("int").alias("fy"), F.lit(None).cast("string").alias("fp"), F.lit("10-Q").alias("form"), x["filed"].alias("filed"), F.lit(None).cast("string").alias("frame")))
     units = F.struct(F.create_map(F.lit("USD"), shaped).alias("units"))
-    docs = lists.groupBy(F.col("entity").alias("cik")).agg(F.map_from_entries(F.collect_list(F.struct("tag", units.alias("u")))).alias("t")).select("cik", F.lit("").alias("entityName"), F.create_map(F.lit("us-gaap"), "t").alias("facts"))
+    docs = lists.groupBy(F.col("entity").alias("cik"), "year").agg(F.map_from_entries(F.collect_list(F.struct("tag", units.alias("u")))).alias("t")).select("cik", F.lit("").alias("entityName"), F.create_map(F.lit("us-gaap"), "t").alias("facts"))
     text = docs.select(F.to_json(F.struct("cik", "entityName", "facts")).alias("j"))
     raw = text.select(F.from_json("j", filings.COMPANY_FACTS).alias("d")).select("d.*")
     return filings.exploded_facts(raw).select("cik", "tag", F.col("pos").cast("long").alias("pos"), "end", "val", "filed")
 
 
-@query("parallel_arrays_inline", """SELECT o_custkey AS entity, o_orderkey, o_orderpriority AS form, CAST(o_orderdate AS DATE) AS filing_date FROM orders""")
+@query("parallel_arrays_inline", """SELECT o_custkey AS entity, o_orderkey, form, CAST(o_orderdate AS DATE) AS filing_date, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS report_date, form LIKE '%/A' AS amended,
+'/Archives/edgar/data/' || o_custkey || '/' || o_orderkey || '/' || o_orderpriority || '.htm' AS url FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN '10-K' ELSE '10-Q/A' END AS form FROM orders)""")
 def parallel_arrays_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows kept as parallel arrays, by customer and year, zipped into rows again."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity"), "o_orderkey", F.col("o_orderpriority").alias("form"), F.to_date("o_orderdate").alias("d"))
-    arrays = o.groupBy("entity", F.year("d")).agg(F.collect_list(F.struct("o_orderkey", "form", "d")).alias("x")).select("entity", F.col("x.o_orderkey").alias("k"), F.col("x.form").alias("f"), F.col("x.d").alias("d"))
-    return arrays.select("entity", F.inline(F.arrays_zip("k", "f", "d"))).select("entity", F.col("k").alias("o_orderkey"), F.col("f").alias("form"), F.col("d").alias("filing_date"))
+    """Documents of parallel arrays, one for each customer and year, as rows of filings again; a dash in each order's number goes from its address."""
+    key, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    form = F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q/A")
+    each = F.struct(form.alias("form"), day.alias("day"), F.concat(key.substr(1, 1), F.lit("-"), key.substr(F.lit(2), F.length(key))).alias("number"), F.concat("o_orderpriority", F.lit(".htm")).alias("document"), F.when(F.col("o_orderkey") % 3 > 0, day).otherwise("").alias("report"))
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate")).agg(F.collect_list(each).alias("x"))
+    recent = F.struct(F.col("x.form").alias("form"), F.col("x.day").alias("filingDate"), F.col("x.number").alias("accessionNumber"), F.col("x.document").alias("primaryDocument"), F.col("x.report").alias("reportDate"))
+    raw = lists.select(F.col("o_custkey").cast("string").alias("cik"), F.lit("").alias("name"), F.lit("1231").alias("fiscalYearEnd"), F.struct(recent.alias("recent")).alias("filings"))
+    number = F.translate("accession", "-", "").cast("bigint").alias("o_orderkey")
+    return filings.listed_filings(raw).select(F.col("cik").alias("entity"), number, "form", "filing_date", "report_date", "amended", "url")
 
 
 @query("regex_context_scan", """SELECT page_id, CAST(len(h) AS BIGINT) AS n_links, CAST(len(list_distinct(h)) AS BIGINT) AS n_targets, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM (SELECT page_id, html, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)""")

@@ -44,7 +44,11 @@ def exploded_facts(raw: DataFrame) -> DataFrame:
 
 def filings(spark: SparkSession, path: str) -> DataFrame:
     """cik, name, fiscal_year_end, form, filing_date, accession, primary_document, report_date, amended, url of the parallel arrays."""
-    raw = spark.read.schema(SUBMISSIONS).json(path, multiLine=True)
+    return listed_filings(spark.read.schema(SUBMISSIONS).json(path, multiLine=True))
+
+
+def listed_filings(raw: DataFrame) -> DataFrame:
+    """A row for each place of the parallel arrays of documents (SUBMISSIONS); shorter arrays give nulls, an empty report date is null."""
     rows = raw.select(F.col("cik").cast("bigint").alias("cik"), "name", F.col("fiscalYearEnd").alias("fiscal_year_end"), F.inline(F.arrays_zip(*(F.col(f"filings.recent.{c}").alias(c) for c in ("form", "filingDate", "accessionNumber", "primaryDocument", "reportDate")))))
     rows = rows.select("cik", "name", "fiscal_year_end", "form", F.to_date("filingDate").alias("filing_date"), F.col("accessionNumber").alias("accession"), F.col("primaryDocument").alias("primary_document"), F.to_date(F.nullif("reportDate", F.lit(""))).alias("report_date"))
     url = F.concat(F.lit("/Archives/edgar/data/"), F.col("cik").cast("string"), F.lit("/"), F.translate("accession", "-", ""), F.lit("/"), F.col("primary_document"))
