@@ -46,13 +46,17 @@ def seen(marked: DataFrame, segment: tuple[str, ...]) -> DataFrame:
     return marked.select("entity", F.explode(_axes(segment)).alias("axis")).groupBy("entity", "axis").agg(F.count("*").alias("n"))
 
 
+def _missing(touched: DataFrame, emitted: DataFrame) -> DataFrame:
+    return touched.join(emitted, ["entity", "axis"], "left_anti")
+
+
 def _dropped_axes(lost: DataFrame, touched: DataFrame, emitted: DataFrame, crossed: DataFrame, stated: DataFrame) -> DataFrame:
     """Axes that facts have and the result lacks, by what was crossed and left out on them, else by the entity's whole revenue."""
     told = lost.where("reason <> 'kind_mismatch'").withColumn("axis", F.explode(F.array_distinct("axes")))
     worst = F.min_by(F.concat_ws("|", "reason", "what"), F.struct(-F.col("amount"), "reason", "what"))
     told = told.groupBy("entity", "axis").agg(F.sum("amount").alias("_told"), worst.alias("cause"))
     whole = stated.where("concept = 'revenue'").groupBy("entity").agg(F.sum(F.abs("total")).alias("_whole"))
-    gone = touched.join(emitted, ["entity", "axis"], "left_anti").join(crossed, ["entity", "axis"], "left").join(told, ["entity", "axis"], "left").join(whole, "entity", "left")
+    gone = _missing(touched, emitted).join(crossed, ["entity", "axis"], "left").join(told, ["entity", "axis"], "left").join(whole, "entity", "left")
     known = F.coalesce("crossed", F.lit(0)) + F.coalesce("_told", F.lit(0))
     amount = F.when(known != 0, known).otherwise(F.coalesce("_whole", F.lit(0)))
     return gone.select("entity", F.lit("axis_dropped").alias("code"), "axis", "cause", "n", amount.alias("amount"), F.lit(False).alias("single_segment"))
@@ -77,13 +81,13 @@ def _holes(revenue: DataFrame) -> DataFrame:
     return each.groupBy("entity", "axis").agg(F.count_distinct("_at").alias("n"), (F.sum("_both") / 2).alias("amount")).select("entity", F.lit("period_hole").alias("code"), "axis", F.lit(None).cast("string").alias("cause"), "n", "amount", F.lit(False).alias("single_segment"))
 
 
-def _lost_facts(lost: DataFrame, emitted: DataFrame, dropped: DataFrame, crossed: DataFrame) -> DataFrame:
+def _lost_facts(lost: DataFrame, emitted: DataFrame, touched: DataFrame, crossed: DataFrame) -> DataFrame:
     """Mendable losses that nothing else tells of: not those crossed over axes that were all emitted after all (a projection
     saved them), nor those with an axis that is reported as dropped.  A two-axis crossing counts each cell of the merged cross
     table once, in the direction of its first axis, as tallies repeat a period that several filings report.
     """
     sets = emitted.groupBy("entity").agg(F.collect_set("axis").alias("_emitted"))  # axes of the configuration
-    gone = dropped.groupBy("entity").agg(F.collect_set("axis").alias("_gone"))
+    gone = _missing(touched, emitted).groupBy("entity").agg(F.collect_set("axis").alias("_gone"))
     rows = lost.where(F.col("reason").isin(*MENDABLE) & (F.col("amount") != 0)).join(sets, "entity", "left").join(gone, "entity", "left")
     none = F.array().cast("array<string>")
     rows = rows.withColumn("_emitted", F.coalesce("_emitted", none)).withColumn("_gone", F.coalesce("_gone", none))
@@ -106,7 +110,6 @@ def gaps(lost: DataFrame, touched: DataFrame, shown: DataFrame, crosses: DataFra
     revenue = shown.where("concept = 'revenue'")
     emitted = shown.select("entity", "axis").distinct()
     crossed = crosses.where("concept = 'revenue'").groupBy("entity", "axis").agg(F.sum(F.abs("val")).alias("crossed"))
-    dropped = _dropped_axes(lost, touched, emitted, crossed, stated)
-    every = [dropped, _degenerate(revenue, own, tolerance), _holes(revenue), _lost_facts(lost, emitted, dropped, crossed)]
+    every = [_dropped_axes(lost, touched, emitted, crossed, stated), _degenerate(revenue, own, tolerance), _holes(revenue), _lost_facts(lost, emitted, touched, crossed)]
     whole = reduce(DataFrame.unionByName, (df.select(*COLUMNS) for df in every))
     return whole.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc_nulls_last("amount"), "code", "axis", "cause")))
