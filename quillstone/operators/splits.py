@@ -128,13 +128,14 @@ def report_cell(cell: Column, confirmed: Column) -> Column:
     return F.when(cell.isin("exchange", "unfiled"), "C1").when(cell == "repeat", F.when(sure, "D1").otherwise("D2")).otherwise(F.concat(F.when(sure, "A").otherwise("B"), number, fine))
 
 
-def order_statistics(rows: DataFrame, key: str, value: str, shares: dict[str, float], width: float = BIN) -> DataFrame:
+def order_statistics(rows: DataFrame, key: str, value: str, shares: dict[str, float], width: float = BIN, bins: Column | None = None) -> DataFrame:
     """key and, for each share, the value with floor(share * n) smaller places among the n non-null values of the key (the last at most).
 
     Exact, in two mergeable counts: values by bins of the width, whose running counts tell which bin holds each place, then the
-    distinct values of those bins alone.  No task holds a key's values; (greatest - least value) / width bounds a key's bins.
+    distinct values of those bins alone.  No task holds a key's values; (greatest - least value) / width bounds a key's bins, unless bins
+    gives other ones, which must never fall as values rise.
     """
-    binned = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_bin"))
+    binned = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), (F.floor(F.col(value) / width) if bins is None else bins).alias("_bin"))
     counts = binned.groupBy("_k", "_bin").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("_k")
     running = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("_bin"))).withColumn("_all", F.sum("_n").over(w))

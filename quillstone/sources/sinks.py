@@ -49,6 +49,65 @@ def results(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def write_json_lines(df: DataFrame, path: str, mode: str = "error", codec: str = "none") -> None:
+    """Each row as one JSON object on a line of its own, nulls written out; `filings.snapshots` reads such folders."""
+    results(df).write.mode(mode).option("compression", codec).text(path)
+
+
+def packed(pairs: DataFrame, key: str, concepts: list[str]) -> DataFrame:
+    """key, places: what a key has of the listed concepts, as places in the list, rising, such as "0,3,7".
+
+    pairs: key, concept; repeated pairs count once.  A concept that isn't listed is an error, as it would be lost.  The opposite of
+    `filings.unpacked`; the list bounds what a key gathers.
+    """
+    place = F.array_position(F.array(*map(F.lit, concepts)), F.col("concept")) - 1
+    known = F.when(place >= 0, place).otherwise(F.raise_error(F.concat(F.lit("not a listed concept: "), F.coalesce("concept", F.lit("null")))).cast("bigint"))
+    return pairs.select(key, known.alias("_place")).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("_place")).cast("array<string>"), ",").alias("places"))
+
+
+def grouped_lists(pairs: DataFrame, group: str) -> DataFrame:
+    """group, concepts: the concepts of each group in order, as a list; pairs: group, concept."""
+    return pairs.groupBy(group).agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
+
+
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in files.listStatus(at)] if files.exists(at) else []
+    done = [p.getName() for p in names if files.exists(jvm.org.apache.hadoop.fs.Path(p, "concepts/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done if n.startswith("generation="))
+
+
+def read_packed(spark: SparkSession, path: str, key: str, generation: int | None = None) -> DataFrame | None:
+    """key, concept of a generation of write_packed, the newest if none is named; None if there is none."""
+    found = _generations(spark, path)
+    if not found:
+        return None
+    folder = f"{path}/generation={found[-1] if generation is None else generation}"
+    lists = spark.read.parquet(f"{folder}/lists").withColumn("place", F.explode(F.split("places", ",").cast("array<bigint>")))
+    return lists.join(F.broadcast(spark.read.parquet(f"{folder}/concepts")), "place").select(key, "concept")
+
+
+def write_packed(pairs: DataFrame, path: str, key: str, concepts: list[str]) -> DataFrame:
+    """Write packed lists as a new generation, and give key, concept, change against the one before: `gained` or `lost`.
+
+    Older generations stay, so nothing that is being read is overwritten.  A generation carries its own list of concepts, written last:
+    one without it was cut short and doesn't count.  Of a first generation all is gained.
+    """
+    spark = pairs.sparkSession
+    before, found = read_packed(spark, path, key), _generations(spark, path)
+    at = found[-1] + 1 if found else 0
+    folder = f"{path}/generation={at}"
+    packed(pairs, key, concepts).write.mode("overwrite").parquet(f"{folder}/lists")
+    spark.createDataFrame(list(enumerate(concepts)), "place bigint, concept string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/concepts")
+    now = read_packed(spark, path, key, at)
+    if before is None:
+        return now.withColumn("change", F.lit("gained"))
+    gained, lost = now.join(before, [key, "concept"], "left_anti"), before.join(now, [key, "concept"], "left_anti")
+    return gained.withColumn("change", F.lit("gained")).unionByName(lost.withColumn("change", F.lit("lost")))
+
+
 def write_versioned(df: DataFrame, path: str, version: dict[str, str]) -> None:
     """Results under the partitions of their version; those of other versions stay."""
     out = df.withColumns({k: F.lit(v) for k, v in version.items()})
