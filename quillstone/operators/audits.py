@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars
+from quillstone.operators.ranks import placed
 
 
 def token_weights(names: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -140,8 +141,7 @@ def histogram(df: DataFrame, key: str) -> DataFrame:
 def patterns(df: DataFrame, pattern: Column, entity: str, amount: str) -> DataFrame:
     """pattern, n_entities, amount, the most widespread first by rank."""
     found = df.withColumn("pattern", pattern).groupBy("pattern").agg(F.count_distinct(entity).alias("n_entities"), F.sum(amount).alias("amount"))
-    # patterns are few beside rows: numbers are masked
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_entities"), F.desc("amount"), "pattern")))
+    return placed(found, [F.desc("n_entities"), F.desc("amount"), F.col("pattern")], "rank")
 
 
 def axis_census(facts: DataFrame) -> DataFrame:
@@ -160,13 +160,15 @@ def metric_status(df: DataFrame, metrics: list[str], by: list[str]) -> DataFrame
 def gap_census(grid: DataFrame, present: DataFrame, inapplicable: DataFrame, dimension_only: DataFrame, candidates: DataFrame, custom: DataFrame) -> DataFrame:
     """entity, concept, state of every cell: filled, dash (doesn't apply), dim_only, fixable (a candidate tag), custom, or over_broad.
 
-    All but the grid are tables of (entity, concept); the first that has a cell names its state.
+    All but the grid are tables of (entity, concept); the first that has a cell names its state.  Repeated rows count once, cells
+    outside the grid not at all.  The tables are put under each other with their places, so one aggregate settles all cells.
     """
-    df = grid.select("entity", "concept")
-    order = (("filled", present), ("dash", inapplicable), ("dim_only", dimension_only), ("fixable", candidates), ("custom", custom))
-    for name, table in order:
-        df = df.join(table.select("entity", "concept").distinct().withColumn(f"_{name}", F.lit(name)), ["entity", "concept"], "left")
-    return df.select("entity", "concept", F.coalesce(*(F.col(f"_{name}") for name, _ in order), F.lit("over_broad")).alias("state"))
+    states = ("filled", "dash", "dim_only", "fixable", "custom", "over_broad")
+    long = grid.select("entity", "concept", F.lit(len(states)).alias("_at"))
+    for at, table in enumerate((present, inapplicable, dimension_only, candidates, custom), 1):
+        long = long.unionByName(table.select("entity", "concept", F.lit(at).alias("_at")))
+    found = long.groupBy("entity", "concept").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where(F.col("_last") == len(states))
+    return found.select("entity", "concept", F.element_at(F.array(*map(F.lit, states)), F.col("_first")).alias("state"))
 
 
 def derivable(present: DataFrame, rules: dict[str, list[str]], rounds: int = 4) -> DataFrame:

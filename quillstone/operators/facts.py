@@ -19,6 +19,13 @@ def latest_restated(facts: DataFrame, keys: list[str], order: list[Column]) -> D
     return ranked.where("_rank = 1").drop("_rank")
 
 
+def provenance(facts: DataFrame, keys: list[str], estimated: Column) -> DataFrame:
+    """keys and cell: value, is_estimated, source_tag, form, filed, orig_filed (filed where that isn't known) and end of chosen facts."""
+    first = F.coalesce("orig_filed", "filed") if "orig_filed" in facts.columns else F.col("filed")
+    fields = (F.col("val").alias("value"), F.coalesce(estimated, F.lit(False)).alias("is_estimated"), F.col("tag").alias("source_tag"), "form", "filed", first.alias("orig_filed"), "end")
+    return facts.select(*keys, F.struct(*fields).alias("cell"))
+
+
 def by_tag_priority(facts: DataFrame, concept_tags: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each concept and key: the first tag that has one, then the latest filed.
 

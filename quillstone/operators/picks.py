@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.calendar import half_up, period_index, span_days
+from quillstone.operators.ranks import placed
 
 
 def in_dates(filings: DataFrame, first: str, last: str) -> DataFrame:
@@ -147,13 +148,12 @@ def column_places(periods: DataFrame) -> DataFrame:
 
 
 def in_config_order(df: DataFrame, config: DataFrame, name: str) -> DataFrame:
-    """df with place, the ordinal of its name in the configuration (name, ordinal), what that lacks behind it by name.
+    """df with place, that of its name among all names in the order of the configuration (name, ordinal), what that lacks behind it by name.
 
-    The configuration has some dozen rows.
+    The configuration has some dozen rows; the names of the data may be many.  Rows without a name are left out.
     """
-    ranked = df.select(name).distinct().join(F.broadcast(config.select(name, "ordinal")), name, "left")
-    placed = ranked.withColumn("place", F.row_number().over(Window.orderBy(F.col("ordinal").asc_nulls_last(), name))).drop("ordinal")
-    return df.join(F.broadcast(placed), name)
+    ranked = df.where(F.col(name).isNotNull()).select(name).distinct().join(F.broadcast(config.select(name, "ordinal")), name, "left")
+    return df.join(placed(ranked, [F.col("ordinal").asc_nulls_last(), F.col(name)]).drop("ordinal"), name)
 
 
 def flattened(results: DataFrame, keys: list[str], values: str) -> DataFrame:

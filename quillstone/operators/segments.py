@@ -72,6 +72,17 @@ def admitted(facts: DataFrame, axes: Axes) -> DataFrame:
     return df.withColumn("clean", ~F.exists("_others", lambda d: ~is_cons(d))).drop("_own", "_others")
 
 
+def drop_telemetry(marked: DataFrame, summed: str = "revenue", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, reason, tag, n, amount of the facts that `admitted` left out: how many, and the size of those of one concept.
+
+    marked also has concept, tag and val.  Sizes of different concepts don't add up, so amount is that of `summed` alone, and
+    nought where only others were left out.
+    """
+    lost = marked.where(F.col("reason").isNotNull() & ~F.col("reason").isin("total", "residual"))
+    size = F.when(F.col("concept") == summed, F.abs("val"))
+    return lost.groupBy(*by, "reason", "tag").agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("amount"))
+
+
 def cells(marked: DataFrame) -> DataFrame:
     """One value for each entity, filing, period, axis, member and concept: clean facts before passthrough ones, then the last in the document."""
     w = Window.partitionBy("entity", "filing", "period", "axis", "member", "concept").orderBy(F.desc("clean"), F.desc("pos"))

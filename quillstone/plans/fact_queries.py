@@ -207,3 +207,10 @@ def power_of_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("new", new).groupBy("entity").agg(F.count_if(F.col("new") == F.col("v")).alias("kept"), F.count_if(F.col("new") != F.col("v")).alias("rescaled"), F.count("*").alias("n"))
 
 
+
+
+@query("provenance_cells", sql(""" SELECT entity, tag, period, CAST(val AS DOUBLE) AS value, fy % 2 = 0 AND q = 4 AS is_estimated, tag AS source_tag, form, filed, orig_filed, e AS "end" FROM latest"""))
+def provenance_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the latest value of each quarter comes from: tag, form, the day filed and first filed; some fourth quarters count as estimates."""
+    latest = op.latest_restated(keyed_facts(spark, sf_dir), ["entity", "tag", "fy", "q"], newest()).withColumn("period", F.col("fy") * 4 + F.col("q")).withColumn("val", F.col("val").cast("double"))
+    return op.provenance(latest, ["entity", "tag", "period"], (F.col("fy") % 2 == 0) & (F.col("q") == 4)).select("entity", F.col("tag"), "period", "cell.*")

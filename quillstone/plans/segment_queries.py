@@ -79,7 +79,10 @@ def structure_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("segment_admission", sql(""", r AS (SELECT *, CASE WHEN tag = 'A' THEN 'total' WHEN tag = 'N' AND status = 'F' THEN CASE WHEN line <= 3 THEN NULL ELSE 'cons_not_operating' END WHEN tag = 'N' THEN 'foreign_dim' WHEN status = 'F' THEN 'cross_axis' ELSE 'residual' END AS reason FROM facts) SELECT coalesce(reason, 'kept') AS reason, count(*) AS n, CAST(sum(val) AS DOUBLE) AS amount FROM r GROUP BY 1"""))
 def segment_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why facts count or don't, by dimensions made of tag, status and line."""
+    return _marked(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.sum("val").cast("double").alias("amount"))
 
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     def dim(axis: str, member: str):  # noqa: ANN202
         return F.struct(F.lit(axis).alias("axis"), F.lit(member).alias("member"))
 
@@ -87,7 +90,15 @@ def segment_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = F.when(F.col("tag") == "A", F.array().cast("array<struct<axis:string,member:string>>")).when((F.col("tag") == "N") & (F.col("status") == "F"), F.array(dim("seg", "x:EastMember"), cons)).when(F.col("tag") == "N", F.array(dim("seg", "x:EastMember"), dim("other", "x:AMember"))).when(F.col("status") == "F", F.array(dim("seg", "x:EastMember"), dim("seg2", "x:WestMember"))).otherwise(F.array(dim("cons", "x:CorporateMember")))
     df = facts(spark, sf_dir).withColumn("dims", dims).withColumn("unit", F.lit("iso4217:USD"))
     axes = segments.Axes(("seg", "seg2"), ("cons",), ("x:OperatingSegmentsMember",))
-    return segments.admitted(df, axes).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.sum("val").cast("double").alias("amount"))
+    return segments.admitted(df, axes)
+
+
+@query("drop_telemetry", sql(""", r AS (SELECT *, CASE WHEN tag = 'A' THEN 'total' WHEN tag = 'N' AND status = 'F' THEN CASE WHEN line <= 3 THEN NULL ELSE 'cons_not_operating' END WHEN tag = 'N' THEN 'foreign_dim' WHEN status = 'F' THEN 'cross_axis' ELSE 'residual' END AS reason FROM facts)
+SELECT entity, reason, form AS tag, count(*) AS n, CAST(coalesce(sum(abs(val)) FILTER (line % 2 = 0), 0) AS DOUBLE) AS amount FROM r WHERE reason NOT IN ('total', 'residual') GROUP BY 1, 2, 3"""))
+def drop_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was left out of each supplier's breakdowns, by reason and form; even lines stand for revenue."""
+    df = _marked(spark, sf_dir).withColumn("tag", F.col("form")).withColumn("concept", F.when(F.col("line") % 2 == 0, "revenue").otherwise("cost"))
+    return segments.drop_telemetry(df, "revenue", ("entity",)).withColumn("amount", F.col("amount").cast("double"))
 
 
 _GAPS = """, r AS (SELECT entity, year(filed) AS filing, fy * 4 + q AS period, line, tag, form, status, CAST(max(val) * 100 AS BIGINT) AS val FROM keyed GROUP BY ALL),

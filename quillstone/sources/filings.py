@@ -82,6 +82,18 @@ def periodic_values(num: DataFrame, sub: DataFrame, forms: tuple[str, ...], vers
     return num.where(plain & alone & F.col("version").rlike(versions)).join(sub.where(F.col("form").isin(*forms)).select("adsh", "cik"), "adsh").select("cik", "adsh", "tag", "qtrs", "value")
 
 
+def configured_facts(num: DataFrame, sub: DataFrame, tags: DataFrame, forms: tuple[str, ...], versions: str = "^(us-gaap|ifrs|srt|dei)") -> DataFrame:
+    """entity, concept, stmt, dimensioned of the standard values of periodic reports under configured tags (concept, stmt, tag).
+
+    A balance sheet takes instants alone (qtrs 0), income and cash flow statements spans alone; values of segments or of a
+    co-registrant are dimensioned.  This feeds `market_coverage.market_coverage`.
+    """
+    fits = F.when(F.col("stmt") == "BS", F.col("qtrs") == 0).when(F.col("stmt").isin("IS", "CF"), F.col("qtrs") != 0).otherwise(True)
+    dimensioned = F.concat_ws("", "segments", "coreg") != ""
+    named = num.where(F.col("value").isNotNull() & F.col("version").rlike(versions)).join(F.broadcast(tags.select("concept", "stmt", "tag")), "tag").where(fits)
+    return named.join(sub.where(F.col("form").isin(*forms)).select("adsh", F.col("cik").alias("entity")), "adsh").select("entity", "concept", "stmt", dimensioned.alias("dimensioned"))
+
+
 def prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(ticker, d, adj_close) and (ticker, ex_date, factor, cover_start) of chart documents; null closes are left out.
 

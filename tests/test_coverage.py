@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import audits, grid_audit, market_coverage, repairs, share_sources, shares
+from quillstone.operators import audits, facts, grid_audit, market_coverage, picks, ranks, repairs, segments, share_sources, shares
 from quillstone.sources import filings, sinks
 
 
@@ -201,3 +201,55 @@ def test_packed_lists_and_what_changed(spark, tmp_path):
 def test_unlisted_concepts_are_an_error(spark):
     with pytest.raises(Exception, match="not a listed concept: z"):
         sinks.packed(spark.createDataFrame([(1, "z")], PAIR), "entity", ["a"]).collect()
+
+
+def test_places_over_many_ranges(spark):
+    df = spark.range(5_000).select((F.col("id") * 7_919 % 5_000).alias("v"), (F.col("id") % 3).alias("other")).repartition(7)
+    got = ranks.placed(df, [F.desc("v")], "at").collect()
+    assert len(got) == 5_000 and all(r.at == 5_000 - r.v for r in got)
+    ties = ranks.placed(df, [F.col("other"), F.col("v")]).orderBy("place").collect()
+    assert [r.place for r in ties] == [*range(1, 5_001)] and [(r.other, r.v) for r in ties] == sorted((r.other, r.v) for r in ties)
+    assert ranks.placed(df.where("v < 0"), [F.col("v")]).count() == 0
+
+
+def test_names_behind_the_configuration(spark):
+    df = spark.createDataFrame([("d",), ("b",), ("a",), ("c",), ("b",), (None,)], "name string")
+    config = spark.createDataFrame([("c", 1), ("x", 2), ("b", 3)], "name string, ordinal int")
+    got = picks.in_config_order(df, config, "name").select("name", "place").distinct().collect()
+    assert sorted((r.place, r.name) for r in got) == [(1, "c"), (2, "b"), (3, "a"), (4, "d")]
+
+
+def test_states_of_cells(spark):
+    cells = lambda *rows: spark.createDataFrame(list(rows), "entity int, concept string")
+    grid = cells(*((1, c) for c in "abcdef"))
+    got = audits.gap_census(grid, cells((1, "a"), (1, "a"), (9, "a")), cells((1, "a"), (1, "b")), cells((1, "c")), cells((1, "d"), (1, "c")), cells((1, "e"), (1, "z")))
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "filled"), (1, "b", "dash"), (1, "c", "dim_only"), (1, "d", "fixable"), (1, "e", "custom"), (1, "f", "over_broad")]
+
+
+def test_what_breakdowns_left_out(spark):
+    rows = [("total", "t", "revenue", 1.0), (None, "t", "revenue", 2.0), ("residual", "t", "revenue", 3.0), ("cross_axis", "t", "revenue", -4.0), ("cross_axis", "t", "cost", 5.0), ("cross_axis", "u", "cost", 6.0), ("foreign_dim", "t", "revenue", None), ("foreign_dim", "t", "revenue", 7.0)]
+    got = segments.drop_telemetry(spark.createDataFrame(rows, "reason string, tag string, concept string, val double"))
+    assert sorted(map(tuple, got.collect())) == [("cross_axis", "t", 2, 4.0), ("cross_axis", "u", 1, 0.0), ("foreign_dim", "t", 2, 7.0)]
+
+
+def test_where_a_cell_comes_from(spark):
+    rows = [(1, "t", 5.0, "10-K", day("2024-02-01"), None, day("2023-12-31")), (2, "u", None, "10-Q", day("2024-05-01"), day("2024-04-01"), day("2024-03-31"))]
+    df = spark.createDataFrame(rows, "entity int, tag string, val double, form string, filed date, orig_filed date, end date")
+    got = {r.entity: tuple(r.cell) for r in facts.provenance(df, ["entity"], F.col("val") > 3).collect()}
+    assert got[1] == (5.0, True, "t", "10-K", day("2024-02-01"), day("2024-02-01"), day("2023-12-31"))
+    assert got[2] == (None, False, "u", "10-Q", day("2024-05-01"), day("2024-04-01"), day("2024-03-31"))
+    assert facts.provenance(df.drop("orig_filed"), ["entity"], F.lit(False)).where("cell.orig_filed = cell.filed").count() == 2
+
+
+def test_statements_take_their_own_spans(spark):
+    sub = spark.createDataFrame([("a1", 7, "10-K"), ("a2", 8, "8-K")], "adsh string, cik bigint, form string")
+    num = spark.createDataFrame(
+        [("a1", "Cash", "us-gaap/2024", 0, None, None, 1.0), ("a1", "Cash", "us-gaap/2024", 4, None, None, 1.0), ("a1", "Sales", "us-gaap/2024", 0, None, None, 1.0), ("a1", "Sales", "us-gaap/2024", 1, "Seg=East", None, 1.0), ("a1", "Sales", "us-gaap/2024", 4, "", "Sub", 2.0),
+         ("a1", "Sales", "us-gaap/2024", 4, "", "", 2.0), ("a1", "Sales", "own/2024", 4, "", "", 2.0), ("a1", "Sales", "us-gaap/2024", 4, "", "", None), ("a2", "Sales", "us-gaap/2024", 4, "", "", 2.0), ("a1", "Other", "us-gaap/2024", 4, "", "", 2.0)],
+        "adsh string, tag string, version string, qtrs int, segments string, coreg string, value double",
+    )
+    tags = spark.createDataFrame([("cash", "BS", "Cash"), ("sales", "IS", "Sales")], "concept string, stmt string, tag string")
+    got = filings.configured_facts(num, sub, tags, ("10-K",))
+    assert sorted(map(tuple, got.collect())) == [(7, "cash", "BS", False), (7, "sales", "IS", False), (7, "sales", "IS", True), (7, "sales", "IS", True)]
+    rates = market_coverage.market_coverage(got, tags, {})
+    assert sorted(map(tuple, rates.collect())) == [("cash", "BS", 1, 1, 0, 0, 1.0), ("sales", "IS", 1, 1, 0, 0, 1.0)]
