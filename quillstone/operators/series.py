@@ -105,14 +105,18 @@ def is_spike(keys: list[str], value: str, day: str) -> Column:
 
 
 def stale_points(df: DataFrame, keys: list[str], value: str, day: str) -> DataFrame:
-    """Rows without those whose value returns more than 400 days later with a value between that differs by over 5 %."""
-    last = F.max(day).over(Window.partitionBy(*keys, value))
-    marked = df.withColumn("_back", F.when(F.date_diff(last, F.col(day)) > 400, last))
-    # a value returns to itself over a run of rows; a row is stale if one before that return lies outside 5 %
-    asked = marked.where("_back is not null").select(*keys, F.col(day).alias("_from"), F.col(value).alias("_v"), "_back").distinct()
-    met = asked.join(df.select(*keys, F.col(day).alias("_d"), F.col(value).alias("_other")), keys).where((F.col("_d") > F.col("_from")) & (F.col("_d") < F.col("_back")) & (F.abs(F.col("_other") / F.col("_v") - 1) > 0.05))
-    stale = met.select(*keys, F.col("_from").alias(day), F.col("_v").alias(value)).distinct()
-    return df.join(stale, [*keys, day, value], "left_anti")
+    """Rows without those whose value returns more than 400 days later with a value between that differs by over 5 %.
+
+    A value that returns has one last day, and before it one last day on which another value stood outside 5 %; its rows before the
+    latter are stale.  So a key's rows meet each of its values that return once, not each row, and leave one day for it.
+    """
+    spans = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.min(day).alias("_from"), F.max(day).alias("_back")).where(F.date_diff("_back", "_from") > 400)
+    others = df.select(*keys, F.col(day).alias("_d"), F.col(value).alias("_other")).distinct()
+    apart = F.abs(F.try_divide(F.col("_other"), F.col("_v")) - 1) > 0.05
+    met = spans.join(others, keys).where((F.col("_d") > F.col("_from")) & (F.col("_d") < F.col("_back")) & apart)
+    known = met.groupBy(*keys, "_v", "_back").agg(F.max("_d").alias("_until"))
+    on = [*(F.col(f"x.{k}") == F.col(f"k.{k}") for k in keys), F.col(f"x.{value}") == F.col("k._v"), F.col(f"x.{day}") < F.col("k._until"), F.date_diff("k._back", f"x.{day}") > 400]
+    return df.alias("x").join(known.alias("k"), on, "left_anti")
 
 
 def one_basis(keys: list[str], value: str, day: str) -> Column:

@@ -105,14 +105,14 @@ def statement(grid: DataFrame, rules: Rules) -> DataFrame:
     return grid
 
 
-def valued(grid: DataFrame, prices: DataFrame, keys: list[str], end: str, currency: str | None = None) -> DataFrame:
+def valued(grid: DataFrame, prices: DataFrame, keys: list[str], end: str, currency: str | None = None, price_keys: list[str] | None = None) -> DataFrame:
     """valuation.multiples() of a statement with the last price at or before each period's end.
 
-    prices: keys, d, price and, if currency is given, price_currency.  Where the statement's currency differs from the
+    prices: price_keys (keys, if they aren't given), d, price and, if currency is given, price_currency.  Where the statement's currency differs from the
     price's, or there is no price, price and all that depends on it are null.
     """
     values = ["price"] + (["price_currency"] if currency else [])
-    priced = as_of(grid, prices, keys, end, "d", values, "year")
+    priced = as_of(grid, prices, price_keys or keys, end, "d", values, "year")
     if currency:
         priced = priced.withColumn("price", F.when(F.col("price_currency") == F.col(currency), F.col("price"))).drop("price_currency")
     return valuation.multiples(priced, keys)

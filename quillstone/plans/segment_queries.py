@@ -93,6 +93,30 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.admitted(df, axes)
 
 
+@query("residual_items", sql(""", m AS (SELECT entity, 'A' AS kind, 'FY' || year(e) AS period, form AS member, tag, val FROM facts UNION ALL SELECT entity, 'Q', 'FY' || year(e) || ' Q' || quarter(e), form, tag, val FROM facts), leaf AS (SELECT entity, kind, period, member, CAST(sum(val) AS DOUBLE) AS val FROM m GROUP BY ALL),
+s AS (SELECT entity, kind, period, CAST(sum(val) AS DOUBLE) AS s, CAST(sum(val) FILTER (tag = 'N') AS DOUBLE) * 0.1 AS x, CAST(sum(val) FILTER (tag = 'R') AS DOUBLE) * 0.07 AS y, 1.0::DOUBLE AS z FROM m GROUP BY ALL), t AS (SELECT *, CASE WHEN entity % 7 = 0 THEN s * 1.5 ELSE s + coalesce(x, 0) + CASE WHEN entity % 2 = 0 THEN coalesce(y, 0) ELSE 0 END END AS total FROM s),
+n AS (SELECT *, total - s AS need, abs(total) * 0.005 AS tol FROM t), k AS (SELECT n.*, k, abs(CASE WHEN k & 1 = 1 THEN x ELSE 0 END + CASE WHEN k & 2 = 2 THEN y ELSE 0 END + CASE WHEN k & 4 = 4 THEN z ELSE 0 END - need) AS err FROM n, (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS k)),
+p AS (SELECT entity, k FROM k WHERE err <= tol AND abs(need) > tol QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY err, bit_count(k), k) = 1), v AS (SELECT entity, k FROM p GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY count(*) DESC, bit_count(k), k) = 1),
+f AS (SELECT n.*, coalesce(v.k, 0) AS k, abs(need) <= tol AS bare, abs(need - CASE WHEN v.k & 1 = 1 THEN coalesce(x, 0) ELSE 0 END - CASE WHEN v.k & 2 = 2 THEN coalesce(y, 0) ELSE 0 END - CASE WHEN v.k & 4 = 4 THEN z ELSE 0 END) <= tol AS filled FROM n LEFT JOIN v ON v.entity = n.entity),
+a AS (SELECT entity, k > 0 AND count(*) FILTER (filled) > count(*) FILTER (bare) AS take FROM f GROUP BY entity, k), g AS (SELECT f.*, take, CASE WHEN take THEN filled ELSE bare END AS fits FROM f JOIN a ON a.entity = f.entity), h AS (SELECT *, CASE WHEN bool_or(fits) OVER (PARTITION BY entity) THEN fits END AS verified FROM g),
+i AS (SELECT entity, kind, period, 'x' AS member, x AS val, verified FROM h WHERE take AND k & 1 = 1 UNION ALL SELECT entity, kind, period, 'y', y, verified FROM h WHERE take AND k & 2 = 2 UNION ALL SELECT entity, kind, period, 'z', z, verified FROM h WHERE take AND k & 4 = 4)
+SELECT l.entity, l.kind, l.period, member, val, false AS is_residual, verified FROM leaf l JOIN h ON h.entity = l.entity AND h.period = l.period UNION ALL SELECT entity, kind, period, member, round(val, 4), true, verified FROM i WHERE val IS NOT NULL"""))
+def residual_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakdowns by form, of years and of quarters together, that only reconciling items bring to the whole; those of every seventh supplier never do."""
+    df = facts(spark, sf_dir)
+    year = F.concat(F.lit("FY"), F.year("end").cast("string"))
+    rows = df.withColumn("kind", F.lit("A")).withColumn("period", year).unionByName(df.withColumn("kind", F.lit("Q")).withColumn("period", F.concat(year, F.lit(" Q"), F.quarter("end").cast("string"))))
+    of = lambda tag, share: F.sum(F.when(F.col("tag") == tag, F.col("val"))).cast("double") * share
+    sums = rows.groupBy("entity", "kind", "period").agg(F.sum("val").cast("double").alias("s"), of("N", 0.1).alias("x"), of("R", 0.07).alias("y"), F.lit(1.0).alias("z"))
+    extra = F.coalesce("x", F.lit(0.0)) + F.when(F.col("entity") % 2 == 0, F.coalesce("y", F.lit(0.0))).otherwise(0.0)
+    totals = sums.select("entity", F.lit("operating_income").alias("concept"), "period", F.when(F.col("entity") % 7 == 0, F.col("s") * 1.5).otherwise(F.col("s") + extra).alias("total"))
+    plain = rows.groupBy("entity", "kind", "period", F.col("form").alias("member")).agg(F.sum("val").cast("double").alias("val")).withColumn("is_residual", F.lit(False))
+    items = sums.select("entity", "kind", "period", F.inline(F.array(*(F.struct(F.lit(c).alias("member"), F.col(c).alias("val")) for c in "xyz")))).where("val is not null").withColumn("is_residual", F.lit(True))
+    values = plain.unionByName(items).withColumn("axis", F.lit("form")).withColumn("concept", F.lit("operating_income"))
+    out = segments.reconciled(values, totals).select("entity", "kind", "period", "member", "val", "is_residual", "verified")
+    return out.withColumn("val", F.when(F.col("is_residual"), F.round("val", 4)).otherwise(F.col("val")))
+
+
 @query("drop_telemetry", sql(""", r AS (SELECT *, CASE WHEN tag = 'A' THEN 'total' WHEN tag = 'N' AND status = 'F' THEN CASE WHEN line <= 3 THEN NULL ELSE 'cons_not_operating' END WHEN tag = 'N' THEN 'foreign_dim' WHEN status = 'F' THEN 'cross_axis' ELSE 'residual' END AS reason FROM facts)
 SELECT entity, reason, form AS tag, count(*) AS n, CAST(coalesce(sum(abs(val)) FILTER (line % 2 = 0), 0) AS DOUBLE) AS amount FROM r WHERE reason NOT IN ('total', 'residual') GROUP BY 1, 2, 3"""))
 def drop_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,8 +111,7 @@ def market_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.withColumns(names | {"shares": F.col("v") / 1000, "currency": F.when(F.col("entity") % 5 > 0, "USD").otherwise("EUR")})
     prices = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("entity"), F.to_date("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("price")).withColumn("price_currency", F.lit("USD"))
     df = df.select("entity", "tag", "idx", "end", "currency", "shares", *names)
-    priced = statements.as_of(df, prices, ["entity"], "end", "d", ["price", "price_currency"], "year").withColumn("price", F.when(F.col("price_currency") == F.col("currency"), F.col("price")))
-    return valuation.multiples(priced, ["entity", "tag"]).select("entity", "tag", _long(), F.round("market_cap", 2).alias("market_cap"), F.round("pe", 6).alias("pe"), F.round("pb", 6).alias("pb"))
+    return statements.valued(df, prices, ["entity", "tag"], "end", "currency", ["entity"]).select("entity", "tag", _long(), F.round("market_cap", 2).alias("market_cap"), F.round("pe", 6).alias("pe"), F.round("pb", 6).alias("pb"))
 
 
 @query("price_targets", """SELECT p_partkey, CASE WHEN e > 0 THEN price / e END AS forward_pe, CASE WHEN g > 0 AND e > 0 THEN price / e / g END AS forward_peg, pe * e AS target_price, CASE WHEN price > 0 THEN pe * e / price END - 1 AS upside, e IS NULL OR g IS NULL AS input_required

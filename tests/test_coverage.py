@@ -2,12 +2,13 @@
 
 import datetime as dt
 import json
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import audits, facts, grid_audit, market_coverage, picks, ranks, repairs, segments, share_sources, shares
+from quillstone.operators import audits, facts, grid_audit, market_coverage, picks, ranks, repairs, segments, series, share_sources, shares
 from quillstone.sources import filings, sinks
 
 
@@ -253,3 +254,21 @@ def test_statements_take_their_own_spans(spark):
     assert sorted(map(tuple, got.collect())) == [(7, "cash", "BS", False), (7, "sales", "IS", False), (7, "sales", "IS", True), (7, "sales", "IS", True)]
     rates = market_coverage.market_coverage(got, tags, {})
     assert sorted(map(tuple, rates.collect())) == [("cash", "BS", 1, 1, 0, 0, 1.0), ("sales", "IS", 1, 1, 0, 0, 1.0)]
+
+
+def test_stale_points_against_all_rows(spark):
+    rng = random.Random(5)
+    rows = [(k, dt.date(2015, 1, 1) + dt.timedelta(days=rng.randrange(3_000)), rng.choice([100.0, 103.0, 104.9, 106.0, 200.0, -50.0, 0.0])) for k in range(6) for _ in range(40)]
+    rows += [(1, None, 100.0), (2, dt.date(2016, 1, 1), None), (None, dt.date(2016, 1, 1), 100.0), rows[0]]
+
+    def stale(k, d, v):
+        if k is None or d is None or v is None or v == 0:
+            return False
+        own = [x for x in rows if x[0] == k and x[1] is not None and x[2] is not None]
+        last = max(x[1] for x in own if x[2] == v)
+        return (last - d).days > 400 and any(d < x[1] < last and abs(x[2] / v - 1) > 0.05 for x in own)
+
+    df = spark.createDataFrame(rows, "entity int, d date, v double")
+    got = [tuple(r) for r in series.stale_points(df, ["entity"], "v", "d").collect()]
+    want = [r for r in rows if not stale(*r)]
+    assert 0 < len(want) < len(rows) and sorted(got, key=str) == sorted(want, key=str)
