@@ -210,3 +210,24 @@ def metric_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = {"return": "gross / avg(equity)", "gross": "revenue - cogs", "growth": "revenue / revenue[t-4] - 1", "step": "gross - gross[t-1] + cogs[t-1] * 91.25", "a": "b + revenue", "b": "a * 2", "c": "a / cogs"}
     out = formulas.with_availability(df, metrics, ["entity"])
     return out.select("entity", F.col("idx").cast("long").alias("idx"), *(f"{m}_{x}" for m in ("gross", "growth", "return", "step", "a", "b", "c") for x in ("available", "missing")))
+
+
+def _rescaled_sql(v: str, anchor: str, strong: str) -> str:
+    ratio = f"(abs({v}) / nullif({anchor}, 0))"
+    power = f"(floor(log10(nullif({ratio}, 0)) / 3 + 0.5) * 3)"
+    return f"CASE WHEN {v} IS NULL OR {v} = 0 OR {anchor} IS NULL OR {anchor} = 0 OR {ratio} BETWEEN 0.1 AND 10 THEN {v} WHEN {power} <> 0 AND abs({ratio} / pow(10, {power}) - 1) <= 0.2 THEN {v} / pow(10, {power}) WHEN {strong} OR {ratio} > 100 OR {ratio} < 0.01 THEN NULL ELSE {v} END"
+
+
+@query("share_scale_repair", sql(_WIDE + f""", a AS (SELECT entity, idx, nullif(cogs * CASE WHEN idx % 5 = 0 THEN 1000 WHEN idx % 7 = 0 THEN 1000000 WHEN idx % 11 = 0 THEN 17 WHEN idx % 13 = 0 THEN 0 ELSE 1 END, 0) AS v, CASE WHEN idx % 3 > 0 AND abs(revenue / (cogs * 1.1)) >= 0.1 AND abs(revenue / (revenue / (cogs * 1.1))) >= 1000 THEN abs(revenue / (revenue / (cogs * 1.1))) END AS strong, CASE WHEN idx % 4 = 0 THEN nullif(abs(equity), 0) END AS weak FROM w),
+b AS (SELECT *, coalesce(strong, weak) AS anchor, {_rescaled_sql("v", "coalesce(strong, weak)", "strong IS NOT NULL")} AS f FROM a), c AS (SELECT *, coalesce(abs(f / anchor) BETWEEN 0.1 AND 10, false) AS settled FROM b),
+d AS (SELECT *, max(CASE WHEN settled THEN idx END) OVER up AS bi, min(CASE WHEN settled THEN idx END) OVER down AS ai, last_value(CASE WHEN settled THEN f END IGNORE NULLS) OVER up AS bv, first_value(CASE WHEN settled THEN f END IGNORE NULLS) OVER down AS av FROM c WINDOW up AS (PARTITION BY entity ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (PARTITION BY entity ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, abs(CASE WHEN bi IS NULL OR ai - idx < idx - bi THEN av ELSE bv END) AS near FROM d), g AS (SELECT *, CASE WHEN settled OR near IS NULL THEN f ELSE {_rescaled_sql("f", "near", "false")} END AS s FROM e),
+h AS (SELECT *, count(s) OVER (PARTITION BY entity ORDER BY idx DESC) AS r FROM g), m AS (SELECT entity, CASE WHEN count(*) >= 3 THEN list_sort(list(s))[count(*) // 2 + 1] END AS m FROM h WHERE s IS NOT NULL AND r <= 4 GROUP BY 1)
+SELECT h.entity, CAST(idx AS BIGINT) AS idx, round(CASE WHEN s <> 0 AND (abs(s) / m > 100 OR abs(s) / m < 0.01) THEN NULL ELSE s END, 4) AS shares, coalesce(v <> s, false) AS shares_rescaled FROM h LEFT JOIN m ON m.entity = h.entity"""))
+def share_scale_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts on wrong scales, by what income and earnings imply, a weak anchor, the nearest settled period and the latest values."""
+    idx = F.col("idx")
+    off = F.when(idx % 5 == 0, 1000).when(idx % 7 == 0, 1_000_000).when(idx % 11 == 0, 17).when(idx % 13 == 0, 0).otherwise(1)
+    df = _wide(spark, sf_dir).withColumns({"shares": F.col("cogs") * off, "eps": F.when(idx % 3 > 0, F.try_divide("revenue", F.col("cogs") * 1.1)), "average": F.when(idx % 4 == 0, F.col("equity"))})
+    out = repairs.repair_scale(df, ["entity"], "shares", "revenue", "eps", "average")
+    return out.select("entity", idx.cast("long").alias("idx"), F.round("shares", 4).alias("shares"), "shares_rescaled")
