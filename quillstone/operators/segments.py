@@ -5,11 +5,13 @@ Facts are rows of (entity, filing, pos, concept, period, kind, dims array<struct
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,17 +166,19 @@ def _vote(sets: list[tuple[str, ...]]) -> tuple[str, ...]:
     return min(set(sets), key=lambda s: (-sets.count(s), len(s), s)) if sets else ()
 
 
-def reconcile(group: pd.DataFrame, tolerance: float, must: bool) -> pd.DataFrame:
+def reconcile(rows: list[tuple], tolerance: float, must: bool) -> list[tuple]:
     """Parents, residual items and verification of one entity, axis and concept.
 
-    group: period, kind, member, val, is_residual, total (null if there is none).
+    rows: period, kind, member, val, is_residual, total (None if there is none); the result: period, kind, member, val, is_parent,
+    is_residual, verified.
     """
-    plain, items = group[~group["is_residual"]], group[group["is_residual"]]
-    periods = sorted(set(plain["period"]))
-    kind = dict(zip(group["period"], group["kind"], strict=True))
-    total = {p: t for p, t in zip(group["period"], group["total"], strict=True) if pd.notna(t)}
-    own = {p: dict(zip(g["member"], g["val"], strict=True)) for p, g in plain.groupby("period")}
-    extra = {p: dict(zip(g["member"], g["val"], strict=True)) for p, g in items.groupby("period")}
+    kind = {p: k for p, k, *_ in rows}
+    total = {p: t for p, _, _, _, _, t in rows if t is not None}
+    own: dict[str, dict[str, float]] = {}
+    extra: dict[str, dict[str, float]] = {}
+    for p, _, name, val, item, _ in rows:
+        (extra if item else own).setdefault(p, {})[name] = math.nan if val is None else val
+    periods = sorted(own)
     known = [p for p in periods if p in total]
     kinds = sorted({kind[p] for p in periods})
     parents = {k: _vote(list(chain.from_iterable(possible_parents(own[p], total[p], abs(total[p]) * tolerance) for p in known if kind[p] == k))) for k in kinds}
@@ -197,32 +201,49 @@ def reconcile(group: pd.DataFrame, tolerance: float, must: bool) -> pd.DataFrame
     ok, item = settle(parents)
     comparable = [p for p in known if any(n not in parents[kind[p]] for n in own[p])]
     structural = not must and comparable and not any(ok[p] for p in comparable)
-    rows = [(p, kind[p], n, v, n in parents[kind[p]], False, None if structural else ok[p]) for p in periods for n, v in own[p].items()]
-    rows += [(p, kind[p], n, v, False, True, None if structural else ok.get(p, False)) for p in periods for n, v in extra.get(p, {}).items() if n in item]
-    out = pd.DataFrame(rows, columns=["period", "kind", "member", "val", "is_parent", "is_residual", "verified"])
-    out["verified"] = out["verified"].astype("boolean")
+    own, extra = ({p: {n: None if math.isnan(v) else v for n, v in g.items()} for p, g in x.items()} for x in (own, extra))
+    out = [(p, kind[p], n, v, n in parents[kind[p]], False, None if structural else ok[p]) for p in periods for n, v in own[p].items()]
+    out += [(p, kind[p], n, v, False, True, None if structural else ok.get(p, False)) for p in periods for n, v in extra.get(p, {}).items() if n in item]
     return out
 
 
+_ROW = ("period", "kind", "member", "val", "is_residual", "total")
+
+
 def reconciled(values: DataFrame, totals: DataFrame, tolerance: float = 0.005, must: tuple[str, ...] = ("revenue",)) -> DataFrame:
     """Cells with is_parent, is_residual and verified (null: the breakdown never adds up and needn't).
 
     values: entity, axis, concept, period, kind, member, val, is_residual; totals: entity, concept, period, total, and axis where
-    axes have totals of their own.  A group is
-    one company's axis and concept, some dozen periods of some dozen members, so its size doesn't follow the market's.
+    axes have totals of their own.  A group is one company's axis and concept, some dozen periods of some dozen members, so its size
+    doesn't follow the market's.  Groups lie one behind the other in Arrow batches; a task holds one batch and one group.
     """
     joined = values.join(totals, ["entity", "concept", "period", *(["axis"] if "axis" in totals.columns else [])], "left").withColumn("val", F.col("val").cast("double")).withColumn("total", F.col("total").cast("double"))
     keys = ["entity", "axis", "concept"]
     types = dict(joined.dtypes)
-
-    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = reconcile(group, tolerance, key[2] in must)
-        for name, value in zip(keys, key, strict=True):
-            out[name] = value
-        return out[[*keys, "period", "kind", "member", "val", "is_parent", "is_residual", "verified"]]
-
-    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, "period", "kind", "member")) + ", val double, is_parent boolean, is_residual boolean, verified boolean"
-    return joined.groupBy(*keys).applyInPandas(work, schema)
+    said = [*keys, "period", "kind", "member"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, kinds = None, [], None
+
+        def told(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) if found else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+        for batch in batches:
+            kinds = {c: batch.schema.field(c).type for c in said} | {"val": pa.float64(), "is_parent": pa.bool_(), "is_residual": pa.bool_(), "verified": pa.bool_()}
+            found: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*keys, *_ROW)), strict=True):
+                if group and row[:3] != key:
+                    found += [(*key, *r) for r in reconcile(group, tolerance, key[2] in must)]
+                    group = []
+                key = row[:3]
+                group.append(row[3:])
+            yield told(found)
+        if group:
+            yield told([(*key, *r) for r in reconcile(group, tolerance, key[2] in must)])
+
+    schema = ", ".join(f"{c} {types[c]}" for c in said) + ", val double, is_parent boolean, is_residual boolean, verified boolean"
+    return joined.select(*keys, *_ROW).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, schema)
 
 
 def verified_state(df: DataFrame, keys: list[str], part: str, total: str, must: Column | None = None, tolerance: float = 0.005) -> Column:

@@ -272,3 +272,21 @@ def test_stale_points_against_all_rows(spark):
     got = [tuple(r) for r in series.stale_points(df, ["entity"], "v", "d").collect()]
     want = [r for r in rows if not stale(*r)]
     assert 0 < len(want) < len(rows) and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_groups_that_span_batches(spark):
+    """Every group is settled once and whole, wherever Arrow batches end; missing values never add up."""
+    rows = [(e, "axis", "tax", f"FY{2000 + p}", "A", m, v, False) for e in range(9) for p in range(5) for m, v in (("a", 1.0), ("b", 2.0), ("ab", 3.0))]
+    rows += [(99, "axis", "tax", "FY2000", "A", "a", None, False), (99, "axis", "tax", "FY2000", "A", "b", 2.0, False), (98, "axis", "tax", "FY2000", "A", "r", 2.0, True)]
+    values = spark.createDataFrame(rows, "entity int, axis string, concept string, period string, kind string, member string, val double, is_residual boolean")
+    totals = spark.createDataFrame([(e, "tax", f"FY{2000 + p}", 3.0) for e in (*range(9), 98, 99) for p in range(5)], "entity int, concept string, period string, total double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        got = segments.reconciled(values, totals).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 9 * 15 + 2
+    assert all(r.verified and r.is_parent == (r.member == "ab") for r in got if r.entity < 9)
+    assert sorted((r.member, r.val, r.verified) for r in got if r.entity == 99) == [("a", None, None), ("b", 2.0, None)]
+    assert segments.reconciled(values.where("entity < 0"), totals).count() == 0
