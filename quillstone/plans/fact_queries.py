@@ -213,4 +213,4 @@ def power_of_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def provenance_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the latest value of each quarter comes from: tag, form, the day filed and first filed; some fourth quarters count as estimates."""
     latest = op.latest_restated(keyed_facts(spark, sf_dir), ["entity", "tag", "fy", "q"], newest()).withColumn("period", F.col("fy") * 4 + F.col("q")).withColumn("val", F.col("val").cast("double"))
-    return op.provenance(latest, ["entity", "tag", "period"], (F.col("fy") % 2 == 0) & (F.col("q") == 4)).select("entity", F.col("tag"), "period", "cell.*")
+    return op.provenance(latest, ["entity", "tag", "period"], (F.col("fy") % 2 == 0) & (F.col("q") == 4)).select("entity", "tag", F.col("period").cast("long").alias("period"), "cell.*")
