@@ -35,8 +35,8 @@ from quillstone.llm.shingles import mixed
 from quillstone.llm.words import Words
 
 LEAST, LONGEST, TOP, COVER = 30, 4, 2_000, 80
-#: Pointers of one task; text of one block when words are counted and when they are projected.
-BUCKET, COUNT_BLOCK, BLOCK = 1_000_000, 9 << 20, 5 << 20
+#: Pointers of one task; text of one block when words are counted and when they are projected; text whose words are found at once.
+BUCKET, COUNT_BLOCK, BLOCK, SLICE = 1_000_000, 4 << 20, 3 << 20, 1 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?"]] = _BREAK[10:14] = True
 _GAP = _BREAK.copy()
@@ -88,7 +88,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[Block
     held: list[Block] = []
     size = 0
     for batch in batches:
-        for some in slices(batch, "text", 5 << 19):
+        for some in slices(batch, "text", SLICE):
             held.append(block_of(some.column("text"), some.column("lang")))
             size += len(held[-1].raw)
             if size >= most:

@@ -3,9 +3,12 @@
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +74,21 @@ def test_phrases_of_no_rows(spark):
     assert phrases.collocations(docs(spark, [(1, None, None), (2, "a few words", None)])).collect() == []
 
 
+def test_phrase_blocks_take_little_memory():
+    """Two tasks of an executor find words and pointers side by side."""
+    words = np.random.default_rng(1).integers(0, 20_000, (400, 4_000))
+    texts = pa.array([" ".join(f"w{k}" for k in w) for w in words.tolist()])
+    batch = pa.RecordBatch.from_arrays([texts, pa.array(["en"] * len(texts))], names=["text", "lang"])
+    every, none = np.full(1 << 14, np.uint64(0xFFFFFFFFFFFFFFFF)), phrases.Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
+    found = 0
+    tracemalloc.start()
+    for held in phrases._blocks(iter([batch]), phrases.BLOCK):
+        found += sum(int(times.sum()) for *_, times in phrases.pointers(held, every, none, 400))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 400 * 3_999 and peak < 200 << 20, peak
+
+
 def test_scores_beyond_64_bits(spark):
     """Counts whose products pass 64 bits."""
     a, b = 4_000_000_000_000_000_001, 4_500_000_000_000_000_003
