@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import calendar
@@ -17,9 +17,9 @@ def json_map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("name", "val"))
 
 
-@query("company_facts_explode", sql(""", c AS (SELECT entity, tag, e, val, filed, row_number() OVER (PARTITION BY entity, tag, year(e) ORDER BY e, filed, k1, line, val) - 1 AS pos FROM facts) SELECT entity AS cik, tag, pos, e AS "end", CAST(val AS DOUBLE) AS val, filed FROM c"""))
+@query("company_facts_explode", sql(""", c AS (SELECT entity, tag, e, val, filed, row_number() OVER (PARTITION BY entity, tag ORDER BY e, filed, k1, line, val) - 1 AS pos FROM facts) SELECT entity AS cik, tag, pos, e AS "end", CAST(val AS DOUBLE) AS val, filed FROM c"""))
 def company_facts_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested documents, one for each supplier and year, taken apart into points again."""
+    """Nested documents, one for each supplier and year, taken apart into points again, which are counted on over the years of a tag."""
     point = F.struct("end", "filed", "k1", "line", F.col("val").cast("double").alias("val"))
     lists = facts(spark, sf_dir).groupBy("entity", F.year("end").alias("year"), "tag").agg(F.array_sort(F.collect_list(point)).alias("p"))
     shaped = F.transform("p", lambda x: F.struct(F.lit(None).cast("date").alias("start"), x["end"].alias("end"), x["val"].alias("val"), F.lit(None).cast("int").alias("fy"), F.lit(None).cast("string").alias("fp"), F.lit("10-Q").alias("form"), x["filed"].alias("filed"), F.lit(None).cast("string").alias("frame")))
@@ -27,7 +27,12 @@ def company_facts_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lists.groupBy(F.col("entity").alias("cik"), "year").agg(F.map_from_entries(F.collect_list(F.struct("tag", units.alias("u")))).alias("t")).select("cik", F.lit("").alias("entityName"), F.create_map(F.lit("us-gaap"), "t").alias("facts"))
     text = docs.select(F.to_json(F.struct("cik", "entityName", "facts")).alias("j"))
     raw = text.select(F.from_json("j", filings.COMPANY_FACTS).alias("d")).select("d.*")
-    return filings.exploded_facts(raw).select("cik", "tag", F.col("pos").cast("long").alias("pos"), "end", "val", "filed")
+    points = filings.exploded_facts(raw)
+    sizes = facts(spark, sf_dir).groupBy(F.col("entity").alias("e"), F.col("tag").alias("t"), F.year("end").alias("y")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("e", "t").orderBy(F.asc_nulls_last("y")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("e", "t", "y", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = points.join(before, (F.col("cik") == F.col("e")) & (F.col("tag") == F.col("t")) & F.year("end").eqNullSafe(F.col("y")))
+    return placed.select("cik", "tag", (F.col("before") + F.col("pos")).alias("pos"), "end", "val", "filed")
 
 
 @query("parallel_arrays_inline", """SELECT o_custkey AS entity, o_orderkey, form, CAST(o_orderdate AS DATE) AS filing_date, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS report_date, form LIKE '%/A' AS amended,

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.plans import source_queries
 from quillstone.sources import filings, sinks
 from quillstone.streaming.restatements import latest_restatements, windowed_counts
 
@@ -24,6 +25,18 @@ def test_company_facts(spark, tmp_path):
     assert [(r.cik, r.ns, r.tag, r.unit, r.pos, r.val) for r in got] == [(7, "us-gaap", "Revenues", "USD", 0, 5.0), (7, "us-gaap", "Revenues", "USD", 1, 6.0)]
 
 
+
+def test_company_facts_places_run_over_years(spark):
+    """Documents are of a year, places of a tag's whole history."""
+    got = source_queries.company_facts_explode(spark, "/root/testdata/sf0.001").collect()
+    lists = {}
+    for r in got:
+        lists.setdefault((r.cik, r.tag), []).append((r.pos, r.end))
+    assert any(len({end.year for _, end in x}) > 3 for x in lists.values())
+    for x in map(sorted, lists.values()):
+        assert [pos for pos, _ in x] == list(range(len(x))) and [end for _, end in x] == sorted(end for _, end in x)
+
+
 def test_filings(spark, tmp_path):
     recent = {"form": ["10-K", "10-Q/A"], "filingDate": ["2024-02-01", "2024-05-01"], "accessionNumber": ["0000000007-24-000001", "0000000007-24-000002"], "primaryDocument": ["a.htm", "b.htm"], "reportDate": ["2023-12-31", ""]}
     path = put(tmp_path / "s.json", json.dumps({"cik": "7", "name": "X", "fiscalYearEnd": "1231", "filings": {"recent": recent}}))
