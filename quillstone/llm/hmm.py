@@ -9,9 +9,9 @@ probability times a ratio, so
 which the scaled forward recursion computes exactly.
 
 Training.  Counts of tokens are taken over all training texts.  While the states take shape, emissions are tied: each of
-the `OWN` most frequent tokens is a class, all others share `BUCKETS` classes by their first three bytes.  `START_ROUNDS`
-rounds on a bounded sample (a window of `START_TOKENS` tokens at most of `START_DOCS` training texts) only break the
-symmetry of the states; then come `ROUNDS` Baum-Welch rounds, each over all training texts, whose sums by class go to
+the `OWN` most frequent tokens is a class, all others share `BUCKETS` classes by their first three bytes.  The
+states begin as kinds of classes that have like neighbours: vectors of neighbours are summed by class over all training
+texts (`contexts`) and grouped; then come `ROUNDS` Baum-Welch rounds, each over all training texts, whose sums by class go to
 the driver (a row for each class, whose number is a parameter).  A last pass over all training texts unties the emissions:
 every task adds up the expected counts of every token, and their sums are a table with a row for each training
 token, so what is learnt grows with the corpus.  A token's share of a state is that of its expected counts, drawn towards
@@ -39,11 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import least_hashed, remainder, remove, slices, written
+from quillstone.llm.common import remainder, remove, slices, written
 from quillstone.llm.words import words_of
 
 STATES, OWN, BUCKETS, FREQUENT, ADDED = 8, 16_384, 8_192, 200_000, 0.1
-START_DOCS, START_TOKENS, START_ROUNDS, ROUNDS = 1_000, 1_000, 10, 2
+ROUNDS = 2
+#: Numbers of a class's context vector, rounds that group the classes by them, how much more likely a state's own kind is at first.
+CONTEXT, KIND_ROUNDS, LIFT = 8, 20, 3.0
 #: Weight of the base in a state's smoothed class probabilities, in tokens; stay: the first chance to keep a state.
 PRIOR, STAY = 50.0, 0.95
 #: Weight of the bucket's shares in a token's, and of the states' own shares in a bucket's, in tokens.
@@ -357,16 +359,74 @@ def updated(counts: np.ndarray, share: np.ndarray) -> Model:
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)) if states else Model(start, move, emit)
 
 
-def begin(share: np.ndarray, sample: list[np.ndarray]) -> Model:
-    """A first model: states that differ by chance, then rounds on the sample."""
-    rng = np.random.default_rng(7)
-    emit = (share / share.sum())[:, None] * rng.uniform(0.5, 1.5, (len(share), STATES))
+def _signs(n: int) -> np.ndarray:
+    """A vector of small whole numbers for each class, whose sums over neighbours tell the contexts of classes apart."""
+    return np.random.default_rng(5).integers(-127, 128, (n, CONTEXT))
+
+
+def _contexts_of(sequences: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
+    """For each class the sums of its neighbours' vectors, and its tokens; whole numbers, so their order doesn't matter."""
+    n, out = len(signs), np.zeros((len(signs), CONTEXT + 1))
+    if not sequences:
+        return out
+    x = np.concatenate(sequences).astype(np.int64)
+    inside = np.ones(len(x), bool)
+    inside[np.cumsum([len(s) for s in sequences])[:-1]] = False
+    left, right = x[:-1][inside[1:]], x[1:][inside[1:]]
+    for d in range(CONTEXT):
+        out[:, d] = np.bincount(left, signs[right, d], n) + np.bincount(right, signs[left, d], n)
+    out[:, CONTEXT] = np.bincount(x, minlength=n)
+    return out
+
+
+def contexts(training: DataFrame, n: int) -> np.ndarray:
+    """_contexts_of over all rows of training (classes), n classes."""
+    names = [f"v{k}" for k in range(CONTEXT + 1)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs, total = _signs(n), np.zeros((n, CONTEXT + 1))
+        for batch in batches:
+            for part in slices(batch, "classes", BUFFER // 2):
+                total += _contexts_of(_sequences(part), signs)
+        at = np.flatnonzero(total[:, CONTEXT])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, k]) for k in range(CONTEXT + 1))], names=["at", *names])
+
+    each = training.select("classes").mapInArrow(add, "at long, " + ", ".join(f"{x} double" for x in names))
+    sums = each.groupBy("at").agg(*(F.sum(x).alias(x) for x in names)).toArrow()  # a row for each class
+    out = np.zeros((n, CONTEXT + 1))
+    if len(sums):
+        out[np.asarray(sums.column("at"))] = np.stack([np.asarray(sums.column(x)) for x in names], axis=1)
+    return out
+
+
+def _kinds(sums: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """The classes in STATES groups of like contexts, by k-means on directions, weighted by tokens."""
+    weight, each = sums[:, CONTEXT], sums[:, :CONTEXT]
+    usual = 2 * (weight @ signs) / max(1.0, weight.sum())
+    way = (each - weight[:, None] * usual) / np.sqrt(weight + 20)[:, None]
+    way /= np.maximum(np.linalg.norm(way, axis=1, keepdims=True), 1e-9)
+    middles = way[[np.argmax(weight)]]
+    for _ in range(STATES - 1):
+        apart = np.min([np.square(way - m).sum(axis=1) for m in middles], axis=0)
+        middles = np.vstack([middles, way[np.argmax(apart * np.sqrt(weight))]])
+    for _ in range(KIND_ROUNDS):
+        kind = np.argmax(way @ middles.T, axis=1)
+        for k in range(STATES):
+            if (kind == k).any():
+                middles[k] = weight[kind == k] @ way[kind == k]
+        middles /= np.maximum(np.linalg.norm(middles, axis=1, keepdims=True), 1e-9)
+    return np.argmax(way @ middles.T, axis=1)
+
+
+def begin(share: np.ndarray, training: list[np.ndarray] | DataFrame) -> Model:
+    """A first model from all training texts (sequences, or rows with classes): each state prefers the classes of one kind of context."""
+    signs = _signs(len(share))
+    sums = _contexts_of(training, signs) if isinstance(training, list) else contexts(training, len(share))
+    prefers = np.random.default_rng(7).uniform(0.9, 1.1, (len(share), STATES))  # kinds that no class is of would stay alike
+    prefers[np.arange(len(share)), _kinds(sums, signs)] *= LIFT
+    emit = (share / share.sum())[:, None] * prefers
     move = np.full((STATES, STATES), (1 - STAY) / (STATES - 1)) + np.eye(STATES) * (STAY - (1 - STAY) / (STATES - 1))
-    model = Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
-    for _ in range(START_ROUNDS if sample else 0):
-        ratios = model.ratios(share, np.float32)
-        model = updated(sum(counted(Steps(x), model, ratios) for x in blocks(sample)), share)
-    return model
+    return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
 
 def blocks(sequences: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -598,10 +658,7 @@ def score(docs: DataFrame) -> DataFrame:
     known = vocabulary(counts)
     encoded = written(encode(source, known), "encoded")
     training = encoded.where("not held_out")
-    few = least_hashed(training.select("classes", "row"), "row", START_DOCS)
-    spare = F.greatest(F.octet_length("classes") / 2 - START_TOKENS, F.lit(0)).cast("int")
-    window = F.substring("classes", F.pmod(F.xxhash64("row"), spare + 1).cast("int") * 2 + 1, F.lit(2 * START_TOKENS))
-    model = begin(known.share, [np.frombuffer(x, "<u2") for x in few.select(window.alias("x")).toArrow().column("x").to_pylist()])
+    model = begin(known.share, training)
     for _ in range(ROUNDS):
         model = baum_welch(training, model, known.share)
     profiles = written(token_profiles(training, known, model), "profiles")

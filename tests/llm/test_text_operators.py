@@ -380,6 +380,24 @@ def test_hidden_markov_scores(spark):
     assert hmm.score(docs(spark, [])).count() == 0
 
 
+def test_hidden_markov_starts_from_all_texts(spark, monkeypatch):
+    """No sample: the first model sees every training token."""
+    df, begin, seen = docs(spark, [(k, f"w{k % 40} x{k % 7} y{k % 3} " * 400) for k in range(1_300)]), hmm.begin, []
+
+    def spied(share, training):
+        sequences = [np.frombuffer(x.classes, "<u2") for x in training.select("classes").collect()]
+        sums, model = hmm.contexts(training, len(share)), begin(share, training)
+        assert np.array_equal(sums, hmm._contexts_of(sequences, hmm._signs(len(share))))
+        assert np.allclose(model.emit, begin(share, sequences).emit)
+        seen.append((len(sequences), int(sums[:, -1].sum())))
+        return model
+
+    monkeypatch.setattr(hmm, "begin", spied)
+    rows = hmm.score(df).collect()
+    trained = sum(not r.held_out for r in rows)
+    assert seen == [(trained, rows[0].train_tokens)] and seen[0] == (trained, trained * 1_201)
+
+
 def test_hidden_markov_learns_every_token(spark, monkeypatch):
     """Probabilities of all training tokens and an unknown one add up to 1 in each state, rare tokens joined; scores against a plain recursion."""
     monkeypatch.setattr(hmm, "FREQUENT", 30)
