@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from quillstone.llm import neardup, packing, quality, toxicity
 from quillstone.llm.common import table, written
 
+#: Bytes of text whose words and ids a packing task holds at a time: the stages before it leave less memory than packing alone has.
+PACKED_BYTES = 2 << 20
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -56,7 +59,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  #
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """The pieces of all documents in sequences of `packing.WINDOW` tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), text_bytes=PACKED_BYTES)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", good), ("toxicity", harmless), ("near_duplicates", distinct), ("packing", packed)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import remove, spread_join, written
+from quillstone.llm.common import fewer, remove, spread_join, written
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     to are spread over tasks; no node's neighbours are gathered.  The edges of a
     step are written to the shared folder.  The number of steps grows with the logarithm of the longest path.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = written(fewer(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "edges")
     before = _sum(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         down = spread_join(large, least, F.col("a"), "n", F.col("b"))
         small = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
-        step = written(small, "edges")
+        step = written(fewer(small, before[0]), "edges")  # no step adds edges
         after = _sum(step)
         remove(now)
         now = step

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import heavy_join, heavy_keys, slices, spread_join, written
+from quillstone.llm.common import WAVES, fewer, heavy_join, heavy_keys, slices, spread_join, written
 from quillstone.llm.components import components
 from quillstone.llm.shingles import shingle_hashes
 
@@ -246,7 +246,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
     both = keyed.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
     first = both.withColumn("r", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.xxhash64(*names)))).where("r = 1")
-    return first.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    return fewer(first.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True))), waves=2 * WAVES)
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -254,30 +254,30 @@ def _grouped(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = written(_signed(source), "signed", "none")
     classes = signed.where("n > 0").groupBy("digest").agg(F.first("sig").alias("sig"), F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("first_id"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", "none")
+    classes = written(fewer(classes.withColumn("cid", F.monotonically_increasing_id())), "classes", "none")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     bands = classes.select("cid", F.posexplode(band).alias("band", "bucket"))
-    buckets = written(bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1").select(F.col("bucket").alias("k"), "pivot", "size"), "buckets")
+    buckets = written(fewer(bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1").select(F.col("bucket").alias("k"), "pivot", "size")), "buckets")
     many = max(1_000, classes.count() * BANDS // 1_000)
     hot_buckets = buckets.where(F.col("size") > many)  # a thousand at most
-    members = written(heavy_join(bands, buckets, "bucket", "k", F.col("cid"), heavy=hot_buckets.select(F.col("k").alias("_heavy"))).select("bucket", "band", "cid", "pivot"), "members")
+    members = written(fewer(heavy_join(bands, buckets, "bucket", "k", F.col("cid"), heavy=hot_buckets.select(F.col("k").alias("_heavy"))).select("bucket", "band", "cid", "pivot")), "members")
 
     # texts of the classes that have a candidate, one row each
     wanted = members.select("cid").distinct().join(classes.select(F.col("cid").alias("c"), F.col("rep.doc_id").alias("d"), F.col("rep.text_hash").alias("t")), F.col("cid") == F.col("c"))
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select("cid", "text")
-    texts = written(texts.groupBy("cid").agg(F.first("text").alias("text")), "texts")
+    texts = written(fewer(texts.groupBy("cid").agg(F.first("text").alias("text"))), "texts")
 
     stars = members.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
     hot = hot_buckets.select(F.col("pivot").alias("_heavy")).distinct()  # the pivots of most pairs are those of the largest buckets
-    links = written(_confirmed(_likely(stars, classes, hot), texts, hot), "links")
+    links = written(fewer(_confirmed(_likely(stars, classes, hot), texts, hot)), "links")
 
     # what the stars left apart: classes of one bucket in different components
     rooted = members.join(components(links), F.col("cid") == F.col("node"), "left").select("bucket", "band", "cid", F.coalesce("root", "cid").alias("root"))
     counted = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     apart = counted.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select(F.col("bucket").alias("k"), "main")
-    rest = written(heavy_join(rooted, apart, "bucket", "k", F.col("cid"), heavy=hot_buckets.select(F.col("k").alias("_heavy"))).select("bucket", "band", "cid", "root", "main"), "rest")
-    more = written(_rest_links(rest, classes, _sets(texts)).distinct(), "more")
+    rest = written(fewer(heavy_join(rooted, apart, "bucket", "k", F.col("cid"), heavy=hot_buckets.select(F.col("k").alias("_heavy"))).select("bucket", "band", "cid", "root", "main")), "rest")
+    more = written(fewer(_rest_links(rest, classes, _sets(texts)).distinct()), "more")
     links = links.unionByName(_confirmed(more, texts, heavy_keys(more, "b")))
 
     roots = components(links)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import slices, written
+from quillstone.llm.common import SLICE_BYTES, slices, written
 from quillstone.llm.encoding import encoder
 
 WINDOW = 2048
@@ -126,14 +126,14 @@ def ranks_within(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every document: full windows, then the remainder."""
+def cut(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, text_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The pieces of every document: full windows, then the remainder.  text_bytes: of so much text words and ids are held at a time."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, False, end_id).encode
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", text_bytes):
                 ids, ends = encode(some.column("text"))
                 tokens = np.diff(ends)
                 number = -(-tokens // window)
@@ -148,10 +148,10 @@ def cut(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     return source.mapInArrow(pieces, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, text_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    pieces = written(cut(docs, tokenizer_path, window, end_id), "pieces")
+    pieces = written(cut(docs, tokenizer_path, window, end_id, text_bytes), "pieces")
     by_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -2,16 +2,20 @@
 
 import itertools
 import random
+from pathlib import Path
+from types import SimpleNamespace
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillstone.llm import packing, quality, toxicity
-from quillstone.llm.common import table
+from quillstone.llm.common import shared_folder, table
 from quillstone.llm.queries import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -148,6 +152,55 @@ def test_hot_pivot(spark):
     assert kept == {0, *(i for i, _ in rows[1_500:])}
 
 
+def test_many_shuffle_partitions_make_few_files(spark):
+    """Tables out of a shuffle of many partitions are written as few files, with all their rows."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(5_000)}" for _ in range(60)) for _ in range(150)]
+    df = spark.createDataFrame([(2 * k + copy, t + " end" * copy) for k, t in enumerate(texts) for copy in range(2)], "doc_id long, text string")
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = {*folder.iterdir()}
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        kept = STAGES["near_duplicates"](spark, df, SMALL)
+        assert ids(kept) == set(range(0, 300, 2)) and kept.count() == 150
+        files = {d.name.rpartition("-")[0]: len(list(d.glob("part-*"))) for d in {*folder.iterdir()} - before}
+        assert {"classes", "buckets", "members", "texts", "links", "edges"} <= files.keys()
+        assert max(files.values()) <= 16, files
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_packing_cuts_little_text_at_a_time(spark, monkeypatch):
+    """Of a large Arrow batch two megabytes of text are encoded at once, and every text is."""
+    taken, run = [], []
+
+    class Docs:
+        sparkSession = spark  # noqa: N815
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            run.append(f)
+            raise StopIteration  # nothing is written
+
+    def encode(texts):
+        taken.append(pc.sum(pc.binary_length(texts)).as_py())
+        return np.ones(len(texts), np.uint32), np.arange(len(texts) + 1)
+
+    monkeypatch.setattr(packing, "encoder", lambda *_: SimpleNamespace(encode=encode))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    with pytest.raises(StopIteration):
+        STAGES["packing"](spark, Docs(), SMALL)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3_000)), pa.array(["word " * 600] * 3_000)], names=["doc_id", "text"])
+    got = [i for part in run[0]([batch]) for i in part.column("doc_id").to_pylist()]
+    assert got == [*range(3_000)] and sum(taken) == 9_000_000 and max(taken) <= 2 << 20
+
+
 def test_contexts_are_sums_of_index_vectors():
     r = np.random.default_rng(5)
     numbers, bounds, hashes = r.integers(0, 50, 4_000), np.array([0, 0, 1, 700, 703, 4_000]), r.integers(0, 1 << 64, 50, np.uint64)
