@@ -38,6 +38,11 @@ def thousands(ratio: Column) -> Column:
     return (half_up(F.log10(ratio) / 3) * 3).cast("int")
 
 
+def binary_round(x: Column, places: int) -> Column:
+    """A double rounded as its binary value times a power of ten says, halves away from nought; F.round goes by its shortest decimal text."""
+    return F.round(x * 10**places, 0) / 10**places
+
+
 def over_positive(numerator: Column, denominator: Column) -> Column:
     """The quotient where the denominator is positive, else null."""
     return F.when(denominator > 0, numerator / denominator)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import formulas
+from quillstone.functions.scalars import binary_round
 from quillstone.operators import facts as op
 from quillstone.operators import repairs, shares, splits, statements, valuation
 from quillstone.plans.bindings import facts, grid, keyed_facts, sql, table
@@ -38,12 +39,15 @@ c AS (SELECT *, coalesce(abs(s / nw - 1) <= 0.15 AND CASE WHEN s > w THEN nw >=
 e AS (SELECT *, list(src) FILTER (wrong) OVER (PARTITION BY entity) AS guilty FROM d), f AS (SELECT *, coalesce(list_contains(guilty, src), false) AND NOT wrong AND s IS NOT NULL AS again, coalesce(abs(s / w - 1) > 0.1, false) AS far FROM e)
 SELECT entity, CAST(idx AS BIGINT) AS idx, round(CASE WHEN wrong OR again AND far AND v IS NOT NULL THEN v WHEN again AND (w IS NULL OR far AND v IS NULL AND NOT catches) THEN NULL ELSE s END / 7.31, 2) AS shares, CASE WHEN wrong OR again AND far AND v IS NOT NULL THEN vs ELSE src END AS source FROM f"""))
 def share_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share counts against weighted averages and two other sources, catch-ups and convicted sources included."""
+    """Share counts against weighted averages and two other sources, catch-ups and convicted sources included.
+
+    Factors are quotients of whole numbers, as its SQL takes them for decimal numbers: 0.6 + 0.1 * 6 of doubles is more than 1.2.
+    """
     idx, cogs = F.col("idx"), F.col("cogs")
-    df = _wide(spark, sf_dir).where("cogs is not null").withColumn("s", F.when(idx % 11 != 3, cogs * (0.6 + 0.1 * (idx % 8)))).withColumn("src", F.when(idx % 3 == 0, "cover").when(idx % 3 == 1, "us-gaap").otherwise("classes"))
-    df = df.withColumn("w", F.when(idx % 9 != 4, cogs)).withColumn("c1", cogs * 1.045).withColumn("c2", cogs * (0.93 + 0.01 * (idx % 4)))
+    df = _wide(spark, sf_dir).where("cogs is not null").withColumn("s", F.when(idx % 11 != 3, cogs * ((6 + idx % 8) / 10))).withColumn("src", F.when(idx % 3 == 0, "cover").when(idx % 3 == 1, "us-gaap").otherwise("classes"))
+    df = df.withColumn("w", F.when(idx % 9 != 4, cogs)).withColumn("c1", cogs * 1.045).withColumn("c2", cogs * ((93 + idx % 4) / 100))
     out = repairs.arbitrate_shares(df, ["entity"], "s", "src", "w", {"one": "c1", "two": "c2"})
-    return out.select("entity", _long(), F.round(F.col("s") / 7.31, 2).alias("shares"), F.col("src").alias("source"))
+    return out.select("entity", _long(), binary_round(F.col("s") / 7.31, 2).alias("shares"), F.col("src").alias("source"))
 
 
 @query("filled_shares", sql(_WIDE + " SELECT entity, CAST(idx AS BIGINT) AS idx, coalesce(CASE WHEN idx % 3 = 0 THEN revenue END, CASE WHEN idx % 3 = 1 THEN cogs END, equity) AS shares, CASE WHEN idx % 3 = 0 AND revenue IS NOT NULL THEN 'us-gaap' WHEN idx % 3 = 1 AND cogs IS NOT NULL THEN 'cover' WHEN equity IS NOT NULL THEN 'weighted' END AS shares_source FROM w"))
