@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars
@@ -13,15 +13,21 @@ from quillstone.plans.registry import query
 _WORDS = "w AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'))) AS token FROM documents)"
 
 
+def _lowered(text: Column) -> Column:
+    """Small letters as the SQL makes them: a dotted capital I becomes a plain i, which F.lower gives a dot of its own that cuts words."""
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+
+
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.lower(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(F.regexp_extract_all(text, F.lit("([a-z]+)"), F.lit(1))).alias("tokens"))
+    text = _lowered(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.array_distinct(F.regexp_extract_all(text, F.lit("([a-z]+)"), F.lit(1))).alias("tokens"))
 
 
 @query("token_idf", f"WITH {_WORDS}, n AS (SELECT count(DISTINCT doc_id) AS n FROM w) SELECT token, count(*) AS df, round(ln((SELECT n FROM n) / count(*)), 6) AS idf FROM (SELECT DISTINCT doc_id, token FROM w) GROUP BY 1")
 def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents a word occurs, and its weight."""
-    return audits.token_weights(_words(spark, sf_dir), "doc_id", "tokens").select("token", "df", F.round("idf", 6).alias("idf"))
+    told = F.col("text").rlike("[A-Za-z\u0130\u212a]")  # what becomes a letter of [a-z]
+    return audits.token_weights(_words(spark, sf_dir), "doc_id", "tokens", told).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("tag_scoring", """WITH c AS (SELECT item_id AS concept, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS token FROM benchmark),
@@ -32,7 +38,7 @@ r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM s WI
 SELECT tag, concept, round(score, 4) AS score FROM r WHERE r = 1 AND score >= 40.0 AND (second IS NULL OR score >= second * 2)""")
 def tag_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark item whose weighted words a document shares most of, if that is clear."""
-    item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("concept"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("tokens"))
+    item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("concept"), F.regexp_extract_all(_lowered(F.col("text")), F.lit("([a-z]+)"), F.lit(1)).alias("tokens"))
     docs = _words(spark, sf_dir).select(F.col("doc_id").alias("tag"), "tokens")
     return audits.score_tags(docs, item, 40.0, 2.0).select("tag", "concept", F.round("score", 4).alias("score"))
 

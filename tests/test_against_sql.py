@@ -38,3 +38,12 @@ def test_shares_at_the_border_of_20_percent_and_at_a_half(spark, tmp_path):
     facts(tmp_path, lines, [(1, "1-URGENT", "2002-01-01")])
     got, want = both(spark, "share_arbitration", tmp_path)
     assert got == want and got[:2] == [(1, 1, 5219.77, "one"), (1, 6, 2238.18, "cover")]
+
+
+def test_weights_count_documents_with_words_alone(spark, tmp_path):
+    texts = [(1, "Alpha beta, ALPHA"), (2, None), (3, ""), (4, "12 34 éÉ ."), (5, "BİR alpha"), (6, "K"), (None, "alpha"), (5, "gamma")]
+    rows = [tuple("NULL" if x is None else x if isinstance(x, int) else f"'{x}'" for x in r) for r in texts]
+    save(tmp_path, "documents", "doc_id::BIGINT AS doc_id, 'web' AS source, text::VARCHAR AS text", [f"({i}, {t})" for i, t in rows], "doc_id, text")
+    got, want = both(spark, "token_idf", tmp_path)
+    # documents 1, 5 and 6 have words; a dotted capital I is a plain i
+    assert got == want and dict((t, n) for t, n, _ in got) == {"alpha": 3, "beta": 1, "bir": 1, "gamma": 1, "k": 1} and ("bir", 1, 1.098612) in got
