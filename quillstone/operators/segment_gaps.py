@@ -73,10 +73,10 @@ def _degenerate(revenue: DataFrame, own: DataFrame, tolerance: float) -> DataFra
 
 def _holes(revenue: DataFrame) -> DataFrame:
     """Quarters without a value of a member between two with one; the amount is the mean of the two for each member and quarter."""
-    values = revenue.where("kind = 'Q' and val is not null")
-    quarters = values.select("entity", "period").distinct().withColumn("_idx", F.row_number().over(Window.partitionBy("entity").orderBy("period")))
+    values = revenue.where("kind = 'Q' and val is not null and entity is not null and period is not null")
     nxt = Window.partitionBy("entity", "axis", "member").orderBy("_idx")
-    placed = values.join(quarters, ["entity", "period"]).withColumn("_to", F.lead("_idx").over(nxt)).withColumn("_both", F.abs("val") + F.abs(F.lead("val").over(nxt))).where("_to > _idx + 1")
+    placed = values.withColumn("_idx", F.dense_rank().over(Window.partitionBy("entity").orderBy("period")))
+    placed = placed.withColumn("_to", F.lead("_idx").over(nxt)).withColumn("_both", F.abs("val") + F.abs(F.lead("val").over(nxt))).where("_to > _idx + 1")
     each = placed.withColumn("_at", F.explode(F.sequence(F.col("_idx") + 1, F.col("_to") - 1)))
     return each.groupBy("entity", "axis").agg(F.count_distinct("_at").alias("n"), (F.sum("_both") / 2).alias("amount")).select("entity", F.lit("period_hole").alias("code"), "axis", F.lit(None).cast("string").alias("cause"), "n", "amount", F.lit(False).alias("single_segment"))
 

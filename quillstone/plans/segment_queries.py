@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions.calendar import fiscal_period
 from quillstone.operators import segment_gaps, segment_merge, segments
-from quillstone.plans.bindings import facts, keyed_facts, sql, table
+from quillstone.plans.bindings import facts, keyed_facts, money, sql, table
 from quillstone.plans.registry import query
 
 
@@ -148,6 +151,24 @@ w AS (SELECT entity, 'axis_dropped' AS code, axis, cause, n, CAST(amount AS DOUB
 SELECT entity, code, axis, cause, n, amount, single_segment, row_number() OVER (PARTITION BY entity ORDER BY amount DESC, code, axis, cause) AS rank FROM w"""
 
 
+#: Each call's kept rows are its own, though files of one path may have changed between two calls.
+_CALLS = count()
+
+
+def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity, filing, period, line, tag, form, status, val: the largest amount of each in cents, dealt out by entity.
+
+    Facts are sent as narrow as they can be; what is made of them by entity needs no further exchange.
+    """
+    fy, q = fiscal_period(F.to_date("l_shipdate"), F.lit(12))
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k1"), F.col("l_suppkey").alias("entity"), (fy * 4 + q).cast("long").alias("period"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("tag"), F.col("l_linestatus").alias("status"), (money("l_extendedprice") * 100).cast("long").alias("val"),
+    )
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k1"), F.year(F.to_date("o_orderdate")).alias("filing"), F.col("o_orderpriority").alias("form"))
+    dealt = items.join(orders, "k1").drop("k1").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "entity")
+    return dealt.groupBy("entity", "filing", "period", "line", "tag", "form", "status").agg(F.max("val").alias("val"))
+
+
 @query("breakdown_gaps", sql(_GAPS))
 def breakdown_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What suppliers' yearly filings lack in breakdowns by form, flag and status.
@@ -160,24 +181,29 @@ def breakdown_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array(*(F.struct(F.lit(axis).alias("axis"), m.alias("member")) for axis, m in members.items()))
 
     form, flag, status = F.col("form"), F.col("tag"), F.col("status")
-    keys = ["entity", "filing", "period", "line", "tag", "form", "status"]
-    df = keyed_facts(spark, sf_dir).withColumn("filing", F.year("filed")).withColumn("period", (F.col("fy") * 4 + F.col("q")).cast("long")).groupBy(*keys).agg((F.max("val") * 100).cast("long").alias("val"))
+    df = _filed(spark, sf_dir).withColumn("_call", F.lit(next(_CALLS)))
     single = F.when((F.col("entity") % 3 == 0) & (flag == "A"), dims(form=form)).when((F.col("entity") % 5 == 0) & (flag == "N"), dims(flag=flag)).otherwise(dims(status=form))
     of_line = {3: dims(form=form, flag=flag), 4: dims(status=status, form=form, flag=flag), 5: dims(status=F.lit("x:EliminationMember")), 6: F.filter(dims(form=form), lambda _: F.lit(False)), 7: dims(other=form, lone=flag)}
     made = single
     for line, d in of_line.items():
         made = F.when(F.col("line") == line, d).otherwise(made)
-    df = df.withColumn("dims", made).withColumn("unit", F.lit("iso4217:USD")).withColumn("kind", F.lit("Q")).withColumn("concept", F.when(F.col("line") == 7, "cogs").otherwise("revenue"))
+
+    def dressed(df: DataFrame) -> DataFrame:
+        return df.withColumn("dims", made).withColumn("unit", F.lit("iso4217:USD")).withColumn("kind", F.lit("Q")).withColumn("concept", F.when(F.col("line") == 7, "cogs").otherwise("revenue"))
+
     axes = segments.Axes(("form", "flag", "status", "lone"), ("cons",))
-    marked = segments.admitted(df, axes)
+    judged = segments.admitted(dressed(df), axes).select(*df.columns, "reason", "axis", "member")
+    marked = dressed(judged.persist(StorageLevel.DISK_ONLY))  # read a dozen times
+    left_out = marked.where("reason not in ('total', 'residual')")  # and not null
     shown = marked.where("reason is null").groupBy("entity", "axis", "member", "period", "kind", "concept").agg(F.max("val").alias("val"))
-    crosses = segment_merge.whole_tables(segments.crossed(df, axes), [F.desc("filing")])
+    crosses = segment_merge.whole_tables(segments.crossed(left_out, axes), [F.desc("filing")])
     totals = marked.where("reason = 'total'").groupBy("entity", "concept", "period", "filing").agg(F.max("val").alias("total"))
     stated = totals.groupBy("entity", "concept", "period").agg(F.max_by("total", "filing").alias("total"))
     doubled = F.when((F.col("entity") % 2 == 0) & (F.col("period") % 3 == 0), 2).otherwise(1)
     own = shown.groupBy("entity", "axis", "concept", "period").agg(F.sum("val").alias("total")).withColumn("total", F.col("total") * doubled)
     counted = marked.where("filing >= 1994 and entity % 4 <> 1")
-    found = segment_gaps.gaps(segment_gaps.tally(marked, axes.segment), segment_gaps.seen(counted, axes.segment), shown, crosses, stated, own)
+    lost, touched = (t.persist(StorageLevel.DISK_ONLY) for t in (segment_gaps.tally(left_out, axes.segment), segment_gaps.seen(counted, axes.segment)))
+    found = segment_gaps.gaps(lost, touched, shown, crosses, stated, own)
     return found.withColumn("amount", F.col("amount").cast("double")).withColumn("rank", F.col("rank").cast("long"))
 
 
